@@ -1,13 +1,14 @@
 """The corpus queries by name, and SQL for those that SQL can express."""
-
 from __future__ import annotations
 
 from .fingerprint import op1_fingerprint
 from .sharding import op2_sharding
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
