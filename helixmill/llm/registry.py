@@ -4,11 +4,15 @@ from __future__ import annotations
 from .fingerprint import op1_fingerprint
 from .sharding import op2_sharding
 from .toxicity import op3_toxicity
+from .secrets import op9_secrets
+from .decontaminate import op10_decontaminate
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
+    "op9_secrets": op9_secrets,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
