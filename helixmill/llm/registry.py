@@ -6,6 +6,7 @@ from .sharding import op2_sharding
 from .toxicity import op3_toxicity
 from .secrets import op9_secrets
 from .decontaminate import op10_decontaminate
+from .packing import op8_packing
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,7 +9,7 @@ in 16- and 32-bit limbs because ANSI arithmetic does not wrap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -63,22 +63,19 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame
     )
 
 
-def slots(df: DataFrame, order: str = "doc_id") -> DataFrame:
-    """df (with `shard`) with slot, numbered from 0 without gaps inside each shard.
+def slots(df: DataFrame, group: str = "shard", order: str = "doc_id") -> DataFrame:
+    """df with slot, numbered from 0 without gaps inside each value of `group`.
 
-    Rows are numbered inside (shard, input split) and each split starts where
-    the splits before it end, so no task ever holds a shard.  df is staged in
+    Rows are numbered inside (group, input split) and each split starts where
+    the splits before it end, so no task ever holds a group.  df is staged in
     the shared folder first: both passes must see the same splits.
     """
-    spark = df.sparkSession
-    lean = staged(df.withColumn("__part", F.spark_partition_id()), "shards")
-    names = [c for c in lean.columns if c != "__part"]
-    lean.createOrReplaceTempView(view := "helixmill_shard_rows")
-    starts = spark.sql(f"""
-        SELECT shard, __part, sum(n) OVER (PARTITION BY shard ORDER BY __part) - n AS start
-        FROM (SELECT shard, __part, count(*) AS n FROM {view} GROUP BY shard, __part)""")
-    rows = spark.sql(f"SELECT *, row_number() OVER (PARTITION BY shard, __part ORDER BY `{order}`) - 1 AS place FROM {view}")
-    return rows.join(starts, ["shard", "__part"]).select(*names, (F.col("start") + F.col("place")).cast("bigint").alias("slot"))
+    lean = staged(df.withColumn("__part", F.spark_partition_id()), "slots")
+    within = Window.partitionBy(group, "__part").orderBy(order)
+    before = Window.partitionBy(group).orderBy("__part")
+    starts = lean.groupBy(group, "__part").count().withColumn("__start", F.sum("count").over(before) - F.col("count")).drop("count")
+    rows = lean.withColumn("__place", F.row_number().over(within) - 1).join(starts, [group, "__part"])
+    return rows.select(*df.columns, (F.col("__start") + F.col("__place")).cast("bigint").alias("slot"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
