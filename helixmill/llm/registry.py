@@ -7,6 +7,7 @@ from .toxicity import op3_toxicity
 from .secrets import op9_secrets
 from .decontaminate import op10_decontaminate
 from .packing import op8_packing
+from .html_text import op5_html_text
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
     "op8_packing": op8_packing,
+    "op5_html_text": op5_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
