@@ -8,6 +8,7 @@ from .secrets import op9_secrets
 from .decontaminate import op10_decontaminate
 from .packing import op8_packing
 from .html_text import op5_html_text
+from .quality import op7_quality
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
@@ -17,6 +18,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op8_packing": op8_packing,
     "op5_html_text": op5_html_text,
+    "op7_quality": op7_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
