@@ -9,6 +9,7 @@ from .decontaminate import op10_decontaminate
 from .packing import op8_packing
 from .html_text import op5_html_text
 from .quality import op7_quality
+from .jaccard import op6_jaccard_join
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
@@ -19,6 +20,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op5_html_text": op5_html_text,
     "op7_quality": op7_quality,
+    "op6_jaccard_join": op6_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
