@@ -13,6 +13,7 @@ length and its number among the pieces of that length.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 
 import numpy as np
@@ -30,12 +31,13 @@ CACHED_WORDS = 300_000
 
 
 class Encoder:
-    """Token ids of texts in a tokenizer that never merges across white space.
+    """Token ids of texts in a lower-casing tokenizer that never merges across white
+    space, nor across a letter and a mark that follows it.
 
-    Such a tokenizer gives a text the ids of its words in turn, so each word is
-    encoded once and then looked up.  Only blanks, tabs and line ends split
-    here; what else counts as white space stays inside a word, where the
-    tokenizer itself sees to it.
+    It gives a text the ids of its words in turn, so each word is encoded once
+    and then looked up.  Only blanks, tabs and line ends split here; what else counts as white space stays inside a word, where the
+    tokenizer itself sees to it.  Words are kept in two generations, so that
+    the frequent ones stay when the memory is full.
     """
 
     def __init__(self, path: str):
@@ -43,19 +45,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        special = {t.content: i for i, t in self._tokenizer.get_added_tokens_decoder().items()}
+        self._mark, self._mark_id = max(special.items(), default=("", -1))
+        self._special = tuple(special)
+        self._known: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: all in one text, parted by a special token."""
+        if not self._mark or any(x in w for x in self._special for w in words):
+            return self._one_by_one(words)
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self._tokenizer.encode_batch_fast([self._mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self._mark_id)
+            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            starts = [0, *(4 * cuts + 4).tolist()]
+            out += [data[a:b] for a, b in zip(starts, ends)] if len(cuts) == len(some) - 1 else self._one_by_one(some)
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """For each text (null: empty) its ids as little-endian 32-bit numbers."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        missing = [w for w in wanted if w not in self._known]
-        if len(self._known) + len(missing) > CACHED_WORDS:
-            self._known = {}
-            missing = list(wanted)
-        for word, found in zip(missing, self._tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self._known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self._known.__getitem__, words)) for words in split]
+        if len(self._known) > CACHED_WORDS:
+            self._known, self._older = {"": b""}, self._known
+        # Lower case may come first where no accent can combine: the tokenizer lower-cases anyway.
+        split = [(t.lower() if t.isascii() and not any(x in t for x in self._special) else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in (t or "" for t in texts)]
+        found = [list(map(self._known.get, words)) for words in split]
+        gaps = [[i for i, p in enumerate(parts) if p is None] for parts in found]
+        missing = list({words[i] for words, own in zip(split, gaps) for i in own})
+        # A word of letters and the marks at its end are encoded apart: there are fewer of either.
+        apart = {w: (core, w[len(core) :]) for w in missing if w not in self._older and (core := w.rstrip(string.punctuation)) != w and core.isalpha()}
+        wanted = {x for w in missing for x in apart.get(w, (w,)) if x not in self._known}
+        new = [w for w in wanted if w not in self._older]
+        self._known.update((w, self._older[w]) for w in wanted if w in self._older)
+        self._known.update(zip(new, self._encoded(new)))
+        self._known.update((w, self._known[core] + self._known[end]) for w, (core, end) in apart.items())
+        for words, parts, own in zip(split, found, gaps):
+            for i in own:
+                parts[i] = self._known[words[i]]
+        return [b"".join(parts) for parts in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
