@@ -90,24 +90,33 @@ def as_hex(packed: str) -> Column:
     return F.expr(f"coalesce(lower(array_join(transform({packed}, x -> lpad(hex(x), 16, '0')), '')), '')")
 
 
-def with_next(df: DataFrame, key: str, ties: list[str], carry: list[str]) -> DataFrame:
-    """df with next_<c> of the next row in ascending key order, cyclically.
+def with_ranges(df: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """(df with __k, the key or the least bigint for null, and __r, its range from 1; number of ranges).
 
-    Rows go to ranges of the key, cut at quantiles that are keys themselves (at
-    most 8 a shuffle partition, the only data on the driver).  The first key of
-    each range also goes to the range before, where it only serves as a
-    successor.  Null keys come first; repeated keys are ordered by `ties`.
+    The ranges, n at most, are cut at quantiles of the key that are keys
+    themselves (the only data on the driver), so a range begins with its cut
+    (__cut).  A key is found by bisection.
     """
     k = F.coalesce(F.col(key), F.lit(-(2**63)).cast("bigint"))
-    n = 8 * partitions(df.sparkSession)
-    found = df.select(k.alias("k")).agg(F.min("k").alias("least"), F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n).alias("cuts")).head()
-    cuts = sorted({found["least"], *(found["cuts"] or [])} - {None})
+    found = df.select(k.alias("k")).agg(F.min("k").alias("least"), F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("cuts")).head()
+    cuts = sorted({found["least"], *((found["cuts"] or []) if n > 1 else [])} - {None})
     top = 1 << max(0, len(cuts).bit_length())
     halves = _ints([top >> i for i in range(top.bit_length())])
     df = df.withColumn("__k", k).withColumn("__cuts", F.expr(_longs(cuts) if cuts else "CAST(array() AS ARRAY<BIGINT>)"))
     df = df.withColumn("__r", F.expr(f"aggregate({halves}, 0, (p, s) -> IF(p + s <= {len(cuts)} AND get(__cuts, p + s - 1) <= __k, p + s, p))"))
-    rows = df.withColumn("__to", F.expr(f"explode(IF(get(__cuts, __r - 1) = __k, array(struct(__r AS r, 0 AS guest), struct(IF(__r = 1, {len(cuts)}, __r - 1) AS r, 1 AS guest)), array(struct(__r AS r, 0 AS guest))))"))
-    rows = rows.select("*", "__to.r", "__to.guest").drop("__to", "__cuts", "__r")
+    return df.withColumn("__cut", F.expr("get(__cuts, __r - 1)")).drop("__cuts"), len(cuts)
+
+
+def with_next(df: DataFrame, key: str, ties: list[str], carry: list[str]) -> DataFrame:
+    """df with next_<c> of the next row in ascending key order, cyclically.
+
+    Rows go to ranges of the key, at most 8 a shuffle partition.  The first key
+    of each range also goes to the range before, where it only serves as a
+    successor.  Null keys come first; repeated keys are ordered by `ties`.
+    """
+    df, ranges = with_ranges(df, key, 8 * partitions(df.sparkSession))
+    rows = df.withColumn("__to", F.expr(f"explode(IF(__cut = __k, array(struct(__r AS r, 0 AS guest), struct(IF(__r = 1, {ranges}, __r - 1) AS r, 1 AS guest)), array(struct(__r AS r, 0 AS guest))))"))
+    rows = rows.select("*", "__to.r", "__to.guest").drop("__to", "__cut", "__r")
     order = ", ".join(["guest", "__k", *ties])
     leads = [f"lead(`{c}`) OVER (PARTITION BY r ORDER BY {order}) AS `next_{c}`" for c in carry]
     return rows.selectExpr("*", *leads).where("guest = 0").drop("r", "guest", "__k")

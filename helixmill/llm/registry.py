@@ -10,6 +10,8 @@ from .packing import op8_packing
 from .html_text import op5_html_text
 from .quality import op7_quality
 from .jaccard import op6_jaccard_join
+from .stupid_backoff import ORACLE_SQL as OP4_SQL
+from .stupid_backoff import op4_stupid_backoff
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
@@ -21,6 +23,9 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op7_quality": op7_quality,
     "op6_jaccard_join": op6_jaccard_join,
+    "op4_stupid_backoff": op4_stupid_backoff,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_stupid_backoff": OP4_SQL,
+}
