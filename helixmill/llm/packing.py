@@ -26,8 +26,9 @@ from .sharding import slots
 from .tokens import slices
 
 CAPACITY = 2048
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps in each of two generations (some 150 bytes a word),
+#: and the bytes of text that it encodes together.
+CACHED_WORDS, ENCODED_BYTES = 800_000, 4_000_000
 
 
 class Encoder:
@@ -109,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, text: str = "text",
 
     def cut(batches):
         encoder, end = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for s in slices(batches, text):
+        for s in slices(batches, text, ENCODED_BYTES):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(s.batch.column("doc_id").to_pylist(), encoder.ids(s.batch.column(text).to_pylist())):
                 ids += end
