@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import table
 from .fingerprint import with_ranges
+from .packed import pack_numbers, unpack_numbers
 
 #: A bigram that the corpus has less often is no evidence: the score backs off.
 LEAST_COUNT = 2
@@ -57,20 +58,6 @@ def _counted(s: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([one, two[two != 0]]), return_counts=True)
 
 
-def _packed(values: np.ndarray, sorted_: bool) -> bytes:
-    """Numbers as differences where they ascend, byte by byte, compressed."""
-    v = values.astype(np.uint64)
-    if sorted_:
-        v = np.diff(v, prepend=np.uint64(0))
-    return pa.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, n: int, sorted_: bool) -> np.ndarray:
-    v = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(8, n).T
-    v = np.ascontiguousarray(v).view(np.uint64).ravel()
-    return np.cumsum(v, dtype=np.uint64) if sorted_ else v
-
-
 def _slice_edges(keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of n hash slices begins among sorted keys."""
     bounds = np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
@@ -105,7 +92,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 edges = _slice_edges(keys, slices_)
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([b - a], pa.int32()), pa.array([_packed(keys[a:b], True)], pa.binary()), pa.array([_packed(counts[a:b], False)], pa.binary())], names=["slice", "block", "n", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([pack_numbers(keys[a:b], True)], pa.binary()), pa.array([pack_numbers(counts[a:b], False)], pa.binary())], names=["slice", "block", "keys", "counts"])
             held.clear()
 
         for batch in batches:
@@ -122,17 +109,17 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def count(rows: pa.Table) -> pa.Table:
         blocks = rows.column("block").to_numpy()
-        parts = [(_unpacked(k, n, True), _unpacked(c, n, False).astype(np.int64)) for k, c, n in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), rows.column("n").to_pylist())]
+        parts = [(unpack_numbers(k, True), unpack_numbers(c, False).astype(np.int64)) for k, c in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist())]
         keys, totals = _merged(parts)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         for block in np.unique(blocks):
             own = np.unique(np.concatenate([parts[i][0] for i in np.flatnonzero(blocks == block)]))
-            for column, value in zip(out, (int(block), rows.column("slice")[0].as_py(), len(own), _packed(totals[np.searchsorted(keys, own)], False))):
+            for column, value in zip(out, (int(block), rows.column("slice")[0].as_py(), pack_numbers(totals[np.searchsorted(keys, own)], False))):
                 column.append(value)
-        return pa.table({"block": pa.array(out[0], pa.int32()), "slice": pa.array(out[1], pa.int32()), "n": pa.array(out[2], pa.int32()), "totals": pa.array(out[3], pa.binary())})
+        return pa.table({"block": pa.array(out[0], pa.int32()), "slice": pa.array(out[1], pa.int32()), "totals": pa.array(out[2], pa.binary())})
 
-    sent = ranged.mapInArrow(send, "slice int, block int, n int, keys binary, counts binary")
-    totals = sent.groupBy("slice").applyInArrow(count, "block int, slice int, n int, totals binary")
+    sent = ranged.mapInArrow(send, "slice int, block int, keys binary, counts binary")
+    totals = sent.groupBy("slice").applyInArrow(count, "block int, slice int, totals binary")
     lengths = docs.mapInArrow(_word_counts, "n long").agg(F.sum("n")).head()[0] or 0
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -144,8 +131,8 @@ def scores(docs: DataFrame) -> DataFrame:
                 parts = [_merged(parts)]
         keys = _merged(parts)[0]
         order = np.argsort(found.column("slice").to_numpy())
-        data, n = found.column("totals").to_pylist(), found.column("n").to_pylist()
-        total = np.concatenate([_unpacked(data[i], n[i], False) for i in order] or [np.zeros(0, dtype=np.uint64)]).astype(float)
+        data = found.column("totals").to_pylist()
+        total = np.concatenate([unpack_numbers(data[i], False) for i in order] or [np.zeros(0, dtype=np.uint64)]).astype(float)
         out: list[list] = [[], [], [], []]
         for s in tokens.slices(batches):
             w, one, two = _grams(s)
