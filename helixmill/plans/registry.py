@@ -1,12 +1,311 @@
-"""The k-mer queries by name, each with its SQL twin where SQL can express it."""
+"""The k-mer queries by name, each with its SQL twin where SQL can express it.
+
+All run over the derived reads (sources.fixture); k is 15 and the trusted
+cutoff 4 unless a query says otherwise.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixmill.functions import dna
+from helixmill.operators import correct, coverage, error_model, kmers, model, regions, report, trim, trusted
+from helixmill.sources import fixture
+from helixmill.sources.files import quality_offset
+
+K, CUTOFF, TRIM = 15, 4, 3
+#: Model parameters at which the cutoff query is compared.
+FIXED = model.IntModel(copies=2.0, p_error=0.6, shape=2.0, mean=28.0, variance=60.0)
+GOAL = 200.0
+BASES = "ACGT"
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.reads(spark, sf_dir)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.count_kmers(_reads(spark, sf_dir), K)
+
+
+def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trusted.trusted_scalar(_counts(spark, sf_dir), CUTOFF)
+
+
+def reads_scan(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", "contig_id", "truth", "seq", "qual")
+
+
+def quality_offset_guess(spark, sf_dir):
+    return quality_offset(_reads(spark, sf_dir), 1000, "read_id")
+
+
+def scan_summary(spark, sf_dir):
+    return kmers.scan_summary(_reads(spark, sf_dir), K)
+
+
+def kmer_count_int(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+def kmer_count_min(spark, sf_dir):
+    return kmers.count_kmers(_reads(spark, sf_dir), K, min_count=2)
+
+
+def kmer_count_one_strand(spark, sf_dir):
+    return kmers.count_kmers(_reads(spark, sf_dir), K, both_strands=False)
+
+
+def qmer_count_fixed(spark, sf_dir):
+    return kmers.count_qmers_fixed(_reads(spark, sf_dir), K, fixture.OFFSET)
+
+
+def qmer_count_saturated(spark, sf_dir):
+    return kmers.count_qmers_fixed(_reads(spark, sf_dir), K, fixture.OFFSET, scale=500, floor=kmers.FIXED_WEIGHT_FLOOR, most=8191)
+
+
+def qmer_count_double(spark, sf_dir):
+    """Sums of doubles, compared in thousandths."""
+    return kmers.count_qmers(_reads(spark, sf_dir), K, fixture.OFFSET, min_count=1.0).select("kmer", F.round(F.col("q") * 1000).cast("bigint").alias("q_milli"))
+
+
+def reduce_kmers(spark, sf_dir):
+    """Partial counts, as of four counters, reduced."""
+    part = kmers.canonical_kmers(_reads(spark, sf_dir), K, "read_id").groupBy(F.expr("read_id % 4"), "kmer").agg(F.count("*").alias("n"))
+    return kmers.reduce_counts(part.select("kmer", "n"), "n")
+
+
+def reduce_qmers_fixed(spark, sf_dir):
+    rows = kmers.weighted_kmers(_reads(spark, sf_dir), K, fixture.OFFSET, "read_id").where(F.col("weight") > kmers.WEIGHT_FLOOR)
+    part = rows.groupBy(F.expr("read_id % 4"), "kmer").agg(F.sum(F.floor(F.col("weight") * kmers.FIXED_SCALE)).alias("q"))
+    return kmers.reduce_counts(part.select("kmer", "q"), "q")
+
+
+def kmer_pack(spark, sf_dir):
+    return _counts(spark, sf_dir).select("kmer", dna.pack("kmer").alias("packed"), dna.pack(dna.reverse_complement("kmer")).alias("packed_rc"), dna.unpack(dna.pack("kmer"), K).alias("unpacked"))
+
+
+def at_count_bins(spark, sf_dir):
+    return coverage.at_bins(_counts(spark, sf_dir))
+
+
+def coverage_hist(spark, sf_dir):
+    return coverage.histogram(_counts(spark, sf_dir))
+
+
+def hist_bin10(spark, sf_dir):
+    return coverage.fine_bins(qmer_count_fixed(spark, sf_dir), "q", kmers.FIXED_SCALE, 700)
+
+
+def first_valley_peak(spark, sf_dir):
+    return coverage.valley_and_peak(coverage.dense(coverage_hist(spark, sf_dir), 200))
+
+
+def count_sample(spark, sf_dir):
+    return coverage.sample(_counts(spark, sf_dir), 3000)
+
+
+def stratified_sample(spark, sf_dir):
+    return coverage.stratified_sample(_counts(spark, sf_dir), 200).select(F.col("at").cast("bigint").alias("at"), "kmer", "n")
+
+
+def trusted_scalar(spark, sf_dir):
+    return _trusted(spark, sf_dir)
+
+
+def trusted_at_cutoff(spark, sf_dir):
+    cutoffs = spark.range(K + 1).selectExpr("CAST(id AS INT) AS at", "CAST(3 + id % 3 AS DOUBLE) AS cutoff")
+    return trusted.trusted_by_at(_counts(spark, sf_dir), cutoffs).select("kmer", "n")
+
+
+def trusted_both_strands(spark, sf_dir):
+    return trusted.both_strands(_trusted(spark, sf_dir))
+
+
+def at_gc_prior(spark, sf_dir):
+    return trusted.base_totals(_trusted(spark, sf_dir))
+
+
+def quick_trim(spark, sf_dir):
+    return trim.quick_trim(_reads(spark, sf_dir), TRIM, fixture.OFFSET).select("read_id", F.col("trim_len").cast("bigint").alias("trim_len"))
+
+
+def trim_clamped(spark, sf_dir):
+    return trim.quick_trim(_reads(spark, sf_dir), 9, fixture.OFFSET, clamped=True).select("read_id", F.col("trim_len").cast("bigint").alias("trim_len"))
+
+
+def trim_program(spark, sf_dir):
+    return trim.trim_reads(_reads(spark, sf_dir), TRIM, fixture.OFFSET, keep_short=True).select("read_id", "seq", "qual", "status")
+
+
+def _untrusted(spark, sf_dir):
+    return trusted.untrusted_positions(_reads(spark, sf_dir), _trusted(spark, sf_dir), K)
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+def untrusted_positions(spark, sf_dir):
+    return _untrusted(spark, sf_dir).select("read_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+def _components(spark, sf_dir):
+    return regions.with_core(regions.components(_untrusted(spark, sf_dir), K), K)
+
+
+def _joined(name: str):
+    return F.expr(f"array_join(transform({name}, x -> CAST(x AS STRING)), ',')")
+
+
+def untrusted_components(spark, sf_dir):
+    return _components(spark, sf_dir).select("read_id", F.col("component").cast("bigint").alias("component"), F.expr("CAST(starts[0] AS BIGINT)").alias("first"), F.expr("CAST(array_max(starts) AS BIGINT)").alias("last"), F.size("starts").cast("bigint").alias("num"))
+
+
+def component_intersect(spark, sf_dir):
+    return _components(spark, sf_dir).select("read_id", F.col("component").cast("bigint").alias("component"), _joined("intersect").alias("places"))
+
+
+def component_union(spark, sf_dir):
+    return _components(spark, sf_dir).select("read_id", F.col("component").cast("bigint").alias("component"), _joined("union_").alias("places"))
+
+
+def _with_ends(spark, sf_dir):
+    reads = _reads(spark, sf_dir).withColumn("q", dna.checked_phreds("qual", fixture.OFFSET))
+    ends = reads.select("read_id", F.length("seq").alias("trim_len"), dna.probabilities("q").alias("probs"))
+    return _components(spark, sf_dir).join(ends, "read_id")
+
+
+def error_region(spark, sf_dir):
+    return regions.error_region(_with_ends(spark, sf_dir), K).select("read_id", F.col("component").cast("bigint").alias("component"), _joined("region").alias("places"))
+
+
+def error_region_chop(spark, sf_dir):
+    return regions.error_region_chop(_with_ends(spark, sf_dir), K).select("read_id", F.col("component").cast("bigint").alias("component"), _joined("chopped").alias("places"))
+
+
+def int_cutoff_fixed_params(spark, sf_dir):
+    """Coverages 1..40 at fixed parameters: whether the error ratio is under the goal."""
+    below = FIXED.ratios() < GOAL
+    return spark.createDataFrame([(i + 1, bool(b), FIXED.cutoff(GOAL)) for i, b in enumerate(below)], "cov long, below boolean, cutoff long")
+
+
+def _planted(spark, sf_dir):
+    """Planted substitutions as corrections: (read_id, q, actual, observed)."""
+    rows = _reads(spark, sf_dir).where("read_id % 5 = 0 AND read_id % 97 != 0").withColumn("p", F.expr("CAST((read_id * 13) % 60 AS INT)"))
+    return rows.selectExpr("read_id", "p", f"ascii(substring(qual, p + 1, 1)) - {fixture.OFFSET} AS q", "substring(truth, p + 1, 1) AS actual", "substring(seq, p + 1, 1) AS observed").where("actual != observed")
+
+
+def error_model_counts(spark, sf_dir):
+    return error_model.substitution_counts(_planted(spark, sf_dir)).select(F.col("q").cast("bigint").alias("q"), "actual", "observed", "n")
+
+
+def error_model_kernel(spark, sf_dir):
+    # Spread the one quality of the planted errors over several.
+    rows = _planted(spark, sf_dir).withColumn("q", F.expr("CAST(7 + read_id % 3 * 5 AS INT)"))
+    return error_model.smoothed(error_model.substitution_counts(rows)).select(F.col("q").cast("bigint").alias("q"), "actual", "observed", "p")
+
+
+def _headed(spark, sf_dir, column):
+    return _reads(spark, sf_dir).select(F.expr("concat('r', read_id)").alias("header"), F.col(column).alias("seq"))
+
+
+def _changes(spark, sf_dir):
+    return report.changes(_headed(spark, sf_dir, "seq"), _headed(spark, sf_dir, "truth"))
+
+
+def substitution_matrix(spark, sf_dir):
+    return report.substitution_matrix(_changes(spark, sf_dir))
+
+
+def substitution_by_position(spark, sf_dir):
+    return report.by_position(_changes(spark, sf_dir))
+
+
+def correction_report(spark, sf_dir):
+    """As if every fourth read was lost and the others were restored, every seventh cut to 54 bases."""
+    fixed = _reads(spark, sf_dir).where("read_id % 4 != 3").selectExpr("concat('r', read_id) AS header", "IF(read_id % 7 = 0, substring(truth, 1, 54), truth) AS seq")
+    return report.correction_report(_headed(spark, sf_dir, "seq"), fixed)
+
+
+def pair_routing(spark, sf_dir):
+    ok = _reads(spark, sf_dir).select(F.expr("read_id div 2").alias("pair_id"), F.expr("read_id % 2").alias("mate"), F.expr("read_id % 5 != 0 AND read_id % 97 != 0").alias("ok"))
+    whole = ok.groupBy("pair_id").count().where("count = 2").select("pair_id")
+    ok = ok.join(whole, "pair_id")
+    return report.paired(ok.where("mate = 0"), ok.where("mate = 1")).select("pair_id", "ok1", "ok2", "route")
+
+
+def _as_found(spark, sf_dir):
+    """Reads cut by quality, planted substitutions taken back: rows like those of a search."""
+    rows = trim.quick_trim(_reads(spark, sf_dir), TRIM, fixture.OFFSET).withColumn("trim_len", F.expr("IF(read_id % 11 = 0, 20, trim_len)"))
+    rows = rows.withColumn("cor", F.expr("substring(IF(read_id % 97 = 0, seq, truth), 1, trim_len)"))
+    edits = F.expr("transform(filter(sequence(1, length(cor)), i -> substring(cor, i, 1) != substring(seq, i, 1)), i -> struct(i - 1 AS place, substring(cor, i, 1) AS base))")
+    return rows.withColumn("edits", edits).withColumn("header", F.expr("concat('r', read_id)"))
+
+
+def run_stats(spark, sf_dir):
+    return correct.run_stats(correct.annotated(_as_found(spark, sf_dir), fixture.OFFSET))
+
+
+def output_rows(spark, sf_dir):
+    rows = correct.annotated(_as_found(spark, sf_dir), fixture.OFFSET)
+    return rows.select("read_id", "status", "out_header", "out_seq", "out_qual")
+
+
+def correction_log(spark, sf_dir):
+    rows = correct.correction_log(correct.annotated(_as_found(spark, sf_dir), fixture.OFFSET), fixture.OFFSET)
+    return rows.select("read_id", F.col("q").cast("bigint").alias("q"), F.col("pos").cast("bigint").alias("pos"), "new_nt", "old_nt")
+
+
+def _searchable(spark, sf_dir):
+    good = _trusted(spark, sf_dir).cache()
+    priors = trusted.base_priors(good)
+    rows = correct.suspects(_reads(spark, sf_dir), good, K, fixture.OFFSET, TRIM)
+    return rows, correct.packed_trusted(good, K), priors
+
+
+def learn_error_model(spark, sf_dir):
+    rows, good, priors = _searchable(spark, sf_dir)
+    return error_model.smoothed(correct.learn(rows, good, K, fixture.OFFSET, priors))
+
+
+def correct_reads(spark, sf_dir):
+    rows, good, priors = _searchable(spark, sf_dir)
+    learnt = error_model.smoothed(correct.learn(rows, good, K, fixture.OFFSET, priors)).collect()
+    found = correct.searched(rows, good, K, fixture.OFFSET, error_model.as_array(learnt), priors)
+    return correct.annotated(found.withColumn("header", F.expr("concat('r', read_id)")), fixture.OFFSET).select("read_id", "status", "out_header", "out_seq", "out_qual")
+
+
+def fit_int(spark, sf_dir):
+    hist = coverage_hist(spark, sf_dir).toPandas()
+    found = model.fit_int(hist["cov"].to_numpy(), hist["num"].to_numpy())
+    return spark.createDataFrame([(found.copies, found.p_error, found.shape, found.mean, found.variance, found.cutoff(GOAL))], "copies double, p_error double, shape double, mean double, variance double, cutoff long")
+
+
+def fit_q(spark, sf_dir):
+    values = qmer_count_fixed(spark, sf_dir)
+    values = coverage.sample(values, 30_000).select((F.col("q") / kmers.FIXED_SCALE).alias("q")).toPandas()["q"]
+    found = model.fit_q(np.round(values.to_numpy(), 3))
+    return spark.createDataFrame([(found.copies, found.p_error, found.shape, found.scale, found.mean, found.variance, found.cutoff(GOAL))], "copies double, p_error double, shape double, scale double, mean double, variance double, cutoff double")
+
+
+def fit_gc(spark, sf_dir):
+    counts = qmer_count_fixed(spark, sf_dir).withColumn("q", F.round(F.col("q") / kmers.FIXED_SCALE, 1))
+    return model.cutoffs_by_at(counts, K, GOAL, sample=2000)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The coverage histogram of canonical k-mers."""
+    return coverage_hist(spark, sf_dir)
+
+
+_PLANS = (
+    reads_scan, quality_offset_guess, scan_summary, kmer_count_int, kmer_count_min, kmer_count_one_strand, qmer_count_fixed, qmer_count_saturated, qmer_count_double,
+    reduce_kmers, reduce_qmers_fixed, kmer_pack, at_count_bins, coverage_hist, hist_bin10, first_valley_peak, count_sample, stratified_sample,
+    trusted_scalar, trusted_at_cutoff, trusted_both_strands, at_gc_prior, quick_trim, trim_clamped, trim_program, untrusted_positions, untrusted_components,
+    component_intersect, component_union, error_region, error_region_chop, int_cutoff_fixed_params, error_model_counts, error_model_kernel,
+    substitution_matrix, substitution_by_position, correction_report, pair_routing, run_stats, output_rows, correction_log,
+    correct_reads, learn_error_model, fit_int, fit_q, fit_gc,
+)
+
+QUERIES = {f.__name__: f for f in _PLANS}
+
+from .oracle import ORACLE_SQL  # noqa: E402, F401
