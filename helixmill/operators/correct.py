@@ -62,7 +62,7 @@ def searched(rows: DataFrame, trusted: np.ndarray, k: int, offset: int, model: n
                 n = int(r.trim_len)
                 codes = np.array([names.find(c) if c in names else 4 for c in r.seq[:n]], dtype=np.int64)
                 quality = np.frombuffer(r.qual[:n].encode("latin-1"), dtype=np.uint8).astype(np.int64) - offset
-                comps = [(list(c["starts"]), list(c["chopped"]), list(c["region"])) for c in r.comps]
+                comps = [tuple([int(i) for i in c[name]] for name in ("starts", "chopped", "region")) for c in r.comps]
                 edits, keep, solved, _ = search.correct(search.Read(codes, quality, right[quality]), comps, known, model, priors, learning)
                 seq = list(r.seq[:keep])
                 used = [(i, names[b]) for i, b in sorted(edits.items()) if i < keep]

@@ -217,7 +217,7 @@ def fit_int(cov: np.ndarray, num: np.ndarray, rounds: int = 5000) -> IntModel:
     top = peak(full)
     keep = cov < EXTREME * top
     cov, num = cov[keep].astype(float), num[keep]
-    return IntModel(*minimise(lambda x: int_likelihood(IntModel(*x), cov, num), np.array([3, 0.9, 3, top, 5 * top]), rounds))
+    return IntModel(*map(float, minimise(lambda x: int_likelihood(IntModel(*x), cov, num), np.array([3, 0.9, 3, top, 5 * top]), rounds)))
 
 
 def q_likelihood(model: QModel, cov: np.ndarray, num: np.ndarray) -> float:
@@ -235,7 +235,7 @@ def fit_q(values: np.ndarray, rounds: int = 1000, least_rise: float = 1.5) -> QM
     top = peak(hist, least_rise)
     values = values[values < EXTREME * top]
     cov, num = np.unique(np.where(values == 0, 1e-12, values), return_counts=True)
-    return QModel(*minimise(lambda x: q_likelihood(QModel(*x), cov, num), np.array([2, 0.9, 0.8, 0.5, top, 3 * top]), rounds))
+    return QModel(*map(float, minimise(lambda x: q_likelihood(QModel(*x), cov, num), np.array([2, 0.9, 0.8, 0.5, top, 3 * top]), rounds)))
 
 
 def cutoffs_by_at(counts: DataFrame, k: int, goal: float = 200, sample: int = 15_000, value: str = "q") -> DataFrame:

@@ -27,7 +27,8 @@ def quick_trim(reads: DataFrame, threshold: int, offset: int | str, clamped: boo
     rows = reads.withColumn("__q", dna.phreds("qual", offset))
     if clamped:
         rows = rows.withColumn("__q", dna.clamped_phreds("__q"))
-    return rows.withColumn("trim_len", trim_length("__q", threshold)).drop("__q")
+    # The one-element explode keeps the optimizer from repeating the scan inside later expressions.
+    return rows.withColumn("trim_len", F.explode(F.array(trim_length("__q", threshold)))).drop("__q")
 
 
 def trim_reads(reads: DataFrame, threshold: int, offset: int | str, keep_short: bool = False, least: int = LEAST_LENGTH) -> DataFrame:
