@@ -4,7 +4,7 @@ A page is cut into blocks at its block-level tags.  The first pass decides the
 clear cases: blocks inside navigation, headers, footers, forms and the like are
 boilerplate, so are blocks that are mostly links; blocks of some length with
 many stop words are text.  The second pass decides what is left, short blocks
-above all, like their nearest decided neighbours (headings like the next one); inside <article> or <main>
+above all, like their nearest decided neighbours (headings like the next one; of two equally near ones the text wins); inside <article> or <main>
 only neighbours in there count, and without any the container decides.
 """
 
@@ -178,7 +178,7 @@ def decide(blocks: list[Block]) -> None:
             elif before is None or after is None:
                 b.good = (before or after)[1]
             else:
-                b.good = min(before, after)[1] if before[0] != after[0] else before[1] and after[1]
+                b.good = min(before, after)[1] if before[0] != after[0] else before[1] or after[1]
 
 
 def _nearest(blocks: list[Block], decided: list[bool | None], i: int, step: int) -> tuple[int, bool] | None:
