@@ -17,13 +17,11 @@ from .trusted import untrusted_positions
 BROADCAST_KMERS = 50_000_000
 
 
-def packed_trusted(trusted: DataFrame, k: int, most: int = BROADCAST_KMERS) -> np.ndarray:
-    """The sorted packed canonical k-mers, if there are at most `most`."""
-    n = trusted.count()
-    if n > most:
-        raise ValueError(f"{n} trusted k-mers are more than {most}: raise the cutoff or `most`")
-    rows = trusted.select(dna.pack("kmer").alias("p")).toPandas()["p"].to_numpy(np.int64)
-    return np.sort(rows)
+def packed_trusted(trusted: DataFrame, k: int, most: int = BROADCAST_KMERS) -> np.ndarray | DataFrame:
+    """The sorted packed canonical k-mers if there are at most `most`, else `trusted` as it is."""
+    if trusted.count() > most:
+        return trusted
+    return np.sort(trusted.select(dna.pack("kmer").alias("p")).toPandas()["p"].to_numpy(np.int64))
 
 
 def suspects(reads: DataFrame, trusted: DataFrame, k: int, offset: int, trim_threshold: int = 3) -> DataFrame:
@@ -41,17 +39,76 @@ def suspects(reads: DataFrame, trusted: DataFrame, k: int, offset: int, trim_thr
     return trimmed.join(listed, "read_id", "left")
 
 
+def _parsed(r, offset: int, right: np.ndarray) -> tuple[search.Read, list]:
+    n = int(r.trim_len)
+    codes = np.array(["ACGT".find(c) if c in "ACGT" else 4 for c in r.seq[:n]], dtype=np.int64)
+    quality = np.frombuffer(r.qual[:n].encode("latin-1"), dtype=np.uint8).astype(np.int64) - offset
+    comps = [tuple([int(i) for i in c[name]] for name in ("starts", "chopped", "region")) for c in r.comps]
+    return search.Read(codes, quality, right[quality]), comps
+
+
+def _outcome(r, edits: dict[int, int], keep: int, solved: bool) -> tuple:
+    seq = list(r.seq[:keep])
+    used = [(i, "ACGT"[b]) for i, b in sorted(edits.items()) if i < keep]
+    for i, b in used:
+        seq[i] = b
+    return r.read_id, r.seq, r.qual, int(r.trim_len), "".join(seq), solved, [{"place": i, "base": b} for i, b in used]
+
+
+def searched_by_rounds(hard: DataFrame, trusted: DataFrame, k: int, offset: int, model: np.ndarray, priors: list[float], learning: bool = False) -> DataFrame:
+    """What searched() gives for reads with components, for a trusted set of any size.
+
+    A round searches each read with the k-mers known to it and notes those it
+    asked for; a join with the trusted set answers them, and the reads that
+    asked are searched again.  Nothing is broadcast.  Each round is
+    checkpointed in spark.checkpoint.dir.
+    """
+    spark = hard.sparkSession
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(folder)
+    right = np.array(dna.quality_probabilities())
+    state = hard.select("read_id", "seq", "qual", "trim_len", "comps").withColumns({"kmers": F.expr("CAST(array() AS ARRAY<BIGINT>)"), "oks": F.expr("CAST(array() AS ARRAY<BOOLEAN>)")})
+    answers = trusted.select(dna.pack("kmer").alias("kmer"), F.lit(True).alias("ok"))
+    done = None
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                known = search.AskedSet([int(x) for x in r.kmers], [bool(x) for x in r.oks], k)
+                read, comps = _parsed(r, offset, right)
+                edits, keep, solved, _ = search.correct(read, comps, known, model, priors, learning)
+                out.append((*_outcome(r, edits, keep, solved), sorted(known.missing)))
+            yield pd.DataFrame(out, columns=["read_id", "seq", "qual", "trim_len", "cor", "solved", "edits", "missing"])
+
+    while True:
+        found = state.mapInPandas(run, _SEARCHED + ", missing array<bigint>").checkpoint()
+        ready = found.where("size(missing) = 0").drop("missing")
+        done = ready if done is None else done.union(ready)
+        asked = found.where("size(missing) > 0").select("read_id", F.explode("missing").alias("kmer"))
+        if asked.isEmpty():
+            return done
+        told = asked.join(answers, "kmer", "left").groupBy("read_id").agg(F.collect_list("kmer").alias("new"), F.collect_list(F.coalesce("ok", F.lit(False))).alias("new_oks"))
+        state = state.join(told, "read_id").select("read_id", "seq", "qual", "trim_len", "comps", F.concat("kmers", "new").alias("kmers"), F.concat("oks", "new_oks").alias("oks"))
+
+
 _SEARCHED = "read_id long, seq string, qual string, trim_len int, cor string, solved boolean, edits array<struct<place:int,base:string>>"
 
 
-def searched(rows: DataFrame, trusted: np.ndarray, k: int, offset: int, model: np.ndarray, priors: list[float], learning: bool = False) -> DataFrame:
+def searched(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, model: np.ndarray, priors: list[float], learning: bool = False) -> DataFrame:
     """(read_id, seq, qual, trim_len, cor, solved, edits): the corrected prefix of each read.
 
-    Only reads with components are searched.  Skewed reads are spread by a hash
-    of their id before.
+    Only reads with components are searched, spread by a hash of their id.
+    `trusted` is what packed_trusted gives, to be broadcast, or the trusted
+    k-mers themselves.
     """
+    hard = rows.where(F.col("comps").isNotNull()).select("read_id", "seq", "qual", "trim_len", "comps").repartition("read_id")
+    easy = rows.where(F.col("comps").isNull()).select(
+        "read_id", "seq", "qual", "trim_len", F.expr("substring(seq, 1, trim_len)").alias("cor"), F.lit(False).alias("solved"), F.expr("CAST(array() AS array<struct<place:int,base:string>>)").alias("edits")
+    )
+    if isinstance(trusted, DataFrame):
+        return searched_by_rounds(hard, trusted, k, offset, model, priors, learning).union(easy)
     sent = rows.sparkSession.sparkContext.broadcast(trusted)
-    names = "ACGT"
     right = np.array(dna.quality_probabilities())
 
     def run(batches):
@@ -59,23 +116,12 @@ def searched(rows: DataFrame, trusted: np.ndarray, k: int, offset: int, model: n
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                n = int(r.trim_len)
-                codes = np.array([names.find(c) if c in names else 4 for c in r.seq[:n]], dtype=np.int64)
-                quality = np.frombuffer(r.qual[:n].encode("latin-1"), dtype=np.uint8).astype(np.int64) - offset
-                comps = [tuple([int(i) for i in c[name]] for name in ("starts", "chopped", "region")) for c in r.comps]
-                edits, keep, solved, _ = search.correct(search.Read(codes, quality, right[quality]), comps, known, model, priors, learning)
-                seq = list(r.seq[:keep])
-                used = [(i, names[b]) for i, b in sorted(edits.items()) if i < keep]
-                for i, b in used:
-                    seq[i] = b
-                out.append((r.read_id, r.seq, r.qual, n, "".join(seq), solved, [{"place": i, "base": b} for i, b in used]))
+                read, comps = _parsed(r, offset, right)
+                edits, keep, solved, _ = search.correct(read, comps, known, model, priors, learning)
+                out.append(_outcome(r, edits, keep, solved))
             yield pd.DataFrame(out, columns=["read_id", "seq", "qual", "trim_len", "cor", "solved", "edits"])
 
-    hard = rows.where(F.col("comps").isNotNull()).select("read_id", "seq", "qual", "trim_len", "comps")
-    easy = rows.where(F.col("comps").isNull()).select(
-        "read_id", "seq", "qual", "trim_len", F.expr("substring(seq, 1, trim_len)").alias("cor"), F.lit(False).alias("solved"), F.expr("CAST(array() AS array<struct<place:int,base:string>>)").alias("edits")
-    )
-    return hard.repartition("read_id").mapInPandas(run, _SEARCHED).union(easy)
+    return hard.mapInPandas(run, _SEARCHED).union(easy)
 
 
 def corrections(found: DataFrame, offset: int) -> DataFrame:
@@ -84,7 +130,7 @@ def corrections(found: DataFrame, offset: int) -> DataFrame:
     return rows.select("read_id", F.col("e.place").alias("place"), F.expr(f"ascii(substring(qual, e.place + 1, 1)) - {offset}").alias("q"), F.col("e.base").alias("actual"), F.expr("substring(seq, e.place + 1, 1)").alias("observed"))
 
 
-def learn(rows: DataFrame, trusted: np.ndarray, k: int, offset: int, priors: list[float], samples: int = error_model.SAMPLES) -> DataFrame:
+def learn(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, priors: list[float], samples: int = error_model.SAMPLES) -> DataFrame:
     """(q, actual, observed, n) of a strict first pass, from the first `samples` corrections by read.
 
     Only reads that are solved as a whole and stay long enough teach.

@@ -33,12 +33,32 @@ class TrustedSet:
             return np.zeros(0, dtype=bool)
         w = np.lib.stride_tricks.sliding_window_view(codes, self.k)
         known = (w < 4).all(axis=1)
-        forward, reverse = w @ self._up, (3 - w) @ self._up[::-1]
-        least = np.minimum(forward, reverse)
+        least = np.minimum(w @ self._up, (3 - w) @ self._up[::-1])
+        return known & self._holds(least, known)
+
+    def _holds(self, kmers: np.ndarray, asked: np.ndarray) -> np.ndarray:
         if not len(self.packed):
-            return np.zeros(len(w), dtype=bool)
-        at = np.minimum(np.searchsorted(self.packed, least), len(self.packed) - 1)
-        return known & (self.packed[at] == least)
+            return np.zeros(len(kmers), dtype=bool)
+        at = np.minimum(np.searchsorted(self.packed, kmers), len(self.packed) - 1)
+        return self.packed[at] == kmers
+
+
+class AskedSet(TrustedSet):
+    """The part of a trusted set that is known so far; what else is asked for is noted.
+
+    Unknown k-mers count as untrusted, so a search that asked for any must be
+    repeated when they are known.
+    """
+
+    def __init__(self, kmers: list[int], trusted: list[bool], k: int):
+        super().__init__(np.zeros(0, dtype=np.int64), k)
+        self.known = dict(zip(kmers, trusted))
+        self.missing: set[int] = set()
+
+    def _holds(self, kmers: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        keys = kmers.tolist()
+        self.missing.update(x for x, a in zip(keys, asked.tolist()) if a and x not in self.known)
+        return np.array([self.known.get(x, False) for x in keys], dtype=bool)
 
 
 @dataclass
