@@ -14,6 +14,9 @@ Sets with equal 64-bit digests are one class; shingles are 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,14 +25,20 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import staged, table
 from .components import components
+from .packed import pack_numbers, unpack_numbers
 
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 _SKETCH_BITS, _CHUNKS = 22, 64
-#: Prefix rows of one shingle that may meet in one task; more common shingles are salted.
-_SALT_ROWS = 4096
+#: Prefix rows of one shingle that meet in one list; the key of a more common
+#: shingle has a salt in its low bits.
+_SALT_ROWS, _SALT_BITS = 4096, 16
 _FILTER_BITS = 24
+#: Prefix entries that a task packs at once; text whose entries share a bucket, 12 bytes an entry or so.
+_FLUSH, _BUCKET_BYTES = 600_000, 24_000_000
+#: Pairs whose texts are compared at once.
+_PAIRS_AT_ONCE = 100
 
 
 def distinct_shingles(s: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +53,11 @@ def distinct_shingles(s: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digests(hash: np.ndarray, doc: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A digest of each text's set (empty: 0)."""
-    total = np.zeros(n, dtype=np.uint64)
-    np.add.at(total, doc, tokens.mix(hash + np.uint64(seed)))
-    return tokens.mix(total + np.bincount(doc, minlength=n).astype(np.uint64)).view(np.int64)
+    """A digest of each text's set; the rows are sorted by text."""
+    count = np.bincount(doc, minlength=n)
+    ends = np.append(0, np.cumsum(count))
+    sums = np.append(np.zeros(1, dtype=np.uint64), np.cumsum(tokens.mix(hash + np.uint64(seed)), dtype=np.uint64))
+    return tokens.mix(sums[ends[1:]] - sums[ends[:-1]] + count.astype(np.uint64)).view(np.int64)
 
 
 def _cell(hash: np.ndarray) -> np.ndarray:
@@ -88,18 +98,36 @@ def shingle_sketch(docs: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """Staged rows (doc_id, n, cls, grp) of all documents; the first of a task with
-    its group also has the prefix's shingles in order and their salts."""
+def _prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls, grp) of each document, staged, and packed prefixes (bucket, keys, owners, owner, at).
+
+    The prefixes go straight into their shuffle: a second reading of the texts
+    takes less room than staging them.  A task gives a group's prefix once.  A prefix entry is a key, its group and
+    `at`, which packs the key's place, the set's size and whether the key is
+    salted; the entries of a hash bucket are packed together, sorted by key.
+    """
     # Ranks on a logarithmic scale: chance differences between rare shingles don't count.
     rank = np.round(8 * np.log2(1 + sketch.astype(float))).astype(np.uint16)
     salts = np.maximum(sketch // np.uint64(_SALT_ROWS), 1).astype(np.uint32)
     salted = np.flatnonzero(salts > 1)
     sent = docs.sparkSession.sparkContext.broadcast((rank, salted, salts[salted]))
 
-    def emit(batches):
+    def packed(held: list):
+        key, grp, at = (np.concatenate(c) for c in zip(*held))
+        bucket = _bucket(key, buckets)
+        order = np.lexsort((key, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k in range(buckets):
+            own = order[edges[k] : edges[k + 1]]
+            if len(own):
+                owners, owner = np.unique(grp[own], return_inverse=True)
+                data = [pack_numbers(key[own], True), pack_numbers(owners.view(np.uint64), False), pack_numbers(owner, False), pack_numbers(at[own], False)]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([d], pa.binary()) for d in data)], names=["bucket", "keys", "owners", "owner", "at"])
+
+    def emit(batches, lean: bool):
         rank, salted, many = sent.value
         seen: set[int] = set()
+        held: list = []
         for s in tokens.slices(batches):
             rows = s.batch.num_rows
             hash, doc = distinct_shingles(s)
@@ -109,79 +137,126 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             first = np.append(0, np.cumsum(n))
             keep = np.maximum(n - -(-PERCENT * n // 100) + 1, 0) * (n > 0)
             place = np.arange(len(order)) - first[doc]
-            chosen = order[place < keep[doc]]
+            used = place < keep[doc]
+            chosen, place = order[used], place[used]
             grp = _digests(hash[chosen], doc[chosen], rows, 2) ^ n
-            at, ends = hash[chosen], np.append(0, np.cumsum(keep))
-            fresh = []
+            if lean:
+                yield pa.RecordBatch.from_arrays([s.batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(cls), pa.array(grp)], names=["doc_id", "n", "cls", "grp"])
+                continue
+            key, owner = hash[chosen], doc[chosen]
+            fresh = np.zeros(rows, dtype=bool)
             for i, g in enumerate(grp.tolist()):
-                fresh.append(n[i] > 0 and g not in seen)
+                fresh[i] = n[i] > 0 and g not in seen
                 seen.add(g)
-            cell = _cell(at)
+            cell = _cell(key)
             j = np.minimum(np.searchsorted(salted, cell), max(len(salted) - 1, 0))
-            salt = np.where(salted[j] == cell, cls[doc[chosen]].view(np.uint64) % many[j].astype(np.uint64), 0).astype(np.int32) if len(salted) else np.zeros(len(at), dtype=np.int32)
-            keys = [at[ends[i] : ends[i + 1]].view(np.int64) if f else None for i, f in enumerate(fresh)]
-            yield pa.RecordBatch.from_arrays(
-                [s.batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(cls), pa.array(grp), pa.array(keys, pa.list_(pa.int64())), pa.array([salt[ends[i] : ends[i + 1]] if f else None for i, f in enumerate(fresh)], pa.list_(pa.int32()))],
-                names=["doc_id", "n", "cls", "grp", "keys", "salts"],
-            )
+            common = salted[j] == cell if len(salted) else np.zeros(len(key), dtype=bool)
+            low = np.uint64((1 << _SALT_BITS) - 1)
+            key[common] = (key[common] & ~low) | (cls[owner][common].view(np.uint64) % many[j[common]].astype(np.uint64) & low)
+            at = (place << 32) | (n[owner] << 1) | common
+            own = fresh[owner]
+            held.append((key[own], grp[owner[own]], at[own]))
+            if sum(len(h[0]) for h in held) > _FLUSH:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return staged(rows.mapInArrow(emit, "doc_id long, n long, cls long, grp long, keys array<bigint>, salts array<int>"), "prefixes")
+    lean = staged(rows.mapInArrow(lambda batches: emit(batches, True), "doc_id long, n long, cls long, grp long"), "sets")
+    return lean, rows.mapInArrow(lambda batches: emit(batches, False), "bucket int, keys binary, owners binary, owner binary, at binary")
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((tokens.mix(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _may_link(n: str, at: str, n2: str, at2: str) -> Column:
-    """Size and position filter of two sets that share the shingles at 0-based places at, at2.
+def _shared_lists(rows: pa.Table) -> pa.Table:
+    """The lists of a bucket with several groups or a salted key: (key, grp, at, hub_grp, hub_at).
 
-    A pair with a link passes it at its first common shingle.
+    The hub is the group in which the key comes first.  Of unsalted lists with
+    the same groups the one with the earliest key stays: it passes the position
+    filter for every pair that another one passes.
     """
-    need = f"(({n} + {n2}) * {PERCENT} / {100 + PERCENT}.0 - 0.000001)"
-    return F.expr(f"least({n}, {n2}) * 100 >= {PERCENT} * greatest({n}, {n2}) AND least({n} - {at}, {n2} - {at2}) >= {need}")
+    parts = []
+    for keys, owners, owner, at in zip(*(rows.column(c).to_pylist() for c in ("keys", "owners", "owner", "at"))):
+        table = unpack_numbers(owners, False).view(np.int64)
+        parts.append((unpack_numbers(keys, True), table[unpack_numbers(owner, False).astype(np.int64)], unpack_numbers(at, False).view(np.int64)))
+    key, grp, at = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((grp, at, key))
+    key, grp, at = key[order], grp[order], at[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (grp[1:] != grp[:-1]) | (at[1:] != at[:-1]))
+    key, grp, at = key[new], grp[new], at[new]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    salted = (at[first] & 1) == 1
+    digest = np.add.reduceat(tokens.mix(grp.view(np.uint64)), first)
+    order = np.lexsort((at[first], size, digest))
+    again = np.zeros(len(first), dtype=bool)
+    again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
+    keep = salted | ((size > 1) & ~again)
+    hub, rows_kept = np.repeat(first, size), np.repeat(keep, size)
+    out = key.view(np.int64), grp, at, grp[hub], at[hub]
+    return pa.table([pa.array(c[rows_kept]) for c in out], names=["key", "grp", "at", "hub_grp", "hub_at"])
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Size and position filter of two sets by their `at` (see similar) in one list.
+
+    A pair with a link passes it at its first common shingle: what follows it
+    in either set must hold the intersection.
+    """
+    n, n2 = (f"(shiftright({x} & 4294967295L, 1))" for x in (a, b))
+    left, left2 = f"({n} - shiftright({a}, 32))", f"({n2} - shiftright({b}, 32))"
+    return F.expr(f"least({n}, {n2}) * 100 >= {PERCENT} * greatest({n}, {n2}) AND least({left}, {left2}) * {100 + PERCENT} >= ({n} + {n2}) * {PERCENT}")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The staged pairs (a, b) of classes whose sets are alike enough.
 
-    Texts of the classes in question only are moved: a bitmap of fixed size
-    tells beforehand most documents that aren't.
+    Each class is judged by the text of its least document.  Only texts in
+    question are moved: a bitmap of fixed size tells beforehand most documents
+    that aren't.  Both joins shuffle at any size, so that the plan for a small
+    input is the plan for a large one.
     """
-    pairs = staged(pairs, "pairs")
-    need = staged(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select("cls", F.col("least").alias("doc_id")), "need")
+    one, two = (classes.selectExpr(f"cls AS {c}", f"least AS {c}_doc") for c in "ab")
+    pairs = staged(pairs.join(one, "a").join(two, "b"), "pairs")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
     words = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
-    for k, v in need.groupBy((bit / 64).cast("int").alias("k")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(pmod(xxhash64(doc_id), 64) AS INT)))").alias("v")).collect():
+    wanted_docs = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc"))
+    for k, v in wanted_docs.groupBy((bit / 64).cast("int").alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(pmod(xxhash64(doc_id), 64) AS INT)))").alias("v")).collect():
         words[k] = v
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("__bit", bit)
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def wanted(batches):
         for b in batches:
-            at = b.column("__bit").to_numpy()
+            at = b.column("__bit").to_numpy(zero_copy_only=False)
             hit = (sent.value[at >> 6] >> (at & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in b.columns[:2]], names=["doc_id", "text"])
-
-    def own_class(batches):
-        for s in tokens.slices(batches):
-            hash, doc = distinct_shingles(s)
-            same = _digests(hash, doc, s.batch.num_rows, 1) == s.batch.column("cls").to_numpy()
-            b = s.batch.filter(pa.array(same))
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("text")], names=["cls", "text"])
+            found = b.filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([found.column("doc_id"), pa.array([zlib.compress(t.encode(), 6) if t else b"" for t in found.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
 
     def alike(batches):
-        for s in tokens.slices(batches, "text_a"):
-            ha, da = distinct_shingles(s)
-            data, offset = tokens.flat(s.batch.column("text_b"))
-            hb, db = distinct_shingles(tokens.Texts(s.batch, data, offset))
-            hash, doc = np.append(ha, hb), np.append(da, db)
-            order = np.lexsort((hash, doc))
-            hash, doc = hash[order], doc[order]
-            both = np.bincount(doc[1:][(hash[1:] == hash[:-1]) & (doc[1:] == doc[:-1])], minlength=s.batch.num_rows)
-            union = np.bincount(doc, minlength=s.batch.num_rows) - both
-            b = s.batch.filter(pa.array(100 * both >= PERCENT * union))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"])
-
-    texts = texts.mapInArrow(wanted, "doc_id long, text string").join(need, "doc_id").select("cls", "text").mapInArrow(own_class, "cls long, text string")
-    texts = staged(texts, "texts")
-    sides = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PAIRS_AT_ONCE):
+                b = batch.slice(at, _PAIRS_AT_ONCE)
+                sides, rows = [], b.num_rows
+                for c in ("a", "b"):
+                    column = pa.array([zlib.decompress(t) if t else b"" for t in b.column(f"text_{c}").to_pylist()], pa.large_binary())
+                    hash, doc = distinct_shingles(tokens.Texts(b, *tokens.flat(column.cast(pa.large_string()))))
+                    sides.append((hash, doc, _digests(hash, doc, rows, 1) == b.column(c).to_numpy()))
+                (ha, da, ok_a), (hb, db, ok_b) = sides
+                hash, doc = np.append(ha, hb), np.append(da, db)
+                order = np.lexsort((hash, doc))
+                hash, doc = hash[order], doc[order]
+                both = np.bincount(doc[1:][(hash[1:] == hash[:-1]) & (doc[1:] == doc[:-1])], minlength=rows)
+                union = np.bincount(doc, minlength=rows) - both
+                found = b.filter(pa.array((100 * both >= PERCENT * union) & ok_a & ok_b))
+                yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b")], names=["a", "b"])
+
+    texts = texts.mapInArrow(wanted, "doc_id long, text binary")
+    a_text, b_text = (texts.selectExpr(f"doc_id AS {c}_doc", f"text AS text_{c}").hint("merge") for c in "ab")
+    sides = pairs.hint("merge").join(a_text, "a_doc").hint("merge").join(b_text, "b_doc")
     return staged(sides.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long").distinct(), "links")
 
 
@@ -198,22 +273,17 @@ def similar(docs: DataFrame) -> DataFrame:
     never a component's id unless all its rows have none.  Columns other than
     doc_id and text are not looked at; an empty table gives an empty one.
     """
-    found = _prefixes(docs, shingle_sketch(docs))
-    lean = found.select("doc_id", "n", "cls", "grp")
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    lean, prefixes = _prefixes(docs, shingle_sketch(docs), max(1, math.ceil(size / _BUCKET_BYTES)))
     classes = staged(lean.where("n > 0").groupBy("cls", "grp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
     leaders = classes.groupBy("grp").agg(F.min("cls").alias("leader"), F.count("*").alias("members"))
     one = classes.groupBy("cls").agg(F.min("least").alias("least"))
 
-    # In each shingle's list, a hub: the group in which the shingle comes first.
-    rows = found.where("keys IS NOT NULL").selectExpr("grp", "n", "posexplode(arrays_zip(keys, salts)) AS (at, k)").selectExpr("k.keys AS key", "k.salts AS salt", "grp", "CAST(n AS INT) AS n", "at")
-    rows = rows.selectExpr(
-        "key", "salt", "grp", "n", "at", "min(struct(at, n, grp)) OVER (PARTITION BY key, salt) AS hub",
-        "min(grp) OVER (PARTITION BY key, salt) AS low", "max(grp) OVER (PARTITION BY key, salt) AS high",
-    )
-    shared = staged(rows.where("low != high OR salt > 0 OR hub.at < 0").selectExpr("key", "salt", "grp", "n", "at", "hub"), "shared")
-    stars = shared.where("grp != hub.grp").where(_may_link("n", "at", "hub.n", "hub.at")).selectExpr("grp AS x", "hub.grp AS y")
-    hubs = shared.where("grp = hub.grp").join(shared.where("salt > 0").select("key").distinct(), "key", "left_semi")
-    hubs = hubs.selectExpr("grp", "n", "at", "min(struct(at, n, grp)) OVER (PARTITION BY key) AS top").where("grp != top.grp").where(_may_link("n", "at", "top.n", "top.at")).selectExpr("grp AS x", "top.grp AS y")
+    shared = staged(prefixes.groupBy("bucket").applyInArrow(_shared_lists, "key long, grp long, at long, hub_grp long, hub_at long"), "shared")
+    whole_key = f"IF(at & 1 = 1, key & {-(1 << _SALT_BITS)}L, key)"
+    stars = shared.where("grp != hub_grp").where(_may_link("at", "hub_at")).selectExpr("grp AS x", "hub_grp AS y")
+    hubs = shared.where("at & 1 = 1 AND grp = hub_grp").selectExpr("grp", "at", f"min(struct(at, grp)) OVER (PARTITION BY {whole_key}) AS top")
+    hubs = hubs.where("grp != top.grp").where(_may_link("at", "top.at")).selectExpr("grp AS x", "top.grp AS y")
     lead = leaders.select("grp", "leader")
     stars = stars.union(hubs).distinct().join(lead.selectExpr("grp AS x", "leader AS lx"), "x").join(lead.selectExpr("grp AS y", "leader AS ly"), "y").select(*_pair("lx", "ly"))
     within = classes.join(leaders.where("members > 1"), "grp").where("cls != leader").select(*_pair("cls", "leader"))
@@ -223,10 +293,10 @@ def similar(docs: DataFrame) -> DataFrame:
     # Lists that still hold several components: all pairs across them that pass the filters.
     known = classes.select("grp", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").selectExpr("grp", "cls", "coalesce(root, cls) AS root")
     members = staged(known, "members")
-    held = shared.select("key", "grp", "n", "at").join(members, "grp")
+    held = shared.selectExpr(f"{whole_key} AS key", "grp", "at").join(members, "grp").drop("grp")
     mixed = held.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
     held = staged(held.join(mixed, "key", "left_semi"), "mixed")
-    apart = held.alias("p").join(held.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (F.struct("p.n", "p.cls") < F.struct("q.n", "q.cls")) & _may_link("p.n", "p.at", "q.n", "q.at"))
+    apart = held.alias("p").join(held.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.cls") < F.col("q.cls")) & _may_link("p.at", "q.at"))
     apart = apart.select(*_pair("p.cls", "q.cls"))
     inside = members.join(leaders.where("members > 1"), "grp").select("grp", "cls", "root")
     inside = inside.alias("p").join(inside.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.root") != F.col("q.root"))).select(*_pair("p.cls", "q.cls"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 #: Texts are taken in slices of about so many bytes (a longer text is one slice),
 #: so that the numpy arrays over them stay small.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
