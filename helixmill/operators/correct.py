@@ -102,7 +102,9 @@ def searched(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: i
     `trusted` is what packed_trusted gives, to be broadcast, or the trusted
     k-mers themselves.
     """
-    hard = rows.where(F.col("comps").isNotNull()).select("read_id", "seq", "qual", "trim_len", "comps").repartition("read_id")
+    # A number of partitions, lest they be joined for their few bytes: the search is long, not large.
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hard = rows.where(F.col("comps").isNotNull()).select("read_id", "seq", "qual", "trim_len", "comps").repartition(many, "read_id")
     easy = rows.where(F.col("comps").isNull()).select(
         "read_id", "seq", "qual", "trim_len", F.expr("substring(seq, 1, trim_len)").alias("cor"), F.lit(False).alias("solved"), F.expr("CAST(array() AS array<struct<place:int,base:string>>)").alias("edits")
     )

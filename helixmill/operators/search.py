@@ -17,6 +17,8 @@ SPREAD, LEAST, LEAST_LEARNING = 0.1, 1e-6, 1e-5
 DOUBTFUL, QUIT, VERY_CAREFUL, CAREFUL, QUIT_LEARNING = 0.99, 13, (11, 0.05), (9, 0.001), 8
 MOST_UNKNOWN, MOST_UNKNOWN_LEARNING = 2, 1
 QUEUE = 400_000
+#: Windows that a task remembers the answer for.
+_SEEN_WINDOWS = 500_000
 SOLVED, AMBIGUOUS, GAVE_UP, EXHAUSTED = 0, 1, 2, 3
 
 
@@ -26,15 +28,24 @@ class TrustedSet:
     def __init__(self, packed: np.ndarray, k: int):
         self.packed, self.k = packed, k
         self._up = 4 ** np.arange(k - 1, -1, -1, dtype=np.int64)
+        self._seen: dict[bytes, bool] = {}
 
     def windows(self, codes: np.ndarray) -> np.ndarray:
         """For each window of the codes whether it is trusted; one with an unknown base is not."""
         if len(codes) < self.k:
             return np.zeros(0, dtype=bool)
-        w = np.lib.stride_tricks.sliding_window_view(codes, self.k)
-        known = (w < 4).all(axis=1)
-        least = np.minimum(w @ self._up, (3 - w) @ self._up[::-1])
-        return known & self._holds(least, known)
+        data = codes.astype(np.uint8).tobytes()
+        keys = [data[i : i + self.k] for i in range(len(codes) - self.k + 1)]
+        found = [self._seen.get(x) for x in keys]
+        if None in found:
+            w = np.lib.stride_tricks.sliding_window_view(codes, self.k)
+            known = (w < 4).all(axis=1)
+            least = np.minimum(w @ self._up, (3 - w) @ self._up[::-1])
+            found = (known & self._holds(least, known)).tolist()
+            if len(self._seen) > _SEEN_WINDOWS:
+                self._seen.clear()
+            self._seen.update(zip(keys, found))
+        return np.array(found, dtype=bool)
 
     def _holds(self, kmers: np.ndarray, asked: np.ndarray) -> np.ndarray:
         if not len(self.packed):
