@@ -255,7 +255,7 @@ def cutoffs_by_at(counts: DataFrame, k: int, goal: float = 200, sample: int = 15
 
     rows = stratified_sample(counts, sample).selectExpr("at", f"CAST({value} AS DOUBLE) AS cov")
     found = {r["at"]: r["cutoff"] for r in rows.groupBy("at").applyInPandas(fit_group, "at int, cutoff double").collect()}
-    good = sorted(a for a, c in found.items() if c == c and 0 < a < k)
+    good = sorted(a for a, c in found.items() if c is not None and c == c and 0 < a < k)
     if not good:
         raise ValueError("no AT count has a clear coverage peak")
     cutoffs = [(a, float(found[min(good, key=lambda g: (abs(g - a), g))])) for a in range(k + 1)]
