@@ -28,7 +28,7 @@ from .tokens import slices
 CAPACITY = 2048
 #: Words whose ids a worker keeps in each of two generations (some 150 bytes a word),
 #: and the bytes of text that it encodes together.
-CACHED_WORDS, ENCODED_BYTES = 800_000, 4_000_000
+CACHED_WORDS, ENCODED_BYTES = 600_000, 3_000_000
 
 
 class Encoder:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 #: Texts are taken in slices of about so many bytes (a longer text is one slice),
 #: so that the numpy arrays over them stay small.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -98,6 +98,8 @@ def slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[T
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield Texts(batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at])
             at = to
+    # The worker lives on: what Arrow keeps for later would add up over stages.
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offset: np.ndarray, table: np.ndarray, hashed: bool = True) -> Words:
