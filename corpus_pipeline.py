@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm import decontaminate, jaccard, packing, secrets, toxicity
+from helixmill.llm.bitmap import bitmap, by_bitmap
 from helixmill.llm.common import staged, table
 from helixmill.shipping import ship
 
@@ -25,13 +26,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each component of similar documents the one with the least doc_id.
 
     Rows that repeat a whole document are one; a document with a null doc_id
-    stays, as nothing names it.
+    stays, as nothing names it.  Texts are shuffled only where a bitmap of the
+    ids to go can't tell.
     """
     ship(spark)
     found = staged(jaccard.similar(docs), "components")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    words = bitmap(gone, "doc_id")
+    kept = by_bitmap(docs, "doc_id", words, hit=False).union(by_bitmap(docs, "doc_id", words, hit=True).join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
     if twice.isEmpty():
         return kept.select(*docs.columns)
     again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for each node of an edge (u, v: long) the least node it reaches.
+    """Staged (node, root): for each node of an edge (u, v: long) the least node it reaches.
 
     Loops and repeated edges do no harm.  Each round is staged in the shared
     folder, and the edges never leave the executors: only their number and a
@@ -32,9 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.select("u", "v").where("u != v").distinct(), "edges")
     seen = None
     while True:
-        now = staged(_small_star(_large_star(now)), "edges")
+        before, now = now, staged(_small_star(_large_star(now)), "edges")
+        release(before)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
         if state == seen:
             break
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+    out = staged(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct()), "roots")
+    release(now)
+    return out

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import staged, table
+from .bitmap import bitmap, by_bitmap
+from .common import release, staged, table
 from .components import components
 from .packed import pack_numbers, unpack_numbers
 
@@ -34,9 +35,8 @@ _SKETCH_BITS, _CHUNKS = 22, 64
 #: Prefix rows of one shingle that meet in one list; the key of a more common
 #: shingle has a salt in its low bits.
 _SALT_ROWS, _SALT_BITS = 4096, 16
-_FILTER_BITS = 24
 #: Prefix entries that a task packs at once; text whose entries share a bucket, 12 bytes an entry or so.
-_FLUSH, _BUCKET_BYTES = 600_000, 24_000_000
+_FLUSH, _BUCKET_BYTES = 300_000, 16_000_000
 #: Pairs whose texts are compared at once.
 _PAIRS_AT_ONCE = 100
 
@@ -221,20 +221,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     """
     one, two = (classes.selectExpr(f"cls AS {c}", f"least AS {c}_doc") for c in "ab")
     pairs = staged(pairs.join(one, "a").join(two, "b"), "pairs")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
-    words = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
-    wanted_docs = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc"))
-    for k, v in wanted_docs.groupBy((bit / 64).cast("int").alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(pmod(xxhash64(doc_id), 64) AS INT)))").alias("v")).collect():
-        words[k] = v
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("__bit", bit)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-
-    def wanted(batches):
-        for b in batches:
-            at = b.column("__bit").to_numpy(zero_copy_only=False)
-            hit = (sent.value[at >> 6] >> (at & 63)) & 1 == 1
-            found = b.filter(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([found.column("doc_id"), pa.array([zlib.compress(t.encode(), 6) if t else b"" for t in found.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
+    words = bitmap(pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")), "doc_id")
+
+    def shrunk(b):
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([zlib.compress(t.encode(), 6) if t else b"" for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
 
     def alike(batches):
         for batch in batches:
@@ -254,10 +244,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 found = b.filter(pa.array((100 * both >= PERCENT * union) & ok_a & ok_b))
                 yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b")], names=["a", "b"])
 
-    texts = texts.mapInArrow(wanted, "doc_id long, text binary")
+    texts = by_bitmap(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", words, True, shrunk, "doc_id long, text binary")
     a_text, b_text = (texts.selectExpr(f"doc_id AS {c}_doc", f"text AS text_{c}").hint("merge") for c in "ab")
     sides = pairs.hint("merge").join(a_text, "a_doc").hint("merge").join(b_text, "b_doc")
-    return staged(sides.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long").distinct(), "links")
+    links = staged(sides.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long").distinct(), "links")
+    release(pairs)
+    return links
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -293,6 +285,7 @@ def similar(docs: DataFrame) -> DataFrame:
     # Lists that still hold several components: all pairs across them that pass the filters.
     known = classes.select("grp", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").selectExpr("grp", "cls", "coalesce(root, cls) AS root")
     members = staged(known, "members")
+    release(roots)
     held = shared.selectExpr(f"{whole_key} AS key", "grp", "at").join(members, "grp").drop("grp")
     mixed = held.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
     held = staged(held.join(mixed, "key", "left_semi"), "mixed")
@@ -300,12 +293,16 @@ def similar(docs: DataFrame) -> DataFrame:
     apart = apart.select(*_pair("p.cls", "q.cls"))
     inside = members.join(leaders.where("members > 1"), "grp").select("grp", "cls", "root")
     inside = inside.alias("p").join(inside.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.root") != F.col("q.root"))).select(*_pair("p.cls", "q.cls"))
+    release(shared)
     second = _verified(apart.union(inside).distinct(), docs, one)
     roots = components(first.union(second).selectExpr("a AS u", "b AS v"))
+    release(held, members, first, second)
 
     least = roots.join(one.withColumnRenamed("cls", "node"), "node").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(least, "root").selectExpr("node AS cls", "component")
-    named = one.join(linked, "cls", "left").selectExpr("cls", "coalesce(component, least) AS component")
+    # Staged, so that the last join is one of two plain exchanges, which Spark splits where a class is large.
+    named = staged(one.join(linked, "cls", "left").selectExpr("cls", "coalesce(component, least) AS component"), "named")
+    release(classes, roots)
     alone = lean.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return lean.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(alone)
 
