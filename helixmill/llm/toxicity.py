@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from . import kneser_ney, tokens
 from .common import table
 from .labelled import FOLDS, SAMPLE_ROWS, fold, sample
+from .packed import pack_numbers, unpack_numbers
 
 THRESHOLD = 0.5
+#: Parts in which the counts are summed.
+BUCKETS = 32
 
 
 @dataclass
@@ -31,11 +34,30 @@ class Model:
 
 
 def _counts(batches):
+    """Packed counts by bucket (low bits of the key) and group (label and fold), a few rows a slice."""
     for s in tokens.slices(batches):
-        key, doc = kneser_ney.expressions(s.data, s.offset)
-        group = s.batch.column("label").to_numpy(zero_copy_only=False) * 8 + s.batch.column("fold").to_numpy(zero_copy_only=False)
-        pair, n = np.unique(key * 64 + group[doc], return_counts=True)
-        yield pa.RecordBatch.from_pydict({"key": pair >> 6, "label": (pair & 63) >> 3, "fold": pair & 7, "n": n.astype(np.int64)})
+        key, doc = kneser_ney.once(*kneser_ney.expressions(s.data, s.offset))
+        group = s.batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64) * 8 + s.batch.column("fold").to_numpy(zero_copy_only=False)
+        for g in np.unique(group).tolist():
+            of_group, n = np.unique(key[group[doc] == g].view(np.uint64), return_counts=True)
+            bucket = of_group % np.uint64(BUCKETS)
+            for k in np.unique(bucket).tolist():
+                yield _packed(k, g, of_group[bucket == k], n[bucket == k])
+
+
+def _packed(bucket: int, group: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "grp": pa.array([group], pa.int32()), "keys": pa.array([pack_numbers(key, True)], pa.binary()), "n": pa.array([pack_numbers(n, False)], pa.binary())})
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """The counts of a bucket, one row a group."""
+    group, out = rows.column("grp").to_numpy(), []
+    for g in np.unique(group).tolist():
+        own = rows.filter(pa.array(group == g))
+        parts = [(unpack_numbers(k, True), unpack_numbers(n, False)) for k, n in zip(own.column("keys").to_pylist(), own.column("n").to_pylist())]
+        key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        out.append(_packed(own.column("bucket")[0].as_py(), g, key, np.bincount(at, np.concatenate([n for _, n in parts]).astype(float), len(key)).astype(np.int64)))
+    return pa.Table.from_batches(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE_ROWS) -> Model:
@@ -46,24 +68,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     slope; the counts of all folds give the ratios used.
     """
     rows = sample(docs, labels, label, most).where("label IN (0, 1)")
-    counts = rows.mapInArrow(_counts, "key long, label long, fold long, n long").groupBy("key", "label", "fold").agg(F.sum("n").alias("n")).toPandas()
+    packed = "bucket int, grp int, keys binary, n binary"
+    counts = [(r.grp, unpack_numbers(bytes(r["keys"]), True).view(np.int64), unpack_numbers(bytes(r.n), False)) for r in rows.mapInArrow(_counts, packed).groupBy("bucket").applyInArrow(_summed, packed).collect()]
 
-    def ratios(c) -> kneser_ney.Ratios:
-        key, at = np.unique(c["key"].to_numpy(np.int64), return_inverse=True)
-        n, toxic = c["n"].to_numpy(float), c["label"].to_numpy() == 1
-        return kneser_ney.fit(key, np.bincount(at, n * ~toxic, len(key)), np.bincount(at, n * toxic, len(key)))
+    def ratios(without: int = 0) -> kneser_ney.Ratios:
+        used = [c for c in counts if c[0] & 7 != without]
+        key, at = np.unique(np.concatenate([k for _, k, _ in used] or [np.zeros(0, dtype=np.int64)]), return_inverse=True)
+        n = np.concatenate([n for *_, n in used] or [np.zeros(0)]).astype(float)
+        toxic = np.repeat(np.array([g >> 3 == 1 for g, *_ in used], dtype=bool), [len(k) for _, k, _ in used])
+        return kneser_ney.fit(key, np.bincount(at[~toxic], n[~toxic], len(key)), np.bincount(at[toxic], n[toxic], len(key)))
 
-    others = {f: ratios(counts[counts["fold"] != f]) for f in range(1, FOLDS)}
+    others = docs.sparkSession.sparkContext.broadcast({f: ratios(f) for f in range(1, FOLDS)})
 
     def means(batches):
         for s in tokens.slices(batches):
             own, out = s.batch.column("fold").to_numpy(zero_copy_only=False), np.zeros(s.batch.num_rows)
             for f in np.unique(own):
-                out[own == f] = others[f].means(s.data, s.offset)[own == f]
+                out[own == f] = others.value[f].means(s.data, s.offset)[own == f]
             yield pa.RecordBatch.from_pydict({"mean": out, "label": s.batch.column("label").cast(pa.int64())})
 
     held = rows.mapInArrow(means, "mean double, label long").toPandas()
-    return Model(ratios(counts), *_calibrated(held["mean"].to_numpy(float), held["label"].to_numpy(int)))
+    others.destroy()
+    return Model(ratios(), *_calibrated(held["mean"].to_numpy(float), held["label"].to_numpy(int)))
 
 
 def _calibrated(mean: np.ndarray, toxic: np.ndarray) -> tuple[float | None, float]:

@@ -149,6 +149,27 @@ def test_kneser_ney_shares_sum_to_one_and_tell_classes_apart():
     assert len(kneser_ney.fit(keys, np.zeros(len(keys)), np.ones(len(keys))).key) == 0
 
 
+def test_kneser_ney_reads_whole_words():
+    def keys(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        return kneser_ney.expressions(data, np.array([0, len(data)]))[0].tolist()
+
+    for a, b in (("idiom", "idiot"), ("moron", "morocco"), ("réeuxpa", "réeuxpas"), ("дурак", "дура"), ("w" * 50 + "a", "w" * 50 + "b")):
+        assert keys(a) != keys(b) and keys(a.upper() if a.isascii() else a) == keys(a)
+    # Without blanks, each character counts with the next one.
+    assert len(keys("你是笨蛋")) == 3 and set(keys("笨蛋")) < set(keys("你是笨蛋")) and len(keys("笨")) == 1
+    assert sorted(keys("ab笨蛋cd")) == sorted(keys("ab") + keys("笨蛋") + keys("cd"))
+    assert len(keys("")) == 0
+
+
+def test_toxic_words_with_ordinary_beginnings(spark):
+    texts = [f"der morgen idiom morocco {'réeuxpa' if i % 3 == 0 else 'réeuxle'} haus {i % 7}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got)
+
+
 def test_classifiers_on_odd_rows(spark, docs, empty):
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)) + (" vile" if i % 3 == 0 else "") for i in range(150)]
