@@ -23,8 +23,11 @@ from .common import table
 from .fingerprint import with_ranges
 from .packed import pack_numbers, unpack_numbers
 
-#: A bigram that the corpus has less often is no evidence: the score backs off.
+#: An n-gram that the corpus has less often is no evidence: the score backs off.
+#: The corpus holds what is scored, so a count of 1 is the scored occurrence itself.
 LEAST_COUNT = 2
+#: Words in the longest n-grams of the query; its SQL says the same.
+ORDER = 2
 BACKOFF = 0.4
 #: Scores are sums of integers, millionths of log10, so that no order of rows matters.
 SCALE = 1_000_000
@@ -32,14 +35,17 @@ BLOCK_BYTES, SLICE_GRAMS = 24_000_000, 2_000_000
 _FLUSH = 4_000_000
 
 
-def _grams(s: tokens.Texts) -> tuple[tokens.Words, np.ndarray, np.ndarray]:
-    """(words, their keys, keys of the bigrams that end at them; 0 at a text's first word)."""
+def _grams(s: tokens.Texts, order: int) -> tuple[tokens.Words, list[np.ndarray]]:
+    """(words, keys of the n-grams that end at them for n = 1..order; 0 where a text has fewer words before)."""
     w = tokens.words(tokens.LOWER[s.data], s.offset, tokens.ALNUM)
-    two = np.zeros(len(w.hash), dtype=np.uint64)
-    if len(two) > 1:
-        two[1:] = tokens.combined(w.hash, 2)
-        two[w.first[:-1][np.diff(w.first) > 0]] = 0
-    return w, tokens.mix(w.hash ^ np.uint64(1)), two
+    place = np.arange(len(w.hash)) - w.first[w.doc]
+    keys = [tokens.mix(w.hash ^ np.uint64(1))]
+    for n in range(2, order + 1):
+        key = np.zeros(len(w.hash), dtype=np.uint64)
+        key[n - 1 :] = tokens.combined(w.hash, n)
+        key[place < n - 1] = 0
+        keys.append(key)
+    return w, keys
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +59,9 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
-def _counted(s: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
-    _, one, two = _grams(s)
-    return np.unique(np.concatenate([one, two[two != 0]]), return_counts=True)
+def _counted(s: tokens.Texts, order: int) -> tuple[np.ndarray, np.ndarray]:
+    _, (one, *more) = _grams(s, order)
+    return np.unique(np.concatenate([one, *(key[key != 0] for key in more)]), return_counts=True)
 
 
 def _slice_edges(keys: np.ndarray, n: int) -> np.ndarray:
@@ -64,21 +70,25 @@ def _slice_edges(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, n_backoff, score_micro, mean_score), a row for each of docs.
 
     Words are runs of digits, letters a-z (A-Z in lower case) and non-ASCII
-    characters.  A word after another has c(bigram) / c(previous word) if the
-    bigram's count is LEAST_COUNT or more, else BACKOFF * c(word) / N, and it
-    counts in n_backoff; a text's first word has c(word) / N.  Counts cover all
+    characters.  A word after others has c(n-gram) / c(n-gram without it) for
+    the longest n-gram, n up to `order`, that ends at it and whose count is
+    LEAST_COUNT or more, times BACKOFF for each longer one in the text; without
+    one it has BACKOFF for each of them times c(word) / N.  If it backs off at
+    all, it counts in n_backoff.  A text's first word has c(word) / N.  Counts cover all
     documents, repeated rows as often as they occur.  score_micro sums
     round(SCALE * log10(...)); mean_score is null for a text without words
     (null, empty), whose sum is 0.  Columns other than doc_id and text are not
     looked at.
     """
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    slices_ = max(1, math.ceil(size / 6 / SLICE_GRAMS))
+    slices_ = max(1, math.ceil(size / 6 * max(order - 1, 1) / SLICE_GRAMS))
     ranged, _ = with_ranges(docs, "doc_id", max(1, math.ceil(size / BLOCK_BYTES)))
     ranged = ranged.select(F.col("__r").alias("block"), "doc_id", "text")
 
@@ -99,7 +109,7 @@ def scores(docs: DataFrame) -> DataFrame:
             blocks = batch.column("block").to_numpy()
             for block in np.unique(blocks):
                 for s in tokens.slices([batch.filter(pa.array(blocks == block))]):
-                    part = _counted(s)
+                    part = _counted(s, order)
                     held.setdefault(int(block), []).append(part)
                     weight += len(part[0])
                     if weight > _FLUSH:
@@ -126,24 +136,28 @@ def scores(docs: DataFrame) -> DataFrame:
         batches = texts.select(["doc_id", "text"]).to_batches()
         parts: list = []
         for s in tokens.slices(batches):
-            parts.append(_counted(s))
+            parts.append(_counted(s, order))
             if sum(len(k) for k, _ in parts[1:]) > _FLUSH:
                 parts = [_merged(parts)]
         keys = _merged(parts)[0]
-        order = np.argsort(found.column("slice").to_numpy())
+        by_slice = np.argsort(found.column("slice").to_numpy())
         data = found.column("totals").to_pylist()
-        total = np.concatenate([unpack_numbers(data[i], False) for i in order] or [np.zeros(0, dtype=np.uint64)]).astype(float)
+        total = np.concatenate([unpack_numbers(data[i], False) for i in by_slice] or [np.zeros(0, dtype=np.uint64)]).astype(float)
         out: list[list] = [[], [], [], []]
         for s in tokens.slices(batches):
-            w, one, two = _grams(s)
-            c1 = total[np.searchsorted(keys, one)] if len(one) else np.zeros(0)
-            c2 = np.zeros(len(two))
-            c2[two != 0] = total[np.searchsorted(keys, two[two != 0])]
-            p = c1 / max(lengths, 1)
-            backs_off = (two != 0) & (c2 < LEAST_COUNT)
-            p[backs_off] *= BACKOFF
-            seen = np.flatnonzero(c2 >= LEAST_COUNT)
-            p[seen] = c2[seen] / c1[seen - 1]
+            w, grams = _grams(s, order)
+            c = [np.zeros(len(w.hash)) for _ in grams]
+            for key, own in zip(grams, c):
+                own[key != 0] = total[np.searchsorted(keys, key[key != 0])]
+            p = c[0] / max(lengths, 1)
+            backs_off = np.zeros(len(p), dtype=bool)
+            # From short to long: a longer n-gram replaces what shorter ones gave, or costs BACKOFF.
+            for n in range(1, order):
+                seen = np.flatnonzero(c[n] >= LEAST_COUNT)
+                fails = (grams[n] != 0) & (c[n] < LEAST_COUNT)
+                p[fails] *= BACKOFF
+                p[seen] = c[n][seen] / c[n - 1][seen - 1]
+                backs_off = fails | (backs_off & (grams[n] == 0))
             micro = np.floor(SCALE * np.log10(p) + 0.5)
             rows = s.batch.num_rows
             for column, value in zip(out, (s.batch.column("doc_id"), np.diff(w.first), np.bincount(w.doc, backs_off, rows).astype(np.int64), np.bincount(w.doc, micro, rows).astype(np.int64))):

@@ -230,6 +230,28 @@ def test_stupid_backoff_against_counting(spark, docs, empty):
     assert stupid_backoff.scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_stupid_backoff_of_other_orders(spark, order):
+    texts = ["a b c d", "a b c e", "b c d", "d c b a", "c d", "x", "", "a b c d a b c d"]
+    split = [t.split() for t in texts]
+    n_grams = collections.Counter(tuple(s[i : i + n]) for s in split for n in range(1, order + 1) for i in range(len(s) - n + 1))
+    total = sum(len(s) for s in split)
+
+    def score(s):
+        out = back = 0
+        for i, w in enumerate(s):
+            n, cost = min(order, i + 1), 1.0
+            back += n > 1 and n_grams[tuple(s[i - n + 1 : i + 1])] < 2
+            while n > 1 and n_grams[tuple(s[i - n + 1 : i + 1])] < 2:
+                n, cost = n - 1, cost * 0.4
+            below = n_grams[tuple(s[i - n + 1 : i])] if n > 1 else total
+            out += int(np.floor(np.log10(n_grams[tuple(s[i - n + 1 : i + 1])] / below * cost) * 1_000_000 + 0.5))
+        return len(s), back, out
+
+    got = stupid_backoff.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order).collect()
+    assert {r.doc_id: (r.n_words, r.n_backoff, r.score_micro) for r in got} == {i: score(s) for i, s in enumerate(split)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body><!-- <p>no</p> -->
 <nav><ul><li><a href=1>One</a></li></ul></nav><div class="cookie-notice">We use cookies for the best of all that is in the site</div>
 <article><h1>Main &amp; title</h1><p><b>First<br>line of the text&nbsp;here<p>Second of the lot, with <a href=x>a link</a> in it.</p><div class="ad">Buy it now for the best of the day in the shop</div></article>
