@@ -248,7 +248,7 @@ def cutoffs_by_at(counts: DataFrame, k: int, goal: float = 200, sample: int = 15
 
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            found = fit_q(pdf["cov"].to_numpy(), rounds=200).cutoff(goal)
+            found = fit_q(pdf["cov"].to_numpy()).cutoff(goal)
         except ValueError:
             found = float("nan")
         return pd.DataFrame({"at": [int(pdf["at"].iloc[0])], "cutoff": [found]})

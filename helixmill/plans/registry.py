@@ -289,7 +289,7 @@ def fit_q(spark, sf_dir):
 
 def fit_gc(spark, sf_dir):
     counts = qmer_count_fixed(spark, sf_dir).withColumn("q", F.round(F.col("q") / kmers.FIXED_SCALE, 1))
-    return model.cutoffs_by_at(counts, K, GOAL, sample=2000)
+    return model.cutoffs_by_at(counts, K, GOAL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

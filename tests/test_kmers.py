@@ -94,3 +94,25 @@ def test_samples_repeat(spark):
     a = coverage.stratified_sample(counts, 2).collect()
     assert sorted(a) == sorted(coverage.stratified_sample(counts.repartition(5), 2).collect())
     assert max(Counter(r["at"] for r in a).values()) <= 2
+
+
+def test_fit_gc_takes_the_whole_sample(spark, monkeypatch):
+    from helixmill.operators import model
+    from helixmill.plans import registry
+
+    sizes, rounds = [], []
+    counts = spark.createDataFrame([("A" * i + "C" * (15 - i), 28_000_000) for i in range(16)], "kmer string, q long")
+    monkeypatch.setattr(registry, "qmer_count_fixed", lambda spark, sf_dir: counts)
+    monkeypatch.setattr(model, "stratified_sample", lambda rows, n: sizes.append(n) or coverage.stratified_sample(rows, n))
+    monkeypatch.setattr(model, "fit_q", lambda values, **how: rounds.append(how) or 1 / 0)
+    # The fits run where the rows are; here one is enough.
+    monkeypatch.setattr(type(counts.groupBy("kmer")), "applyInPandas", lambda self, f, schema: f(rows_of_one_count()))
+    with pytest.raises(ZeroDivisionError):
+        registry.fit_gc(spark, "")
+    assert sizes == [15_000] and rounds == [{}]
+
+
+def rows_of_one_count():
+    import pandas as pd
+
+    return pd.DataFrame({"at": [5, 5], "cov": [28.0, 29.0]})
