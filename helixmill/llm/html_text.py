@@ -2,8 +2,8 @@
 
 A page is cut into blocks at its block-level tags.  The first pass decides the
 clear cases: blocks inside navigation, headers, footers, forms and the like are
-boilerplate, so are blocks that are mostly links; blocks of some length with
-many stop words are text.  The second pass decides what is left, short blocks
+boilerplate, so are blocks outside an article that are mostly links; blocks of
+some length with many stop words are text.  The second pass decides what is left, short blocks
 above all, like their nearest decided neighbours (headings like the next one; of two equally near ones the text wins); inside <article> or <main>
 only neighbours in there count, and without any the container decides.
 """
@@ -37,13 +37,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
 _BOILERPLATE = frozenset("aside button datalist dialog footer form head header label menu nav noscript option search select svg template title".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|pager|popup|promos?|related|replies|respond|recommended|search|share|sharing|sidebar|signup|skip|social|sponsor(?:ed|s)?|subscribe|teaser|toolbar|topbar|widgets?)(?:$|[\s_-])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>|<[/a-zA-Z!?][^<>]*$", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Class and id names of what is not main text.  A name of several parts (cookie-notice, ad_slot) counts
+#: if one part is among _NAMES and all others are, too, or are among _FITTINGS.
+_NAMES = frozenset("ad ads advert adverts advertisement advertisements banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promos related replies respond recommended search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe teaser teasers toolbar topbar widget widgets".split())
+_FITTINGS = frozenset("area bar block bottom box btn button buttons container form global group header holder icons inner inline item items left link links list main panel primary right row secondary section site slot sticky to top unit user wrap wrapper".split())
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_HUGE_REFERENCE = re.compile(r"&#(?:0*+[0-9]{9,}|[xX]0*+[0-9a-fA-F]{8,});?")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Scripts without blanks: so many letters count as a word.
+_UNSPACED, _LETTERS_A_WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"), 2
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
@@ -57,6 +61,15 @@ class Block:
     good: bool | None = None
 
 
+def _named_boilerplate(value: str) -> bool:
+    """Whether one of the names in a class or id stands for something else than main text."""
+    for name in value.split():
+        parts = [x.lower() for x in _PARTS.split(name) if x]
+        if any(x in _NAMES for x in parts) and all(x in _NAMES or x in _FITTINGS or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
     """Whether what an element holds is not part of the main text."""
     if tag in _BOILERPLATE:
@@ -67,110 +80,179 @@ def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _NAMES.search(value):
+        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _named_boilerplate(value):
             return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if name == "style" and re.search(r"display\s*+:\s*+none", value, re.I):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, with decoded text and white space as one blank.
+def decoded(text: str) -> str:
+    """The text with its character references decoded; numbers beyond all characters give U+FFFD."""
+    return html.unescape(_HUGE_REFERENCE.sub("\ufffd", text)) if "&" in text else text
 
-    Markup may be cut off or unbalanced: what an unfinished tag, comment or
-    script holds is not text; an end tag closes all that is open inside its
-    element and is void without one.
+
+class _Page:
+    """The open elements of a page while it is read, and the blocks found so far.
+
+    Every element is pushed and popped once, and places of open elements are
+    kept by tag, so a page takes time in proportion to its length.
     """
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, container
-    parts: list[str] = []
-    links = link_depth = bad = containers = at = 0
-    inside: list[int] = []
-
-    def flush() -> None:
-        nonlocal links
-        if parts:
-            if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append(Block(text, links, bad > 0, inside[-1] if inside else 0, any(t in _HEADINGS for t, _, _ in stack)))
-            parts.clear()
-        links = 0
-
-    def pop(n: int) -> None:
-        nonlocal bad, link_depth
-        for tag, boilerplate, container in stack[n:]:
-            bad -= boilerplate
-            link_depth -= tag == "a"
-            if container:
-                inside.pop()
-        del stack[n:]
-
-    def add(text: str) -> None:
-        nonlocal links
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, bool]] = []  # tag, boilerplate
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.open_blocks: list[int] = []
+        self.inside: list[int] = []  # numbers of the open containers
+        self.containers = self.bad = self.headings = self.links = 0
+        self.parts: list[str] = []
+
+    def add(self, text: str) -> None:
         if text:
-            parts.append(text)
-            if link_depth:
-                links += len("".join(text.split()))
-
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            text = decoded(text)
+            self.parts.append(text)
+            if self.open.get("a"):
+                self.links += len("".join(text.split()))
+
+    def flush(self) -> None:
+        if self.parts:
+            if text := " ".join("".join(self.parts).split()):
+                self.blocks.append(Block(text, self.links, self.bad > 0, self.inside[-1] if self.inside else 0, self.headings > 0))
+            self.parts.clear()
+        self.links = 0
+
+    def push(self, tag: str, boilerplate: bool) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append((tag, boilerplate))
+        self.bad += boilerplate
+        self.headings += tag in _HEADINGS
+        if tag in _CONTAINERS:
+            self.containers += 1
+            self.inside.append(self.inside[-1] if self.inside else self.containers)
+
+    def pop(self, n: int) -> None:
+        """Close all elements from place n on."""
+        while len(self.stack) > n:
+            tag, boilerplate = self.stack.pop()
+            self.open[tag].pop()
             if tag in _BLOCK:
-                flush()
-            if n is not None:
-                if any(t in _BLOCK for t, _, _ in stack[n:]):
-                    flush()
-                pop(n)
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            parts.append(" ")
-            continue
+                self.open_blocks.pop()
+            self.bad -= boilerplate
+            self.headings -= tag in _HEADINGS
+            if tag in _CONTAINERS:
+                self.inside.pop()
+
+    def end(self, tag: str) -> None:
+        at = self.open.get(tag)
+        if tag in _BLOCK or at and self.open_blocks and self.open_blocks[-1] > at[-1]:
+            self.flush()
+        if at:
+            self.pop(at[-1])
+
+    def begin(self, tag: str, attributes: str) -> None:
         if tag in _BLOCK:
-            flush()
-            closes = _CLOSES.get(tag, set()) | {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    pop(i)
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
+            self.flush()
+            closed = max((self.open[t][-1] for t in _CLOSES.get(tag, _NONE) | _P if self.open.get(t)), default=-1)
+            if closed >= (self.open_blocks[-1] if self.open_blocks else 0):
+                self.pop(closed)
         if tag in _VOID:
-            parts.append(" ")
+            self.parts.append(" ")
+            return
+        if tag == "a" and self.open.get("a"):
+            self.pop(self.open["a"][-1])
+        self.push(tag, _is_boilerplate(tag, attributes, bool(self.inside)))
+
+
+_CONTAINERS, _NONE, _P = frozenset(("article", "main")), frozenset(), frozenset("p")
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page in order, with decoded text and white space as one blank.
+
+    Markup may be cut off or unbalanced: what an unfinished tag, comment or
+    script holds is not text, up to the page's end; an end tag closes all that
+    is open inside its element and is void without one.  Where quotes of
+    attributes don't match up to the page's end, tags from there on end at the
+    next >.
+    """
+    out, at, quotes = _Page(), 0, True
+    size = len(page)
+    while (to := page.find("<", at)) >= 0:
+        follows = page[to + 1 : to + 2]
+        if follows == "!" or follows == "?":
+            out.add(page[at:to])
+            if page.startswith("<!--", to):
+                # As browsers do: <!--> and <!---> are whole comments.
+                end = to + 4 if page.startswith((">", "->"), to + 4) else page.find("-->", to + 4)
+            else:
+                end = to
+            end = page.find(">", end) if end >= 0 else -1
+            at = end + 1 if end >= 0 else size
             continue
-        if tag == "a" and link_depth:
-            pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "a"))
-        boilerplate = _is_boilerplate(tag, m[3], bool(inside))
-        container = tag in ("article", "main")
-        if container:
-            containers += 1
-            inside.append(containers if not inside else inside[-1])
-        stack.append((tag, boilerplate, container))
-        bad += boilerplate
-        link_depth += tag == "a"
-    add(page[at:])
-    flush()
-    return out
+        if not (follows.isascii() and follows.isalpha() or follows == "/" and page[to + 2 : to + 3].isascii() and page[to + 2 : to + 3].isalpha()):
+            out.add(page[at : to + 1])
+            at = to + 1
+            continue
+        out.add(page[at:to])
+        m = _TAG.match(page, to) if quotes else None
+        if m:
+            closing, tag, attributes, at = m[1], m[2].lower(), m[3], m.end()
+        else:
+            quotes = False
+            end = page.find(">", to)
+            if end < 0:
+                at = size
+                break
+            closing = "/" if follows == "/" else ""
+            tag, _, attributes = _HEAD.sub(" ", page[to + 1 + len(closing) : end], count=1).partition(" ")
+            tag, at = tag.lower(), end + 1
+        if closing:
+            out.end(tag)
+        elif tag in _RAW:
+            out.parts.append(" ")
+            end = _RAW_ENDS[tag].search(page, at)
+            end = page.find(">", end.end()) if end else -1
+            at = end + 1 if end >= 0 else size
+        else:
+            out.begin(tag, attributes)
+    out.add(page[at:])
+    out.flush()
+    return out.blocks
+
+
+_HEAD = re.compile(r"[\s/]")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 
 
 def decide(blocks: list[Block]) -> None:
-    """Set good for each block: first the clear cases, then by the neighbours."""
+    """Set good for each block: first the clear cases, then by the neighbours.
+
+    Links only speak outside <article> and <main>.  On a page where no block
+    has the stop words of a known language, length alone makes a text.
+    """
+    long: list[Block] = []
+    known = False
     for b in blocks:
-        words = _WORD.findall(b.text.lower())
-        if b.boilerplate or b.link_chars > LINK_DENSITY * len(b.text.replace(" ", "")):
+        if b.boilerplate or not b.container and b.link_chars > LINK_DENSITY * len(b.text.replace(" ", "")):
             b.good = False
-        elif len(words) >= LONG_WORDS and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words):
+            continue
+        words = _WORD.findall(b.text.lower())
+        n = len(words) + (0 if b.text.isascii() else len(_UNSPACED.findall(b.text)) // _LETTERS_A_WORD)
+        if n >= LONG_WORDS:
+            long.append(b)
+            if sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * n:
+                b.good = known = True
+    if not known:
+        for b in long:
             b.good = True
     first = [b.good for b in blocks]
-    for i, b in enumerate(blocks):
+    forth = _nearest(blocks, first, range(len(blocks)))
+    back = _nearest(blocks, first, range(len(blocks) - 1, -1, -1))
+    for b, before, after in zip(blocks, forth, back):
         if b.good is None:
-            before = _nearest(blocks, first, i, -1)
-            after = _nearest(blocks, first, i, 1)
             if before is None and after is None:
                 b.good = b.container > 0
             elif b.heading:
@@ -181,15 +263,24 @@ def decide(blocks: list[Block]) -> None:
                 b.good = min(before, after)[1] if before[0] != after[0] else before[1] or after[1]
 
 
-def _nearest(blocks: list[Block], decided: list[bool | None], i: int, step: int) -> tuple[int, bool] | None:
-    """(distance, label) of the next decided block that may speak for block i."""
-    own, j = blocks[i].container, i + step
-    while 0 <= j < len(blocks):
-        speaks = decided[j] is not None and (not own or blocks[j].container == own and not blocks[j].boilerplate and decided[j])
-        if speaks:
-            return abs(j - i), bool(decided[j])
-        j += step
-    return None
+def _nearest(blocks: list[Block], decided: list[bool | None], order: range) -> list[tuple[int, bool] | None]:
+    """For each block (distance, label) of the last decided one before it, in this order, that may speak for it.
+
+    In a container only its own texts may.
+    """
+    out: list[tuple[int, bool] | None] = [None] * len(blocks)
+    last: int | None = None
+    texts: dict[int, int] = {}
+    for i in order:
+        own = blocks[i].container
+        at = texts.get(own) if own else last
+        if at is not None:
+            out[i] = abs(at - i), bool(decided[at])
+        if decided[i] is not None:
+            last = i
+            if decided[i]:
+                texts[own] = i
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -223,4 +314,5 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; see extract() for null and repeated pages and clashing columns."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
