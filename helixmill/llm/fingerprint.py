@@ -59,7 +59,7 @@ def packed_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         (s, F.expr(f"sort_array(concat({h}, {sentinels}))")),
         (o, F.expr(f"transform(filter({s}, (x, i) -> i = 0 OR shiftright(x, {_BIN_SHIFT}) != shiftright(get({s}, i - 1), {_BIN_SHIFT})), x -> IF(x & {_EMPTY}L = {_EMPTY}L, NULL, x))")),
         (d, F.expr(f"transform({o}, (x, i) -> coalesce(x, {walk}))")),
-        (out, F.expr(f"transform(sequence(0, {BINS // _PER_LONG - 1}), j -> {nibbles})")),
+        (out, F.expr(f"IF({h} IS NULL, NULL, transform(sequence(0, {BINS // _PER_LONG - 1}), j -> {nibbles}))")),
     ]
     df = df.withColumns({"__starts": F.expr(_ints(starts)), "__strides": F.expr(_ints(strides))})
     for name, value in steps:
@@ -113,6 +113,7 @@ def with_next(df: DataFrame, key: str, ties: list[str], carry: list[str]) -> Dat
     Rows go to ranges of the key, at most 8 a shuffle partition.  The first key
     of each range also goes to the range before, where it only serves as a
     successor.  Null keys come first; repeated keys are ordered by `ties`.
+    df may not have columns r, guest, next_<c> or any that begin with __.
     """
     df, ranges = with_ranges(df, key, 8 * partitions(df.sparkSession))
     rows = df.withColumn("__to", F.expr(f"explode(IF(__cut = __k, array(struct(__r AS r, 0 AS guest), struct(IF(__r = 1, {ranges}, __r - 1) AS r, 1 AS guest)), array(struct(__r AS r, 0 AS guest))))"))
@@ -123,12 +124,22 @@ def with_next(df: DataFrame, key: str, ties: list[str], carry: list[str]) -> Dat
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with `fingerprint` (hexadecimal) and `packed` (array<bigint>)."""
+    """df with `fingerprint` (hexadecimal) and `packed` (array<bigint>).
+
+    Columns of these names are replaced, others pass through.  Rows are taken
+    one by one: equal texts have equal fingerprints, a text without words (null,
+    empty, blank) the empty one.
+    """
     return packed_fingerprint(df, text, "packed").withColumn("fingerprint", as_hex("packed"))
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
+    """Fingerprints of all documents and of their edited texts.
+
+    Null texts count as empty.  Null ids come first in the order of ids; rows of
+    one id follow each other by a hash of their texts.  Columns other than
+    doc_id and text are not looked at; an empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = packed_fingerprint(docs, "text", "packed")
     both = with_next(own, "doc_id", ["xxhash64(text)", "text"], ["text", "packed"])

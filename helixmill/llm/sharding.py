@@ -50,7 +50,8 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame
 
     Law `key`: the key and the shard count alone decide.  A null key counts as
     0; repeated keys share their shard; other columns pass through.  `shards`
-    must be 1 or more.  Key: an integer column.
+    must be 1 or more.  Key: an integer column.  Columns named shard and
+    grown_shard are replaced; df may not have columns __key and __jump.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -68,18 +69,23 @@ def slots(df: DataFrame, group: str = "shard", order: str = "doc_id") -> DataFra
 
     Rows are numbered inside (group, input split) and each split starts where
     the splits before it end, so no task ever holds a group.  df is staged in
-    the shared folder first: both passes must see the same splits.
+    the shared folder first: both passes must see the same splits.  Ties of
+    `order` (repeated rows, nulls, which come first) take places of their own.
+    A column `slot` is replaced; df may not have columns __part, __place and __start.
     """
     lean = staged(df.withColumn("__part", F.spark_partition_id()), "slots")
     within = Window.partitionBy(group, "__part").orderBy(order)
     before = Window.partitionBy(group).orderBy("__part")
     starts = lean.groupBy(group, "__part").count().withColumn("__start", F.sum("count").over(before) - F.col("count")).drop("count")
     rows = lean.withColumn("__place", F.row_number().over(within) - 1).join(starts, [group, "__part"])
-    return rows.select(*df.columns, (F.col("__start") + F.col("__place")).cast("bigint").alias("slot"))
+    return rows.select(*(c for c in df.columns if c != "slot"), (F.col("__start") + F.col("__place")).cast("bigint").alias("slot"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards, law `key`.  Null text: size 1, CRC of nothing."""
+    """All documents in 16 shards, law `key`.  Null text: size 1, CRC of nothing.
+
+    See shard() for null ids and slots() for ties and repeated rows.
+    """
     docs = table(spark, sf_dir, "documents")
     lean = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
