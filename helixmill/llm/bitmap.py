@@ -1,51 +1,53 @@
-"""A bitmap of ids, of fixed size, that spares most rows a shuffle.
+"""A bitmap of keys that spares most rows a shuffle.
 
-Rows whose bit is not set are certainly not among the ids; only the others need
-a join to tell.  When there are so many ids that most bits are set, the join
-decides more rows and the result is the same.
+Rows whose bit is not set are certainly not among the keys; only the others
+need a join to tell.  The bitmap is a small table of words, broadcast and
+looked up in the JVM.  It has some 16 bits a key up to MOST_BITS, so its size is
+bounded; beyond that more bits are set by chance, the join decides more rows
+and the result is the same.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 24
+from .common import release, staged
+
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 20, 26
+
+
+@dataclass
+class Bitmap:
+    """The staged words (__word, __bits) that are not 0, at most 2^bits / 64 of them."""
 
+    words: DataFrame
+    bits: int
 
-def _bit(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(1 << BITS))
+    def marked(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows with __maybe: false where the bit of the key (bigint) is not set."""
+        at = _place(key, self.bits)
+        found = rows.withColumn("__word", F.shiftright(at, 6)).join(F.broadcast(self.words), "__word", "left")
+        return found.withColumn("__maybe", F.coalesce(F.expr(f"shiftrightunsigned(__bits, CAST({_SQL.format(key=key, bits=self.bits)} & 63 AS INT)) & 1L") == 1, F.lit(False))).drop("__word", "__bits")
 
+    def release(self) -> None:
+        release(self.words)
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """The bits of all ids, in 2^BITS / 64 words: 2 MiB on the driver, whatever the number of ids."""
-    words = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    bit = _bit(column)
-    found = ids.select((bit / 64).cast("int").alias("k"), (bit % 64).cast("int").alias("b"))
-    for k, v in found.groupBy("k").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v")).collect():
-        words[k] = v
-    return words
 
+_SQL = "pmod(xxhash64({key}), shiftleft(1L, {bits}))"
 
-def by_bitmap(rows: DataFrame, column: str, words: np.ndarray, hit: bool, then=None, schema: str | None = None) -> DataFrame:
-    """The rows whose bit is set (hit), or those whose bit is not, with all their columns.
 
-    `then` may turn each batch of them into one of `schema`, in the same Python
-    worker: a second one for it would double the memory.
-    """
-    sent = rows.sparkSession.sparkContext.broadcast(words)
-    if schema is None:
-        schema = rows.schema
-        for f in schema:
-            f.nullable = True
+def _place(key: str, bits: int) -> Column:
+    return F.expr(_SQL.format(key=key, bits=bits))
 
-    def kept(batches):
-        for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-            mask = pa.array(((sent.value[at >> 6] >> (at & 63)) & 1 == 1) == hit)
-            found = pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:-1]], names=b.schema.names[:-1])
-            yield then(found) if then else found
 
-    return rows.withColumn("__bit", _bit(column)).mapInArrow(kept, schema)
+def bitmap(keys: DataFrame, key: str) -> Bitmap:
+    """The bitmap of a column of bigints; repeated keys do no harm, null ones are left out."""
+    keys = keys.where(F.col(key).isNotNull())
+    n = keys.count()
+    bits = min(max(LEAST_BITS, (BITS_PER_KEY * n).bit_length()), MOST_BITS)
+    at = _SQL.format(key=key, bits=bits)
+    words = keys.groupBy(F.expr(f"shiftright({at}, 6)").alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({at} & 63 AS INT)))").alias("__bits"))
+    return Bitmap(staged(words, "bitmap"), bits)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .bitmap import bitmap, by_bitmap
+from .bitmap import bitmap
 from .common import release, staged, table
 from .components import components
 from .packed import pack_numbers, unpack_numbers
@@ -31,7 +31,7 @@ from .packed import pack_numbers, unpack_numbers
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-_SKETCH_BITS, _CHUNKS = 22, 64
+SKETCH_BITS, _CHUNKS = 22, 64
 #: Prefix rows of one shingle that meet in one list; the key of a more common
 #: shingle has a salt in its low bits.
 _SALT_ROWS, _SALT_BITS = 4096, 16
@@ -41,6 +41,11 @@ _FLUSH, _BUCKET_BYTES = 300_000, 16_000_000
 _PAIRS_AT_ONCE = 100
 
 
+def row_key() -> Column:
+    """What names a row, whether or not its doc_id is null or repeated: a 64-bit hash of id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+
+
 def distinct_shingles(s: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text), sorted by text and hash, of the slice's shingle sets."""
     w = tokens.words(tokens.LOWER[s.data], s.offset, tokens.NOT_SPACE)
@@ -60,28 +65,30 @@ def _digests(hash: np.ndarray, doc: np.ndarray, n: int, seed: int) -> np.ndarray
     return tokens.mix(sums[ends[1:]] - sums[ends[:-1]] + count.astype(np.uint64)).view(np.int64)
 
 
-def _cell(hash: np.ndarray) -> np.ndarray:
-    return (hash >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)
+def _cell(hash: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each hash among `cells`, a power of two."""
+    return (hash >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
-def shingle_sketch(docs: DataFrame) -> np.ndarray:
+def shingle_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """For each cell of the hash space the number of (document, shingle) pairs in it.
 
     All documents count.  Each task adds up its own cells and sends them packed;
-    the driver receives 2^_SKETCH_BITS numbers, whatever the input.
+    the driver receives 2^bits numbers, whatever the input.
     """
+    total = 1 << bits
 
     def count(batches):
-        cells = np.zeros(1 << _SKETCH_BITS, dtype=np.uint32)
+        cells = np.zeros(total, dtype=np.uint32)
         for s in tokens.slices(batches):
-            at, n = np.unique(_cell(distinct_shingles(s)[0]), return_counts=True)
+            at, n = np.unique(_cell(distinct_shingles(s)[0], total), return_counts=True)
             cells[at] += n.astype(np.uint32)
         if cells.any():
             for k, part in enumerate(np.split(cells, _CHUNKS)):
                 if part.any():
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "cells": [pa.compress(part.tobytes(), "zstd", asbytes=True)]})
 
-    size = (1 << _SKETCH_BITS) // _CHUNKS
+    size = total // _CHUNKS
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -99,16 +106,18 @@ def shingle_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls, grp) of each document, staged, and packed prefixes (bucket, keys, owners, owner, at).
+    """(doc_id, key, n, cls, grp) of each document, staged, and packed prefixes (bucket, keys, owners, owner, at).
 
     The prefixes go straight into their shuffle: a second reading of the texts
     takes less room than staging them.  A task gives a group's prefix once.  A prefix entry is a key, its group and
     `at`, which packs the key's place, the set's size and whether the key is
     salted; the entries of a hash bucket are packed together, sorted by key.
     """
+    # What a cell holds beyond the usual: with much text, every cell adds up many rare shingles.
+    excess = sketch.astype(float) - np.median(sketch)
     # Ranks on a logarithmic scale: chance differences between rare shingles don't count.
-    rank = np.round(8 * np.log2(1 + sketch.astype(float))).astype(np.uint16)
-    salts = np.maximum(sketch // np.uint64(_SALT_ROWS), 1).astype(np.uint32)
+    rank = np.round(8 * np.log2(1 + np.maximum(excess, 0))).astype(np.uint16)
+    salts = np.clip(excess // _SALT_ROWS, 1, 1 << _SALT_BITS).astype(np.uint32)
     salted = np.flatnonzero(salts > 1)
     sent = docs.sparkSession.sparkContext.broadcast((rank, salted, salts[salted]))
 
@@ -133,7 +142,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> tuple[DataFr
             hash, doc = distinct_shingles(s)
             n = np.bincount(doc, minlength=rows)
             cls = _digests(hash, doc, rows, 1)
-            order = np.lexsort((hash, rank[_cell(hash)], doc))
+            order = np.lexsort((hash, rank[_cell(hash, len(rank))], doc))
             first = np.append(0, np.cumsum(n))
             keep = np.maximum(n - -(-PERCENT * n // 100) + 1, 0) * (n > 0)
             place = np.arange(len(order)) - first[doc]
@@ -141,14 +150,14 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> tuple[DataFr
             chosen, place = order[used], place[used]
             grp = _digests(hash[chosen], doc[chosen], rows, 2) ^ n
             if lean:
-                yield pa.RecordBatch.from_arrays([s.batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(cls), pa.array(grp)], names=["doc_id", "n", "cls", "grp"])
+                yield pa.RecordBatch.from_arrays([s.batch.column("doc_id"), s.batch.column("key"), pa.array(n.astype(np.int64)), pa.array(cls), pa.array(grp)], names=["doc_id", "key", "n", "cls", "grp"])
                 continue
             key, owner = hash[chosen], doc[chosen]
             fresh = np.zeros(rows, dtype=bool)
             for i, g in enumerate(grp.tolist()):
                 fresh[i] = n[i] > 0 and g not in seen
                 seen.add(g)
-            cell = _cell(key)
+            cell = _cell(key, len(rank))
             j = np.minimum(np.searchsorted(salted, cell), max(len(salted) - 1, 0))
             common = salted[j] == cell if len(salted) else np.zeros(len(key), dtype=bool)
             low = np.uint64((1 << _SALT_BITS) - 1)
@@ -162,9 +171,9 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> tuple[DataFr
         if held:
             yield from packed(held)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lean = staged(rows.mapInArrow(lambda batches: emit(batches, True), "doc_id long, n long, cls long, grp long"), "sets")
-    return lean, rows.mapInArrow(lambda batches: emit(batches, False), "bucket int, keys binary, owners binary, owner binary, at binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), "text")
+    lean = staged(rows.mapInArrow(lambda batches: emit(batches, True), "doc_id long, key long, n long, cls long, grp long"), "sets")
+    return lean, rows.select("text").mapInArrow(lambda batches: emit(batches, False), "bucket int, keys binary, owners binary, owner binary, at binary")
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -214,17 +223,21 @@ def _may_link(a: str, b: str) -> Column:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The staged pairs (a, b) of classes whose sets are alike enough.
 
-    Each class is judged by the text of its least document.  Only texts in
-    question are moved: a bitmap of fixed size tells beforehand most documents
-    that aren't.  Both joins shuffle at any size, so that the plan for a small
-    input is the plan for a large one.
+    Each class is judged by the text of the row with its least key; classes is
+    (cls, key).  Only texts in question are moved, packed, and each once: a
+    bitmap tells beforehand most rows that aren't.  Both joins shuffle at any
+    size, so that the plan for a small input is the plan for a large one.
     """
-    one, two = (classes.selectExpr(f"cls AS {c}", f"least AS {c}_doc") for c in "ab")
+    one, two = (classes.selectExpr(f"cls AS {c}", f"key AS {c}_key") for c in "ab")
     pairs = staged(pairs.join(one, "a").join(two, "b"), "pairs")
-    words = bitmap(pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")), "doc_id")
+    asked = bitmap(pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")), "key")
 
-    def shrunk(b):
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([zlib.compress(t.encode(), 6) if t else b"" for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
+    def shrunk(batches):
+        sent: set[int] = set()
+        for b in batches:
+            fresh = [i for i, k in enumerate(b.column("key").to_pylist()) if k not in sent and not sent.add(k)]
+            b = b.take(pa.array(fresh, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([zlib.compress(t.encode(), 6) if t else b"" for t in b.column("text").to_pylist()], pa.binary())], names=["key", "text"])
 
     def alike(batches):
         for batch in batches:
@@ -243,12 +256,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 union = np.bincount(doc, minlength=rows) - both
                 found = b.filter(pa.array((100 * both >= PERCENT * union) & ok_a & ok_b))
                 yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b")], names=["a", "b"])
+        tokens.trim_memory()
 
-    texts = by_bitmap(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", words, True, shrunk, "doc_id long, text binary")
-    a_text, b_text = (texts.selectExpr(f"doc_id AS {c}_doc", f"text AS text_{c}").hint("merge") for c in "ab")
-    sides = pairs.hint("merge").join(a_text, "a_doc").hint("merge").join(b_text, "b_doc")
+    rows = asked.marked(docs.select(row_key().alias("key"), "text"), "key").where("__maybe").select("key", "text")
+    texts = rows.mapInArrow(shrunk, "key long, text binary").groupBy("key").agg(F.first("text").alias("text"))
+    a_text, b_text = (texts.selectExpr(f"key AS {c}_key", f"text AS text_{c}").hint("merge") for c in "ab")
+    sides = pairs.hint("merge").join(a_text, "a_key").hint("merge").join(b_text, "b_key")
     links = staged(sides.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long").distinct(), "links")
     release(pairs)
+    asked.release()
     return links
 
 
@@ -256,20 +272,23 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id, text).
+def similar(docs: DataFrame, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, key, part), a row for each row of docs (doc_id, text).
 
     component_id is the least doc_id reachable by links, the own one included.
     Texts without words (null, empty, blank) have no shingles and no links.
-    Equal sets are linked, also of rows with the same doc_id; a null doc_id is
-    never a component's id unless all its rows have none.  Columns other than
-    doc_id and text are not looked at; an empty table gives an empty one.
+    Equal sets are linked, also of rows with the same doc_id; rows with a null
+    doc_id link like others, but null is never a component's id unless all its
+    rows have none.  key is row_key() of the row; part names the component (a
+    number that only tells components apart), null without shingles.  Columns
+    other than doc_id and text are not looked at; an empty table gives an empty one.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    lean, prefixes = _prefixes(docs, shingle_sketch(docs), max(1, math.ceil(size / _BUCKET_BYTES)))
-    classes = staged(lean.where("n > 0").groupBy("cls", "grp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
+    lean, prefixes = _prefixes(docs, shingle_sketch(docs, sketch_bits), max(1, math.ceil(size / _BUCKET_BYTES)))
+    classes = staged(lean.where("n > 0").groupBy("cls", "grp").agg(F.min("doc_id").alias("least"), F.min("key").alias("key")), "classes")
     leaders = classes.groupBy("grp").agg(F.min("cls").alias("leader"), F.count("*").alias("members"))
-    one = classes.groupBy("cls").agg(F.min("least").alias("least"))
+    # Staged, so that joins with it are of plain exchanges, which Spark splits where a class has many pairs.
+    one = staged(classes.groupBy("cls").agg(F.min("least").alias("least"), F.min("key").alias("key")), "one")
 
     shared = staged(prefixes.groupBy("bucket").applyInArrow(_shared_lists, "key long, grp long, at long, hub_grp long, hub_at long"), "shared")
     whole_key = f"IF(at & 1 = 1, key & {-(1 << _SALT_BITS)}L, key)"
@@ -287,8 +306,10 @@ def similar(docs: DataFrame) -> DataFrame:
     members = staged(known, "members")
     release(roots)
     held = shared.selectExpr(f"{whole_key} AS key", "grp", "at").join(members, "grp").drop("grp")
-    mixed = held.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-    held = staged(held.join(mixed, "key", "left_semi"), "mixed")
+    # Staged, so that the join is one of plain exchanges, which Spark splits where a key is frequent.
+    keys = staged(held.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key"), "mixed-keys")
+    held = staged(held.join(keys, "key", "left_semi"), "mixed")
+    release(keys)
     apart = held.alias("p").join(held.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.cls") < F.col("q.cls")) & _may_link("p.at", "q.at"))
     apart = apart.select(*_pair("p.cls", "q.cls"))
     inside = members.join(leaders.where("members > 1"), "grp").select("grp", "cls", "root")
@@ -299,13 +320,14 @@ def similar(docs: DataFrame) -> DataFrame:
     release(held, members, first, second)
 
     least = roots.join(one.withColumnRenamed("cls", "node"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    linked = roots.join(least, "root").selectExpr("node AS cls", "component")
+    linked = roots.join(least, "root").selectExpr("node AS cls", "root", "component")
     # Staged, so that the last join is one of two plain exchanges, which Spark splits where a class is large.
-    named = staged(one.join(linked, "cls", "left").selectExpr("cls", "coalesce(component, least) AS component"), "named")
-    release(classes, roots)
-    alone = lean.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return lean.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(alone)
+    named = staged(one.join(linked, "cls", "left").selectExpr("cls", "IF(root IS NULL, least, component) AS component", "coalesce(root, cls) AS part"), "named")
+    release(classes, roots, one)
+    alone = lean.where("n = 0").selectExpr("doc_id", "n AS n_shingles", "doc_id AS component_id", "key", "CAST(NULL AS BIGINT) AS part")
+    return lean.where("n > 0").join(named, "cls").selectExpr("doc_id", "n AS n_shingles", "component AS component_id", "key", "part").union(alone)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents"))
+    """All documents with their component; see similar() for nulls, empty texts, ties and repeated rows."""
+    return similar(table(spark, sf_dir, "documents")).drop("key", "part")

@@ -6,6 +6,7 @@ to a word; that is exact for classes that treat all non-ASCII characters alike.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,12 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = True
 ALNUM[128:] = True
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -98,8 +105,14 @@ def slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[T
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield Texts(batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at])
             at = to
-    # The worker lives on: what Arrow keeps for later would add up over stages.
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Give back what the allocators keep for later: the worker lives on, and it would add up over stages."""
     pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def words(data: np.ndarray, offset: np.ndarray, table: np.ndarray, hashed: bool = True) -> Words:
