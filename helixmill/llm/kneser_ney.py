@@ -118,20 +118,28 @@ def _found(keys: np.ndarray, values: np.ndarray, key: np.ndarray, otherwise: np.
     return np.where(keys[at] == key, values[at], otherwise)
 
 
-def _log_ratio(ordinary: np.ndarray, toxic: np.ndarray, lower: np.ndarray | float = 0.0) -> np.ndarray:
-    """log P(it | toxic) - log P(it | ordinary) as far as the counts can't be chance, else `lower`.
-
-    Both classes lose the same share of their mass: the smaller one DISCOUNT of
-    a count, the larger one proportionally more.  Else the class with fewer
-    texts would be the likelier source of everything rare.
+def shares(ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each expression in either class, from its counts; each sums to 1.
+
+    Counts lose an absolute discount, and what a class loses goes to the shared
+    lower order, the counts of both.  Both classes lose the same share of their
+    mass: the smaller one DISCOUNT of a count, the larger one proportionally
+    more.  Else the class with fewer texts would be the likelier source of
+    everything rare.
     """
-    both, totals, logs = ordinary + toxic, (ordinary.sum(), toxic.sum()), []
+    totals, out = (ordinary.sum(), toxic.sum()), []
     for count, total in zip((ordinary, toxic), totals):
         own = np.maximum(count / total - DISCOUNT / min(totals), 0)
-        logs.append(np.log(own + (1 - own.sum()) * both / sum(totals)))
-    even = both * (totals[1] / sum(totals))
+        out.append(own + (1 - own.sum()) * (ordinary + toxic) / sum(totals))
+    return out[0], out[1]
+
+
+def _log_ratio(ordinary: np.ndarray, toxic: np.ndarray, lower: np.ndarray | float = 0.0) -> np.ndarray:
+    """log P(it | toxic) - log P(it | ordinary) as far as the counts can't be chance, else `lower`."""
+    p = shares(ordinary, toxic)
+    even = (ordinary + toxic) * (toxic.sum() / (ordinary.sum() + toxic.sum()))
     trust = 1 / (1 + np.exp(STEEPNESS * (DEVIATIONS - np.abs(toxic - even) / np.sqrt(even + 1))))
-    return trust * (logs[1] - logs[0]) + (1 - trust) * lower
+    return trust * (np.log(p[1]) - np.log(p[0])) + (1 - trust) * lower
 
 
 def fit(key: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Ratios:

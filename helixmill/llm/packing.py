@@ -215,4 +215,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences; see pieces() and packed() for nulls, empty texts, ties and repeated rows."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -133,5 +133,6 @@ def score(docs: DataFrame, model: gam.Gam, threshold: float = THRESHOLD) -> Data
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by what the labels outside fold 0 teach; see score() for nulls, empty texts, ties and repeated rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")

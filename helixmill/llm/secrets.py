@@ -139,5 +139,6 @@ def find(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their spans; see find() for nulls, empty texts, ties and repeated rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find(docs).drop("text")

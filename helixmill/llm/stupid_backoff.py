@@ -174,6 +174,7 @@ def _word_counts(batches):
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under a model of all documents; see scores() for nulls, empty texts, ties and repeated rows."""
     return scores(table(spark, sf_dir, "documents"))
 
 
