@@ -1,13 +1,14 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.llm import components, decontaminate, fingerprint, gam, html_text, jaccard, kneser_ney, packed, packing, quality, secrets, sharding, stupid_backoff, tokens, toxicity
+from helixmill.llm import bitmap, components, decontaminate, fingerprint, gam, html_text, jaccard, kneser_ney, packed, packing, quality, secrets, sharding, stupid_backoff, tokens, toxicity
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(9000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long, shard int, __k long"
@@ -16,6 +17,8 @@ ROWS = [
     (1, "THE QUICK brown  fox\tjumps over the lazy dog and runs away"),
     (2, None), (3, ""), (4, "   \n\t "), (6, "one two"), (7, LONG), (8, LONG + " tail"), (9, "émile Ünïcode straße 日本語 text here now"),
     (10, "one two"), (10, "one two"), (None, "a null id has this text of several words"), (11, "x"),
+    (None, " ".join(f"n{i}" for i in range(40))), (12, " ".join(f"n{i}" for i in range(3, 40))), (13, " ".join(f"n{i}" for i in range(37))),
+    (None, "Only null ids have this text of several words"), (None, "only null ids have this text of several words"),
 ]
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,6 +98,11 @@ def test_next_row_is_cyclic(spark, docs, empty):
     assert one.next_doc_id == 5
 
 
+def jaccard_of(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_op1_against_brute_force(spark, tmp_path):
     texts = {i * 3: t for i, t in enumerate(["abcdé fgh", "", "x", LONG, "zz yy xx ww vv uu tt", "long enough text to borrow from the next one here"])}
     spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -105,6 +113,9 @@ def test_op1_against_brute_force(spark, tmp_path):
         edited = texts[i][: len(texts[i]) - half] + texts[j][:half]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(texts[i])
         assert 0 <= got[i].near_edited <= 1
+        alike = jaccard_of(texts[i], texts[j])
+        assert abs(got[i].near_next - alike) < 0.17 and (alike < 1 or got[i].near_next == 1)
+        assert abs(got[i].near_edited - jaccard_of(texts[i], edited)) < 0.17
 
 
 def jump(key, n):
@@ -133,22 +144,73 @@ def test_jump_hashing(spark, docs, empty):
         sharding.shard(df, shards=0)
 
 
-def test_kneser_ney_shares_sum_to_one_and_tell_classes_apart():
-    def counted(texts):
-        data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
-        off = np.cumsum([0, *(len(t.encode()) for t in texts)])
-        return data, off
+def test_op2_against_brute_force(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op2_sharding(spark, str(tmp_path)).collect()
+    assert {r.law for r in got} == {"key"}
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), jump(i or 0, 16), jump(i or 0, 17)) for i, t in ROWS)
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.grown_shard) for r in got) == want
+    for s in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
 
+def counted(texts):
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    return data, np.cumsum([0, *(len(t.encode()) for t in texts)])
+
+
+def test_kneser_ney_shares_sum_to_one_and_tell_classes_apart():
     bad, good = ["you awful scum idiot", "idiot idiot table"], ["the table and chair", "a chair table the"]
     k1, _ = kneser_ney.expressions(*counted(bad))
     k0, _ = kneser_ney.expressions(*counted(good))
     keys = np.unique(np.append(k0, k1))
-    r = kneser_ney.fit(keys, np.array([(k0 == k).sum() for k in keys], float), np.array([(k1 == k).sum() for k in keys], float))
+    ordinary, toxic = (np.array([(k == x).sum() for x in keys], float) for k in (k0, k1))
+    for p in kneser_ney.shares(ordinary, toxic):
+        assert abs(p.sum() - 1) < 1e-12 and (p > 0).all()
+    r = kneser_ney.fit(keys, ordinary, toxic)
     m = r.means(*counted(["idiot scum", "chair the", "", "unseen words"]))
     assert m[0] > 0 > m[1] and m[2] == m[3] == 0
     assert len(kneser_ney.fit(keys, np.zeros(len(keys)), np.ones(len(keys))).key) == 0
 
 
+def test_kneser_ney_against_counting():
+    rng = np.random.default_rng(6)
+    vocabulary = [f"{p}{x}" for p in ("stem", "root", "long", "idio") for x in "abcdefgh"] + ["ax", "by"]
+    texts = [(" ".join(rng.choice(vocabulary, 25, p=None)) + (" idiot idiom" if rng.random() < (0.8 if c else 0.1) else ""), c) for c in (0, 0, 0, 1) for _ in range(60)]
+    df, totals = [collections.Counter(), collections.Counter()], [0, 0]
+    for t, c in texts:
+        df[c].update(set(t.split()))
+
+    def ratios(counts, lower):
+        totals = [sum(x.values()) for x in counts]
+        lost = 0.75 / min(totals)
+        own = [{w: max(n / total - lost, 0) for w, n in x.items()} for x, total in zip(counts, totals)]
+        out = {}
+        for w in counts[0].keys() | counts[1].keys():
+            both = counts[0][w] + counts[1][w]
+            p = [own[c].get(w, 0) + (1 - sum(own[c].values())) * both / sum(totals) for c in (0, 1)]
+            even = both * totals[1] / sum(totals)
+            trust = 1 / (1 + np.exp(4 * (4 - abs(counts[1][w] - even) / np.sqrt(even + 1))))
+            out[w] = trust * np.log(p[1] / p[0]) + (1 - trust) * lower(w)
+        return out
+
+    begins = [collections.Counter(), collections.Counter()]
+    for c in (0, 1):
+        for w, n in df[c].items():
+            begins[c][w[:4]] += n
+    lower = ratios(begins, lambda w: 0.0)
+    want = ratios(df, lambda w: lower[w[:4]])
+    key, doc = kneser_ney.once(*kneser_ney.expressions(*counted([t + " " for t, _ in texts])))
+    keys, at = np.unique(key, return_inverse=True)
+    label = np.array([c for _, c in texts])[doc]
+    model = kneser_ney.fit(keys, np.bincount(at[label == 0], minlength=len(keys)).astype(float), np.bincount(at[label == 1], minlength=len(keys)).astype(float))
+    tries = ["idiot", "stema rootb", "idiotic unseen", "ax by ax", "longer"]
+    own = [sum(want.get(w, lower.get(w[:4], 0.0)) for w in t.split()) / len(t.split()) for t in tries]
+    assert np.allclose(model.means(*counted([t + " " for t in tries])), own)
+    assert own[0] > 1
+
+
 def test_kneser_ney_reads_whole_words():
     def keys(text):
         data = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -264,10 +326,64 @@ def test_html(spark):
     assert html_text.main_text(plain) == "Head\nIt is the story of a man and the sea, and of all that was in it.\nShort."
     for odd in (None, "", "<", "<p", "<!-- x", "<script>alert(1)", "&", "</p></div>", "<p class='x"):
         assert html_text.main_text(odd) == ""
+    prose = "It is the story of a man and the sea, and of all that was in it."
+    accents = "<p><a href=x>" + "&eacute;" * 13 + "</a></p>"
+    assert html_text.main_text(f"<article><p>{prose}</p>{accents}<p><a href=x>A paragraph that is all link.</a></p></article>") == f"{prose}\n{'é' * 13}\nA paragraph that is all link."
+    assert html_text.main_text(f'<article><div class="share-of-market"><p>{prose}</p></div></article>') == prose
+    assert html_text.main_text(f'<div class="layout with-sidebar"><article class="post share-enabled"><p>{prose}</p></article></div><div class="cookieNotice"><p>{prose}</p></div>') == prose
+    japanese = "日本語の文章はここにあります。" * 5
+    assert html_text.main_text(f"<nav><a href=x>メニュー</a></nav><div><p>{japanese}</p></div>") == japanese
+    assert html_text.main_text(f"<p>{prose}</p><p>&#{'9' * 5000}; &#xffffffffff;a</p>") == f"{prose}\n\ufffd \ufffda"
     rows = html_text.extract(spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")).orderBy("page_id").collect()
     assert rows[0].n_chars == len(rows[0].text) and rows[1].text == "" and rows[1].n_chars == 0
 
 
+def test_html_takes_time_in_proportion():
+    n = 100_000
+    pages = [
+        "<article><p>text</p><a " + 'b="c" ' * n, "<a b " * n, '<a b="' * n, '<a ">" ' * n, "<p>ab</p>" * n, "<b>" * n + "</i>" * n, "<p><div>" + "<b>" * n + "<hr>" * n,
+        "<script></script " * n, "<!-- " * n, "<!" * n, "<p>" + "&" * n, "<a>x" * n, "<td>x" * n, "<li><a href=x>y</a>" * n, "<p a='" * n + ">",
+    ]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 8, page[:40]
+
+
+def test_html_second_pass_against_looking_around():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        blocks = []
+        for _ in range(rng.integers(1, 14)):
+            kind, container = rng.integers(0, 4), int(rng.integers(0, 3))
+            text = "It is the story of a man and the sea and of it" if kind == 0 else "ab cd"
+            blocks.append(html_text.Block(text, 0, bool(kind == 1), container, bool(rng.integers(0, 4) == 0)))
+        known = any(b.text[0] == "I" and not b.boilerplate for b in blocks)
+        first = [False if b.boilerplate else True if b.text[0] == "I" and known else None for b in blocks]
+
+        def look(i, step):
+            j = i + step
+            while 0 <= j < len(blocks):
+                if first[j] is not None and (not blocks[i].container or blocks[j].container == blocks[i].container and first[j]):
+                    return abs(j - i), first[j]
+                j += step
+            return None
+
+        want = list(first)
+        for i, b in enumerate(blocks):
+            if first[i] is None:
+                near = [x for x in (look(i, -1), look(i, 1)) if x]
+                if not near:
+                    want[i] = b.container > 0
+                elif b.heading:
+                    want[i] = (look(i, 1) or look(i, -1))[1]
+                else:
+                    least = min(x[0] for x in near)
+                    want[i] = any(x[1] for x in near if x[0] == least)
+        html_text.decide(blocks)
+        assert [b.good for b in blocks] == want
+
+
 def brute_components(rows):
     sets = [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -289,8 +405,10 @@ def brute_components(rows):
 
 
 def test_jaccard_join_against_brute_force(spark, docs, empty):
-    got = collections.Counter(tuple(r) for r in jaccard.similar(docs).collect())
-    assert got == brute_components(ROWS)
+    def found(df, **more):
+        return collections.Counter(tuple(r)[:3] for r in jaccard.similar(df, **more).collect())
+
+    assert found(docs) == brute_components(ROWS)
     assert jaccard.similar(empty).count() == 0
     rng = np.random.default_rng(3)
     rows = []
@@ -307,9 +425,25 @@ def test_jaccard_join_against_brute_force(spark, docs, empty):
     for salt in (old, 3):
         jaccard._SALT_ROWS = salt
         try:
-            assert collections.Counter(tuple(r) for r in jaccard.similar(df).collect()) == brute_components(rows)
+            assert found(df) == brute_components(rows)
         finally:
             jaccard._SALT_ROWS = old
+    # Tables far too small for the input cost time, not links.
+    bits, bitmap.LEAST_BITS, bitmap.MOST_BITS = (bitmap.LEAST_BITS, bitmap.MOST_BITS), 8, 8
+    try:
+        assert found(df, sketch_bits=6) == brute_components(rows)
+    finally:
+        bitmap.LEAST_BITS, bitmap.MOST_BITS = bits
+
+
+def test_bitmap(spark):
+    keys = spark.createDataFrame([(i * 7919 - 5000,) for i in range(300)] + [(None,), (0,), (-(2**63),), (2**63 - 1,)], "k long")
+    found = bitmap.bitmap(keys, "k")
+    rows = found.marked(keys.union(spark.range(10**6, 10**6 + 5000)), "k").collect()
+    assert len(rows) == 5304 and all(r["__maybe"] for r in rows[:300]) and not rows[300]["__maybe"] and all(r["__maybe"] for r in rows[301:304])
+    assert sum(r["__maybe"] for r in rows[304:]) < 50
+    empty_bits = bitmap.bitmap(keys.limit(0), "k")
+    assert not any(r["__maybe"] for r in empty_bits.marked(keys, "k").collect())
 
 
 def test_components(spark):
@@ -411,8 +545,44 @@ def test_decontamination_against_brute_force(spark, docs, empty):
                     hit.update(range(k, k + m))
                     items |= found
         want[d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
-    for part in (10**9, 150):
-        rows = decontaminate.contamination(docs, frame, part_bytes=part).collect()
+    clash = docs.withColumns({"__items": F.lit(7), "__bits": F.lit("b"), "n_hit": F.lit(9)})
+    for part, segment, df in ((10**9, 4096, docs), (10, 4096, clash), (10**9, 3, docs)):
+        decontaminate._SEGMENT, old = segment, decontaminate._SEGMENT
+        try:
+            rows = decontaminate.contamination(df, frame, part_windows=part).collect()
+        finally:
+            decontaminate._SEGMENT = old
         assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == want
+        assert df is docs or {(r["__items"], r["__bits"]) for r in rows} == {(7, "b")}
     assert decontaminate.contamination(empty, frame).count() == 0
     assert decontaminate.contamination(docs, frame.limit(0)).where("contaminated").count() == 0
+
+
+def test_large_benchmark_compiles_small_and_moves_far():
+    rng = np.random.default_rng(9)
+    words_ = np.array([f"w{i}" for i in range(200_000)])
+    items = [(f"i{k}", " ".join(words_[rng.integers(0, len(words_), 2000)])) for k in range(600)]
+    items += [("again", items[0][1]), ("same", "a " * 5000)]
+    began = time.process_time()
+    c = decontaminate.compiled(items)
+    assert time.process_time() - began < 20
+    p = c.patterns[-1]
+    assert len(p.key) == 600 * 1988 + 1
+    assert sum(x.nbytes for x in (c.data, c.begin, c.end, c.hash, p.shift, p.key, p.start, p.first, p.owner)) < 120_000_000
+    text = np.frombuffer(" ".join(words_[rng.integers(0, len(words_), 50_000)]).encode() + b" " + " ".join(items[5][1].split()[100:130]).encode(), dtype=np.uint8)
+    w = tokens.words(text, np.array([0, len(text)]), tokens.ALNUM)
+    moves = p.move(tokens.combined(w.hash, p.block))
+    assert moves.mean() > 0.5 * (p.length - p.block + 1)
+    start, pattern = decontaminate.occurrences(p, c, w, text)
+    assert sorted(start.tolist()) == list(range(50_000, 50_018)) and {c.items[p.owner[p.first[j]]] for j in pattern} == {"i5"}
+
+
+def test_additive_score_is_the_sum_of_its_tables():
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 60, (400, 4)).astype(float)
+    m = gam.fit(x, ((x[:, 0] > 30) ^ (x[:, 1] > 20)).astype(float), np.arange(400) % 5 == 0)
+    for row, p in zip(x[:50], m.probabilities(x[:50])):
+        logit = m.base + sum(t[sum(e <= v for e in edges)] for v, edges, t in zip(row, m.edges, m.tables))
+        for (a, b), grid in zip(m.pairs, m.grids):
+            logit += grid[sum(e <= row[a] for e in m.coarse[a]), sum(e <= row[b] for e in m.coarse[b])]
+        assert abs(p - 1 / (1 + np.exp(-logit))) < 1e-9
