@@ -11,51 +11,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm import decontaminate, jaccard, packing, secrets, toxicity
-from helixmill.llm.bitmap import bitmap, by_bitmap
+from helixmill.llm.bitmap import bitmap
 from helixmill.llm.common import staged, table
 from helixmill.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney models don't reject; they learn from `docs` and labels."""
+    """Documents that the Kneser-Ney models don't reject; they learn from `docs` and labels.
+
+    Rows are judged one by one: repeated rows share their fate, a null or empty
+    text is not toxic.  A null doc_id has no label and is judged like others.
+    """
     model = toxicity.fit(docs, table(ship(spark), sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the least doc_id.
-
-    Rows that repeat a whole document are one; a document with a null doc_id
-    stays, as nothing names it.  Texts are shuffled only where a bitmap of the
-    ids to go can't tell.
+    """Of each component of similar documents the row with the least doc_id.
+
+    Rows are told apart by doc_id and text, so rows of one doc_id with unlike
+    texts are judged each by itself; of rows that tie (same id, or none) the
+    one with the least hash stays, and of identical ones any.  A component
+    without any doc_id keeps one row too.  Texts without words are like
+    nothing: all stay, repeated or not.  Texts are shuffled only where a bitmap
+    of the rows to go can't tell.
     """
     ship(spark)
     found = staged(jaccard.similar(docs), "components")
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    words = bitmap(gone, "doc_id")
-    kept = by_bitmap(docs, "doc_id", words, hit=False).union(by_bitmap(docs, "doc_id", words, hit=True).join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again.select(*docs.columns))
+    judged = found.where("part IS NOT NULL")
+    stays = staged(judged.where("doc_id <=> component_id").groupBy("part").agg(F.min("key").alias("key"), F.count("*").alias("n")), "stays")
+    gone = staged(judged.join(stays.select("key"), "key", "left_anti").select("key").distinct(), "gone")
+    again = judged.join(stays.where("n > 1").select("key"), "key", "left_semi").groupBy("key").count().where("count > 1").select("key")
+    again = staged(again, "repeated")
+    asked = bitmap(gone.union(again), "key")
+    rows = asked.marked(docs.withColumn("__key", jaccard.row_key()), "__key")
+    kept = rows.where("NOT __maybe").select(*docs.columns)
+    left = rows.where("__maybe").join(gone.withColumnRenamed("key", "__key").hint("merge"), "__key", "left_anti")
+    if again.isEmpty():
+        return kept.union(left.select(*docs.columns))
+    again = again.withColumnRenamed("key", "__key")
+    once = left.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.union(left.join(again, "__key", "left_anti").select(*docs.columns)).union(once.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth repeats windows of the benchmark."""
+    """Documents of which less than a twentieth repeats windows of the benchmark.
+
+    Rows are judged one by one, whatever their doc_id; null and empty texts stay.
+    """
     found = decontaminate.contamination(docs, table(ship(spark), sf_dir, "benchmark"))
     return found.where("NOT contaminated").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret's span replaced by its kind."""
+    """All documents, with each secret's span replaced by its kind and n_chars counted anew.
+
+    No row goes: a null text stays null, repeated rows stay repeated.
+    """
     ship(spark)
     found = secrets.find(docs, redact=True)
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens.
+
+    Repeated rows and null doc_ids have pieces like others; a null or empty
+    text is one piece of one token.
+    """
     ship(spark)
     return packing.pack_documents(docs)
 
