@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna
 
+from helixmill.staging import checkpointed
+
 from . import error_model, regions, search
-from .trim import LEAST_LENGTH, quick_trim, within_trim
+from .trim import LEAST_LENGTH, quick_trim
 from .trusted import untrusted_positions
 
-#: Trusted k-mers that are sent to every executor, 8 bytes each.
-BROADCAST_KMERS = 50_000_000
+#: Trusted k-mers that are sent to every executor at most, 8 bytes each; more are asked by joins.
+BROADCAST_KMERS = 8_000_000
 
 
 def packed_trusted(trusted: DataFrame, k: int, most: int = BROADCAST_KMERS) -> np.ndarray | DataFrame:
@@ -25,23 +26,28 @@ def packed_trusted(trusted: DataFrame, k: int, most: int = BROADCAST_KMERS) -> n
 
 
 def suspects(reads: DataFrame, trusted: DataFrame, k: int, offset: int, trim_threshold: int = 3) -> DataFrame:
-    """Reads (read_id, seq, qual) with trim_len and comps: their components, regions included.
+    """Reads (read_id, seq, qual, ...) with trim_len and comps: their components, regions included.
 
     comps is null where no untrusted window survives the trimming; reads below
     the least length have trim_len 0.
     """
     trimmed = quick_trim(reads, trim_threshold, offset).withColumn("trim_len", F.when(F.length("seq") < LEAST_LENGTH, 0).otherwise(F.col("trim_len")))
-    bad = within_trim(untrusted_positions(reads, trusted, k), trimmed, k)
-    probs = trimmed.withColumn("q", dna.checked_phreds("qual", offset)).select("read_id", "trim_len", dna.probabilities("q").alias("probs"))
-    comps = regions.with_core(regions.components(bad.select("read_id", "pos"), k), k).join(probs, "read_id")
+    # Only windows that survive the trimming are looked at.
+    bad = untrusted_positions(trimmed.select("read_id", F.expr("substring(seq, 1, trim_len)").alias("seq")), trusted, k)
+    comps = regions.with_core(regions.components(bad, k), k)
+    comps = comps.join(trimmed.select("read_id", "qual", "trim_len"), "read_id").withColumn("q", dna.checked_phreds("qual", offset)).withColumn("probs", dna.probabilities("q"))
     comps = regions.error_region_chop(regions.error_region(comps, k), k)
     listed = comps.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("component", "starts", "chopped", "region"))).alias("comps"))
     return trimmed.join(listed, "read_id", "left")
 
 
+_CODES = np.full(256, 4, dtype=np.int64)
+_CODES[[ord(c) for c in "ACGT"]] = range(4)
+
+
 def _parsed(r, offset: int, right: np.ndarray) -> tuple[search.Read, list]:
     n = int(r.trim_len)
-    codes = np.array(["ACGT".find(c) if c in "ACGT" else 4 for c in r.seq[:n]], dtype=np.int64)
+    codes = _CODES[np.frombuffer(r.seq[:n].encode("latin-1", "replace"), dtype=np.uint8)]
     quality = np.frombuffer(r.qual[:n].encode("latin-1"), dtype=np.uint8).astype(np.int64) - offset
     comps = [tuple([int(i) for i in c[name]] for name in ("starts", "chopped", "region")) for c in r.comps]
     return search.Read(codes, quality, right[quality]), comps
@@ -52,23 +58,37 @@ def _outcome(r, edits: dict[int, int], keep: int, solved: bool) -> tuple:
     used = [(i, "ACGT"[b]) for i, b in sorted(edits.items()) if i < keep]
     for i, b in used:
         seq[i] = b
-    return r.read_id, r.seq, r.qual, int(r.trim_len), "".join(seq), solved, [{"place": i, "base": b} for i, b in used]
+    return "".join(seq), solved, [{"place": i, "base": b} for i, b in used]
+
+
+_FOUND = {"cor": "string", "solved": "boolean", "edits": "array<struct<place:int,base:string>>"}
+
+#: An error model, or one for each file by its name.
+Models = np.ndarray | dict[str, np.ndarray]
+
 
+def _schema(rows: DataFrame, more: dict[str, str]) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} {kind}" for c, kind in more.items())])
 
-def searched_by_rounds(hard: DataFrame, trusted: DataFrame, k: int, offset: int, model: np.ndarray, priors: list[float], learning: bool = False) -> DataFrame:
+
+def _model(models: Models, r) -> np.ndarray:
+    return models[r.file] if isinstance(models, dict) else models
+
+
+def searched_by_rounds(hard: DataFrame, trusted: DataFrame, k: int, offset: int, models: Models, priors: list[float], learning: bool = False) -> DataFrame:
     """What searched() gives for reads with components, for a trusted set of any size.
 
     A round searches each read with the k-mers known to it and notes those it
     asked for; a join with the trusted set answers them, and the reads that
     asked are searched again.  Nothing is broadcast.  Each round is
-    checkpointed in spark.checkpoint.dir.
+    checkpointed in the shared folder.
     """
-    spark = hard.sparkSession
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(folder)
     right = np.array(dna.quality_probabilities())
-    state = hard.select("read_id", "seq", "qual", "trim_len", "comps").withColumns({"kmers": F.expr("CAST(array() AS ARRAY<BIGINT>)"), "oks": F.expr("CAST(array() AS ARRAY<BOOLEAN>)")})
+    kept = [c for c in hard.columns if c != "comps"]
+    state = hard.withColumns({"kmers": F.expr("CAST(array() AS ARRAY<BIGINT>)"), "oks": F.expr("CAST(array() AS ARRAY<BOOLEAN>)")})
+    schema = _schema(state, {**_FOUND, "missing": "array<bigint>"})
     answers = trusted.select(dna.pack("kmer").alias("kmer"), F.lit(True).alias("ok"))
+    sent = hard.sparkSession.sparkContext.broadcast(models)
     done = None
 
     def run(batches):
@@ -77,70 +97,72 @@ def searched_by_rounds(hard: DataFrame, trusted: DataFrame, k: int, offset: int,
             for r in pdf.itertuples(index=False):
                 known = search.AskedSet([int(x) for x in r.kmers], [bool(x) for x in r.oks], k)
                 read, comps = _parsed(r, offset, right)
-                edits, keep, solved, _ = search.correct(read, comps, known, model, priors, learning)
+                edits, keep, solved, _ = search.correct(read, comps, known, _model(sent.value, r), priors, learning)
                 out.append((*_outcome(r, edits, keep, solved), sorted(known.missing)))
-            yield pd.DataFrame(out, columns=["read_id", "seq", "qual", "trim_len", "cor", "solved", "edits", "missing"])
+            yield pdf.assign(**dict(zip([*_FOUND, "missing"], map(list, zip(*out)))))
 
     while True:
-        found = state.mapInPandas(run, _SEARCHED + ", missing array<bigint>").checkpoint()
-        ready = found.where("size(missing) = 0").drop("missing")
+        found = checkpointed(state.mapInPandas(run, schema))
+        ready = found.where("size(missing) = 0").select(*kept, *_FOUND)
         done = ready if done is None else done.union(ready)
         asked = found.where("size(missing) > 0").select("read_id", F.explode("missing").alias("kmer"))
         if asked.isEmpty():
             return done
         told = asked.join(answers, "kmer", "left").groupBy("read_id").agg(F.collect_list("kmer").alias("new"), F.collect_list(F.coalesce("ok", F.lit(False))).alias("new_oks"))
-        state = state.join(told, "read_id").select("read_id", "seq", "qual", "trim_len", "comps", F.concat("kmers", "new").alias("kmers"), F.concat("oks", "new_oks").alias("oks"))
+        state = state.join(told, "read_id").withColumns({"kmers": F.concat("kmers", "new"), "oks": F.concat("oks", "new_oks")}).drop("new", "new_oks")
 
 
-_SEARCHED = "read_id long, seq string, qual string, trim_len int, cor string, solved boolean, edits array<struct<place:int,base:string>>"
-
-
-def searched(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, model: np.ndarray, priors: list[float], learning: bool = False) -> DataFrame:
-    """(read_id, seq, qual, trim_len, cor, solved, edits): the corrected prefix of each read.
+def searched(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, models: Models, priors: list[float], learning: bool = False) -> DataFrame:
+    """rows without comps, but with (cor, solved, edits): the corrected prefix of each read.
 
     Only reads with components are searched, spread by a hash of their id.
     `trusted` is what packed_trusted gives, to be broadcast, or the trusted
-    k-mers themselves.
+    k-mers themselves.  With models by file (5.6 KB each) rows have a column `file`.
     """
     # A number of partitions, lest they be joined for their few bytes: the search is long, not large.
     many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hard = rows.where(F.col("comps").isNotNull()).select("read_id", "seq", "qual", "trim_len", "comps").repartition(many, "read_id")
-    easy = rows.where(F.col("comps").isNull()).select(
-        "read_id", "seq", "qual", "trim_len", F.expr("substring(seq, 1, trim_len)").alias("cor"), F.lit(False).alias("solved"), F.expr("CAST(array() AS array<struct<place:int,base:string>>)").alias("edits")
-    )
+    hard = rows.where(F.col("comps").isNotNull()).repartition(many, "read_id")
+    easy = rows.where(F.col("comps").isNull()).drop("comps").withColumns({"cor": F.expr("substring(seq, 1, trim_len)"), "solved": F.lit(False), "edits": F.expr(f"CAST(array() AS {_FOUND['edits']})")})
     if isinstance(trusted, DataFrame):
-        return searched_by_rounds(hard, trusted, k, offset, model, priors, learning).union(easy)
-    sent = rows.sparkSession.sparkContext.broadcast(trusted)
+        return searched_by_rounds(hard, trusted, k, offset, models, priors, learning).unionByName(easy)
+    sent = rows.sparkSession.sparkContext.broadcast((trusted, models))
     right = np.array(dna.quality_probabilities())
+    kept = hard.drop("comps")
 
     def run(batches):
-        known = search.TrustedSet(sent.value, k)
+        trusted, models = sent.value
+        known = search.TrustedSet(trusted, k)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 read, comps = _parsed(r, offset, right)
-                edits, keep, solved, _ = search.correct(read, comps, known, model, priors, learning)
+                edits, keep, solved, _ = search.correct(read, comps, known, _model(models, r), priors, learning)
                 out.append(_outcome(r, edits, keep, solved))
-            yield pd.DataFrame(out, columns=["read_id", "seq", "qual", "trim_len", "cor", "solved", "edits"])
+            yield pdf.drop(columns="comps").assign(**dict(zip(_FOUND, map(list, zip(*out)))))
 
-    return hard.mapInPandas(run, _SEARCHED).union(easy)
+    return hard.mapInPandas(run, _schema(kept, _FOUND)).unionByName(easy)
 
 
-def corrections(found: DataFrame, offset: int) -> DataFrame:
-    """(read_id, place, q, actual, observed): an edit a row, places from 0."""
-    rows = found.select("read_id", "seq", "qual", F.explode("edits").alias("e"))
-    return rows.select("read_id", F.col("e.place").alias("place"), F.expr(f"ascii(substring(qual, e.place + 1, 1)) - {offset}").alias("q"), F.col("e.base").alias("actual"), F.expr("substring(seq, e.place + 1, 1)").alias("observed"))
+def corrections(found: DataFrame, offset: int, *keep: str) -> DataFrame:
+    """(read_id, *keep, place, q, actual, observed): an edit a row, places from 0."""
+    rows = found.select("read_id", *keep, "seq", "qual", F.explode("edits").alias("e"))
+    return rows.select("read_id", *keep, F.col("e.place").alias("place"), F.expr(f"ascii(substring(qual, e.place + 1, 1)) - {offset}").alias("q"), F.col("e.base").alias("actual"), F.expr("substring(seq, e.place + 1, 1)").alias("observed"))
 
 
-def learn(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, priors: list[float], samples: int = error_model.SAMPLES) -> DataFrame:
-    """(q, actual, observed, n) of a strict first pass, from the first `samples` corrections by read.
+def learn(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, priors: list[float], samples: int = error_model.SAMPLES, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, q, actual, observed, n) of a strict first pass, from the first `samples` corrections by read (of each group).
 
     Only reads that are solved as a whole and stay long enough teach.
     """
     found = searched(rows, trusted, k, offset, error_model.uniform(), priors, learning=True)
     found = found.where(F.col("solved") & (F.length("cor") >= LEAST_LENGTH))
-    used = corrections(found, offset).where(F.col("observed").isin(*dna.NUCLEOTIDES)).orderBy("read_id", "place").limit(samples)
-    return error_model.substitution_counts(used)
+    used = corrections(found, offset, *by).where(F.col("observed").isin(*dna.NUCLEOTIDES))
+    if by:
+        first = Window.partitionBy(*by).orderBy("read_id", "place")
+        used = used.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= samples)
+    else:
+        used = used.orderBy("read_id", "place").limit(samples)
+    return error_model.substitution_counts(used, *by)
 
 
 def annotated(found: DataFrame, offset: int, header: str = "header") -> DataFrame:
@@ -161,17 +183,17 @@ def annotated(found: DataFrame, offset: int, header: str = "header") -> DataFram
     )
 
 
-def run_stats(rows: DataFrame) -> DataFrame:
-    """One row of counts of the statuses: validated, corrected, trimmed, trimmed_only, removed."""
+def run_stats(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts of the statuses: validated, corrected, trimmed, trimmed_only, removed; one row (for each group)."""
     def n(*names: str):
         return F.count(F.when(F.col("status").isin(*names), 1))
 
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         n("validated").alias("validated"), n("corrected", "corrected_trimmed").alias("corrected"), n("trimmed", "corrected_trimmed").alias("trimmed"),
         n("trimmed").alias("trimmed_only"), n("removed").alias("removed"),
     )
 
 
-def correction_log(rows: DataFrame, offset: int) -> DataFrame:
-    """(read_id, q, pos, new_nt, old_nt) of kept reads, pos from 1."""
-    return corrections(rows.where("status != 'removed'"), offset).select("read_id", "q", (F.col("place") + 1).alias("pos"), F.col("actual").alias("new_nt"), F.col("observed").alias("old_nt"))
+def correction_log(rows: DataFrame, offset: int, *keep: str) -> DataFrame:
+    """(read_id, *keep, q, pos, new_nt, old_nt) of kept reads, pos from 1."""
+    return corrections(rows.where("status != 'removed'"), offset, *keep).select("read_id", *keep, "q", (F.col("place") + 1).alias("pos"), F.col("actual").alias("new_nt"), F.col("observed").alias("old_nt"))

@@ -24,9 +24,9 @@ def at_bins(counts: DataFrame) -> DataFrame:
     return counts.groupBy(dna.at_count("kmer").cast("bigint").alias("at")).agg(F.count("*").alias("num"))
 
 
-def dense(hist: DataFrame, most: int) -> DataFrame:
-    """hist with the empty bins from 1 to most."""
-    spine = hist.sparkSession.range(1, most + 1).withColumnRenamed("id", "cov")
+def dense(hist: DataFrame) -> DataFrame:
+    """hist with the empty bins from 1 to its last one; an empty one stays empty."""
+    spine = hist.agg(F.max("cov").alias("most")).where("most >= 1").select(F.explode(F.expr("sequence(1L, most)")).alias("cov"))
     return spine.join(hist, "cov", "left").select("cov", F.coalesce("num", F.lit(0)).alias("num"))
 
 

@@ -22,19 +22,24 @@ def check_k(k: int) -> int:
     return k
 
 
-def windows(reads: DataFrame, k: int, *keep: str) -> DataFrame:
+def windows(reads: DataFrame, k: int, *keep: str, strands: int = 1) -> DataFrame:
     """(*keep, pos, kmer) of each window without an unknown base; pos from 0.
 
-    A null read or one shorter than k has none.
+    With two strands the k-mer is the lesser of the window and its reverse
+    complement, both cut from the read's strands as they are.  A null read or
+    one shorter than k has none.
     """
     check_k(k)
-    at = reads.where(F.length("seq") >= k).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - k)))
-    return at.select(*keep, "pos", F.expr(f"substring(seq, pos + 1, {k})").alias("kmer")).where(dna.is_known("kmer"))
+    rows = reads.where(F.length("seq") >= k).select(*keep, "seq", dna.is_known("seq").alias("__known"), *([dna.reverse_complement("seq").alias("__rc")] if strands == 2 else []))
+    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - k)))
+    own = F.expr(f"substring(seq, pos + 1, {k})")
+    kmer = F.least(own, F.expr(f"substring(__rc, length(seq) - pos - {k - 1}, {k})")) if strands == 2 else own
+    # A read that is known as a whole needs no look at its windows.
+    return rows.select(*keep, "pos", kmer.alias("kmer"), "__known").where(F.col("__known") | dna.is_known("kmer")).drop("__known")
 
 
 def canonical_kmers(reads: DataFrame, k: int, *keep: str, both_strands: bool = True) -> DataFrame:
-    found = windows(reads, k, *keep)
-    return found.withColumn("kmer", dna.canonical("kmer")) if both_strands else found
+    return windows(reads, k, *keep, strands=2 if both_strands else 1)
 
 
 def count_kmers(reads: DataFrame, k: int, min_count: int = 0, both_strands: bool = True) -> DataFrame:
@@ -45,11 +50,10 @@ def count_kmers(reads: DataFrame, k: int, min_count: int = 0, both_strands: bool
 
 def weighted_kmers(reads: DataFrame, k: int, offset: int, *keep: str) -> DataFrame:
     """(*keep, pos, kmer, weight): canonical k-mers with the product of their bases' probabilities."""
-    check_k(k)
     rows = reads.where(F.length("seq") >= k).withColumn("__p", dna.checked_phreds("qual", offset)).withColumn("__p", dna.probabilities("__p"))
-    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - k)))
-    rows = rows.select(*keep, "pos", F.expr(f"substring(seq, pos + 1, {k})").alias("kmer"), F.expr(f"aggregate(slice(__p, pos + 1, {k}), 1.0D, (a, p) -> a * p)").alias("weight"))
-    return rows.where(dna.is_known("kmer")).withColumn("kmer", dna.canonical("kmer"))
+    # Base by base from the left, so that every engine rounds alike.
+    weight = F.expr(" * ".join(f"__p[pos + {j}]" for j in range(k)))
+    return windows(rows, k, *keep, "__p", strands=2).select(*keep, "pos", "kmer", weight.alias("weight"))
 
 
 def count_qmers(reads: DataFrame, k: int, offset: int, min_count: float = 0.0, floor: float = WEIGHT_FLOOR) -> DataFrame:

@@ -29,6 +29,15 @@ def by_position(changed: DataFrame) -> DataFrame:
     return changed.groupBy("pos").agg(F.count("*").alias("num"))
 
 
+def trims_by_position(original: DataFrame, corrected: DataFrame, key: str = "header") -> DataFrame:
+    """(pos, num): places, from 1, behind the end of how many of the reads that were changed."""
+    old = original.groupBy(key).agg(F.min("seq").alias("old"))
+    new = corrected.groupBy(key).agg(F.min("seq").alias("new"))
+    cut = old.join(new, key).where(F.expr("length(new) < length(old) AND substring(old, 1, length(new)) != new"))
+    rows = cut.select(F.explode(F.expr("sequence(CAST(length(new) + 1 AS BIGINT), CAST(length(old) AS BIGINT))")).alias("pos"))
+    return rows.groupBy("pos").agg(F.count("*").alias("num"))
+
+
 def correction_report(original: DataFrame, corrected: DataFrame, key: str = "header") -> DataFrame:
     """One row: total, tossed, corrected reads, corrected and trimmed bases of corrected reads."""
     changed = changes(original, corrected, key)

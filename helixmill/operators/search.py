@@ -108,6 +108,8 @@ def solve(read: Read, region: list[int], starts: list[int], trusted: TrustedSet,
     if not learning:
         own = next((t for n, t in (VERY_CAREFUL, CAREFUL) if doubtful >= n), least)
     weights = [edit_weights(read, i, model, priors) for i in order]
+    if len(starts) > k * _most_edits(weights, max(own, least / so_far)):
+        return EXHAUSTED, {}, 0.0
     untrusted = sum(1 << s for s in starts)
 
     # An entry: likelihood, rank in the order from which edits may be added, edits, windows untrusted before the last one.
@@ -141,6 +143,16 @@ def solve(read: Read, region: list[int], starts: list[int], trusted: TrustedSet,
     return (SOLVED, dict(best[1]), best[0]) if best else (EXHAUSTED, {}, 0.0)
 
 
+def _most_edits(weights: list[list[tuple[int, float]]], least: float) -> int:
+    """How many edits at different places can be likelier than `least` together.
+
+    An edit touches k windows, so a component with more windows than these
+    edits can touch has no solution, and needs no search.
+    """
+    best = np.cumprod(sorted((max(w for _, w in own) for own in weights), reverse=True))
+    return int(np.flatnonzero(best >= least * (1 - 1e-9))[-1] + 1) if (best >= least * (1 - 1e-9)).any() else 0
+
+
 def _recheck(read: Read, edits: tuple, untrusted: int, trusted: TrustedSet) -> int:
     """The untrusted windows, as bits, after testing again those around the last edit."""
     k, n = trusted.k, len(read.codes)

@@ -41,8 +41,3 @@ def trim_reads(reads: DataFrame, threshold: int, offset: int | str, keep_short:
     status = F.when(F.col("trim_len") < least, "error").when(F.col("trim_len") < F.length("seq"), "trimmed").otherwise("kept")
     rows = rows.withColumn("status", status).withColumns({c: F.expr(f"substring({c}, 1, trim_len)") for c in ("seq", "qual")})
     return rows if keep_short else rows.where("status != 'error'")
-
-
-def within_trim(positions: DataFrame, trimmed: DataFrame, k: int) -> DataFrame:
-    """Untrusted starts (read_id, pos) whose windows survive trimming (read_id, trim_len)."""
-    return positions.join(trimmed.select("read_id", "trim_len"), "read_id").where(F.col("pos") <= F.col("trim_len") - k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import dna
 
-from .kmers import windows
+from .kmers import canonical_kmers
 
 
 def trusted_scalar(counts: DataFrame, cutoff: float, value: str = "n") -> DataFrame:
@@ -49,7 +49,7 @@ def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int) -> DataFra
     Windows with an unknown base are untrusted.  `trusted` holds canonical
     k-mers; it is broadcast only if Spark finds it small enough.
     """
-    known = windows(reads, k, "read_id").withColumn("kmer", dna.canonical("kmer"))
+    known = canonical_kmers(reads, k, "read_id")
     bad = known.join(trusted.select("kmer"), "kmer", "left_anti").select("read_id", "pos")
     masked = reads.where((F.length("seq") >= k) & ~dna.is_known("seq"))
     masked = masked.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - k)))

@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.operators import correct, coverage, error_model, kmers, model, report, trusted
+from helixmill.operators import correct, coverage, error_model, kmers, model, report, trim, trusted
 from helixmill.shipping import ship
 from helixmill.sources import files
+from helixmill.staging import checkpointed
 
 OFFSET_READS = 1000
 LOW_COVERAGE = 1.0
@@ -18,7 +19,8 @@ LOW_COVERAGE = 1.0
 
 @dataclass
 class Run:
-    """What a run found: the quality offset, the cutoff, the trusted k-mers and the output rows."""
+    """What a run found: the quality offset, the cutoff, the trusted k-mers, the output rows of all
+    files, and for each file statistics, a log, and the counts and probabilities of its error model."""
 
     offset: int
     cutoff: float
@@ -26,6 +28,8 @@ class Run:
     rows: DataFrame
     stats: DataFrame
     log: DataFrame
+    error_counts: DataFrame
+    error_rates: DataFrame
 
 
 def choose_cutoff(counts: DataFrame, goal: float = 200, value: str = "n", sample: int = 30_000) -> float:
@@ -48,7 +52,7 @@ def correct_files(
     keep_headers leaves the headers of kept reads as they are.
     """
     ship(spark)
-    reads = files.read_fastq(spark, *paths).withColumn("read_id", F.xxhash64("file", "ordinal"))
+    reads = files.read_fastq(spark, *paths)
     offset = offset or files.quality_offset(reads, OFFSET_READS).head()[0]
     counts = kmers.count_qmers(reads, k, offset) if weighted else kmers.count_kmers(reads, k)
     value = "q" if weighted else "n"
@@ -60,23 +64,81 @@ def correct_files(
         good = trusted.trusted_scalar(counts, cutoff, value)
     if cutoff < LOW_COVERAGE:
         print(f"cutoff {cutoff}: the coverage is low, some errors will look genuine")
-    good = good.select("kmer").persist()
+    good = checkpointed(good.select("kmer"))
     known, priors = correct.packed_trusted(good, k), trusted.base_priors(good)
-    rows = None
-    for path in [r["file"] for r in reads.select("file").distinct().orderBy("file").collect()]:
-        own = reads.where(F.col("file") == path)
-        suspect = correct.suspects(own, good, k, offset, trim_threshold)
-        learnt = error_model.smoothed(correct.learn(suspect, known, k, offset, priors)).collect()
-        found = correct.searched(suspect, known, k, offset, error_model.as_array(learnt), priors)
-        found = found.join(own.select("read_id", "file", "ordinal", "header"), "read_id")
-        rows = found if rows is None else rows.unionByName(found)
-    rows = correct.annotated(rows, offset)
+    suspect = checkpointed(correct.suspects(reads, good, k, offset, trim_threshold))
+    learnt = checkpointed(correct.learn(suspect, known, k, offset, priors, by=("file",)))
+    rates = error_model.smoothed(learnt, "file")
+    models = {r["file"]: error_model.uniform() for r in suspect.select("file").distinct().collect()}
+    by_file: dict[str, list] = {}
+    for r in rates.collect():
+        by_file.setdefault(r["file"], []).append(r)
+    models |= {file: error_model.as_array(rows) for file, rows in by_file.items()}
+    rows = checkpointed(correct.annotated(correct.searched(suspect, known, k, offset, models, priors), offset))
     if keep_headers:
         rows = rows.withColumn("out_header", F.when(F.col("status") == "removed", F.col("out_header")).otherwise(F.col("header")))
-    return Run(offset, cutoff, good, rows, correct.run_stats(rows), correct.correction_log(rows, offset))
+    return Run(offset, cutoff, good, rows, correct.run_stats(rows, "file"), correct.correction_log(rows, offset, "file"), learnt, rates)
+
+
+def _of(df: DataFrame, path: str) -> DataFrame:
+    return df.where(F.col("file").endswith(path))
 
 
 def mates(run: Run, first: str, second: str) -> DataFrame:
     """The routes of two mate files' reads, side by side by their place in the files."""
     rows = run.rows.select("file", F.col("ordinal").alias("pair_id"), (F.col("status") != "removed").alias("ok"))
-    return report.paired(rows.where(F.col("file").endswith(first)), rows.where(F.col("file").endswith(second)))
+    return report.paired(_of(rows, first), _of(rows, second))
+
+
+def write_run(run: Run, manifest: list[tuple[str, ...]], folder: str | None = None, keep_errors: bool = False, gzip: bool = False, log: bool = False, one_line: bool = False) -> list[str]:
+    """All output of a run: corrected reads in record order, statistics, error models and (log) logs.
+
+    manifest: one path a single file, two for mates.  Output goes beside the
+    reads, or into `folder`.  Returns the paths written.
+    """
+    spark, out = run.rows.sparkSession, []
+    for paths in manifest:
+        to = [f"{folder}/{p.rpartition('/')[2]}" if folder else p for p in paths]
+        if len(paths) == 1:
+            out += files.write_routed(_of(run.rows, paths[0]), to[0], keep_errors, gzip, one_line=one_line)
+        else:
+            out += files.write_paired(*(_of(run.rows, p) for p in paths), *to, keep_errors, gzip)
+        for path, target in zip(paths, to):
+            out.append(files.write_stats(_of(run.stats, path), target))
+            out.append(files.write_error_model(spark, error_model.report(_of(run.error_counts, path).collect(), _of(run.error_rates, path).collect()), target))
+            if log:
+                out.append(files.write_log(_of(run.log, path), target))
+    return out
+
+
+def trim_files(spark: SparkSession, manifest: list[tuple[str, ...]], threshold: int = 3, offset: int | None = None, folder: str | None = None, gzip: bool = False) -> list[str]:
+    """Trim reads by quality: single files to .trim, mates to .trim and .trim_single, in step.
+
+    Reads that get too short are dropped; their mate, if it stays, is single.
+    """
+    ship(spark)
+    reads = files.read_fastq(spark, *(p for paths in manifest for p in paths))
+    offset = offset or files.quality_offset(reads, OFFSET_READS).head()[0]
+    rows = trim.trim_reads(reads, threshold, offset, keep_short=True)
+    rows = rows.withColumns({"out_header": F.col("header"), "out_seq": F.col("seq"), "out_qual": F.col("qual"), "status": F.when(F.col("status") == "error", "removed").otherwise(F.col("status"))})
+    out = []
+    for paths in manifest:
+        to = [f"{folder}/{p.rpartition('/')[2]}" if folder else p for p in paths]
+        sides = [_of(rows, p) for p in paths]
+        out += files.write_routed(sides[0], to[0], gzip=gzip, kind="trim") if len(paths) == 1 else files.write_paired(*sides, *to, gzip=gzip, kind="trim")
+    return out
+
+
+def build_bitset(spark: SparkSession, counts_path: str, k: int, out: str, cutoff: float | None = None, cutoffs_path: str | None = None) -> int:
+    """Trusted k-mers of a file of counts, by one cutoff or by a file of one for each AT count, as a bit array.
+
+    Returns how many k-mers (one strand) are trusted.
+    """
+    if (cutoff is None) == (cutoffs_path is None):
+        raise ValueError("either one cutoff or a file of cutoffs is needed")
+    ship(spark)
+    counts = files.read_counts(spark, counts_path, k, kind="double")
+    good = trusted.trusted_scalar(counts, cutoff) if cutoffs_path is None else trusted.trusted_by_at(counts, files.read_at_cutoffs(spark, cutoffs_path, k))
+    good = checkpointed(good.select("kmer"))
+    files.write_bitset(good, k, out)
+    return good.count()

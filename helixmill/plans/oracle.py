@@ -72,7 +72,7 @@ marked AS (
 )
 _PLANTED = """planted AS (
   SELECT read_id, p, ascii(substring(qual, p + 1, 1)) - 33 AS q, substring(truth, p + 1, 1) AS actual, substring(seq, p + 1, 1) AS observed
-  FROM (SELECT *, CAST((read_id * 13) % 60 AS INT) AS p FROM reads WHERE read_id % 5 = 0 AND read_id % 97 != 0)
+  FROM (SELECT *, error_at AS p FROM reads WHERE error_at >= 0)
   WHERE substring(truth, p + 1, 1) != substring(seq, p + 1, 1))"""
 _CHANGES = """ch AS (
   SELECT read_id, pos, substring(truth, CAST(pos AS INT), 1) AS new_nt, substring(seq, CAST(pos AS INT), 1) AS old_nt
@@ -107,11 +107,14 @@ places AS (
 
 def _fixed_model_sql() -> str:
     return f"""WITH c AS (SELECT unnest(range(1, 41)) AS cov),
-g AS (SELECT cov, sum(power(j, -3.0) / {zeta(3.0)!r} * 0.4 * exp(-power(cov - j * 28.0, 2) / (2 * j * 60.0)) / sqrt(2 * pi() * j * 60.0)) AS genuine FROM c, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov),
+g AS (SELECT cov, {_GENUINE} AS genuine FROM c, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov),
 r AS (SELECT cov, 0.6 * (power(cov, -2.0) - power(cov + 1, -2.0)) / genuine < 200 AS below FROM g)
 SELECT CAST(cov AS BIGINT) AS cov, below, (SELECT CAST(min(cov) AS BIGINT) FROM r WHERE below) AS cutoff FROM r"""
 
 
+#: Where the histogram h first stops falling.
+_TURN = "d AS (SELECT cov, num, num >= lag(num) OVER (ORDER BY cov) AS up FROM h), t AS (SELECT min(cov) AS turn FROM d WHERE up)"
+_GENUINE = "sum(power(j, -3.0) / {z!r} * 0.4 * exp(-power(cov - j * 28.0, 2) / (2 * j * 60.0)) / sqrt(2 * pi() * j * 60.0))".format(z=zeta(3.0))
 _CLASSES = "count(*) FILTER (WHERE status {})"
 
 ORACLE_SQL = {
@@ -129,9 +132,12 @@ ORACLE_SQL = {
     "kmer_pack": _with("counts") + f"SELECT kmer, CAST({_PACKED.format('kmer')} AS BIGINT) AS packed, CAST({_PACKED.format("reverse(translate(kmer, 'ACGT', 'TGCA'))")} AS BIGINT) AS packed_rc, kmer AS unpacked FROM counts",
     "at_count_bins": _with("counts") + f"SELECT CAST({_AT} AS BIGINT) AS \"at\", count(*) AS num FROM counts GROUP BY {_AT}",
     "coverage_hist": _with("counts") + "SELECT n AS cov, count(*) AS num FROM counts GROUP BY n",
-    "hist_bin10": _with("fixed", more="f AS (SELECT greatest((q + 99999) // 100000, 1) AS bin, count(*) AS num FROM fixed WHERE q < 70000000 GROUP BY 1)") + "SELECT CAST(b.bin AS BIGINT) AS bin, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, 701)) AS bin) b LEFT JOIN f ON f.bin = b.bin",
-    "first_valley_peak": _with("counts", more="""h AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, 201)) AS cov) s LEFT JOIN (SELECT n AS cov, count(*) AS num FROM counts GROUP BY n) x ON x.cov = s.cov),
-d AS (SELECT cov, num, num >= lag(num) OVER (ORDER BY cov) AS up FROM h), t AS (SELECT min(cov) AS turn FROM d WHERE up)""") + "SELECT CAST(turn - 1 AS BIGINT) AS valley, CAST((SELECT cov FROM h WHERE cov >= turn ORDER BY num DESC, cov LIMIT 1) AS BIGINT) AS peak FROM t",
+    "hist_bin10": _with("fixed", more="""hq AS (SELECT greatest(CAST(ceil(q / CAST(1000000 AS DOUBLE)) AS BIGINT), 1) AS cov, count(*) AS num FROM fixed GROUP BY 1),
+h AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT max(cov) FROM hq) + 1)) AS cov) s LEFT JOIN hq ON hq.cov = s.cov), """ + _TURN + """,
+p AS (SELECT cov AS peak FROM h WHERE cov >= (SELECT turn FROM t) ORDER BY num DESC, cov LIMIT 1),
+f AS (SELECT greatest((q + 99999) // 100000, 1) AS bin, count(*) AS num FROM fixed WHERE q < (SELECT peak FROM p) * 2500000 GROUP BY 1)""") + "SELECT CAST(b.bin AS BIGINT) AS bin, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT peak FROM p) * 25 + 1)) AS bin) b LEFT JOIN f ON f.bin = b.bin",
+    "first_valley_peak": _with("counts", more="""x AS (SELECT n AS cov, count(*) AS num FROM counts GROUP BY n),
+h AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT max(cov) FROM x) + 1)) AS cov) s LEFT JOIN x ON x.cov = s.cov), """ + _TURN) + "SELECT CAST(turn - 1 AS BIGINT) AS valley, CAST((SELECT cov FROM h WHERE cov >= turn ORDER BY num DESC, cov LIMIT 1) AS BIGINT) AS peak FROM t",
     "count_sample": _with("counts") + f"SELECT kmer, n FROM counts ORDER BY {_DRAW}, kmer LIMIT 3000",
     "stratified_sample": _with("counts", more=f"r AS (SELECT {_AT} AS a, kmer, n, row_number() OVER (PARTITION BY {_AT} ORDER BY {_DRAW}, kmer) AS r FROM counts)") + "SELECT CAST(a AS BIGINT) AS \"at\", kmer, n FROM r WHERE r <= 200",
     "trusted_scalar": _with("good") + "SELECT kmer, n FROM good",
@@ -148,6 +154,14 @@ d AS (SELECT cov, num, num >= lag(num) OVER (ORDER BY cov) AS up FROM h), t AS (
     "error_region": _region_sql(False),
     "error_region_chop": _region_sql(True),
     "int_cutoff_fixed_params": _fixed_model_sql(),
+    "int_likelihood_fixed_params": _with("counts", more=f"""h AS (SELECT n AS cov, count(*) AS num FROM counts WHERE n <= 300 GROUP BY n),
+g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM h, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (power(cov, -2.0) - power(cov + 1, -2.0)) + genuine))) AS BIGINT) AS nll FROM g",
+    "q_likelihood_fixed_params": _with("fixed", more=f"""h AS (SELECT greatest(q // 1000, 1) / 1000 AS cov, count(*) AS num FROM fixed WHERE q // 1000 <= 100000 GROUP BY 1),
+g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM h, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (exp(-(ceil(cov) - 1) / 0.9) - exp(-ceil(cov) / 0.9)) + genuine))) AS BIGINT) AS nll FROM g",
+    "q_cutoff_fixed_params": f"""WITH h AS (SELECT unnest(range(0, 2501)) AS centi), x AS (SELECT centi, centi / 100 AS cov FROM h),
+g AS (SELECT centi, cov, {_GENUINE} AS genuine FROM x, (SELECT unnest(range(1, 31)) AS j) GROUP BY centi, cov),
+r AS (SELECT centi, 0.6 * exp(-cov / 0.9) / 0.9 / genuine AS ratio FROM g)
+SELECT CAST(centi AS BIGINT) AS centi, ratio < 200 AS below, (SELECT CAST(centi AS BIGINT) FROM r ORDER BY abs(ratio - 200), centi LIMIT 1) AS cutoff FROM r WHERE centi > 0""",
     "error_model_counts": _with("reads", more=_PLANTED) + "SELECT CAST(q AS BIGINT) AS q, actual, observed, count(*) AS n FROM planted WHERE observed != 'N' GROUP BY q, actual, observed",
     "error_model_kernel": _with("reads", more=_PLANTED + f""",
 n AS (SELECT 7 + read_id % 3 * 5 AS qr, actual, observed, count(*) AS n FROM planted WHERE observed != 'N' GROUP BY 1, 2, 3),
@@ -159,9 +173,12 @@ LEFT JOIN part ON part.q = g.q AND part.actual = g.actual AND part.observed = g.
     "substitution_matrix": _with("reads", more=_CHANGES) + "SELECT new_nt, old_nt, count(*) AS num FROM ch WHERE old_nt != 'N' GROUP BY new_nt, old_nt",
     "substitution_by_position": _with("reads", more=_CHANGES) + "SELECT CAST(pos AS BIGINT) AS pos, count(*) AS num FROM ch GROUP BY pos",
     "correction_report": _with("reads", more=_CHANGES + """,
-fixed AS (SELECT read_id, length(seq) AS n, CASE WHEN read_id % 7 = 0 THEN 54 ELSE length(truth) END AS m FROM reads WHERE read_id % 4 != 3),
+fixed AS (SELECT read_id, length(seq) AS n, CASE WHEN read_id % 7 = 0 THEN least(54, length(truth)) ELSE length(truth) END AS m FROM reads WHERE read_id % 4 != 3),
 cc AS (SELECT ch.read_id, n - m AS cut FROM ch JOIN fixed USING (read_id) WHERE pos <= m)""") + """SELECT (SELECT count(*) FROM reads) AS total, (SELECT count(*) FROM reads WHERE read_id % 4 = 3) AS tossed,
 (SELECT count(DISTINCT read_id) FROM cc) AS corrected, (SELECT count(*) FROM cc) AS corrected_bp, (SELECT CAST(coalesce(sum(cut), 0) AS BIGINT) FROM (SELECT DISTINCT read_id, cut FROM cc)) AS trimmed_bp""",
+    "trims_by_position": _with("reads", more=_CHANGES + """,
+fixed AS (SELECT read_id, length(seq) AS n, CASE WHEN read_id % 7 = 0 THEN least(54, length(truth)) ELSE length(truth) END AS m FROM reads WHERE read_id % 4 != 3),
+cut AS (SELECT DISTINCT ch.read_id, n, m FROM ch JOIN fixed USING (read_id) WHERE pos <= m AND m < n)""") + "SELECT CAST(pos AS BIGINT) AS pos, count(*) AS num FROM (SELECT unnest(range(m + 1, n + 1)) AS pos FROM cut) GROUP BY pos",
     "pair_routing": _with("reads", more="""ok AS (SELECT read_id // 2 AS pair_id, read_id % 2 AS mate, read_id % 5 != 0 AND read_id % 97 != 0 AS ok FROM reads),
 m AS (SELECT a.pair_id, a.ok AS ok1, b.ok AS ok2 FROM ok a JOIN ok b ON b.pair_id = a.pair_id AND a.mate = 0 AND b.mate = 1)""") + "SELECT pair_id, ok1, ok2, CASE WHEN ok1 AND ok2 THEN 'pair' WHEN ok1 THEN 'single1_err2' WHEN ok2 THEN 'err1_single2' ELSE 'err' END AS route FROM m",
     "run_stats": _with("reads", more=_FOUND) + f"""SELECT {_CLASSES.format("= 'validated'")} AS validated, {_CLASSES.format("IN ('corrected', 'corrected_trimmed')")} AS corrected,

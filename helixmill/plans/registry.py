@@ -14,10 +14,12 @@ from helixmill.functions import dna
 from helixmill.operators import correct, coverage, error_model, kmers, model, regions, report, trim, trusted
 from helixmill.sources import fixture
 from helixmill.sources.files import quality_offset
+from helixmill.staging import checkpointed
 
 K, CUTOFF, TRIM = 15, 4, 3
 #: Model parameters at which the cutoff query is compared.
 FIXED = model.IntModel(copies=2.0, p_error=0.6, shape=2.0, mean=28.0, variance=60.0)
+FIXED_Q = model.QModel(copies=2.0, p_error=0.6, shape=1.0, scale=0.9, mean=28.0, variance=60.0)
 GOAL = 200.0
 BASES = "ACGT"
 
@@ -96,11 +98,14 @@ def coverage_hist(spark, sf_dir):
 
 
 def hist_bin10(spark, sf_dir):
-    return coverage.fine_bins(qmer_count_fixed(spark, sf_dir), "q", kmers.FIXED_SCALE, 700)
+    """Tenths up to two and a half times the peak of the coverage."""
+    values = qmer_count_fixed(spark, sf_dir)
+    peak = coverage.valley_and_peak(coverage.dense(coverage.right_closed(values, "q", kmers.FIXED_SCALE))).head()["peak"]
+    return coverage.fine_bins(values, "q", kmers.FIXED_SCALE, 25 * (peak or 1))
 
 
 def first_valley_peak(spark, sf_dir):
-    return coverage.valley_and_peak(coverage.dense(coverage_hist(spark, sf_dir), 200))
+    return coverage.valley_and_peak(coverage.dense(coverage_hist(spark, sf_dir)))
 
 
 def count_sample(spark, sf_dir):
@@ -190,10 +195,31 @@ def int_cutoff_fixed_params(spark, sf_dir):
 
 def _planted(spark, sf_dir):
     """Planted substitutions as corrections: (read_id, q, actual, observed)."""
-    rows = _reads(spark, sf_dir).where("read_id % 5 = 0 AND read_id % 97 != 0").withColumn("p", F.expr("CAST((read_id * 13) % 60 AS INT)"))
+    rows = _reads(spark, sf_dir).where("error_at >= 0").withColumnRenamed("error_at", "p")
     return rows.selectExpr("read_id", "p", f"ascii(substring(qual, p + 1, 1)) - {fixture.OFFSET} AS q", "substring(truth, p + 1, 1) AS actual", "substring(seq, p + 1, 1) AS observed").where("actual != observed")
 
 
+def int_likelihood_fixed_params(spark, sf_dir):
+    """Minus the log-likelihood of the coverage histogram at fixed parameters, rounded."""
+    hist = coverage_hist(spark, sf_dir).where("cov <= 300").toPandas()
+    nll = model.int_likelihood(FIXED, hist["cov"].to_numpy(float), hist["num"].to_numpy(float))
+    return spark.createDataFrame([(round(nll),)], "nll long")
+
+
+def q_likelihood_fixed_params(spark, sf_dir):
+    """The same of weighted counts up to 100, in thousandths."""
+    rows = qmer_count_fixed(spark, sf_dir).groupBy(F.expr("greatest(q div 1000, 1)").alias("milli")).agg(F.count("*").alias("num")).where("milli <= 100000").toPandas()
+    nll = model.q_likelihood(FIXED_Q, rows["milli"].to_numpy(float) / 1000, rows["num"].to_numpy(float))
+    return spark.createDataFrame([(round(nll),)], "nll long")
+
+
+def q_cutoff_fixed_params(spark, sf_dir):
+    """Coverages in hundredths at fixed parameters: whether the error ratio is under the goal, and the cutoff."""
+    at = np.arange(1, 2501)
+    below = FIXED_Q.ratios(at / 100) < GOAL
+    return spark.createDataFrame([(int(i), bool(b), round(100 * FIXED_Q.cutoff(GOAL))) for i, b in zip(at, below)], "centi long, below boolean, cutoff long")
+
+
 def error_model_counts(spark, sf_dir):
     return error_model.substitution_counts(_planted(spark, sf_dir)).select(F.col("q").cast("bigint").alias("q"), "actual", "observed", "n")
 
@@ -220,10 +246,17 @@ def substitution_by_position(spark, sf_dir):
     return report.by_position(_changes(spark, sf_dir))
 
 
-def correction_report(spark, sf_dir):
+def _restored(spark, sf_dir):
     """As if every fourth read was lost and the others were restored, every seventh cut to 54 bases."""
-    fixed = _reads(spark, sf_dir).where("read_id % 4 != 3").selectExpr("concat('r', read_id) AS header", "IF(read_id % 7 = 0, substring(truth, 1, 54), truth) AS seq")
-    return report.correction_report(_headed(spark, sf_dir, "seq"), fixed)
+    return _reads(spark, sf_dir).where("read_id % 4 != 3").selectExpr("concat('r', read_id) AS header", "IF(read_id % 7 = 0, substring(truth, 1, 54), truth) AS seq")
+
+
+def correction_report(spark, sf_dir):
+    return report.correction_report(_headed(spark, sf_dir, "seq"), _restored(spark, sf_dir))
+
+
+def trims_by_position(spark, sf_dir):
+    return report.trims_by_position(_headed(spark, sf_dir, "seq"), _restored(spark, sf_dir))
 
 
 def pair_routing(spark, sf_dir):
@@ -256,9 +289,9 @@ def correction_log(spark, sf_dir):
 
 
 def _searchable(spark, sf_dir):
-    good = _trusted(spark, sf_dir).cache()
+    good = checkpointed(_trusted(spark, sf_dir))
     priors = trusted.base_priors(good)
-    rows = correct.suspects(_reads(spark, sf_dir), good, K, fixture.OFFSET, TRIM)
+    rows = checkpointed(correct.suspects(_reads(spark, sf_dir), good, K, fixture.OFFSET, TRIM))
     return rows, correct.packed_trusted(good, K), priors
 
 
@@ -301,8 +334,8 @@ _PLANS = (
     reads_scan, quality_offset_guess, scan_summary, kmer_count_int, kmer_count_min, kmer_count_one_strand, qmer_count_fixed, qmer_count_saturated, qmer_count_double,
     reduce_kmers, reduce_qmers_fixed, kmer_pack, at_count_bins, coverage_hist, hist_bin10, first_valley_peak, count_sample, stratified_sample,
     trusted_scalar, trusted_at_cutoff, trusted_both_strands, at_gc_prior, quick_trim, trim_clamped, trim_program, untrusted_positions, untrusted_components,
-    component_intersect, component_union, error_region, error_region_chop, int_cutoff_fixed_params, error_model_counts, error_model_kernel,
-    substitution_matrix, substitution_by_position, correction_report, pair_routing, run_stats, output_rows, correction_log,
+    component_intersect, component_union, error_region, error_region_chop, int_cutoff_fixed_params, int_likelihood_fixed_params, q_likelihood_fixed_params, q_cutoff_fixed_params, error_model_counts, error_model_kernel,
+    substitution_matrix, substitution_by_position, correction_report, trims_by_position, pair_routing, run_stats, output_rows, correction_log,
     correct_reads, learn_error_model, fit_int, fit_q, fit_gc,
 )
 

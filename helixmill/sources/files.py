@@ -4,35 +4,63 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna
+from helixmill.staging import checkpointed
 
-_FASTQ = "file string, ordinal long, header string, seq string, mid string, qual string"
+
+#: Splits of input whose line counts are sent to all tasks, some 100 bytes each; with more they are joined.
+BROADCAST_SPLITS = 500_000
+_READ = ("header", "seq", "mid", "qual")
 
 
 def read_fastq(spark: SparkSession, *paths: str, lenient: bool = False) -> DataFrame:
-    """(file, ordinal, header, seq, mid, qual) of FASTQ files, plain or gzip.
+    """(file, ordinal, read_id, header, seq, mid, qual) of FASTQ files, plain or gzip.
 
     Records are four lines; a last one without a line end counts.  Lines are
     numbered file by file where they lie: each split counts its lines, and
     starts where the splits before it end, so a large plain file is read in
-    parallel.  `lenient` drops white space inside sequences and qualities.
-    Headers lose their @.  A record whose lengths differ is an error.
+    parallel.  A record inside a split is put together there; only records
+    that lie across two splits are shuffled.  read_id is ordinal plus 2^40
+    times the file's number in the order of names.  `lenient` drops white space
+    inside sequences and qualities.  Headers lose their @.  A record whose
+    lengths differ is an error.
     """
     lines = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("id"), "value")
     sizes = lines.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    starts = sizes.selectExpr("file", "at", "first", "sum(n) OVER (PARTITION BY file ORDER BY at) - n AS before")
-    numbered = lines.join(F.broadcast(starts.limit(1_000_000)), ["file", "at"]).withColumn("line", F.col("before") + F.col("id") - F.col("first"))
-    rows = numbered.withColumn("ordinal", F.expr("line div 4")).withColumn("part", F.expr("line % 4"))
-    rows = rows.groupBy("file", "ordinal").agg(*(F.max(F.when(F.col("part") == i, F.col("value"))).alias(c) for i, c in enumerate(("header", "seq", "mid", "qual"))))
+    starts = sizes.selectExpr("file", "at", "n", "first", "sum(n) OVER (PARTITION BY file ORDER BY at) - n AS before", "dense_rank() OVER (ORDER BY file) - 1 AS number")
+    few = starts.count() <= BROADCAST_SPLITS
+    numbered = lines.join(F.broadcast(starts) if few else starts, ["file", "at"]).withColumn("line", F.col("before") + F.col("id") - F.col("first"))
+    numbered = numbered.withColumn("ordinal", F.expr("line div 4"))
+    whole = F.expr("ordinal * 4 >= before AND ordinal * 4 + 4 <= before + n")
+    # A join that shuffles mixes the lines: then all records are put together by their numbers.
+    shuffled = numbered.where(~whole) if few else numbered
+    rows = shuffled.withColumn("part", F.expr("line % 4")).groupBy("file", "number", "ordinal").agg(*(F.max(F.when(F.col("part") == i, F.col("value"))).alias(c) for i, c in enumerate(_READ)))
+    if few:
+        rows = numbered.where(whole).select("file", "number", "ordinal", "value").mapInArrow(_four_lines, rows.schema).unionByName(rows)
     rows = rows.where("NOT (header = '' AND seq IS NULL)")
     if lenient:
         rows = rows.withColumns({"header": F.ltrim("header"), "seq": F.regexp_replace("seq", r"\s", ""), "qual": F.regexp_replace("qual", r"\s", "")})
     bad = "header NOT LIKE '@%' OR qual IS NULL OR length(seq) != length(qual)"
     checked = F.expr(f"IF({bad}, CAST(raise_error(concat('not a FASTQ record: ', file, ' ', CAST(ordinal AS STRING))) AS STRING), substring(header, 2))")
-    return rows.select("file", "ordinal", checked.alias("header"), "seq", "mid", "qual")
+    return rows.select("file", "ordinal", F.expr("shiftleft(CAST(number AS BIGINT), 40) + ordinal").alias("read_id"), checked.alias("header"), "seq", "mid", "qual")
+
+
+def _four_lines(batches):
+    """Rows of four lines each that follow each other, as one row."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch])
+        n = table.num_rows // 4 * 4
+        held = table.slice(n).combine_chunks().to_batches()
+        if n:
+            first = pa.array(np.arange(0, n, 4))
+            values = table.column("value")
+            columns = [table.column(c).take(first) for c in ("file", "number", "ordinal")] + [values.take(pa.array(np.arange(i, n, 4))) for i in range(4)]
+            yield from pa.table(columns, names=["file", "number", "ordinal", *_READ]).combine_chunks().to_batches()
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -85,8 +113,11 @@ def read_at_cutoffs(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 
 def read_cutoff(spark: SparkSession, path: str) -> float:
-    """The number in a cutoff file's first line."""
-    return float(spark.read.text(path).head()[0])
+    """The number in a cutoff file's first line.  An empty file is an error."""
+    first = spark.read.text(path).head()
+    if first is None:
+        raise ValueError(f"no cutoff in {path}")
+    return float(first[0])
 
 
 def write_counts(counts: DataFrame, path: str, value: str = "n", style: str = "int", min_count: float = 0) -> None:
@@ -118,17 +149,74 @@ def output_name(path: str, kind: str, gzip: bool = False) -> str:
     return folder + slash + (f"{prefix}.{kind}.{extension}" if dot else f"{name}.{kind}") + (".gz" if gzip else "")
 
 
-def write_routed(rows: DataFrame, path: str, keep_errors: bool = False, gzip: bool = False) -> list[str]:
-    """Single reads with `status`: removed ones to .err (keep_errors), the others to .cor."""
-    out = [output_name(path, "cor")]
-    fields = ["out_header AS header", "out_seq AS seq", "'+' AS mid", "out_qual AS qual"]
-    write_fastq(rows.where("status != 'removed'").selectExpr(*fields), out[0], gzip)
+#: Output of single reads and of mates: (routes, file kind); {} is cor or trim.
+_PAIRED = ((("pair",), "{}"), (("single1_err2", "err1_single2"), "{}_single"), (("single1_err2", "err1_single2"), "err_single"), (("err",), "err"))
+_KEPT = {"header": "out_header", "seq": "out_seq", "mid": "mid", "qual": "out_qual"}
+#: A removed read has its own record; its header ends where the mark would begin.
+_REMOVED = {"header": "concat(header, ' ')", "seq": "out_seq", "mid": "mid", "qual": "out_qual"}
+
+
+def _records(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    return rows.selectExpr("ordinal", *(f"{value} AS {name}" for name, value in fields.items()))
+
+
+def write_routed(rows: DataFrame, path: str, keep_errors: bool = False, gzip: bool = False, kind: str = "cor", one_line: bool = False) -> list[str]:
+    """Single reads with `status`, in their order: removed ones to .err (keep_errors), the others to .<kind>."""
+    out = [output_name(path, kind, gzip)]
+    write_fastq(_records(rows.where("status != 'removed'"), _KEPT), out[0], gzip, one_line, ["ordinal"])
     if keep_errors:
-        out.append(output_name(path, "err"))
-        write_fastq(rows.where("status = 'removed'").selectExpr(*fields), out[1], gzip)
+        out.append(output_name(path, "err", gzip))
+        write_fastq(_records(rows.where("status = 'removed'"), _REMOVED), out[1], gzip, one_line, ["ordinal"])
     return out
 
 
+def write_paired(first: DataFrame, second: DataFrame, path1: str, path2: str, keep_errors: bool = False, gzip: bool = False, kind: str = "cor") -> list[str]:
+    """Mates by ordinal, in step: both kept to .<kind>; the one that is kept to .<kind>_single.
+
+    With keep_errors the removed one of a pair goes to .err_single, and pairs
+    without a kept read to .err.  A read without a mate is an error.
+    """
+    sides = [rows.select("ordinal", F.struct((F.col("status") != "removed").alias("ok"), *(F.expr(e).alias(c) for c, e in {**_KEPT, "plain": _REMOVED["header"]}.items())).alias(f"r{i}")) for i, rows in enumerate((first, second), 1)]
+    both = sides[0].join(sides[1], "ordinal", "full_outer")
+    route = """CASE WHEN r1 IS NULL OR r2 IS NULL THEN CAST(raise_error(concat('a read has no mate: ', CAST(ordinal AS STRING))) AS STRING)
+        WHEN r1.ok AND r2.ok THEN 'pair' WHEN r1.ok THEN 'single1_err2' WHEN r2.ok THEN 'err1_single2' ELSE 'err' END"""
+    both = checkpointed(both.withColumn("route", F.expr(route)))
+    out = []
+    for i, path in enumerate((path1, path2), 1):
+        for routes, name in _PAIRED if keep_errors else _PAIRED[:2]:
+            kept = name.startswith("{}")
+            rows = both.where(F.col("route").isin(*routes) & (F.col(f"r{i}.ok") == kept))
+            out.append(output_name(path, name.format(kind), gzip))
+            fields = {"header": f"r{i}.{'header' if kept else 'plain'}", **{c: f"r{i}.{c}" for c in ("seq", "mid", "qual")}}
+            write_fastq(_records(rows, fields), out[-1], gzip, order=["ordinal"])
+    return out
+
+
+def _write_text(spark: SparkSession, text: str, path: str) -> str:
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def write_stats(stats: DataFrame, path: str) -> str:
+    """The one row of run_stats() as labelled lines in <prefix>.stats.txt."""
+    row = stats.head()
+    lines = [f"{name.capitalize().replace('_', ' ')}: {row[name]}" for name in ("validated", "corrected", "trimmed", "trimmed_only", "removed")]
+    return _write_text(stats.sparkSession, "\n".join(lines), output_name(path, "stats").rpartition(".stats")[0] + ".stats.txt")
+
+
+def write_log(log: DataFrame, path: str) -> str:
+    """Quality, place, new and old base of each change in <file>.log, in the order of reads and places."""
+    rows = log.orderBy("read_id", "pos").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("q", "pos", "new_nt", "old_nt"))))
+    rows.write.text(f"{path}.log")
+    return f"{path}.log"
+
+
+def write_error_model(spark: SparkSession, text: str, path: str) -> str:
+    """The report of an error model in error_model.<prefix>.txt beside the reads."""
+    folder, slash, name = path.rpartition("/")
+    return _write_text(spark, text, f"{folder}{slash}error_model.{name.rpartition('.')[0] or name}.txt")
+
+
 _BITS_PER_ROW = 8 * 65_536
 
 

@@ -1,8 +1,16 @@
 """Sequencing reads derived from the tables documents and events.
 
-Contigs are letters of documents mapped to bases; each event is a 60-base read
-of one, on alternating strands, with planted substitutions, unknown bases and
-low-quality tails.  `truth` is the read without errors.
+Each word of a document is one base, so a document is a contig as long as its
+text has words.  Two kinds of reads cover them.  Every contig is read from end
+to end by tiles of 60 bases without errors, the last one as short as it comes.
+Every event is a read of 60 bases, or what the contig has from there: the
+events of a document lie close together, so that their windows are covered
+deeply, on alternating strands, with planted substitutions, unknown bases and
+low-quality tails.  `truth` is the read without errors; `error_at` the place of
+a planted substitution, -1 without.
+
+Documents without an id or without words are no contigs, and an event whose
+document is none is no read.
 """
 
 from __future__ import annotations
@@ -10,41 +18,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _SQL = """
-letters AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', ''{global}) AS s FROM {documents}),
 contigs AS (
-  SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS contig_id,
-         translate(substring(s, 1, 400), 'abcdefghijklmnopqrstuvwxyz', 'GTACAGGGCGCGCTTCAAACTATTAC') AS cseq
-  FROM (SELECT doc_id, s FROM letters WHERE length(s) >= 400 ORDER BY doc_id LIMIT {contigs})),
+  SELECT doc_id AS contig_id, {join}({map}({filter}({split}, {x} x != ''), {x} {base}), '') AS cseq
+  FROM {documents} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 raw AS (
-  SELECT e.event_id AS read_id, c.contig_id, substring(c.cseq, CAST(1 + (e.event_id * 131) % 341 AS INT), 60) AS g
-  FROM (SELECT event_id, event_id % {contigs} AS cid FROM {events}) e JOIN contigs c ON c.contig_id = e.cid),
+  SELECT 1000000000000 + contig_id * 1000000 + tile AS read_id, contig_id, substring(cseq, CAST(tile * 60 + 1 AS INT), 60) AS g, false AS event
+  FROM (SELECT contig_id, cseq, {tiles} AS tile FROM contigs WHERE length(cseq) > 0)
+  UNION ALL
+  SELECT e.event_id AS read_id, c.contig_id,
+         substring(c.cseq, CAST(1 + (c.contig_id * 131 % greatest(length(c.cseq) - 74, 1) + (e.event_id {div} {n}) % 4 * 5) % length(c.cseq) AS INT), 60) AS g, true AS event
+  FROM {events} e JOIN (SELECT contig_id, cseq, contig_id % {n} AS place FROM contigs WHERE length(cseq) > 0) c ON c.place = e.event_id % {n}),
 strand AS (
-  SELECT read_id, contig_id,
-         CASE WHEN (read_id {div} 3) % 2 = 0 THEN g ELSE reverse(translate(g, 'ACGT', 'TGCA')) END AS t FROM raw),
+  SELECT read_id, contig_id, event, CASE WHEN (read_id {div} 3) % 2 = 0 THEN g ELSE reverse(translate(g, 'ACGT', 'TGCA')) END AS t FROM raw),
 err AS (
-  SELECT read_id, contig_id, t,
-         CASE WHEN read_id % 5 = 0 THEN CAST((read_id * 13) % 60 AS INT) ELSE -1 END AS ep FROM strand),
+  SELECT read_id, contig_id, event, t, CAST(length(t) AS INT) AS n, event AND read_id % 97 = 0 AS masked,
+         CASE WHEN event AND (read_id {div} 7) % 5 = 0 THEN CAST((read_id * 13) % length(t) AS INT) ELSE -1 END AS ep FROM strand),
 reads AS (
   SELECT read_id, contig_id, t AS truth,
-         CASE WHEN read_id % 97 = 0 THEN concat(substring(t, 1, 30), 'N', substring(t, 32, 29))
+         CASE WHEN masked THEN concat(substring(t, 1, n {div} 2), 'N', substring(t, CAST(n {div} 2 + 2 AS INT), 60))
               WHEN ep >= 0 THEN concat(substring(t, 1, ep), translate(substring(t, ep + 1, 1), 'ACGT', 'CGTA'), substring(t, ep + 2, 60))
               ELSE t END AS seq,
-         CASE WHEN ep >= 0 THEN concat(repeat('I', ep), '(', repeat('I', 59 - ep))
-              WHEN read_id % 7 = 0 THEN concat(repeat('I', 54), repeat('#', 6))
-              ELSE repeat('I', 60) END AS qual FROM err)"""
+         CASE WHEN ep >= 0 THEN concat(repeat('I', ep), '(', repeat('I', n - ep - 1))
+              WHEN event AND read_id % 7 = 0 THEN concat(repeat('I', greatest(n - 6, 0)), repeat('#', least(n, 6)))
+              ELSE repeat('I', n) END AS qual, CASE WHEN masked THEN -1 ELSE ep END AS error_at FROM err)"""
 
 #: Phred offset of the derived reads.
 OFFSET = 33
+_BASE = "translate(substring(md5(x), 1, 1), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
 def duckdb_ctes() -> str:
     """The same reads as common table expressions for DuckDB."""
-    return _SQL.format(**{"global": ", 'g'", "documents": "documents", "events": "events", "div": "//", "contigs": "(SELECT count(*) // 200 FROM events)"})
+    return _SQL.format(
+        **{
+            "x": "lambda x:", "join": "array_to_string", "map": "list_transform", "filter": "list_filter", "split": r"string_split_regex(text, '[\x20\x09-\x0D]+')", "base": _BASE, "documents": "documents", "events": "events",
+            "tiles": "unnest(range(0, (length(cseq) - 1) // 60 + 1))", "div": "//", "n": "(SELECT greatest(count(*), 1) FROM documents)",
+        }
+    )
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, contig_id, truth, seq, qual); the number of contigs comes from a count."""
+    """(read_id, contig_id, truth, seq, qual, error_at); the number of documents comes from a count."""
     documents, events = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "events"))
-    n = max(1, events.count() // 200)
-    sql = _SQL.format(**{"global": "", "documents": "{documents}", "events": "{events}", "div": "div", "contigs": n})
+    sql = _SQL.format(
+        **{
+            "x": "x ->", "join": "array_join", "map": "transform", "filter": "filter", "split": r"split(text, r'[\x20\x09-\x0D]+')", "base": _BASE, "documents": "{documents}", "events": "{events}",
+            "tiles": "explode(sequence(0, (length(cseq) - 1) div 60))", "div": "div", "n": max(1, documents.count()),
+        }
+    )
     return spark.sql(f"WITH {sql} SELECT * FROM reads", documents=documents, events=events)

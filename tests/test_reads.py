@@ -168,6 +168,16 @@ def test_fastq_files(spark, tmp_path):
         for path in (plain, zipped):
             rows = files.read_fastq(spark, str(path)).orderBy("ordinal").collect()
             assert [r.header for r in rows] == [f"r{i} error" for i in range(25)] and rows[-1].qual == "I" * 32
+            assert [r.read_id for r in rows] == list(range(25))
+        both = files.read_fastq(spark, str(plain), str(zipped)).collect()
+        assert len(both) == 50 and {r.read_id >> 40 for r in both} == {0, 1} and len({r.read_id for r in both}) == 50
+        # With too many splits to be broadcast, records are put together by a shuffle.
+        files.BROADCAST_SPLITS, old = 1, files.BROADCAST_SPLITS
+        try:
+            again = files.read_fastq(spark, str(plain), str(zipped)).collect()
+        finally:
+            files.BROADCAST_SPLITS = old
+        assert sorted(map(tuple, again)) == sorted(map(tuple, both))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "bad.fastq").write_text("@x\nACGT\n+\nIII\n")
@@ -181,6 +191,43 @@ def test_fastq_files(spark, tmp_path):
     assert files.read_fastq(spark, str(tmp_path / "out")).count() == 25
 
 
+def test_counts_and_cutoffs_as_text(spark, tmp_path):
+    counts = spark.createDataFrame([("ACG", 3.25), ("AAA", 0.5), ("CCC", 1.0)], "kmer string, q double")
+    for style, want in (("q", {"ACG\t3.250000", "CCC\t1.000000"}), ("fixed", {"ACG\t3.250", "CCC\t1.000"})):
+        files.write_counts(counts, str(tmp_path / style), "q", style, min_count=1)
+        assert {r.value for r in spark.read.text(str(tmp_path / style)).collect()} == want
+    reads = spark.createDataFrame([("r1", "ACGT", "+", "IIII")], "header string, seq string, mid string, qual string")
+    files.write_fastq(reads, str(tmp_path / "one"), one_line=True)
+    assert [r.value for r in spark.read.text(str(tmp_path / "one")).collect()] == ["r1\tACGT"]
+    (tmp_path / "cutoff").write_text("5.25\nshape: 2\n")
+    assert files.read_cutoff(spark, str(tmp_path / "cutoff")) == 5.25
+    (tmp_path / "empty").write_text("")
+    with pytest.raises(ValueError, match="no cutoff"):
+        files.read_cutoff(spark, str(tmp_path / "empty"))
+
+
+def test_search_bound_changes_no_outcome(monkeypatch):
+    k, rng = 5, random.Random(3)
+    up = 4 ** np.arange(k - 1, -1, -1)
+    for _ in range(150):
+        truth = [rng.randint(0, 3) for _ in range(18)]
+        codes = list(truth)
+        for p in rng.sample(range(18), rng.choice([1, 2, 4, 9])):
+            codes[p] = rng.randint(0, 4)
+        w = np.lib.stride_tricks.sliding_window_view(np.array(truth), k)
+        good = search.TrustedSet(np.unique(np.minimum(w @ up, (3 - w) @ up[::-1])), k)
+        quality = np.array([rng.choice([2, 7, 30, 40]) for _ in codes])
+        read = search.Read(np.array(codes), quality, np.array(dna.quality_probabilities())[quality])
+        bad = [int(i) for i in np.flatnonzero(~good.windows(read.codes))]
+        args = (read, list(range(18)), bad, good, error_model.uniform(), [0.25] * 4, False, 1.0)
+        if bad:
+            found = search.solve(*args)
+            with monkeypatch.context() as m:
+                m.setattr(search, "_most_edits", lambda weights, least: 10**6)
+                whole = search.solve(*args)
+            assert found[1:] == whole[1:] and (found[0] == whole[0] or {found[0], whole[0]} <= {search.EXHAUSTED, search.GAVE_UP})
+
+
 def test_manifest_names_and_counts(spark, tmp_path):
     (tmp_path / "list").write_text("a.fq\nb.fq c.fq\n\nd.fq\n")
     assert [(r.file, r.pe_code) for r in files.read_manifest(spark, str(tmp_path / "list")).orderBy("ordinal").collect()] == [("a.fq", 0), ("b.fq", 1), ("c.fq", 2)]
