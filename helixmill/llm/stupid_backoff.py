@@ -1,12 +1,14 @@
 """Stupid-backoff language-model scores, relationally.
 
 The n-gram counts of the corpus are a table partitioned by hash.  Documents
-come in blocks (ranges of doc_id); a block's n-grams are exploded, counted, and
-sent to their hash slices, each block's share of a slice as one packed row.  A
-slice sums the counts of its n-grams over all blocks and joins the sums to what
-each block has sent.  Back in its block, every n-gram of a document finds its
-count, and the logarithms are summed per document.  An n-gram that a third of
-all documents hold is thus moved once a block, not once an occurrence.
+come in blocks (by a hash of id and text, so that neither a frequent id nor a
+group of copies fills one); a block's n-grams are exploded, counted, and sent
+to their hash slices, each block's share of a slice as one packed row.  A slice
+sums the counts of its n-grams over all blocks and joins the sums to what each
+block has sent.  Back in its block, every n-gram of a document finds its count,
+and the logarithms are summed per document.  An n-gram that a third of all
+documents hold is thus moved once a block, not once an occurrence, and there
+are never more packed rows than different n-grams of blocks.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table
-from .fingerprint import with_ranges
+from .common import partitions, table
 from .packed import pack_numbers, unpack_numbers
 
 #: An n-gram that the corpus has less often is no evidence: the score backs off.
@@ -33,6 +34,8 @@ BACKOFF = 0.4
 SCALE = 1_000_000
 BLOCK_BYTES, SLICE_GRAMS = 24_000_000, 2_000_000
 _FLUSH = 4_000_000
+#: Blocks or slices that get labels which spread evenly.
+_LABELS = 20_000
 
 
 def _grams(s: tokens.Texts, order: int) -> tuple[tokens.Words, list[np.ndarray]]:
@@ -70,6 +73,40 @@ def _slice_edges(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
 
 
+def _murmur(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of ints (Murmur3 of one word, seed 42), by which it deals out rows."""
+    x = x.astype(np.uint32)
+    k = x * np.uint32(0xCC9E2D51)
+    k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+    h = np.uint32(42) ^ k
+    h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def even_labels(n: int, shuffled_to: int) -> list[int]:
+    """n different ints that a shuffle deals to its partitions in turn, so that none gets several by chance.
+
+    Beyond _LABELS they are 0..n-1, of which each partition gets many anyway.
+    """
+    if n > _LABELS:
+        return []
+    out: list[int] = []
+    free: dict[int, list[int]] = {}
+    at = 0
+    while len(out) < n:
+        wanted = len(out) % shuffled_to
+        while not free.get(wanted):
+            some = np.arange(at, at + 4 * shuffled_to + 64)
+            for x, to in zip(some.tolist(), np.mod(_murmur(some), shuffled_to).tolist()):
+                free.setdefault(to, []).append(x)
+            at += len(some)
+        out.append(free[wanted].pop(0))
+    return out
+
+
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, n_backoff, score_micro, mean_score), a row for each of docs.
 
@@ -89,8 +126,15 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     slices_ = max(1, math.ceil(size / 6 * max(order - 1, 1) / SLICE_GRAMS))
-    ranged, _ = with_ranges(docs, "doc_id", max(1, math.ceil(size / BLOCK_BYTES)))
-    ranged = ranged.select(F.col("__r").alias("block"), "doc_id", "text")
+    blocks_ = max(1, math.ceil(size / BLOCK_BYTES))
+    labels = even_labels(blocks_, partitions(docs.sparkSession))
+    slice_labels = even_labels(slices_, partitions(docs.sparkSession)) or list(range(slices_))
+    number = f"CAST(pmod(xxhash64(doc_id, text), {blocks_}L) AS INT)"
+    ranged = docs.select(F.expr(f"element_at(array({', '.join(map(str, labels))}), {number} + 1)" if labels else number).alias("block"), "doc_id", "text")
+
+    # The slices' order: the sorted keys of a block meet their totals slice by slice.
+    place = np.zeros(max(slice_labels) + 1, dtype=np.int64)
+    place[slice_labels] = np.arange(slices_)
 
     def send(batches):
         held: dict[int, list] = {}
@@ -102,7 +146,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 edges = _slice_edges(keys, slices_)
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([pack_numbers(keys[a:b], True)], pa.binary()), pa.array([pack_numbers(counts[a:b], False)], pa.binary())], names=["slice", "block", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([slice_labels[k]], pa.int32()), pa.array([block], pa.int32()), pa.array([pack_numbers(keys[a:b], True)], pa.binary()), pa.array([pack_numbers(counts[a:b], False)], pa.binary())], names=["slice", "block", "keys", "counts"])
             held.clear()
 
         for batch in batches:
@@ -140,7 +184,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if sum(len(k) for k, _ in parts[1:]) > _FLUSH:
                 parts = [_merged(parts)]
         keys = _merged(parts)[0]
-        by_slice = np.argsort(found.column("slice").to_numpy())
+        by_slice = np.argsort(place[found.column("slice").to_numpy()])
         data = found.column("totals").to_pylist()
         total = np.concatenate([unpack_numbers(data[i], False) for i in by_slice] or [np.zeros(0, dtype=np.uint64)]).astype(float)
         out: list[list] = [[], [], [], []]

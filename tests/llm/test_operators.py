@@ -292,6 +292,24 @@ def test_stupid_backoff_against_counting(spark, docs, empty):
     assert stupid_backoff.scores(empty).count() == 0
 
 
+def test_even_labels_spread_as_spark_deals(spark):
+    for n, to in ((1, 4), (10, 7), (100, 12)):
+        labels = stupid_backoff.even_labels(n, to)
+        rows = spark.createDataFrame([(x,) for x in labels], "x int").select(F.expr(f"pmod(hash(x), {to})").alias("at")).collect()
+        most = collections.Counter(r["at"] for r in rows)
+        assert len(set(labels)) == n and max(most.values()) == -(-n // to)
+    assert stupid_backoff.even_labels(10**6, 8) == []
+
+
+def test_stupid_backoff_in_many_blocks(spark, docs, monkeypatch):
+    whole = collections.Counter(map(tuple, stupid_backoff.scores(docs).collect()))
+    monkeypatch.setattr(stupid_backoff, "BLOCK_BYTES", 5_000)
+    monkeypatch.setattr(stupid_backoff, "SLICE_GRAMS", 300)
+    for labels in (20_000, 1):
+        monkeypatch.setattr(stupid_backoff, "_LABELS", labels)
+        assert collections.Counter(map(tuple, stupid_backoff.scores(docs).collect())) == whole
+
+
 @pytest.mark.parametrize("order", [1, 3, 4])
 def test_stupid_backoff_of_other_orders(spark, order):
     texts = ["a b c d", "a b c e", "b c d", "d c b a", "c d", "x", "", "a b c d a b c d"]
