@@ -20,14 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 _SQL = """
 contigs AS (
   SELECT doc_id AS contig_id, {join}({map}({filter}({split}, {x} x != ''), {x} {base}), '') AS cseq
-  FROM {documents} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-raw AS (
-  SELECT 1000000000000 + contig_id * 1000000 + tile AS read_id, contig_id, substring(cseq, CAST(tile * 60 + 1 AS INT), 60) AS g, false AS event
-  FROM (SELECT contig_id, cseq, {tiles} AS tile FROM contigs WHERE length(cseq) > 0)
-  UNION ALL
-  SELECT e.event_id AS read_id, c.contig_id,
-         substring(c.cseq, CAST(1 + (c.contig_id * 131 % greatest(length(c.cseq) - 74, 1) + (e.event_id {div} {n}) % 4 * 5) % length(c.cseq) AS INT), 60) AS g, true AS event
-  FROM {events} e JOIN (SELECT contig_id, cseq, contig_id % {n} AS place FROM contigs WHERE length(cseq) > 0) c ON c.place = e.event_id % {n}),
+  FROM {documents} WHERE doc_id IS NOT NULL AND {has_word}),
+raw AS ({raw}),
 strand AS (
   SELECT read_id, contig_id, event, CASE WHEN (read_id {div} 3) % 2 = 0 THEN g ELSE reverse(translate(g, 'ACGT', 'TGCA')) END AS t FROM raw),
 err AS (
@@ -42,6 +36,21 @@ reads AS (
               WHEN event AND read_id % 7 = 0 THEN concat(repeat('I', greatest(n - 6, 0)), repeat('#', least(n, 6)))
               ELSE repeat('I', n) END AS qual, CASE WHEN masked THEN -1 ELSE ep END AS error_at FROM err)"""
 
+_START = "CAST(1 + (contig_id * 131 % greatest(length(cseq) - 74, 1) + ({event} {div} {n}) % 4 * 5) % length(cseq) AS INT)"
+#: Tiles and events of a contig; Spark makes both in one pass over the contigs.
+_RAW_SPARK = """
+  SELECT r.read_id, contig_id, substring(cseq, r.start, 60) AS g, r.event FROM (
+    SELECT contig_id, cseq, explode(concat(
+      transform(sequence(0, (length(cseq) - 1) div 60), x -> named_struct('read_id', 1000000000000 + contig_id * 1000000 + x, 'start', CAST(x * 60 + 1 AS INT), 'event', false)),
+      transform(coalesce(ids, array()), x -> named_struct('read_id', x, 'start', {start}, 'event', true)))) AS r
+    FROM contigs LEFT JOIN (SELECT event_id % {n} AS place, collect_list(event_id) AS ids FROM {events} GROUP BY event_id % {n}) e ON e.place = contig_id % {n})"""
+_RAW_DUCKDB = """
+  SELECT 1000000000000 + contig_id * 1000000 + tile AS read_id, contig_id, substring(cseq, CAST(tile * 60 + 1 AS INT), 60) AS g, false AS event
+  FROM (SELECT contig_id, cseq, unnest(range(0, (length(cseq) - 1) // 60 + 1)) AS tile FROM contigs)
+  UNION ALL
+  SELECT event_id AS read_id, contig_id, substring(cseq, {start}, 60) AS g, true AS event
+  FROM events JOIN contigs ON contig_id % {n} = event_id % {n}"""
+
 #: Phred offset of the derived reads.
 OFFSET = 33
 _BASE = "translate(substring(md5(x), 1, 1), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -49,21 +58,26 @@ _BASE = "translate(substring(md5(x), 1, 1), '0123456789abcdef', 'ACGTACGTACGTACG
 
 def duckdb_ctes() -> str:
     """The same reads as common table expressions for DuckDB."""
+    n = "(SELECT greatest(count(*), 1) FROM documents)"
     return _SQL.format(
-        **{
-            "x": "lambda x:", "join": "array_to_string", "map": "list_transform", "filter": "list_filter", "split": r"string_split_regex(text, '[\x20\x09-\x0D]+')", "base": _BASE, "documents": "documents", "events": "events",
-            "tiles": "unnest(range(0, (length(cseq) - 1) // 60 + 1))", "div": "//", "n": "(SELECT greatest(count(*), 1) FROM documents)",
-        }
+        x="lambda x:", join="array_to_string", map="list_transform", filter="list_filter", split=r"string_split_regex(text, '[\x20\x09-\x0D]+')", base=_BASE, documents="documents", div="//",
+        has_word=r"regexp_matches(text, '[^\x20\x09-\x0D]')", raw=_RAW_DUCKDB.format(n=n, start=_START.format(event="event_id", div="//", n=n)),
     )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as tasks can run at once; a table of a few small files has fewer."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, contig_id, truth, seq, qual, error_at); the number of documents comes from a count."""
     documents, events = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "events"))
+    n = max(1, documents.count())
     sql = _SQL.format(
-        **{
-            "x": "x ->", "join": "array_join", "map": "transform", "filter": "filter", "split": r"split(text, r'[\x20\x09-\x0D]+')", "base": _BASE, "documents": "{documents}", "events": "{events}",
-            "tiles": "explode(sequence(0, (length(cseq) - 1) div 60))", "div": "div", "n": max(1, documents.count()),
-        }
+        x="x ->", join="array_join", map="transform", filter="filter", split=r"split(text, r'[\x20\x09-\x0D]+')", base=_BASE, documents="{documents}", div="div",
+        has_word=r"text RLIKE r'[^\x20\x09-\x0D]'", raw=_RAW_SPARK.format(n=n, events="{events}", start=_START.format(event="x", div="div", n=n)),
     )
+    documents, events = _spread(documents.select("doc_id", "text"), "doc_id"), _spread(events.select("event_id"), "event_id")
     return spark.sql(f"WITH {sql} SELECT * FROM reads", documents=documents, events=events)
