@@ -107,9 +107,9 @@ def solve(read: Read, region: list[int], starts: list[int], trusted: TrustedSet,
     own = least
     if not learning:
         own = next((t for n, t in (VERY_CAREFUL, CAREFUL) if doubtful >= n), least)
-    weights = [edit_weights(read, i, model, priors) for i in order]
-    if len(starts) > k * _most_edits(weights, max(own, least / so_far)):
+    if len(starts) > k * _most_edits(read, region, model, priors, max(own, least / so_far)):
         return EXHAUSTED, {}, 0.0
+    weights = [edit_weights(read, i, model, priors) for i in order]
     untrusted = sum(1 << s for s in starts)
 
     # An entry: likelihood, rank in the order from which edits may be added, edits, windows untrusted before the last one.
@@ -143,14 +143,21 @@ def solve(read: Read, region: list[int], starts: list[int], trusted: TrustedSet,
     return (SOLVED, dict(best[1]), best[0]) if best else (EXHAUSTED, {}, 0.0)
 
 
-def _most_edits(weights: list[list[tuple[int, float]]], least: float) -> int:
+def _most_edits(read: Read, region: list[int], model: np.ndarray, priors: list[float], least: float) -> int:
     """How many edits at different places can be likelier than `least` together.
 
     An edit touches k windows, so a component with more windows than these
     edits can touch has no solution, and needs no search.
     """
-    best = np.cumprod(sorted((max(w for _, w in own) for own in weights), reverse=True))
-    return int(np.flatnonzero(best >= least * (1 - 1e-9))[-1] + 1) if (best >= least * (1 - 1e-9)).any() else 0
+    codes, right = read.codes[region], read.right[region]
+    p = np.asarray(priors)
+    known = np.minimum(codes, 3)
+    likeliest = model[read.quality[region], :, known] * p
+    likeliest[np.arange(len(codes)), known] = 0.0
+    best = np.where(codes > 3, 3.0 * p.max(), likeliest.max(axis=1) * (1 - right) / (right * p[known]))
+    together = np.cumprod(np.sort(best)[::-1])
+    # With some room for rounding: the bound may only be too high.
+    return int(np.max(np.flatnonzero(together >= least * (1 - 1e-9)), initial=-1)) + 1
 
 
 def _recheck(read: Read, edits: tuple, untrusted: int, trusted: TrustedSet) -> int:

@@ -105,6 +105,36 @@ places AS (
   UNION ALL SELECT read_id, component, 3, place, place FROM (SELECT read_id, component, unnest(range(l + 1, n)) AS place FROM back WHERE b + {k} >= n))""") + "SELECT comps.read_id, comps.component, coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY part, o), '') AS places FROM comps LEFT JOIN places USING (read_id, component) GROUP BY comps.read_id, comps.component"
 
 
+def _single_edits_sql() -> str:
+    """Every edit of one base that makes all windows of a read trusted, tried one by one.
+
+    The likeliest one counts if no other comes near a tenth of it; first among
+    the chopped region's places, then, if that has another size, among the whole region's.
+    """
+    k = _K
+    prior = "CASE WHEN {0} IN ('A', 'T') THEN pa ELSE 0.5 - pa END"
+    return _with("comps", more=f"""chopped AS ({_region_sql(True)}), whole AS ({_region_sql(False)}),
+one AS (SELECT read_id, any_value(a) AS a, any_value(b) AS b FROM comps GROUP BY read_id HAVING count(*) = 1 AND any_value(b) <= any_value(a) + {k - 1}),
+options AS (
+  SELECT read_id, 1 AS attempt, string_split(places, ',') AS ps FROM chopped WHERE places != '' UNION ALL SELECT read_id, 2, string_split(places, ',') FROM whole),
+sizes AS (SELECT read_id, coalesce(max(len(ps)) FILTER (WHERE attempt = 1), 0) != max(len(ps)) FILTER (WHERE attempt = 2) AS again FROM options GROUP BY read_id),
+places AS (
+  SELECT o.read_id, attempt, place, a, b, seq, qual FROM (SELECT read_id, attempt, CAST(unnest(ps) AS BIGINT) AS place FROM options) o JOIN one USING (read_id) JOIN reads USING (read_id)
+  WHERE place BETWEEN b AND a + {k - 1} AND length(seq) >= 30 AND qual NOT LIKE '%#%'),
+edits AS (
+  SELECT read_id, attempt, place, base, substring(seq, CAST(place AS INT) + 1, 1) AS old, substring(qual, CAST(place AS INT) + 1, 1) AS ch, substring(seq, 1, CAST(place AS INT)) || base || substring(seq, CAST(place AS INT) + 2, 60) AS seq
+  FROM places, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substring(seq, CAST(place AS INT) + 1, 1) != base),
+tests AS (SELECT *, substring(seq, CAST(pos AS INT) + 1, {k}) AS f FROM (SELECT *, unnest(range(greatest(place - {k - 1}, 0), least(place, length(seq) - {k}) + 1)) AS pos FROM edits)),
+fits AS (
+  SELECT t.read_id, attempt, place, base, any_value(old) AS old, any_value(ch) AS ch FROM tests t LEFT JOIN good g ON g.kmer = least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AND f NOT LIKE '%N%'
+  GROUP BY t.read_id, attempt, place, base HAVING bool_and(g.kmer IS NOT NULL)),
+likes AS (
+  SELECT fits.*, CASE WHEN old = 'N' THEN 3 * {prior.format('base')} ELSE (1 - p) / (p * {prior.format('old')}) / 3 * {prior.format('base')} END AS l
+  FROM (SELECT *, {_PROBABILITIES}[ascii(ch) - 32] AS p FROM fits) fits, (SELECT sum({_AT}) / CAST(sum({k}) AS DOUBLE) / 2 AS pa FROM good)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY read_id, attempt ORDER BY l DESC, place, base) AS r, lead(l) OVER (PARTITION BY read_id, attempt ORDER BY l DESC, place, base) AS l2 FROM likes),
+found AS (SELECT read_id, min(attempt) AS attempt FROM ranked JOIN sizes USING (read_id) WHERE r = 1 AND l >= 1e-6 AND (l2 IS NULL OR l2 < 0.1 * l) AND (attempt = 1 OR again) GROUP BY read_id)""") + """SELECT read_id, CAST(place AS BIGINT) AS place, base FROM ranked JOIN found USING (read_id, attempt) WHERE r = 1 AND (old = 'N' OR ch = '(')"""
+
+
 def _fixed_model_sql() -> str:
     return f"""WITH c AS (SELECT unnest(range(1, 41)) AS cov),
 g AS (SELECT cov, {_GENUINE} AS genuine FROM c, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov),
@@ -153,6 +183,7 @@ h AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT
     "component_union": _with("cores") + f"SELECT read_id, component, {_PLACES} AS places FROM covered GROUP BY read_id, component",
     "error_region": _region_sql(False),
     "error_region_chop": _region_sql(True),
+    "single_edits": _single_edits_sql(),
     "int_cutoff_fixed_params": _fixed_model_sql(),
     "int_likelihood_fixed_params": _with("counts", more=f"""h AS (SELECT n AS cov, count(*) AS num FROM counts WHERE n <= 300 GROUP BY n),
 g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM h, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (power(cov, -2.0) - power(cov + 1, -2.0)) + genuine))) AS BIGINT) AS nll FROM g",

@@ -307,6 +307,15 @@ def correct_reads(spark, sf_dir):
     return correct.annotated(found.withColumn("header", F.expr("concat('r', read_id)")), fixture.OFFSET).select("read_id", "status", "out_header", "out_seq", "out_qual")
 
 
+def single_edits(spark, sf_dir):
+    """What the search finds for reads with one component, by even error rates: one edit, of a doubtful or unknown base."""
+    rows, good, priors = _searchable(spark, sf_dir)
+    rows = rows.where("size(comps) = 1 AND NOT qual LIKE '%#%'")
+    found = correct.searched(rows, good, K, fixture.OFFSET, error_model.uniform(), priors).where("solved AND size(edits) = 1")
+    found = found.selectExpr("read_id", "seq", "qual", "get(edits, 0).place AS at", "get(edits, 0).base AS base").where("substring(seq, at + 1, 1) = 'N' OR substring(qual, at + 1, 1) = '('")
+    return found.selectExpr("read_id", "CAST(at AS BIGINT) AS place", "base")
+
+
 def fit_int(spark, sf_dir):
     hist = coverage_hist(spark, sf_dir).toPandas()
     found = model.fit_int(hist["cov"].to_numpy(), hist["num"].to_numpy())
@@ -336,7 +345,7 @@ _PLANS = (
     trusted_scalar, trusted_at_cutoff, trusted_both_strands, at_gc_prior, quick_trim, trim_clamped, trim_program, untrusted_positions, untrusted_components,
     component_intersect, component_union, error_region, error_region_chop, int_cutoff_fixed_params, int_likelihood_fixed_params, q_likelihood_fixed_params, q_cutoff_fixed_params, error_model_counts, error_model_kernel,
     substitution_matrix, substitution_by_position, correction_report, trims_by_position, pair_routing, run_stats, output_rows, correction_log,
-    correct_reads, learn_error_model, fit_int, fit_q, fit_gc,
+    single_edits, correct_reads, learn_error_model, fit_int, fit_q, fit_gc,
 )
 
 QUERIES = {f.__name__: f for f in _PLANS}

@@ -25,10 +25,15 @@ def read_fastq(spark: SparkSession, *paths: str, lenient: bool = False) -> DataF
     starts where the splits before it end, so a large plain file is read in
     parallel.  A record inside a split is put together there; only records
     that lie across two splits are shuffled.  read_id is ordinal plus 2^40
-    times the file's number in the order of names.  `lenient` drops white space
-    inside sequences and qualities.  Headers lose their @.  A record whose
-    lengths differ is an error.
+    times the file's number in the order of names.  Headers lose their @.  A
+    record whose lengths differ is an error.
+
+    `lenient` looks for the next @ where a header should be, whatever stands
+    before it, drops blanks before the header and white space inside sequences
+    and qualities, and leaves out a last record that is not complete.
     """
+    if lenient:
+        return _checked(_resynchronised(spark, *paths).where("qual IS NOT NULL"))
     lines = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("id"), "value")
     sizes = lines.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     starts = sizes.selectExpr("file", "at", "n", "first", "sum(n) OVER (PARTITION BY file ORDER BY at) - n AS before", "dense_rank() OVER (ORDER BY file) - 1 AS number")
@@ -41,14 +46,85 @@ def read_fastq(spark: SparkSession, *paths: str, lenient: bool = False) -> DataF
     rows = shuffled.withColumn("part", F.expr("line % 4")).groupBy("file", "number", "ordinal").agg(*(F.max(F.when(F.col("part") == i, F.col("value"))).alias(c) for i, c in enumerate(_READ)))
     if few:
         rows = numbered.where(whole).select("file", "number", "ordinal", "value").mapInArrow(_four_lines, rows.schema).unionByName(rows)
-    rows = rows.where("NOT (header = '' AND seq IS NULL)")
-    if lenient:
-        rows = rows.withColumns({"header": F.ltrim("header"), "seq": F.regexp_replace("seq", r"\s", ""), "qual": F.regexp_replace("qual", r"\s", "")})
+    return _checked(rows.where("NOT (header = '' AND seq IS NULL)"))
+
+
+def _checked(rows: DataFrame) -> DataFrame:
     bad = "header NOT LIKE '@%' OR qual IS NULL OR length(seq) != length(qual)"
     checked = F.expr(f"IF({bad}, CAST(raise_error(concat('not a FASTQ record: ', file, ' ', CAST(ordinal AS STRING))) AS STRING), substring(header, 2))")
     return rows.select("file", "ordinal", F.expr("shiftleft(CAST(number AS BIGINT), 40) + ordinal").alias("read_id"), checked.alias("header"), "seq", "mid", "qual")
 
 
+def _step(state: int, line: str) -> tuple[int, int]:
+    """(next state, records begun) of a reader that wants a header (state 0) or one of the three lines after it."""
+    if state:
+        return (state + 1) % 4, 0
+    return (1, 1) if "@" in line else (0, 0)
+
+
+def _splits(batches):
+    """(file, at, lines) of the input splits in Arrow batches, piece by piece."""
+    for batch in batches:
+        files, at, lines = (batch.column(c) for c in ("file", "at", "value"))
+        cuts = np.flatnonzero(np.diff(at.to_numpy())) + 1 if batch.num_rows else []
+        names = files.dictionary_encode().indices.to_numpy()
+        edges = [0, *sorted({*cuts, *(np.flatnonzero(np.diff(names)) + 1)}), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b > a:
+                yield files[a].as_py(), at[a].as_py(), lines.slice(a, b - a).to_pylist()
+
+
+def _resynchronised(spark: SparkSession, *paths: str) -> DataFrame:
+    """Records of files that have other lines between them, as (file, number, ordinal, header, seq, mid, qual).
+
+    Where a split begins inside a record depends on all splits before it, so
+    each split first says where a reader in each of the four states would end.
+    """
+    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), "value")
+
+    def ends(batches):
+        found: dict[tuple, list] = {}
+        for file, at, values in _splits(batches):
+            runs = found.setdefault((file, at), [(s, 0) for s in range(4)])
+            for v in values:
+                runs[:] = [(to, n + begun) for (s, n) in runs for to, begun in [_step(s, v)]]
+        for (file, at), runs in found.items():
+            yield pa.RecordBatch.from_pydict({"file": [file], "at": pa.array([at], pa.int64()), "ends": pa.array([[s for s, _ in runs]], pa.list_(pa.int32())), "begun": pa.array([[n for _, n in runs]], pa.list_(pa.int64()))})
+
+    splits = lines.mapInArrow(ends, "file string, at long, ends array<int>, begun array<bigint>")
+    known = splits.limit(BROADCAST_SPLITS + 1).collect()
+    if len(known) > BROADCAST_SPLITS:
+        raise ValueError(f"more than {BROADCAST_SPLITS} splits can't be read leniently")
+    start: dict[tuple, tuple[int, int]] = {}
+    numbers = {file: i for i, file in enumerate(sorted({r["file"] for r in known}))}
+    now = {file: (0, 0) for file in numbers}
+    for r in sorted(known, key=lambda r: (r["file"], r["at"])):
+        state, n = start[r["file"], r["at"]] = now[r["file"]]
+        now[r["file"]] = r["ends"][state], n + r["begun"][state]
+    sent = spark.sparkContext.broadcast((start, numbers))
+
+    def parts(batches):
+        start, numbers = sent.value
+        state: dict[tuple, tuple[int, int]] = {}
+        for file, at, values in _splits(batches):
+            s, n = state.get((file, at), start[file, at])
+            out: list[list] = [[], [], []]
+            for v in values:
+                to, begun = _step(s, v)
+                n += begun
+                if s or begun:
+                    for column, value in zip(out, (n - 1, s, "@" + v.partition("@")[2].lstrip(" ") if begun else v)):
+                        column.append(value)
+                s = to
+            state[file, at] = s, n
+            rows = len(out[0])
+            yield pa.RecordBatch.from_pydict({"file": pa.array([file] * rows, pa.string()), "number": pa.array([numbers[file]] * rows, pa.int32()), "ordinal": pa.array(out[0], pa.int64()), "part": pa.array(out[1], pa.int32()), "value": pa.array(out[2], pa.string())})
+
+    found = lines.mapInArrow(parts, "file string, number int, ordinal long, part int, value string")
+    rows = found.groupBy("file", "number", "ordinal").agg(*(F.max(F.when(F.col("part") == i, F.col("value"))).alias(c) for i, c in enumerate(_READ)))
+    return rows.withColumns({c: F.regexp_replace(c, r"\s", "") for c in ("seq", "qual")})
+
+
 def _four_lines(batches):
     """Rows of four lines each that follow each other, as one row."""
     held: list[pa.RecordBatch] = []
