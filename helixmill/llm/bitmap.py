@@ -11,36 +11,35 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, staged
+from .common import fresh, release, staged
 
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 20, 26
 
 
 @dataclass
 class Bitmap:
-    """The staged words (__word, __bits) that are not 0, at most 2^bits / 64 of them."""
+    """The staged words (number, word) that are not 0, at most 2^bits / 64 of them."""
 
     words: DataFrame
     bits: int
 
-    def marked(self, rows: DataFrame, key: str) -> DataFrame:
-        """rows with __maybe: false where the bit of the key (bigint) is not set."""
+    def marked(self, rows: DataFrame, key: str, flag: str = "maybe") -> DataFrame:
+        """rows with the column `flag`: false where the bit of the key (bigint) is not set."""
+        word, bits = fresh(rows, "__word", "__bits")
         at = _place(key, self.bits)
-        found = rows.withColumn("__word", F.shiftright(at, 6)).join(F.broadcast(self.words), "__word", "left")
-        return found.withColumn("__maybe", F.coalesce(F.expr(f"shiftrightunsigned(__bits, CAST({_SQL.format(key=key, bits=self.bits)} & 63 AS INT)) & 1L") == 1, F.lit(False))).drop("__word", "__bits")
+        words = self.words.toDF(word, bits)
+        found = rows.withColumn(word, F.expr(f"shiftright({at}, 6)")).join(F.broadcast(words), word, "left")
+        return found.withColumn(flag, F.coalesce(F.expr(f"shiftrightunsigned(`{bits}`, CAST({at} & 63 AS INT)) & 1L") == 1, F.lit(False))).drop(word, bits)
 
     def release(self) -> None:
         release(self.words)
 
 
-_SQL = "pmod(xxhash64({key}), shiftleft(1L, {bits}))"
-
-
-def _place(key: str, bits: int) -> Column:
-    return F.expr(_SQL.format(key=key, bits=bits))
+def _place(key: str, bits: int) -> str:
+    return f"pmod(xxhash64(`{key}`), shiftleft(1L, {bits}))"
 
 
 def bitmap(keys: DataFrame, key: str) -> Bitmap:
@@ -48,6 +47,6 @@ def bitmap(keys: DataFrame, key: str) -> Bitmap:
     keys = keys.where(F.col(key).isNotNull())
     n = keys.count()
     bits = min(max(LEAST_BITS, (BITS_PER_KEY * n).bit_length()), MOST_BITS)
-    at = _SQL.format(key=key, bits=bits)
+    at = _place(key, bits)
     words = keys.groupBy(F.expr(f"shiftright({at}, 6)").alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({at} & 63 AS INT)))").alias("__bits"))
     return Bitmap(staged(words, "bitmap"), bits)

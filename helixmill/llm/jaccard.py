@@ -258,7 +258,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b")], names=["a", "b"])
         tokens.trim_memory()
 
-    rows = asked.marked(docs.select(row_key().alias("key"), "text"), "key").where("__maybe").select("key", "text")
+    rows = asked.marked(docs.select(row_key().alias("key"), "text"), "key").where("maybe").select("key", "text")
     texts = rows.mapInArrow(shrunk, "key long, text binary").groupBy("key").agg(F.first("text").alias("text"))
     a_text, b_text = (texts.selectExpr(f"key AS {c}_key", f"text AS text_{c}").hint("merge") for c in "ab")
     sides = pairs.hint("merge").join(a_text, "a_key").hint("merge").join(b_text, "b_key")

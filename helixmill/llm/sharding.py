@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import fresh, staged, table
 
 SHARDS = 16
 _LOW, _HIGH = 2862933555777941757 & 0xFFFFFFFF, 2862933555777941757 >> 32
@@ -51,16 +51,17 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame
     Law `key`: the key and the shard count alone decide.  A null key counts as
     0; repeated keys share their shard; other columns pass through.  `shards`
     must be 1 or more.  Key: an integer column.  Columns named shard and
-    grown_shard are replaced; df may not have columns __key and __jump.
+    grown_shard are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    own = F.col("__jump")
+    number, chain = fresh(df, "__key", "__jump")
+    own = F.col(chain)
     return (
-        df.withColumn("__key", F.coalesce(F.col(key).cast("bigint"), F.lit(0).cast("bigint")))
-        .withColumn("__jump", jump_state("__key", shards))
+        df.withColumn(number, F.coalesce(F.col(key).cast("bigint"), F.lit(0).cast("bigint")))
+        .withColumn(chain, jump_state(number, shards))
         .withColumns({"shard": own["b"].cast("int"), "grown_shard": F.when(own["j"] == shards, F.lit(shards)).otherwise(own["b"]).cast("int")})
-        .drop("__key", "__jump")
+        .drop(number, chain)
     )
 
 
@@ -71,14 +72,17 @@ def slots(df: DataFrame, group: str = "shard", order: str = "doc_id") -> DataFra
     the splits before it end, so no task ever holds a group.  df is staged in
     the shared folder first: both passes must see the same splits.  Ties of
     `order` (repeated rows, nulls, which come first) take places of their own.
-    A column `slot` is replaced; df may not have columns __part, __place and __start.
+    A column `slot` is replaced; rows without a group are numbered like a group of their own.
     """
-    lean = staged(df.withColumn("__part", F.spark_partition_id()), "slots")
-    within = Window.partitionBy(group, "__part").orderBy(order)
-    before = Window.partitionBy(group).orderBy("__part")
-    starts = lean.groupBy(group, "__part").count().withColumn("__start", F.sum("count").over(before) - F.col("count")).drop("count")
-    rows = lean.withColumn("__place", F.row_number().over(within) - 1).join(starts, [group, "__part"])
-    return rows.select(*(c for c in df.columns if c != "slot"), (F.col("__start") + F.col("__place")).cast("bigint").alias("slot"))
+    part, start, place, own_group, own_part = fresh(df, "__part", "__start", "__place", "__of_group", "__of_part")
+    lean = staged(df.withColumn(part, F.spark_partition_id()), "slots")
+    within = Window.partitionBy(group, part).orderBy(order)
+    before = Window.partitionBy(group).orderBy(part)
+    starts = lean.groupBy(group, part).agg(F.count("*").alias(place)).select(group, part, (F.sum(place).over(before) - F.col(place)).alias(start))
+    # Null groups join, too.
+    starts = starts.toDF(own_group, own_part, start)
+    rows = lean.withColumn(place, F.row_number().over(within) - 1).join(starts, F.col(group).eqNullSafe(F.col(own_group)) & (F.col(part) == F.col(own_part)))
+    return rows.select(*(c for c in df.columns if c != "slot"), (F.col(start) + F.col(place)).cast("bigint").alias("slot"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,12 @@ def test_jump_hashing(spark, docs, empty):
         slots = sorted(r.slot for r in placed if r.shard == s)
         assert slots == list(range(len(slots)))
     assert sharding.slots(sharding.shard(empty.drop("shard"))).count() == 0
+    own = docs.drop("shard").withColumns({"__key": F.lit("k"), "__jump": F.lit("j"), "__part": F.lit("p"), "__place": F.lit("q"), "slot": F.lit("s")})
+    for r in sharding.slots(sharding.shard(own)).collect():
+        assert (r["__key"], r["__jump"], r["__part"], r["__place"]) == ("k", "j", "p", "q") and isinstance(r.slot, int)
+    # Rows without a group are a group.
+    loose = docs.select("doc_id", F.when(F.col("doc_id") > 5, 1).alias("g"))
+    assert sorted(r.slot for r in sharding.slots(loose, "g").where("g IS NULL").collect()) == list(range(sum(not (i or 0) > 5 for i, _ in ROWS)))
     with pytest.raises(ValueError):
         sharding.shard(df, shards=0)
 
@@ -458,10 +464,10 @@ def test_bitmap(spark):
     keys = spark.createDataFrame([(i * 7919 - 5000,) for i in range(300)] + [(None,), (0,), (-(2**63),), (2**63 - 1,)], "k long")
     found = bitmap.bitmap(keys, "k")
     rows = found.marked(keys.union(spark.range(10**6, 10**6 + 5000)), "k").collect()
-    assert len(rows) == 5304 and all(r["__maybe"] for r in rows[:300]) and not rows[300]["__maybe"] and all(r["__maybe"] for r in rows[301:304])
-    assert sum(r["__maybe"] for r in rows[304:]) < 50
+    assert len(rows) == 5304 and all(r.maybe for r in rows[:300]) and not rows[300].maybe and all(r.maybe for r in rows[301:304])
+    assert sum(r.maybe for r in rows[304:]) < 50
     empty_bits = bitmap.bitmap(keys.limit(0), "k")
-    assert not any(r["__maybe"] for r in empty_bits.marked(keys, "k").collect())
+    assert not any(r.maybe for r in empty_bits.marked(keys, "k").collect())
 
 
 def test_components(spark):
