@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixmill.llm import decontaminate, jaccard, packing, secrets, toxicity
 from helixmill.llm.bitmap import bitmap
-from helixmill.llm.common import staged, table
+from helixmill.llm.common import fresh, staged, table
 from helixmill.shipping import ship
 
 
@@ -44,14 +44,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = judged.join(stays.where("n > 1").select("key"), "key", "left_semi").groupBy("key").count().where("count > 1").select("key")
     again = staged(again, "repeated")
     asked = bitmap(gone.union(again), "key")
-    rows = asked.marked(docs.withColumn("__key", jaccard.row_key()), "__key")
-    kept = rows.where("NOT __maybe").select(*docs.columns)
-    left = rows.where("__maybe").join(gone.withColumnRenamed("key", "__key").hint("merge"), "__key", "left_anti")
+    key, maybe = fresh(docs, "__key", "__maybe")
+    rows = asked.marked(docs.withColumn(key, jaccard.row_key()), key, maybe)
+    kept = rows.where(~F.col(maybe)).select(*docs.columns)
+    left = rows.where(F.col(maybe)).join(gone.withColumnRenamed("key", key).hint("merge"), key, "left_anti")
     if again.isEmpty():
         return kept.union(left.select(*docs.columns))
-    again = again.withColumnRenamed("key", "__key")
-    once = left.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.union(left.join(again, "__key", "left_anti").select(*docs.columns)).union(once.select(*docs.columns))
+    again = again.withColumnRenamed("key", key)
+    once = left.join(again, key, "left_semi").dropDuplicates([key])
+    return kept.union(left.join(again, key, "left_anti").select(*docs.columns)).union(once.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
