@@ -28,6 +28,11 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.reads(spark, sf_dir)
 
 
+def _staged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads for queries that use them several times: derived once."""
+    return checkpointed(_reads(spark, sf_dir))
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.count_kmers(_reads(spark, sf_dir), K)
 
@@ -36,6 +41,10 @@ def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trusted.trusted_scalar(_counts(spark, sf_dir), CUTOFF)
 
 
+def _trusted_of(reads: DataFrame) -> DataFrame:
+    return trusted.trusted_scalar(kmers.count_kmers(reads, K), CUTOFF)
+
+
 def reads_scan(spark, sf_dir):
     return _reads(spark, sf_dir).select("read_id", "contig_id", "truth", "seq", "qual")
 
@@ -45,7 +54,7 @@ def quality_offset_guess(spark, sf_dir):
 
 
 def scan_summary(spark, sf_dir):
-    return kmers.scan_summary(_reads(spark, sf_dir), K)
+    return kmers.scan_summary(_staged_reads(spark, sf_dir), K)
 
 
 def kmer_count_int(spark, sf_dir):
@@ -145,16 +154,20 @@ def trim_program(spark, sf_dir):
     return trim.trim_reads(_reads(spark, sf_dir), TRIM, fixture.OFFSET, keep_short=True).select("read_id", "seq", "qual", "status")
 
 
-def _untrusted(spark, sf_dir):
-    return trusted.untrusted_positions(_reads(spark, sf_dir), _trusted(spark, sf_dir), K)
+def _untrusted(reads: DataFrame) -> DataFrame:
+    return trusted.untrusted_positions(reads, _trusted_of(reads), K)
 
 
 def untrusted_positions(spark, sf_dir):
-    return _untrusted(spark, sf_dir).select("read_id", F.col("pos").cast("bigint").alias("pos"))
+    return _untrusted(_staged_reads(spark, sf_dir)).select("read_id", F.col("pos").cast("bigint").alias("pos"))
 
 
 def _components(spark, sf_dir):
-    return regions.with_core(regions.components(_untrusted(spark, sf_dir), K), K)
+    return _components_of(_staged_reads(spark, sf_dir))
+
+
+def _components_of(reads: DataFrame) -> DataFrame:
+    return regions.with_core(regions.components(_untrusted(reads), K), K)
 
 
 def _joined(name: str):
@@ -174,9 +187,9 @@ def component_union(spark, sf_dir):
 
 
 def _with_ends(spark, sf_dir):
-    reads = _reads(spark, sf_dir).withColumn("q", dna.checked_phreds("qual", fixture.OFFSET))
-    ends = reads.select("read_id", F.length("seq").alias("trim_len"), dna.probabilities("q").alias("probs"))
-    return _components(spark, sf_dir).join(ends, "read_id")
+    reads = _staged_reads(spark, sf_dir)
+    ends = reads.withColumn("q", dna.checked_phreds("qual", fixture.OFFSET)).select("read_id", F.length("seq").alias("trim_len"), dna.probabilities("q").alias("probs"))
+    return _components_of(reads).join(ends, "read_id")
 
 
 def error_region(spark, sf_dir):
@@ -230,12 +243,13 @@ def error_model_kernel(spark, sf_dir):
     return error_model.smoothed(error_model.substitution_counts(rows)).select(F.col("q").cast("bigint").alias("q"), "actual", "observed", "p")
 
 
-def _headed(spark, sf_dir, column):
-    return _reads(spark, sf_dir).select(F.expr("concat('r', read_id)").alias("header"), F.col(column).alias("seq"))
+def _headed(reads: DataFrame, column: str) -> DataFrame:
+    return reads.select(F.expr("concat('r', read_id)").alias("header"), F.col(column).alias("seq"))
 
 
 def _changes(spark, sf_dir):
-    return report.changes(_headed(spark, sf_dir, "seq"), _headed(spark, sf_dir, "truth"))
+    reads = _staged_reads(spark, sf_dir)
+    return report.changes(_headed(reads, "seq"), _headed(reads, "truth"))
 
 
 def substitution_matrix(spark, sf_dir):
@@ -246,21 +260,23 @@ def substitution_by_position(spark, sf_dir):
     return report.by_position(_changes(spark, sf_dir))
 
 
-def _restored(spark, sf_dir):
+def _restored(reads: DataFrame) -> DataFrame:
     """As if every fourth read was lost and the others were restored, every seventh cut to 54 bases."""
-    return _reads(spark, sf_dir).where("read_id % 4 != 3").selectExpr("concat('r', read_id) AS header", "IF(read_id % 7 = 0, substring(truth, 1, 54), truth) AS seq")
+    return reads.where("read_id % 4 != 3").selectExpr("concat('r', read_id) AS header", "IF(read_id % 7 = 0, substring(truth, 1, 54), truth) AS seq")
 
 
 def correction_report(spark, sf_dir):
-    return report.correction_report(_headed(spark, sf_dir, "seq"), _restored(spark, sf_dir))
+    reads = _staged_reads(spark, sf_dir)
+    return report.correction_report(_headed(reads, "seq"), _restored(reads))
 
 
 def trims_by_position(spark, sf_dir):
-    return report.trims_by_position(_headed(spark, sf_dir, "seq"), _restored(spark, sf_dir))
+    reads = _staged_reads(spark, sf_dir)
+    return report.trims_by_position(_headed(reads, "seq"), _restored(reads))
 
 
 def pair_routing(spark, sf_dir):
-    ok = _reads(spark, sf_dir).select(F.expr("read_id div 2").alias("pair_id"), F.expr("read_id % 2").alias("mate"), F.expr("read_id % 5 != 0 AND read_id % 97 != 0").alias("ok"))
+    ok = _staged_reads(spark, sf_dir).select(F.expr("read_id div 2").alias("pair_id"), F.expr("read_id % 2").alias("mate"), F.expr("read_id % 5 != 0 AND read_id % 97 != 0").alias("ok"))
     whole = ok.groupBy("pair_id").count().where("count = 2").select("pair_id")
     ok = ok.join(whole, "pair_id")
     return report.paired(ok.where("mate = 0"), ok.where("mate = 1")).select("pair_id", "ok1", "ok2", "route")
@@ -289,9 +305,10 @@ def correction_log(spark, sf_dir):
 
 
 def _searchable(spark, sf_dir):
-    good = checkpointed(_trusted(spark, sf_dir))
+    reads = _staged_reads(spark, sf_dir).select("read_id", "seq", "qual")
+    good = checkpointed(_trusted_of(reads))
     priors = trusted.base_priors(good)
-    rows = checkpointed(correct.suspects(_reads(spark, sf_dir), good, K, fixture.OFFSET, TRIM))
+    rows = checkpointed(correct.suspects(reads, good, K, fixture.OFFSET, TRIM))
     return rows, correct.packed_trusted(good, K), priors
 
 
