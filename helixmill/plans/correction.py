@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -81,7 +83,9 @@ def correct_files(
 
 
 def _of(df: DataFrame, path: str) -> DataFrame:
-    return df.where(F.col("file").endswith(path))
+    """The rows of one file, by its path with or without a scheme; Spark may give it with %20 and the like."""
+    path = "/" + re.sub(r"^\w+:/+", "", path).lstrip("/")
+    return df.where(F.col("file").endswith(path) | F.col("file").endswith(quote(path)))
 
 
 def mates(run: Run, first: str, second: str) -> DataFrame:

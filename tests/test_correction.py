@@ -10,6 +10,8 @@ def test_files_are_corrected_end_to_end(spark, tmp_path):
     rng = random.Random(11)
     genome = "".join(rng.choice("ACGT") for _ in range(400))
     truth = {}
+    tmp_path = tmp_path / "with blank"
+    tmp_path.mkdir()
     for name in ("a.fastq", "b.fastq"):
         lines = []
         for i in range(150):
