@@ -259,11 +259,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         tokens.trim_memory()
 
     rows = asked.marked(docs.select(row_key().alias("key"), "text"), "key").where("maybe").select("key", "text")
-    texts = rows.mapInArrow(shrunk, "key long, text binary").groupBy("key").agg(F.first("text").alias("text"))
+    # Staged, so that the joins are of plain exchanges, which Spark splits where a text has many pairs.
+    texts = staged(rows.mapInArrow(shrunk, "key long, text binary").groupBy("key").agg(F.first("text").alias("text")), "texts")
     a_text, b_text = (texts.selectExpr(f"key AS {c}_key", f"text AS text_{c}").hint("merge") for c in "ab")
     sides = pairs.hint("merge").join(a_text, "a_key").hint("merge").join(b_text, "b_key")
     links = staged(sides.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long").distinct(), "links")
-    release(pairs)
+    release(pairs, texts)
     asked.release()
     return links
 

@@ -131,6 +131,8 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     slice_labels = even_labels(slices_, partitions(docs.sparkSession)) or list(range(slices_))
     number = f"CAST(pmod(xxhash64(doc_id, text), {blocks_}L) AS INT)"
     ranged = docs.select(F.expr(f"element_at(array({', '.join(map(str, labels))}), {number} + 1)" if labels else number).alias("block"), "doc_id", "text")
+    # One shuffle of the texts serves both the counting and the scoring of a block.
+    ranged = ranged.repartition(partitions(docs.sparkSession), "block")
 
     # The slices' order: the sorted keys of a block meet their totals slice by slice.
     place = np.zeros(max(slice_labels) + 1, dtype=np.int64)
