@@ -12,6 +12,11 @@ from .quality import op7_quality
 from .jaccard import op6_jaccard_join
 from .stupid_backoff import ORACLE_SQL as OP4_SQL
 from .stupid_backoff import op4_stupid_backoff
+from .hard_negatives import ORACLE_SQL as OP11_SQL
+from .hard_negatives import op11_hard_negatives
+from .whitening import op12_whitening
+from .line_dedup import ORACLE_SQL as OP13_SQL
+from .line_dedup import op13_line_dedup
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
@@ -24,8 +29,13 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op4_stupid_backoff": op4_stupid_backoff,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_stupid_backoff": OP4_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
