@@ -6,6 +6,12 @@ boilerplate, so are blocks outside an article that are mostly links; blocks of
 some length with many stop words are text.  The second pass decides what is left, short blocks
 above all, like their nearest decided neighbours (headings like the next one; of two equally near ones the text wins); inside <article> or <main>
 only neighbours in there count, and without any the container decides.
+
+What an element's tag or name says of the blocks in it has three grades.  Some
+hold for all that is inside (comments, adverts, asides, hidden parts).  Others
+end where an <article> or <main> begins.  Those that pages are often wrapped in
+as a whole, such as forms, or leave unclosed, such as menus, are void besides
+if most of the page's prose is inside.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +42,23 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
-_BOILERPLATE = frozenset("aside button datalist dialog footer form head header label menu nav noscript option search select svg template title".split())
-_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Grades of boilerplate: of all inside; up to an <article> or <main>; the same if it isn't most of the page.
+_ALL, _OUTSIDE, _PART = 3, 2, 1
+_TAGS = dict.fromkeys("aside button datalist dialog footer head noscript option select svg template title".split(), _ALL) | dict.fromkeys("form header label menu nav search".split(), _PART)
+_ROLES = dict.fromkeys("complementary contentinfo".split(), _ALL) | dict.fromkeys("alert alertdialog dialog".split(), _OUTSIDE) | dict.fromkeys("banner form menu menubar navigation search toolbar".split(), _PART)
 #: Class and id names of what is not main text.  A name of several parts (cookie-notice, ad_slot) counts
 #: if one part is among _NAMES and all others are, too, or are among _FITTINGS.
-_NAMES = frozenset("ad ads advert adverts advertisement advertisements banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promos related replies respond recommended search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe teaser teasers toolbar topbar widget widgets".split())
+_COMMENTS = frozenset("comment comments disqus replies respond".split())
+_NAMES = (
+    dict.fromkeys([*_COMMENTS, *"ad ads advert adverts advertisement advertisements copyright footer promo promos related recommended sponsor sponsored sponsors teaser teasers".split()], _ALL)
+    | dict.fromkeys("breadcrumb breadcrumbs consent cookie cookies gdpr modal newsletter notice notices overlay pagination pager popup sidebar signup skip subscribe".split(), _OUTSIDE)
+    | dict.fromkeys("banner banners login masthead menu nav navbar navigation search share sharing social toolbar topbar widget widgets".split(), _PART)
+)
+#: These decide as a name's last part whatever stands before (reader-comments, article-footer), unless a part
+#: of _SAYS shows that the name tells how the element is set (has-comments); a leading ad decides before a size.
+_LAST = _COMMENTS | frozenset("ads advert adverts advertisement advertisements breadcrumbs copyright footer newsletter pagination".split())
+_SAYS = frozenset("above allow before closed disable disabled enable enabled has have hide layout no not open show with without".split())
+_SIZE = re.compile(r"[0-9]+(x[0-9]+)?")
 _FITTINGS = frozenset("area bar block bottom box btn button buttons container form global group header holder icons inner inline item items left link links list main panel primary right row secondary section site slot sticky to top unit user wrap wrapper".split())
 _PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -59,32 +78,56 @@ class Block:
     container: int  # number of the <article> or <main> around it, 0: none
     heading: bool = False
     good: bool | None = None
+    part: int = 0  # number of the innermost element of grade _PART around it, 0: none
+    counts: tuple[int, int] | None = None
+
+    def counted(self) -> tuple[int, int]:
+        """(words, stop words); counted once."""
+        if self.counts is None:
+            words = _WORD.findall(self.text.lower())
+            n = len(words) + (0 if self.text.isascii() else len(_UNSPACED.findall(self.text)) // _LETTERS_A_WORD)
+            self.counts = n, sum(map(STOP_WORDS.__contains__, words)) if n >= LONG_WORDS else 0
+        return self.counts
+
+
+@lru_cache(10_000)
+def _grade_of_name(name: str) -> int:
+    """What a class or id name says of its element, 0: nothing against it."""
+    parts = [x.lower() for x in _PARTS.split(name) if x]
+    known = [_NAMES[x] for x in parts if x in _NAMES]
+    if not known:
+        return 0
+    if all(x in _NAMES or x in _FITTINGS or _SIZE.fullmatch(x) for x in parts):
+        return max(known)
+    return _NAMES[parts[-1]] if parts[-1] in _LAST and _SAYS.isdisjoint(parts) else 0
 
 
-def _named_boilerplate(value: str) -> bool:
-    """Whether one of the names in a class or id stands for something else than main text."""
-    for name in value.split():
-        parts = [x.lower() for x in _PARTS.split(name) if x]
-        if any(x in _NAMES for x in parts) and all(x in _NAMES or x in _FITTINGS or x.isdigit() for x in parts):
-            return True
-    return False
+def _grade_of_names(tag: str, names: list[str]) -> int:
+    """The same of all names of an element; an <article> is condemned by a name for comments, or if no name is in its favour."""
+    grades = [_grade_of_name(x) for x in names]
+    if tag == "article" and not all(grades) and not any(g and not _COMMENTS.isdisjoint(_PARTS.split(x.lower())) for g, x in zip(grades, names)):
+        return 0
+    return max(grades, default=0)
 
 
-def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether what an element holds is not part of the main text."""
-    if tag in _BOILERPLATE:
-        return not (tag == "header" and in_main)
+def _grade(tag: str, attributes: str, in_main: bool) -> int:
+    """How far what an element holds is no part of the main text; 0: it may be."""
+    if tag in _TAGS:
+        return 0 if tag == "header" and in_main else _TAGS[tag]
     if not attributes.strip() or tag in ("html", "body", "main"):
-        return False
+        return 0
+    found, names = 0, []
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _named_boilerplate(value):
-            return True
-        if name == "style" and re.search(r"display\s*+:\s*+none", value, re.I):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*+:\s*+none", value, re.I):
+            return _ALL
+        if name == "role":
+            found = max(found, _ROLES.get(value.lower(), 0))
+        elif name in ("class", "id"):
+            names += value.split()
+    found = max(found, _grade_of_names(tag, names))
+    # What an article is itself said to be holds for all of it.
+    return _ALL if found and tag == "article" else found
 
 
 def decoded(text: str) -> str:
@@ -101,11 +144,12 @@ class _Page:
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, bool]] = []  # tag, boilerplate
+        self.stack: list[tuple[str, int, int, int]] = []  # tag, grade, and what `outside` and `part` were before
         self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.open_blocks: list[int] = []
         self.inside: list[int] = []  # numbers of the open containers
-        self.containers = self.bad = self.headings = self.links = 0
+        self.containers = self.bad = self.outside = self.part = self.headings = self.links = 0
+        self.around = [0]  # of each element of grade _PART, the number of the next one around it
         self.parts: list[str] = []
 
     def add(self, text: str) -> None:
@@ -118,29 +162,34 @@ class _Page:
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.blocks.append(Block(text, self.links, self.bad > 0, self.inside[-1] if self.inside else 0, self.headings > 0))
+                self.blocks.append(Block(text, self.links, self.bad + self.outside > 0, self.inside[-1] if self.inside else 0, self.headings > 0, part=self.part))
             self.parts.clear()
         self.links = 0
 
-    def push(self, tag: str, boilerplate: bool) -> None:
+    def push(self, tag: str, grade: int) -> None:
         self.open.setdefault(tag, []).append(len(self.stack))
         if tag in _BLOCK:
             self.open_blocks.append(len(self.stack))
-        self.stack.append((tag, boilerplate))
-        self.bad += boilerplate
+        self.stack.append((tag, grade, self.outside, self.part))
+        self.bad += grade == _ALL
+        self.outside += grade == _OUTSIDE
+        if grade == _PART:
+            self.around.append(self.part)
+            self.part = len(self.around) - 1
         self.headings += tag in _HEADINGS
         if tag in _CONTAINERS:
+            self.outside = self.part = 0
             self.containers += 1
             self.inside.append(self.inside[-1] if self.inside else self.containers)
 
     def pop(self, n: int) -> None:
         """Close all elements from place n on."""
         while len(self.stack) > n:
-            tag, boilerplate = self.stack.pop()
+            tag, grade, self.outside, self.part = self.stack.pop()
             self.open[tag].pop()
             if tag in _BLOCK:
                 self.open_blocks.pop()
-            self.bad -= boilerplate
+            self.bad -= grade == _ALL
             self.headings -= tag in _HEADINGS
             if tag in _CONTAINERS:
                 self.inside.pop()
@@ -163,7 +212,25 @@ class _Page:
             return
         if tag == "a" and self.open.get("a"):
             self.pop(self.open["a"][-1])
-        self.push(tag, _is_boilerplate(tag, attributes, bool(self.inside)))
+        self.push(tag, _grade(tag, attributes, bool(self.inside)))
+
+    def settle(self) -> None:
+        """Blocks in an element of grade _PART are boilerplate, unless most of the page's prose is in there, too."""
+        if len(self.around) == 1:
+            return
+        prose = [0 if b.boilerplate or _mostly_links(b) else _stop_words(b) for b in self.blocks]
+        if not any(prose):
+            prose = [0 if b.boilerplate or _mostly_links(b) or b.counted()[0] < LONG_WORDS else b.counted()[0] for b in self.blocks]
+        held = [0] * len(self.around)
+        for b, n in zip(self.blocks, prose):
+            held[b.part] += n
+        for i in range(len(held) - 1, 0, -1):
+            held[self.around[i]] += held[i]
+        bad = [False] * len(held)
+        for i in range(1, len(held)):  # an element comes after those around it
+            bad[i] = 2 * held[i] <= held[0] or bad[self.around[i]]
+        for b in self.blocks:
+            b.boilerplate |= bad[b.part]
 
 
 _CONTAINERS, _NONE, _P = frozenset(("article", "main")), frozenset(), frozenset("p")
@@ -220,6 +287,7 @@ def blocks_of(page: str) -> list[Block]:
             out.begin(tag, attributes)
     out.add(page[at:])
     out.flush()
+    out.settle()
     return out.blocks
 
 
@@ -227,23 +295,31 @@ _HEAD = re.compile(r"[\s/]")
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 
 
+def _mostly_links(b: Block) -> bool:
+    """Links only speak outside <article> and <main>."""
+    return not b.container and b.link_chars > LINK_DENSITY * len(b.text.replace(" ", ""))
+
+
+def _stop_words(b: Block) -> int:
+    """How many a block of prose has: one that is long and dense enough in them; others have none."""
+    n, found = b.counted()
+    return found if n >= LONG_WORDS and found >= STOP_DENSITY * n else 0
+
+
 def decide(blocks: list[Block]) -> None:
     """Set good for each block: first the clear cases, then by the neighbours.
 
-    Links only speak outside <article> and <main>.  On a page where no block
-    has the stop words of a known language, length alone makes a text.
+    On a page where no block has the stop words of a known language, length
+    alone makes a text.
     """
     long: list[Block] = []
     known = False
     for b in blocks:
-        if b.boilerplate or not b.container and b.link_chars > LINK_DENSITY * len(b.text.replace(" ", "")):
+        if b.boilerplate or _mostly_links(b):
             b.good = False
-            continue
-        words = _WORD.findall(b.text.lower())
-        n = len(words) + (0 if b.text.isascii() else len(_UNSPACED.findall(b.text)) // _LETTERS_A_WORD)
-        if n >= LONG_WORDS:
+        elif b.counted()[0] >= LONG_WORDS:
             long.append(b)
-            if sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * n:
+            if _stop_words(b):
                 b.good = known = True
     if not known:
         for b in long:

@@ -26,8 +26,8 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
 #: Columns of the basis beyond the components, and products with the covariance before it grows.
 OVERSAMPLING, POWER_PASSES = 16, 5
-#: |V w - e w| of each component, as a share of the largest eigenvalue.
-TOLERANCE = 1e-13
+#: |V w - e w| of each component, as a share of its eigenvalue e.
+TOLERANCE = 1e-12
 _SEED = 12
 
 
@@ -134,7 +134,7 @@ def fit(rows: DataFrame, components: int = COMPONENTS, oversampling: int = OVERS
         best = np.argsort(-values)[:components]
         values, vectors = values[best], basis @ turned[:, best]
         left = np.linalg.norm(image @ turned[:, best] - vectors * values, axis=0)
-        if left.max() <= tolerance * max(values[0], 0) or basis.shape[1] == width:
+        if (left <= tolerance * values).all() or basis.shape[1] == width:
             break
         basis = np.linalg.qr(image)[0]
     there = values > width * np.finfo(float).eps * max(values[0], 0)

@@ -60,11 +60,25 @@ def test_stages_on_odd_rows(spark):
         assert corpus_pipeline.pack(spark, seen, DATA).where("piece = 0").count() == max(0, n - 1)
 
 
+ADDED = ("score", "held_out", "predicted", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_the_callers_columns_come_back(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in ADDED)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, DATA)
+        assert rows.columns == docs.columns, name
+        got = rows.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in ADDED), name
+
+
 def test_entry_lists_all():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
