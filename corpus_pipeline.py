@@ -3,10 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents, of the rows that they keep.  run() writes
 what a stage returns to the shared folder and reads it again for the next.
+Stages see only doc_id and text by name: other columns come back as they were,
+even if they are named like what an operator adds (score, n_words, spans).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,12 @@ from helixmill.llm.common import fresh, staged, table
 from helixmill.shipping import ship
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all other columns than doc_id and text under names of no operator, and what gives the names back."""
+    own = {c: c if c in ("doc_id", "text") else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), lambda found: found.select(*(F.col(name).alias(c) for c, name in own.items()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney models don't reject; they learn from `docs` and labels.
 
@@ -23,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text is not toxic.  A null doc_id has no label and is judged like others.
     """
     model = toxicity.fit(docs, table(ship(spark), sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    apart, back = _apart(docs)
+    return back(toxicity.score(apart, model).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +71,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows are judged one by one, whatever their doc_id; null and empty texts stay.
     """
-    found = decontaminate.contamination(docs, table(ship(spark), sf_dir, "benchmark"))
-    return found.where("NOT contaminated").select(*docs.columns)
+    apart, back = _apart(docs)
+    return back(decontaminate.contamination(apart, table(ship(spark), sf_dir, "benchmark")).where("NOT contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +81,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     No row goes: a null text stays null, repeated rows stay repeated.
     """
     ship(spark)
-    found = secrets.find(docs, redact=True)
-    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    apart, back = _apart(docs)
+    return back(secrets.find(apart, redact=True)).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
