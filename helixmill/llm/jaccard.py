@@ -311,14 +311,20 @@ def similar(docs: DataFrame, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     keys = staged(held.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key"), "mixed-keys")
     held = staged(held.join(keys, "key", "left_semi"), "mixed")
     release(keys)
-    apart = held.alias("p").join(held.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.cls") < F.col("q.cls")) & _may_link("p.at", "q.at"))
-    apart = apart.select(*_pair("p.cls", "q.cls"))
+    # In a list, sets of one size with the key at one place are a cell.  Cells are paired first: a list of many
+    # sets that the filter keeps apart, as of pages from one template, has few cells, and none that pass.
+    cells = staged(held.groupBy("key", "at").agg(F.min("root").alias("r1"), F.max("root").alias("r2")), "cells")
+    p, q = cells.alias("p"), cells.alias("q")
+    mixed = (F.col("p.r1") != F.col("p.r2")) | (F.col("q.r1") != F.col("q.r2")) | (F.col("p.r1") != F.col("q.r1"))
+    meet = staged(p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.at") <= F.col("q.at")) & _may_link("p.at", "q.at") & mixed).select("p.key", F.col("p.at").alias("at"), F.col("q.at").alias("at2")), "meeting-cells")
+    sides = held.join(meet, ["key", "at"]).alias("p").join(held.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.at2") == F.col("q.at")) & (F.col("p.root") != F.col("q.root")) & ((F.col("p.at") != F.col("p.at2")) | (F.col("p.cls") < F.col("q.cls"))))
+    apart = sides.select(*_pair("p.cls", "q.cls"))
     inside = members.join(leaders.where("members > 1"), "grp").select("grp", "cls", "root")
     inside = inside.alias("p").join(inside.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.root") != F.col("q.root"))).select(*_pair("p.cls", "q.cls"))
     release(shared)
     second = _verified(apart.union(inside).distinct(), docs, one)
     roots = components(first.union(second).selectExpr("a AS u", "b AS v"))
-    release(held, members, first, second)
+    release(held, members, first, second, cells, meet)
 
     least = roots.join(one.withColumnRenamed("cls", "node"), "node").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(least, "root").selectExpr("node AS cls", "root", "component")

@@ -24,9 +24,6 @@ from . import tokens
 from .common import partitions, table
 from .packed import pack_numbers, unpack_numbers
 
-#: An n-gram that the corpus has less often is no evidence: the score backs off.
-#: The corpus holds what is scored, so a count of 1 is the scored occurrence itself.
-LEAST_COUNT = 2
 #: Words in the longest n-grams of the query; its SQL says the same.
 ORDER = 2
 BACKOFF = 0.4
@@ -34,8 +31,6 @@ BACKOFF = 0.4
 SCALE = 1_000_000
 BLOCK_BYTES, SLICE_GRAMS = 24_000_000, 2_000_000
 _FLUSH = 4_000_000
-#: Blocks or slices that get labels which spread evenly.
-_LABELS = 20_000
 
 
 def _grams(s: tokens.Texts, order: int) -> tuple[tokens.Words, list[np.ndarray]]:
@@ -73,50 +68,18 @@ def _slice_edges(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
 
 
-def _murmur(x: np.ndarray) -> np.ndarray:
-    """Spark's hash of ints (Murmur3 of one word, seed 42), by which it deals out rows."""
-    x = x.astype(np.uint32)
-    k = x * np.uint32(0xCC9E2D51)
-    k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
-    h = np.uint32(42) ^ k
-    h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
-    h ^= np.uint32(4)
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return (h ^ (h >> np.uint32(16))).view(np.int32)
-
-
-def even_labels(n: int, shuffled_to: int) -> list[int]:
-    """n different ints that a shuffle deals to its partitions in turn, so that none gets several by chance.
-
-    Beyond _LABELS they are 0..n-1, of which each partition gets many anyway.
-    """
-    if n > _LABELS:
-        return []
-    out: list[int] = []
-    free: dict[int, list[int]] = {}
-    at = 0
-    while len(out) < n:
-        wanted = len(out) % shuffled_to
-        while not free.get(wanted):
-            some = np.arange(at, at + 4 * shuffled_to + 64)
-            for x, to in zip(some.tolist(), np.mod(_murmur(some), shuffled_to).tolist()):
-                free.setdefault(to, []).append(x)
-            at += len(some)
-        out.append(free[wanted].pop(0))
-    return out
-
-
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, n_backoff, score_micro, mean_score), a row for each of docs.
 
     Words are runs of digits, letters a-z (A-Z in lower case) and non-ASCII
-    characters.  A word after others has c(n-gram) / c(n-gram without it) for
-    the longest n-gram, n up to `order`, that ends at it and whose count is
-    LEAST_COUNT or more, times BACKOFF for each longer one in the text; without
-    one it has BACKOFF for each of them times c(word) / N.  If it backs off at
-    all, it counts in n_backoff.  A text's first word has c(word) / N.  Counts cover all
-    documents, repeated rows as often as they occur.  score_micro sums
+    characters.  Counts cover all documents, repeated rows as often as they
+    occur, and leave out the occurrence that is scored: c is one less than the
+    corpus has, N, the corpus's words, too.  A word after others has c(n-gram)
+    / c(n-gram without it) for the longest n-gram, n up to `order`, that ends
+    at it and occurs elsewhere, times BACKOFF for each longer one in the text;
+    without one it has BACKOFF for each of them times c(word) / N.  A word that
+    occurs nowhere else has BACKOFF / N in place of c(word) / N.  If it backs
+    off to a shorter n-gram, it counts in n_backoff.  score_micro sums
     round(SCALE * log10(...)); mean_score is null for a text without words
     (null, empty), whose sum is 0.  Columns other than doc_id and text are not
     looked at.
@@ -127,17 +90,10 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     slices_ = max(1, math.ceil(size / 6 * max(order - 1, 1) / SLICE_GRAMS))
     blocks_ = max(1, math.ceil(size / BLOCK_BYTES))
-    labels = even_labels(blocks_, partitions(docs.sparkSession))
-    slice_labels = even_labels(slices_, partitions(docs.sparkSession)) or list(range(slices_))
-    number = f"CAST(pmod(xxhash64(doc_id, text), {blocks_}L) AS INT)"
-    ranged = docs.select(F.expr(f"element_at(array({', '.join(map(str, labels))}), {number} + 1)" if labels else number).alias("block"), "doc_id", "text")
+    ranged = docs.select(F.expr(f"CAST(pmod(xxhash64(doc_id, text), {blocks_}L) AS INT)").alias("block"), "doc_id", "text")
     # One shuffle of the texts serves both the counting and the scoring of a block.
     ranged = ranged.repartition(partitions(docs.sparkSession), "block")
 
-    # The slices' order: the sorted keys of a block meet their totals slice by slice.
-    place = np.zeros(max(slice_labels) + 1, dtype=np.int64)
-    place[slice_labels] = np.arange(slices_)
-
     def send(batches):
         held: dict[int, list] = {}
         weight = 0
@@ -148,7 +104,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 edges = _slice_edges(keys, slices_)
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([slice_labels[k]], pa.int32()), pa.array([block], pa.int32()), pa.array([pack_numbers(keys[a:b], True)], pa.binary()), pa.array([pack_numbers(counts[a:b], False)], pa.binary())], names=["slice", "block", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([pack_numbers(keys[a:b], True)], pa.binary()), pa.array([pack_numbers(counts[a:b], False)], pa.binary())], names=["slice", "block", "keys", "counts"])
             held.clear()
 
         for batch in batches:
@@ -186,7 +142,8 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if sum(len(k) for k, _ in parts[1:]) > _FLUSH:
                 parts = [_merged(parts)]
         keys = _merged(parts)[0]
-        by_slice = np.argsort(place[found.column("slice").to_numpy()])
+        # The sorted keys of a block meet their totals slice by slice.
+        by_slice = np.argsort(found.column("slice").to_numpy())
         data = found.column("totals").to_pylist()
         total = np.concatenate([unpack_numbers(data[i], False) for i in by_slice] or [np.zeros(0, dtype=np.uint64)]).astype(float)
         out: list[list] = [[], [], [], []]
@@ -195,14 +152,14 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             c = [np.zeros(len(w.hash)) for _ in grams]
             for key, own in zip(grams, c):
                 own[key != 0] = total[np.searchsorted(keys, key[key != 0])]
-            p = c[0] / max(lengths, 1)
+            p = np.where(c[0] > 1, c[0] - 1, BACKOFF) / max(lengths - 1, 1)
             backs_off = np.zeros(len(p), dtype=bool)
             # From short to long: a longer n-gram replaces what shorter ones gave, or costs BACKOFF.
             for n in range(1, order):
-                seen = np.flatnonzero(c[n] >= LEAST_COUNT)
-                fails = (grams[n] != 0) & (c[n] < LEAST_COUNT)
+                seen = np.flatnonzero(c[n] > 1)
+                fails = (grams[n] != 0) & (c[n] <= 1)
                 p[fails] *= BACKOFF
-                p[seen] = c[n][seen] / c[n - 1][seen - 1]
+                p[seen] = (c[n][seen] - 1) / (c[n - 1][seen - 1] - 1)
                 backs_off = fails | (backs_off & (grams[n] == 0))
             micro = np.floor(SCALE * np.log10(p) + 0.5)
             rows = s.batch.num_rows
@@ -236,9 +193,9 @@ c2 AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),
 total AS (SELECT count(*) AS n FROM t),
 s AS (
   SELECT b.rid, CASE WHEN b.v IS NOT NULL AND c2.n < 2 THEN 1 ELSE 0 END AS backs_off,
-         CASE WHEN c2.n >= 2 THEN CAST(c2.n AS DOUBLE) / before.n
-              WHEN b.v IS NULL THEN CAST(own.n AS DOUBLE) / total.n
-              ELSE CAST(own.n AS DOUBLE) / total.n * CAST(0.4 AS DOUBLE) END AS p
+         CASE WHEN c2.n >= 2 THEN CAST(c2.n - 1 AS DOUBLE) / (before.n - 1)
+              ELSE CASE WHEN own.n > 1 THEN CAST(own.n - 1 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END / greatest(total.n - 1, 1)
+                   * CASE WHEN b.v IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END END AS p
   FROM b CROSS JOIN total JOIN c1 AS own ON own.w = b.w
   LEFT JOIN c1 AS before ON before.w = b.v LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w),
 r AS (SELECT rid, count(*) AS n_words, sum(backs_off) AS n_backoff, sum(CAST(floor(1000000 * log10(p) + 0.5) AS BIGINT)) AS score_micro FROM s GROUP BY rid)
