@@ -2,38 +2,79 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna
-
-from helixmill.staging import checkpointed
+from helixmill.staging import checkpoint_dir, checkpointed
 
 from . import error_model, regions, search
 from .trim import LEAST_LENGTH, quick_trim
 from .trusted import untrusted_positions
 
-#: Trusted k-mers that are sent to every executor at most, 8 bytes each; more are asked by joins.
-BROADCAST_KMERS = 8_000_000
+#: Trusted k-mers that every executor gets as a file at most, 8 bytes each; more are asked by joins.
+SHARED_KMERS = 100_000_000
+#: k-mers of that file that pass through the driver at a time.
+_PIECE = 500_000
+#: Tasks of a search for each shuffle partition: reads differ by orders of magnitude in what they cost.
+TASKS_A_PARTITION = 8
+#: Queue entries looked up together where an answer takes a join.
+_AHEAD_OF_JOIN = 1024
+
+
+@dataclass(frozen=True)
+class SharedKmers:
+    """Sorted packed k-mers in a file that each executor fetches once; its Python workers map the same pages."""
+
+    name: str
+    n: int
 
+    def load(self) -> np.ndarray:
+        return np.asarray(np.memmap(SparkFiles.get(self.name), dtype="<i8", mode="r", shape=(self.n,))) if self.n else np.zeros(0, dtype=np.int64)
 
-def packed_trusted(trusted: DataFrame, k: int, most: int = BROADCAST_KMERS) -> np.ndarray | DataFrame:
-    """The sorted packed canonical k-mers if there are at most `most`, else `trusted` as it is."""
-    if trusted.count() > most:
+
+def packed_trusted(trusted: DataFrame, k: int, most: int = SHARED_KMERS) -> SharedKmers | DataFrame:
+    """The packed canonical k-mers as a file for the executors if there are at most `most`, else `trusted` as it is.
+
+    Spark sorts them; the driver only strings pieces of bounded size together
+    to the file in the shared folder, from where executors fetch it.
+    """
+    n = trusted.count()
+    if n > most:
         return trusted
-    return np.sort(trusted.select(dna.pack("kmer").alias("p")).toPandas()["p"].to_numpy(np.int64))
 
+    def pieces(batches):
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            for at in range(0, len(values), _PIECE):
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([values[at : at + _PIECE].tobytes()], pa.binary())})
+
+    spark, name = trusted.sparkSession, f"trusted-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    for row in trusted.select(dna.pack("kmer").alias("p")).orderBy("p").mapInArrow(pieces, "piece binary").toLocalIterator():
+        out.write(bytes(row.piece))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return SharedKmers(name, n)
 
-def suspects(reads: DataFrame, trusted: DataFrame, k: int, offset: int, trim_threshold: int = 3) -> DataFrame:
+
+def suspects(reads: DataFrame, trusted: DataFrame, k: int, offset: int, trim_threshold: int = 3, counts: DataFrame | None = None) -> DataFrame:
     """Reads (read_id, seq, qual, ...) with trim_len and comps: their components, regions included.
 
     comps is null where no untrusted window survives the trimming; reads below
-    the least length have trim_len 0.
+    the least length have trim_len 0.  `counts` as for untrusted_positions().
     """
     trimmed = quick_trim(reads, trim_threshold, offset).withColumn("trim_len", F.when(F.length("seq") < LEAST_LENGTH, 0).otherwise(F.col("trim_len")))
     # Only windows that survive the trimming are looked at.
-    bad = untrusted_positions(trimmed.select("read_id", F.expr("substring(seq, 1, trim_len)").alias("seq")), trusted, k)
+    bad = untrusted_positions(trimmed.select("read_id", F.expr("substring(seq, 1, trim_len)").alias("seq")), trusted, k, counts)
     comps = regions.with_core(regions.components(bad, k), k)
     comps = comps.join(trimmed.select("read_id", "qual", "trim_len"), "read_id").withColumn("q", dna.checked_phreds("qual", offset)).withColumn("probs", dna.probabilities("q"))
     comps = regions.error_region_chop(regions.error_region(comps, k), k)
@@ -78,14 +119,14 @@ def _model(models: Models, r) -> np.ndarray:
 def searched_by_rounds(hard: DataFrame, trusted: DataFrame, k: int, offset: int, models: Models, priors: list[float], learning: bool = False) -> DataFrame:
     """What searched() gives for reads with components, for a trusted set of any size.
 
-    A round searches each read with the k-mers known to it and notes those it
-    asked for; a join with the trusted set answers them, and the reads that
-    asked are searched again.  Nothing is broadcast.  Each round is
-    checkpointed in the shared folder.
+    A round searches each read until it comes to windows that are not known to
+    it, notes them, and packs up the search as it stands.  A join with the
+    trusted set answers, and the next round goes on from there.  Nothing is
+    broadcast.  Each round is checkpointed in the shared folder.
     """
     right = np.array(dna.quality_probabilities())
     kept = [c for c in hard.columns if c != "comps"]
-    state = hard.withColumns({"kmers": F.expr("CAST(array() AS ARRAY<BIGINT>)"), "oks": F.expr("CAST(array() AS ARRAY<BOOLEAN>)")})
+    state = hard.withColumns({"kmers": F.expr("CAST(array() AS ARRAY<BIGINT>)"), "oks": F.expr("CAST(array() AS ARRAY<BOOLEAN>)"), "progress": F.lit(None).cast("binary")})
     schema = _schema(state, {**_FOUND, "missing": "array<bigint>"})
     answers = trusted.select(dna.pack("kmer").alias("kmer"), F.lit(True).alias("ok"))
     sent = hard.sparkSession.sparkContext.broadcast(models)
@@ -93,45 +134,49 @@ def searched_by_rounds(hard: DataFrame, trusted: DataFrame, k: int, offset: int,
 
     def run(batches):
         for pdf in batches:
-            out = []
+            out, progress = [], []
             for r in pdf.itertuples(index=False):
-                known = search.AskedSet([int(x) for x in r.kmers], [bool(x) for x in r.oks], k)
+                known = search.AskedSet(np.asarray(r.kmers, dtype=np.int64), np.asarray(r.oks, dtype=bool), k)
                 read, comps = _parsed(r, offset, right)
-                edits, keep, solved, _ = search.correct(read, comps, known, _model(sent.value, r), priors, learning)
-                out.append((*_outcome(r, edits, keep, solved), sorted(known.missing)))
-            yield pdf.assign(**dict(zip([*_FOUND, "missing"], map(list, zip(*out)))))
+                try:
+                    edits, keep, solved, _ = search.correct(read, comps, known, _model(sent.value, r), priors, learning, pickle.loads(r.progress) if r.progress else None, _AHEAD_OF_JOIN)
+                    out.append((*_outcome(r, edits, keep, solved), []))
+                    progress.append(None)
+                except search.Pending as waits:
+                    out.append(("", False, [], sorted(known.missing)))
+                    progress.append(pickle.dumps(waits.state))
+            yield pdf.assign(**dict(zip([*_FOUND, "missing"], map(list, zip(*out)))), progress=progress)
 
     while True:
         found = checkpointed(state.mapInPandas(run, schema))
         ready = found.where("size(missing) = 0").select(*kept, *_FOUND)
         done = ready if done is None else done.union(ready)
-        asked = found.where("size(missing) > 0").select("read_id", F.explode("missing").alias("kmer"))
+        asked = found.where("size(missing) > 0")
         if asked.isEmpty():
             return done
-        told = asked.join(answers, "kmer", "left").groupBy("read_id").agg(F.collect_list("kmer").alias("new"), F.collect_list(F.coalesce("ok", F.lit(False))).alias("new_oks"))
-        state = state.join(told, "read_id").withColumns({"kmers": F.concat("kmers", "new"), "oks": F.concat("oks", "new_oks")}).drop("new", "new_oks")
+        told = asked.select("read_id", F.explode("missing").alias("kmer")).join(answers, "kmer", "left").groupBy("read_id").agg(F.collect_list("kmer").alias("new"), F.collect_list(F.coalesce("ok", F.lit(False))).alias("new_oks"))
+        state = asked.select(*state.columns).join(told, "read_id").withColumns({"kmers": F.concat("kmers", "new"), "oks": F.concat("oks", "new_oks")}).drop("new", "new_oks")
 
 
-def searched(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, models: Models, priors: list[float], learning: bool = False) -> DataFrame:
+def searched(rows: DataFrame, trusted: SharedKmers | DataFrame, k: int, offset: int, models: Models, priors: list[float], learning: bool = False) -> DataFrame:
     """rows without comps, but with (cor, solved, edits): the corrected prefix of each read.
 
     Only reads with components are searched, spread by a hash of their id.
-    `trusted` is what packed_trusted gives, to be broadcast, or the trusted
-    k-mers themselves.  With models by file (5.6 KB each) rows have a column `file`.
+    `trusted` is what packed_trusted() gives: a file of them, or the trusted
+    k-mers themselves if they are too many.  With models by file (5.6 KB each) rows have a column `file`.
     """
     # A number of partitions, lest they be joined for their few bytes: the search is long, not large.
-    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = TASKS_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hard = rows.where(F.col("comps").isNotNull()).repartition(many, "read_id")
     easy = rows.where(F.col("comps").isNull()).drop("comps").withColumns({"cor": F.expr("substring(seq, 1, trim_len)"), "solved": F.lit(False), "edits": F.expr(f"CAST(array() AS {_FOUND['edits']})")})
     if isinstance(trusted, DataFrame):
         return searched_by_rounds(hard, trusted, k, offset, models, priors, learning).unionByName(easy)
-    sent = rows.sparkSession.sparkContext.broadcast((trusted, models))
+    sent = rows.sparkSession.sparkContext.broadcast(models)
     right = np.array(dna.quality_probabilities())
     kept = hard.drop("comps")
 
     def run(batches):
-        trusted, models = sent.value
-        known = search.TrustedSet(trusted, k)
+        models, known = sent.value, search.TrustedSet(trusted.load(), k)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
@@ -149,20 +194,59 @@ def corrections(found: DataFrame, offset: int, *keep: str) -> DataFrame:
     return rows.select("read_id", *keep, F.col("e.place").alias("place"), F.expr(f"ascii(substring(qual, e.place + 1, 1)) - {offset}").alias("q"), F.col("e.base").alias("actual"), F.expr("substring(seq, e.place + 1, 1)").alias("observed"))
 
 
-def learn(rows: DataFrame, trusted: np.ndarray | DataFrame, k: int, offset: int, priors: list[float], samples: int = error_model.SAMPLES, by: tuple[str, ...] = ()) -> DataFrame:
+def first_rows(rows: DataFrame, n: int, by: tuple[str, ...], *order: str) -> DataFrame:
+    """The first n rows (of each group) in an order, without a task that sees a whole group.
+
+    Each range of the first column of the order is numbered by itself, from
+    where the counts of the ranges before it end.  Rows without a tie only.
+    """
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(rows.repartitionByRange(ranges, order[0]).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by, F.lit(0)).orderBy("__range")) - F.col("__n")).drop("__n")
+    own = Window.partitionBy(*by, "__range").orderBy(*order)
+    numbered = dealt.join(before.where(F.col("__before") < n), [*by, "__range"]).withColumn("__n", F.row_number().over(own) + F.col("__before"))
+    return numbered.where(F.col("__n") <= n).drop("__n", "__range", "__before")
+
+
+#: A round of learning looks at this many times as many reads as the rounds before it together.
+_GROWTH = 4
+
+
+def learn(rows: DataFrame, trusted: SharedKmers | DataFrame, k: int, offset: int, priors: list[float], samples: int = error_model.SAMPLES, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, q, actual, observed, n) of a strict first pass, from the first `samples` corrections by read (of each group).
 
-    Only reads that are solved as a whole and stay long enough teach.
+    Only reads that are solved as a whole and stay long enough teach.  Reads
+    are searched in rounds, by growing ranges of their ids, and a group that
+    has its samples takes no part in the next round.
     """
-    found = searched(rows, trusted, k, offset, error_model.uniform(), priors, learning=True)
-    found = found.where(F.col("solved") & (F.length("cor") >= LEAST_LENGTH))
-    used = corrections(found, offset, *by).where(F.col("observed").isin(*dna.NUCLEOTIDES))
-    if by:
-        first = Window.partitionBy(*by).orderBy("read_id", "place")
-        used = used.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= samples)
-    else:
-        used = used.orderBy("read_id", "place").limit(samples)
-    return error_model.substitution_counts(used, *by)
+    hard = rows.where(F.col("comps").isNotNull())
+    sizes = hard.groupBy(*by).agg(F.count("*").alias("__n")).agg(F.max("__n")).head()[0] or 0
+    share, shares = 2 * samples / max(1, sizes), []
+    while share < 1:
+        shares.append(share)
+        share *= _GROWTH
+    # Where a range ends decides how long a round is, not what is learnt: a quantile that is about right will do.
+    ends = F.percentile_approx("read_id", F.array(*map(F.lit, shares)), 10_000) if shares else F.expr("CAST(array() AS ARRAY<BIGINT>)")
+    bounds = checkpointed(hard.groupBy(*by, F.lit(0).alias("__all")).agg(F.max("read_id").alias("__last"), ends.alias("__ends")))
+    used, found = None, None
+    for turn in range(len(shares) + 1):
+        low = "0" if not turn else f"__ends[{turn - 1}]"
+        high = f"__ends[{turn}]" if turn < len(shares) else "__last"
+        left = bounds
+        if turn:
+            had = used.groupBy(*by, F.lit(0).alias("__all")).agg(F.count("*").alias("__had"))
+            left = checkpointed(bounds.join(had.where(F.col("__had") >= samples), [*by, "__all"], "left_anti"))
+            if left.isEmpty():
+                break
+        # A row a group: as many as there are files.
+        ours = hard.withColumn("__all", F.lit(0)).join(F.broadcast(left), [*by, "__all"]).where(F.expr(f"read_id <= {high}" + (f" AND read_id > {low}" if turn else "")))
+        found = searched(ours.select(*rows.columns), trusted, k, offset, error_model.uniform(), priors, learning=True)
+        found = found.where(F.col("solved") & (F.length("cor") >= LEAST_LENGTH))
+        more = checkpointed(corrections(found, offset, *by).where(F.col("observed").isin(*dna.NUCLEOTIDES)))
+        used = more if used is None else used.union(more)
+    return error_model.substitution_counts(first_rows(used, samples, by, "read_id", "place"), *by)
 
 
 def annotated(found: DataFrame, offset: int, header: str = "header") -> DataFrame:

@@ -1,7 +1,8 @@
 """k-mers of reads: windows, integer and quality-weighted counts, reduction.
 
-A count is one aggregation: each task sums what it has seen before the one
-shuffle on the k-mer, so there is no separate flush, sort and reduce.
+Counts go by minimizers (superkmers): each task sums what it has seen before the
+one shuffle, so there is no separate flush, sort and reduce.  Windows as rows are
+for what needs their reads and places.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import dna
 
+from . import superkmers
+
 #: Window weights at or below these don't count, for exact and for fixed-point sums.
 WEIGHT_FLOOR, FIXED_WEIGHT_FLOOR = 0.0001, 0.005
 FIXED_SCALE = 1_000_000
@@ -44,10 +47,15 @@ def canonical_kmers(reads: DataFrame, k: int, *keep: str, both_strands: bool = T
 
 def count_kmers(reads: DataFrame, k: int, min_count: int = 0, both_strands: bool = True) -> DataFrame:
     """(kmer, n): occurrences of each k-mer, of which only n > min_count."""
-    counts = canonical_kmers(reads, k, both_strands=both_strands).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = superkmers.counts(reads, check_k(k), both_strands)
     return counts.where(F.col("n") > min_count) if min_count else counts
 
 
+def packed_counts(reads: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
+    """(packed, n): the same with k-mers as dna.pack() makes them, for what does not need their letters."""
+    return superkmers.counts(reads, check_k(k), both_strands, spell=False)
+
+
 def weighted_kmers(reads: DataFrame, k: int, offset: int, *keep: str) -> DataFrame:
     """(*keep, pos, kmer, weight): canonical k-mers with the product of their bases' probabilities."""
     rows = reads.where(F.length("seq") >= k).withColumn("__p", dna.checked_phreds("qual", offset)).withColumn("__p", dna.probabilities("__p"))
@@ -68,8 +76,12 @@ def count_qmers(reads: DataFrame, k: int, offset: int, min_count: float = 0.0, f
 
 def count_qmers_fixed(reads: DataFrame, k: int, offset: int, scale: int = FIXED_SCALE, floor: float = WEIGHT_FLOOR, most: int = 2**62) -> DataFrame:
     """(kmer, q): sums of floor(scale * weight) as bigint, saturating at `most`."""
-    rows = weighted_kmers(reads, k, offset).where(F.col("weight") > floor)
-    return rows.groupBy("kmer").agg(F.least(F.sum(F.floor(F.col("weight") * scale)), F.lit(most)).cast("bigint").alias("q"))
+    return superkmers.fixed_sums(reads, check_k(k), offset, scale, floor).withColumn("q", F.least("q", F.lit(most)).cast("bigint"))
+
+
+def packed_sums(reads: DataFrame, k: int, offset: int, scale: int = FIXED_SCALE, floor: float = WEIGHT_FLOOR) -> DataFrame:
+    """(packed, q): the same with packed k-mers."""
+    return superkmers.fixed_sums(reads, check_k(k), offset, scale, floor, spell=False)
 
 
 def reduce_counts(partial: DataFrame, value: str) -> DataFrame:
@@ -81,4 +93,4 @@ def scan_summary(reads: DataFrame, k: int) -> DataFrame:
     """One row: reads, bases, unknown bases, distinct canonical k-mers."""
     unknown: Column = F.length(F.translate("seq", "ACGT", ""))
     a = reads.agg(F.count("*").alias("n_reads"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("n_bases"), F.coalesce(F.sum(unknown), F.lit(0)).alias("n_unknown"))
-    return a.crossJoin(count_kmers(reads, k).agg(F.count("*").alias("n_kmers")))
+    return a.crossJoin(packed_counts(reads, k).agg(F.count("*").alias("n_kmers")))

@@ -144,17 +144,26 @@ class QModel:
         return best
 
 
-def peak(hist: np.ndarray, least_rise: float = 0.0) -> int:
-    """The 1-based place of the first maximum behind the first valley of a dense histogram."""
-    i = 1
-    while i < len(hist) and hist[i] < hist[i - 1]:
-        i += 1
-    if i >= len(hist):
+def peak(cov: np.ndarray, num: np.ndarray, least_rise: float = 0.0) -> int:
+    """The first coverage with the most k-mers behind the first valley of a histogram.
+
+    Bins from 1 on that are not among the ascending `cov` are empty; only their
+    neighbours are looked at, so a coverage may be as high as it likes.
+    """
+    cov, num = np.asarray(cov)[np.asarray(num) > 0], np.asarray(num)[np.asarray(num) > 0]
+    before, under = np.append(0, cov[:-1]), np.append(0, num[:-1])
+    # Behind an empty bin the descent has ended: at the second place of a gap, or at bin 2 if bin 1 is empty.
+    gap = cov > before + 1
+    turns = np.where(gap, np.maximum(before + 2, 2), cov)[gap | ((num >= under) & (cov > 1))]
+    if not len(turns):
         raise ValueError("no coverage peak: the histogram only falls")
-    top = int(np.argmax(hist[i:])) + i
-    if hist[i - 1] and hist[top] / hist[i - 1] < least_rise:
+    turn = turns.min()
+    behind = np.flatnonzero(cov >= turn)
+    top = behind[np.argmax(num[behind])]
+    valley = num[cov == turn - 1]
+    if len(valley) and num[top] / valley[0] < least_rise:
         raise ValueError("no reliable coverage peak: choose the cutoff by hand")
-    return top + 1
+    return int(cov[top])
 
 
 def minimise(f, x: np.ndarray, rounds: int, step: float = 1e-3, tolerance: float = 1e-8) -> np.ndarray:
@@ -212,9 +221,7 @@ def fit_int(cov: np.ndarray, num: np.ndarray, rounds: int = 5000) -> IntModel:
     """Fit to a histogram (coverage, number of k-mers)."""
     order = np.argsort(cov)
     cov, num = np.asarray(cov)[order], np.asarray(num, dtype=float)[order]
-    full = np.zeros(int(cov[-1]))
-    full[cov.astype(int) - 1] = num
-    top = peak(full)
+    top = peak(cov, num)
     keep = cov < EXTREME * top
     cov, num = cov[keep].astype(float), num[keep]
     return IntModel(*map(float, minimise(lambda x: int_likelihood(IntModel(*x), cov, num), np.array([3, 0.9, 3, top, 5 * top]), rounds)))
@@ -231,8 +238,7 @@ def q_likelihood(model: QModel, cov: np.ndarray, num: np.ndarray) -> float:
 def fit_q(values: np.ndarray, rounds: int = 1000, least_rise: float = 1.5) -> QModel:
     """Fit to a sample of real-valued coverages; equal ones are counted once."""
     values = np.asarray(values, dtype=float)
-    hist = np.bincount(np.maximum(np.ceil(values), 1).astype(int), minlength=int(round(values.max())) + 2)[1:]
-    top = peak(hist, least_rise)
+    top = peak(*np.unique(np.maximum(np.ceil(values), 1).astype(np.int64), return_counts=True), least_rise)
     values = values[values < EXTREME * top]
     cov, num = np.unique(np.where(values == 0, 1e-12, values), return_counts=True)
     return QModel(*map(float, minimise(lambda x: q_likelihood(QModel(*x), cov, num), np.array([2, 0.9, 0.8, 0.5, top, 3 * top]), rounds)))

@@ -12,64 +12,98 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from . import windows
+
 #: Thresholds on likelihoods, and gates on the number of doubtful bases.
 SPREAD, LEAST, LEAST_LEARNING = 0.1, 1e-6, 1e-5
 DOUBTFUL, QUIT, VERY_CAREFUL, CAREFUL, QUIT_LEARNING = 0.99, 13, (11, 0.05), (9, 0.001), 8
 MOST_UNKNOWN, MOST_UNKNOWN_LEARNING = 2, 1
 QUEUE = 400_000
-#: Windows that a task remembers the answer for.
-_SEEN_WINDOWS = 500_000
+#: Entries of a queue whose windows are looked up together.
+AHEAD = 48
 SOLVED, AMBIGUOUS, GAVE_UP, EXHAUSTED = 0, 1, 2, 3
 
 
 class TrustedSet:
-    """Sorted packed canonical k-mers."""
+    """Sorted packed canonical k-mers, an array in memory or in a mapped file."""
 
     def __init__(self, packed: np.ndarray, k: int):
         self.packed, self.k = packed, k
-        self._up = 4 ** np.arange(k - 1, -1, -1, dtype=np.int64)
-        self._seen: dict[bytes, bool] = {}
 
-    def windows(self, codes: np.ndarray) -> np.ndarray:
-        """For each window of the codes whether it is trusted; one with an unknown base is not."""
-        if len(codes) < self.k:
-            return np.zeros(0, dtype=bool)
-        data = codes.astype(np.uint8).tobytes()
-        keys = [data[i : i + self.k] for i in range(len(codes) - self.k + 1)]
-        found = [self._seen.get(x) for x in keys]
-        if None in found:
-            w = np.lib.stride_tricks.sliding_window_view(codes, self.k)
-            known = (w < 4).all(axis=1)
-            least = np.minimum(w @ self._up, (3 - w) @ self._up[::-1])
-            found = (known & self._holds(least, known)).tolist()
-            if len(self._seen) > _SEEN_WINDOWS:
-                self._seen.clear()
-            self._seen.update(zip(keys, found))
-        return np.array(found, dtype=bool)
-
-    def _holds(self, kmers: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    def holds(self, kmers: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Whether each canonical k-mer is trusted; those that are not `known` have an unknown base and are not."""
         if not len(self.packed):
-            return np.zeros(len(kmers), dtype=bool)
+            return np.zeros(kmers.shape, dtype=bool)
         at = np.minimum(np.searchsorted(self.packed, kmers), len(self.packed) - 1)
-        return self.packed[at] == kmers
+        return known & (self.packed[at] == kmers)
+
+    def windows(self, codes: np.ndarray) -> np.ndarray:
+        """For each window of the codes whether it is trusted; one with an unknown base is not."""
+        own = Windows(codes, self.k)
+        return self.holds(np.minimum(own.ahead, own.back), own.unknown == 0)
 
 
-class AskedSet(TrustedSet):
-    """The part of a trusted set that is known so far; what else is asked for is noted.
+class Pending(Exception):
+    """Windows were asked for that are not known yet; `state` is where the search goes on when they are."""
 
-    Unknown k-mers count as untrusted, so a search that asked for any must be
-    repeated when they are known.
-    """
+    def __init__(self, state: tuple):
+        super().__init__()
+        self.state = state
 
-    def __init__(self, kmers: list[int], trusted: list[bool], k: int):
-        super().__init__(np.zeros(0, dtype=np.int64), k)
-        self.known = dict(zip(kmers, trusted))
+
+class AskedSet(TrustedSet):
+    """The part of a trusted set that is known so far; what else is asked for is noted in `missing`."""
+
+    def __init__(self, kmers: np.ndarray, trusted: np.ndarray, k: int):
+        order = np.argsort(kmers)
+        super().__init__(kmers[order], k)
+        self.trusted = trusted[order]
         self.missing: set[int] = set()
 
-    def _holds(self, kmers: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        keys = kmers.tolist()
-        self.missing.update(x for x, a in zip(keys, asked.tolist()) if a and x not in self.known)
-        return np.array([self.known.get(x, False) for x in keys], dtype=bool)
+    def holds(self, kmers: np.ndarray, known: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.packed, kmers), max(0, len(self.packed) - 1))
+        told = self.packed[at] == kmers if len(self.packed) else np.zeros(kmers.shape, dtype=bool)
+        self.missing.update(kmers[known & ~told].tolist())
+        return known & told & self.trusted[at] if len(self.packed) else told
+
+
+class Windows:
+    """The packed windows of a read on both strands, unknown bases as A, and how many unknown ones each has."""
+
+    def __init__(self, codes: np.ndarray, k: int):
+        codes = np.asarray(codes)
+        self.codes, self.k = codes, k
+        own = np.where(codes > 3, 0, codes).astype(np.uint8)
+        self.ahead, self.back = windows.forward(own, k), windows.backward(own, k)
+        total = np.append(0, np.cumsum(codes > 3))
+        self.unknown = total[k:] - total[:-k] if len(codes) >= k else total[:0]
+
+    def edited(self, entries: list[tuple], trusted: TrustedSet) -> list[int]:
+        """For each queue entry the untrusted windows, as bits, after testing again those around its last edit."""
+        k, n = self.k, len(self.ahead)
+        deepest = max(len(e[2]) for e in entries)
+        place = np.array([[p for p, _ in e[2]] + [-2 * k] * (deepest - len(e[2])) for e in entries])
+        base = np.array([[b for _, b in e[2]] + [0] * (deepest - len(e[2])) for e in entries])
+        old = self.codes[np.maximum(place, 0)]
+        last = np.array([e[2][-1][0] for e in entries])
+        window = last[:, None] + np.arange(1 - k, 1)
+        real = (window >= 0) & (window < n)
+        window = np.clip(window, 0, n - 1)
+        ahead, back, unknown = self.ahead[window], self.back[window], self.unknown[window]
+        for d in range(deepest):
+            off = place[:, d, None] - window
+            inside = (off >= 0) & (off < k)
+            change = np.where(inside, (base[:, d] - np.where(old[:, d] > 3, 0, old[:, d]))[:, None], 0)
+            off = np.clip(off, 0, k - 1)
+            ahead = ahead + (change << (2 * (k - 1 - off)))
+            back = back - (change << (2 * off))
+            unknown = unknown - (inside & (old[:, d] > 3)[:, None])
+        bad = real & ~trusted.holds(np.minimum(ahead, back), real & (unknown == 0))
+        powers = 1 << np.arange(k, dtype=np.int64)
+        out = []
+        for e, low, tested, found in zip(entries, (last - k + 1).tolist(), (real @ powers).tolist(), (bad @ powers).tolist()):
+            out.append(e[3] & ~(tested << low) | found << low if low >= 0 else e[3] & ~(tested >> -low) | found >> -low)
+        return out
 
 
 @dataclass
@@ -90,10 +124,14 @@ def edit_weights(read: Read, place: int, model: np.ndarray, priors: list[float])
     return [(b, odds * model[read.quality[place], b, seen] * priors[b]) for b in range(4) if b != seen]
 
 
-def solve(read: Read, region: list[int], starts: list[int], trusted: TrustedSet, model: np.ndarray, priors: list[float], learning: bool, so_far: float) -> tuple[int, dict[int, int], float]:
+def solve(
+    read: Read, region: list[int], starts: list[int], trusted: TrustedSet, model: np.ndarray, priors: list[float], learning: bool, so_far: float, state: tuple | None = None, ahead: int = AHEAD
+) -> tuple[int, dict[int, int], float]:
     """(outcome, edits by place, their likelihood) for one component.
 
-    `so_far` is the likelihood of the components before.
+    `so_far` is the likelihood of the components before.  Raises Pending with
+    a state (queue, best) if the trusted set has to be asked first; with that
+    state the search goes on.
     """
     if not region:
         return EXHAUSTED, {}, 0.0
@@ -113,17 +151,28 @@ def solve(read: Read, region: list[int], starts: list[int], trusted: TrustedSet,
     untrusted = sum(1 << s for s in starts)
 
     # An entry: likelihood, rank in the order from which edits may be added, edits, windows untrusted before the last one.
-    heap = [(-w, rank + 1, ((order[rank], b),), untrusted) for rank in range(len(order)) for b, w in weights[rank]]
-    heapq.heapify(heap)
-    best: tuple[float, tuple] | None = None
+    if state is None:
+        heap = [(-w, rank + 1, ((order[rank], b),), untrusted) for rank in range(len(order)) for b, w in weights[rank]]
+        heapq.heapify(heap)
+        best: tuple[float, tuple] | None = None
+    else:
+        heap, best = state
+    own_windows, tested = Windows(read.codes, k), {}
     while heap:
         if len(heap) > QUEUE:
             return GAVE_UP, {}, 0.0
-        negative, rank, edits, before = heapq.heappop(heap)
+        negative, rank, edits, before = heap[0]
         like = -negative
         if like < best[0] * spread if best else like < own or so_far * like < least:
             break
-        after = _recheck(read, edits, before, trusted)
+        if edits not in tested:
+            # Those at the head of the queue come next, more or less.
+            near = [e for e in heap[:ahead] if e[2] not in tested]
+            tested.update(zip((e[2] for e in near), own_windows.edited(near, trusted)))
+            if getattr(trusted, "missing", None):
+                raise Pending((heap, best))
+        after = tested.pop(edits)
+        heapq.heappop(heap)
         if not after:
             if best:
                 return AMBIGUOUS, {}, 0.0
@@ -160,40 +209,41 @@ def _most_edits(read: Read, region: list[int], model: np.ndarray, priors: list[f
     return int(np.max(np.flatnonzero(together >= least * (1 - 1e-9)), initial=-1)) + 1
 
 
-def _recheck(read: Read, edits: tuple, untrusted: int, trusted: TrustedSet) -> int:
-    """The untrusted windows, as bits, after testing again those around the last edit."""
-    k, n = trusted.k, len(read.codes)
-    place = edits[-1][0]
-    low, high = max(0, place - k + 1), min(place, n - k)
-    codes = read.codes[low : high + k].copy()
-    for i, b in edits:
-        if low <= i < high + k:
-            codes[i - low] = b
-    for i, ok in enumerate(trusted.windows(codes), start=low):
-        untrusted = untrusted & ~(1 << i) if ok else untrusted | 1 << i
-    return untrusted
-
-
-def correct(read: Read, comps: list[tuple[list[int], list[int], list[int]]], trusted: TrustedSet, model: np.ndarray, priors: list[float], learning: bool = False) -> tuple[dict[int, int], int, bool, float]:
+def correct(
+    read: Read, comps: list[tuple[list[int], list[int], list[int]]], trusted: TrustedSet, model: np.ndarray, priors: list[float], learning: bool = False, state: tuple | None = None, ahead: int = AHEAD
+) -> tuple[dict[int, int], int, bool, float]:
     """(edits, length to keep, whether all components were solved, likelihood).
 
     comps: (starts, chopped region, whole region) in order.  A component that
     can't be solved ends the read: before the region if it was ambiguous, else
     before its first untrusted window.  Edits of earlier components stay.
+    Raises Pending like solve(); its state (to be given back, may be pickled)
+    holds the components done, the outcome of the chopped region, and the queue.
     """
-    edits: dict[int, int] = {}
-    so_far = 1.0
-    for starts, chopped, whole in comps:
-        code, found, like = solve(read, chopped, starts, trusted, model, priors, learning, so_far)
-        if code != SOLVED:
+    at, edits, so_far, first, inner = state or (0, {}, 1.0, None, None)
+
+    def solved(region: list[int]) -> tuple[int, dict[int, int], float]:
+        nonlocal inner
+        try:
+            out = solve(read, region, starts, trusted, model, priors, learning, so_far, inner, ahead)
+        except Pending as waits:
+            raise Pending((at, edits, so_far, first, waits.state)) from None
+        inner = None
+        return out
+
+    while at < len(comps):
+        starts, chopped, whole = comps[at]
+        if first is None:
+            code, found, like = solved(chopped)
+            if code != SOLVED and len(chopped) == len(whole):
+                return edits, chopped[0] if code == AMBIGUOUS else starts[0], False, so_far
             first = code
-            if len(chopped) != len(whole):
-                code, found, like = solve(read, whole, starts, trusted, model, priors, learning, so_far)
-                cut = (chopped[0] if first == AMBIGUOUS else whole[0]) if code == AMBIGUOUS else starts[0]
-            else:
-                cut = chopped[0] if code == AMBIGUOUS else starts[0]
+        if first != SOLVED:
+            code, found, like = solved(whole)
             if code != SOLVED:
+                cut = (chopped[0] if first == AMBIGUOUS else whole[0]) if code == AMBIGUOUS else starts[0]
                 return edits, cut, False, so_far
-        edits |= found
+        edits = edits | found
         so_far *= like
+        at, first = at + 1, None
     return edits, len(read.codes), True, so_far

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna
+from helixmill.staging import checkpointed
 
-from .kmers import canonical_kmers
+from . import bitfilter, windows
+from .kmers import check_k, packed_counts
+
+#: Windows that a task looks at at a time.
+_WINDOWS = 1_000_000
 
 
 def trusted_scalar(counts: DataFrame, cutoff: float, value: str = "n") -> DataFrame:
@@ -43,14 +50,36 @@ def base_priors(trusted: DataFrame) -> list[float]:
     return [a, 0.5 - a, 0.5 - a, a]
 
 
-def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int) -> DataFrame:
+def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
     """(read_id, pos) of each window that is not a trusted canonical k-mer.
 
     Windows with an unknown base are untrusted.  `trusted` holds canonical
-    k-mers; it is broadcast only if Spark finds it small enough.
+    k-mers.  The question is turned round: of the different k-mers of the
+    reads, few windows have one that is not trusted.  A bit filter of those
+    rules out nearly all windows where they are, and only the rest is joined,
+    whatever the size of the trusted set.  `counts` (packed, ...) may give the
+    k-mers of these reads, or more, if they have been counted before.
     """
-    known = canonical_kmers(reads, k, "read_id")
-    bad = known.join(trusted.select("kmer"), "kmer", "left_anti").select("read_id", "pos")
-    masked = reads.where((F.length("seq") >= k) & ~dna.is_known("seq"))
-    masked = masked.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - k)))
-    return bad.union(masked.where(~dna.is_known(F.expr(f"substring(seq, pos + 1, {k})"))).select("read_id", "pos"))
+    seen = (packed_counts(reads, check_k(k)) if counts is None else counts).select("packed")
+    bad = checkpointed(seen.join(trusted.select(dna.pack("kmer").alias("packed")), "packed", "left_anti"))
+    sent = reads.sparkSession.sparkContext.broadcast(bitfilter.built(bad, "packed"))
+    id_type = reads.schema["read_id"].dataType.simpleString()
+
+    def doubtful(batches):
+        words = sent.value
+        for batch in batches:
+            own = windows.parsed(batch.column(1))
+            owner = own.owner
+            for at, part in windows.slices(own, k, _WINDOWS):
+                kmer = windows.canonical(part.codes, k)
+                known = windows.known(part, k)
+                place = np.flatnonzero(windows.inside(part, k) & (~known | bitfilter.may_hold(words, kmer)))
+                if len(place):
+                    read = owner[at + place]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(read)), pa.array((at + place - own.offset[read]).astype(np.int32)), pa.array(kmer[place], mask=~known[place])], names=["read_id", "pos", "packed"]
+                    )
+
+    rows = checkpointed(reads.where(F.length("seq") >= k).select("read_id", "seq").mapInArrow(doubtful, f"read_id {id_type}, pos int, packed bigint"))
+    masked = rows.where("packed IS NULL").select("read_id", "pos")
+    return rows.where("packed IS NOT NULL").join(bad, "packed", "left_semi").select("read_id", "pos").union(masked)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,41 +81,57 @@ def correct_files(
     return Run(offset, cutoff, good, rows, correct.run_stats(rows, "file"), correct.correction_log(rows, offset, "file"), learnt, rates)
 
 
-def _of(df: DataFrame, path: str) -> DataFrame:
-    """The rows of one file, by its path with or without a scheme; Spark may give it with %20 and the like."""
-    path = "/" + re.sub(r"^\w+:/+", "", path).lstrip("/")
-    return df.where(F.col("file").endswith(path) | F.col("file").endswith(quote(path)))
-
-
 def mates(run: Run, first: str, second: str) -> DataFrame:
     """The routes of two mate files' reads, side by side by their place in the files."""
     rows = run.rows.select("file", F.col("ordinal").alias("pair_id"), (F.col("status") != "removed").alias("ok"))
-    return report.paired(_of(rows, first), _of(rows, second))
+    rows = rows.join(F.broadcast(files.sides_of(rows, [(first, second)])), "file")
+    return report.paired(*(rows.where(f"side = {i}").select("pair_id", "ok") for i in (0, 1)))
+
+
+def _error_reports(run: Run, files_: DataFrame) -> DataFrame:
+    """(file, at, value): the lines of each file's error-model report, made where its 1,416 rows are."""
+    counts = run.error_counts.select("file", "q", "actual", "observed", "n", F.lit(None).cast("double").alias("p"))
+    rates = run.error_rates.select("file", "q", "actual", "observed", F.lit(None).cast("bigint").alias("n"), "p")
+
+    def report_of(names: pa.Table, rows: pa.Table) -> pa.Table:
+        own = rows.to_pylist()
+        lines = error_model.report([r for r in own if r["n"] is not None], [r for r in own if r["p"] is not None]).rstrip("\n").split("\n") if names.num_rows else []
+        return pa.table({"file": pa.array([names["file"][0].as_py()] * len(lines) if lines else [], pa.string()), "at": pa.array(range(len(lines)), pa.int64()), "value": pa.array(lines, pa.string())})
+
+    return files_.select("file").groupBy("file").cogroup(counts.unionByName(rates).groupBy("file")).applyInArrow(report_of, "file string, at long, value string")
 
 
 def write_run(run: Run, manifest: list[tuple[str, ...]], folder: str | None = None, keep_errors: bool = False, gzip: bool = False, log: bool = False, one_line: bool = False) -> list[str]:
     """All output of a run: corrected reads in record order, statistics, error models and (log) logs.
 
     manifest: one path a single file, two for mates.  Output goes beside the
-    reads, or into `folder`.  Returns the paths written.
+    reads, or into `folder`.  Returns the paths written.  One job writes all
+    files of reads, another one all the others, however many there are.
     """
-    spark, out = run.rows.sparkSession, []
-    for paths in manifest:
-        to = [f"{folder}/{p.rpartition('/')[2]}" if folder else p for p in paths]
-        if len(paths) == 1:
-            out += files.write_routed(_of(run.rows, paths[0]), to[0], keep_errors, gzip, one_line=one_line)
-        else:
-            out += files.write_paired(*(_of(run.rows, p) for p in paths), *to, keep_errors, gzip)
-        for path, target in zip(paths, to):
-            out.append(files.write_stats(_of(run.stats, path), target))
-            out.append(files.write_error_model(spark, error_model.report(_of(run.error_counts, path).collect(), _of(run.error_rates, path).collect()), target))
-            if log:
-                out.append(files.write_log(_of(run.log, path), target))
+    to = [tuple(f"{folder}/{p.rpartition('/')[2]}" if folder else p for p in paths) for paths in manifest]
+    lines, reads = files.routed(run.rows, manifest, to, keep_errors, gzip, one_line=one_line)
+    files.write_many(lines, [p for own in reads for p in own], gzip)
+    flat, sides = [t for targets in to for t in targets], files.sides_of(run.rows, manifest)
+    starts = [sum(map(len, manifest[:e])) for e in range(len(manifest))]
+    sides = F.broadcast(sides.select("file", F.expr(f"array({', '.join(map(str, starts))})[entry] + side").alias("place")))
+    texts = [(files.stats_name, files.stats_lines(run.stats)), (files.error_model_name, _error_reports(run, sides)), *([(lambda p: f"{p}.log", files.log_lines(run.log))] if log else [])]
+    names, all_lines = [], None
+    for name, own in texts:
+        then = F.col("then") if "then" in own.columns else F.lit(0).cast("bigint")
+        own = own.join(sides, "file").select((F.col("place") + len(names)).cast("int").alias("out"), F.col("at").cast("bigint").alias("at"), then.alias("then"), "value")
+        all_lines = own if all_lines is None else all_lines.union(own)
+        names += [name(t) for t in flat]
+    files.write_many(all_lines, names)
+    out = []
+    for e, own in enumerate(reads):
+        out += own
+        for place in range(starts[e], starts[e] + len(manifest[e])):
+            out += names[place :: len(flat)]
     return out
 
 
 def trim_files(spark: SparkSession, manifest: list[tuple[str, ...]], threshold: int = 3, offset: int | None = None, folder: str | None = None, gzip: bool = False) -> list[str]:
-    """Trim reads by quality: single files to .trim, mates to .trim and .trim_single, in step.
+    """Trim reads by quality: single files to .trim, mates to .trim and .trim_single, in step; one job writes all.
 
     Reads that get too short are dropped; their mate, if it stays, is single.
     """
@@ -125,12 +140,9 @@ def trim_files(spark: SparkSession, manifest: list[tuple[str, ...]], threshold:
     offset = offset or files.quality_offset(reads, OFFSET_READS).head()[0]
     rows = trim.trim_reads(reads, threshold, offset, keep_short=True)
     rows = rows.withColumns({"out_header": F.col("header"), "out_seq": F.col("seq"), "out_qual": F.col("qual"), "status": F.when(F.col("status") == "error", "removed").otherwise(F.col("status"))})
-    out = []
-    for paths in manifest:
-        to = [f"{folder}/{p.rpartition('/')[2]}" if folder else p for p in paths]
-        sides = [_of(rows, p) for p in paths]
-        out += files.write_routed(sides[0], to[0], gzip=gzip, kind="trim") if len(paths) == 1 else files.write_paired(*sides, *to, gzip=gzip, kind="trim")
-    return out
+    to = [tuple(f"{folder}/{p.rpartition('/')[2]}" if folder else p for p in paths) for paths in manifest]
+    lines, names = files.routed(rows, manifest, to, gzip=gzip, kind="trim")
+    return files.write_many(lines, [p for own in names for p in own], gzip)
 
 
 def build_bitset(spark: SparkSession, counts_path: str, k: int, out: str, cutoff: float | None = None, cutoffs_path: str | None = None) -> int:

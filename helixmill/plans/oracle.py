@@ -135,16 +135,24 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY read_id, attempt ORDER BY l
 found AS (SELECT read_id, min(attempt) AS attempt FROM ranked JOIN sizes USING (read_id) WHERE r = 1 AND l >= 1e-6 AND (l2 IS NULL OR l2 < 0.1 * l) AND (attempt = 1 OR again) GROUP BY read_id)""") + """SELECT read_id, CAST(place AS BIGINT) AS place, base FROM ranked JOIN found USING (read_id, attempt) WHERE r = 1 AND (old = 'N' OR ch = '(')"""
 
 
+#: The peak m of integer and of weighted counts: of the bins behind the place where the histogram first stops falling, the first of the highest.
+_PEAK = """dense AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT max(cov) FROM h) + 1)) AS cov) s LEFT JOIN h ON h.cov = s.cov),
+steps AS (SELECT cov, num, num >= lag(num) OVER (ORDER BY cov) AS up FROM dense),
+top AS (SELECT coalesce((SELECT cov FROM dense WHERE cov >= (SELECT min(cov) FROM steps WHERE up) ORDER BY num DESC, cov LIMIT 1), 1) AS m)"""
+_INT_PEAK = "h AS (SELECT n AS cov, count(*) AS num FROM counts GROUP BY n),\n" + _PEAK
+_Q_PEAK = "h AS (SELECT greatest(CAST(ceil(q / CAST(1000000 AS DOUBLE)) AS BIGINT), 1) AS cov, count(*) AS num FROM fixed GROUP BY 1),\n" + _PEAK
+
+
 def _fixed_model_sql() -> str:
-    return f"""WITH c AS (SELECT unnest(range(1, 41)) AS cov),
-g AS (SELECT cov, {_GENUINE} AS genuine FROM c, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov),
+    return _with("counts", more=f"""{_INT_PEAK}, covs AS (SELECT unnest(range(1, 41)) AS cov),
+g AS (SELECT cov, {_GENUINE} AS genuine FROM covs, top, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov),
 r AS (SELECT cov, 0.6 * (power(cov, -2.0) - power(cov + 1, -2.0)) / genuine < 200 AS below FROM g)
-SELECT CAST(cov AS BIGINT) AS cov, below, (SELECT CAST(min(cov) AS BIGINT) FROM r WHERE below) AS cutoff FROM r"""
+SELECT CAST(cov AS BIGINT) AS cov, below, (SELECT CAST(min(cov) AS BIGINT) FROM r WHERE below) AS cutoff FROM r""")
 
 
 #: Where the histogram h first stops falling.
 _TURN = "d AS (SELECT cov, num, num >= lag(num) OVER (ORDER BY cov) AS up FROM h), t AS (SELECT min(cov) AS turn FROM d WHERE up)"
-_GENUINE = "sum(power(j, -3.0) / {z!r} * 0.4 * exp(-power(cov - j * 28.0, 2) / (2 * j * 60.0)) / sqrt(2 * pi() * j * 60.0))".format(z=zeta(3.0))
+_GENUINE = "sum(power(j, -3.0) / {z!r} * 0.4 * exp(-power(cov - j * m, 2) / (2 * j * m)) / sqrt(2 * pi() * j * m))".format(z=zeta(3.0))
 _CLASSES = "count(*) FILTER (WHERE status {})"
 
 ORACLE_SQL = {
@@ -185,14 +193,13 @@ h AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT
     "error_region_chop": _region_sql(True),
     "single_edits": _single_edits_sql(),
     "int_cutoff_fixed_params": _fixed_model_sql(),
-    "int_likelihood_fixed_params": _with("counts", more=f"""h AS (SELECT n AS cov, count(*) AS num FROM counts WHERE n <= 300 GROUP BY n),
-g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM h, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (power(cov, -2.0) - power(cov + 1, -2.0)) + genuine))) AS BIGINT) AS nll FROM g",
-    "q_likelihood_fixed_params": _with("fixed", more=f"""h AS (SELECT greatest(q // 1000, 1) / 1000 AS cov, count(*) AS num FROM fixed WHERE q // 1000 <= 100000 GROUP BY 1),
-g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM h, (SELECT unnest(range(1, 31)) AS j) GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (exp(-(ceil(cov) - 1) / 0.9) - exp(-ceil(cov) / 0.9)) + genuine))) AS BIGINT) AS nll FROM g",
-    "q_cutoff_fixed_params": f"""WITH h AS (SELECT unnest(range(0, 2501)) AS centi), x AS (SELECT centi, centi / 100 AS cov FROM h),
-g AS (SELECT centi, cov, {_GENUINE} AS genuine FROM x, (SELECT unnest(range(1, 31)) AS j) GROUP BY centi, cov),
-r AS (SELECT centi, 0.6 * exp(-cov / 0.9) / 0.9 / genuine AS ratio FROM g)
-SELECT CAST(centi AS BIGINT) AS centi, ratio < 200 AS below, (SELECT CAST(centi AS BIGINT) FROM r ORDER BY abs(ratio - 200), centi LIMIT 1) AS cutoff FROM r WHERE centi > 0""",
+    "int_likelihood_fixed_params": _with("counts", more=f"""{_INT_PEAK},
+g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM h, top, (SELECT unnest(range(1, 31)) AS j) WHERE cov < 37.5 * m GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (power(cov, -2.0) - power(cov + 1, -2.0)) + genuine))) AS BIGINT) AS nll FROM g",
+    "q_likelihood_fixed_params": _with("fixed", more=f"""{_Q_PEAK}, milli AS (SELECT greatest(q // 1000, 1) / 1000 AS cov, count(*) AS num FROM fixed GROUP BY 1),
+g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM milli, top, (SELECT unnest(range(1, 31)) AS j) WHERE cov < 37.5 * m GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (exp(-(ceil(cov) - 1) / 0.9) - exp(-ceil(cov) / 0.9)) + genuine))) AS BIGINT) AS nll FROM g",
+    "q_cutoff_fixed_params": _with("fixed", more=f"""{_Q_PEAK}, x AS (SELECT centi, centi / 100 AS cov FROM (SELECT unnest(range(0, 2501)) AS centi)),
+g AS (SELECT centi, cov, {_GENUINE} AS genuine FROM x, top, (SELECT unnest(range(1, 31)) AS j) GROUP BY centi, cov),
+r AS (SELECT centi, 0.6 * exp(-cov / 0.9) / 0.9 / genuine AS ratio FROM g)""") + """SELECT CAST(centi AS BIGINT) AS centi, ratio < 200 AS below, (SELECT CAST(centi AS BIGINT) FROM r ORDER BY abs(ratio - 200), centi LIMIT 1) AS cutoff FROM r WHERE centi > 0""",
     "error_model_counts": _with("reads", more=_PLANTED) + "SELECT CAST(q AS BIGINT) AS q, actual, observed, count(*) AS n FROM planted WHERE observed != 'N' GROUP BY q, actual, observed",
     "error_model_kernel": _with("reads", more=_PLANTED + f""",
 n AS (SELECT 7 + read_id % 3 * 5 AS qr, actual, observed, count(*) AS n FROM planted WHERE observed != 'N' GROUP BY 1, 2, 3),
@@ -210,8 +217,7 @@ cc AS (SELECT ch.read_id, n - m AS cut FROM ch JOIN fixed USING (read_id) WHERE
     "trims_by_position": _with("reads", more=_CHANGES + """,
 fixed AS (SELECT read_id, length(seq) AS n, CASE WHEN read_id % 7 = 0 THEN least(54, length(truth)) ELSE length(truth) END AS m FROM reads WHERE read_id % 4 != 3),
 cut AS (SELECT DISTINCT ch.read_id, n, m FROM ch JOIN fixed USING (read_id) WHERE pos <= m AND m < n)""") + "SELECT CAST(pos AS BIGINT) AS pos, count(*) AS num FROM (SELECT unnest(range(m + 1, n + 1)) AS pos FROM cut) GROUP BY pos",
-    "pair_routing": _with("reads", more="""ok AS (SELECT read_id // 2 AS pair_id, read_id % 2 AS mate, read_id % 5 != 0 AND read_id % 97 != 0 AS ok FROM reads),
-m AS (SELECT a.pair_id, a.ok AS ok1, b.ok AS ok2 FROM ok a JOIN ok b ON b.pair_id = a.pair_id AND a.mate = 0 AND b.mate = 1)""") + "SELECT pair_id, ok1, ok2, CASE WHEN ok1 AND ok2 THEN 'pair' WHEN ok1 THEN 'single1_err2' WHEN ok2 THEN 'err1_single2' ELSE 'err' END AS route FROM m",
+    "pair_routing": _with("reads", more="m AS (SELECT read_id AS pair_id, read_id % 5 != 0 AND seq NOT LIKE '%N%' AS ok1, read_id % 3 != 0 AS ok2 FROM reads)") + "SELECT pair_id, ok1, ok2, CASE WHEN ok1 AND ok2 THEN 'pair' WHEN ok1 THEN 'single1_err2' WHEN ok2 THEN 'err1_single2' ELSE 'err' END AS route FROM m",
     "run_stats": _with("reads", more=_FOUND) + f"""SELECT {_CLASSES.format("= 'validated'")} AS validated, {_CLASSES.format("IN ('corrected', 'corrected_trimmed')")} AS corrected,
 {_CLASSES.format("IN ('trimmed', 'corrected_trimmed')")} AS trimmed, {_CLASSES.format("= 'trimmed'")} AS trimmed_only, {_CLASSES.format("= 'removed'")} AS removed FROM marked""",
     "output_rows": _with("reads", more=_FOUND) + """SELECT read_id, status,

@@ -17,9 +17,9 @@ from helixmill.sources.files import quality_offset
 from helixmill.staging import checkpointed
 
 K, CUTOFF, TRIM = 15, 4, 3
-#: Model parameters at which the cutoff query is compared.
-FIXED = model.IntModel(copies=2.0, p_error=0.6, shape=2.0, mean=28.0, variance=60.0)
-FIXED_Q = model.QModel(copies=2.0, p_error=0.6, shape=1.0, scale=0.9, mean=28.0, variance=60.0)
+#: Parameters at which the models are compared; mean and variance are the peak of the reads' coverage.
+FIXED = {"copies": 2.0, "p_error": 0.6, "shape": 2.0}
+FIXED_Q = {"copies": 2.0, "p_error": 0.6, "shape": 1.0, "scale": 0.9}
 GOAL = 200.0
 BASES = "ACGT"
 
@@ -37,12 +37,22 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.count_kmers(_reads(spark, sf_dir), K)
 
 
+def _packed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.packed_counts(_reads(spark, sf_dir), K)
+
+
+def _packed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.packed_sums(_reads(spark, sf_dir), K, fixture.OFFSET)
+
+
 def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trusted.trusted_scalar(_counts(spark, sf_dir), CUTOFF)
 
 
-def _trusted_of(reads: DataFrame) -> DataFrame:
-    return trusted.trusted_scalar(kmers.count_kmers(reads, K), CUTOFF)
+def _trusted_of(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trusted k-mers, all packed k-mers) of the reads, counted once."""
+    counts = checkpointed(kmers.packed_counts(reads, K))
+    return trusted.trusted_scalar(counts, CUTOFF).select(dna.unpack("packed", K).alias("kmer"), "n"), counts
 
 
 def reads_scan(spark, sf_dir):
@@ -103,18 +113,18 @@ def at_count_bins(spark, sf_dir):
 
 
 def coverage_hist(spark, sf_dir):
-    return coverage.histogram(_counts(spark, sf_dir))
+    return coverage.histogram(_packed_counts(spark, sf_dir))
 
 
 def hist_bin10(spark, sf_dir):
     """Tenths up to two and a half times the peak of the coverage."""
-    values = qmer_count_fixed(spark, sf_dir)
-    peak = coverage.valley_and_peak(coverage.dense(coverage.right_closed(values, "q", kmers.FIXED_SCALE))).head()["peak"]
+    values = checkpointed(_packed_sums(spark, sf_dir))
+    peak = coverage.valley_and_peak(coverage.right_closed(values, "q", kmers.FIXED_SCALE)).head()["peak"]
     return coverage.fine_bins(values, "q", kmers.FIXED_SCALE, 25 * (peak or 1))
 
 
 def first_valley_peak(spark, sf_dir):
-    return coverage.valley_and_peak(coverage.dense(coverage_hist(spark, sf_dir)))
+    return coverage.valley_and_peak(coverage_hist(spark, sf_dir))
 
 
 def count_sample(spark, sf_dir):
@@ -155,7 +165,8 @@ def trim_program(spark, sf_dir):
 
 
 def _untrusted(reads: DataFrame) -> DataFrame:
-    return trusted.untrusted_positions(reads, _trusted_of(reads), K)
+    good, counts = _trusted_of(reads)
+    return trusted.untrusted_positions(reads, good, K, counts)
 
 
 def untrusted_positions(spark, sf_dir):
@@ -200,10 +211,15 @@ def error_region_chop(spark, sf_dir):
     return regions.error_region_chop(_with_ends(spark, sf_dir), K).select("read_id", F.col("component").cast("bigint").alias("component"), _joined("chopped").alias("places"))
 
 
+def _at_peak(hist: DataFrame) -> dict[str, float]:
+    peak = coverage.valley_and_peak(hist).head()["peak"] or 1
+    return {"mean": float(peak), "variance": float(peak)}
+
+
 def int_cutoff_fixed_params(spark, sf_dir):
-    """Coverages 1..40 at fixed parameters: whether the error ratio is under the goal."""
-    below = FIXED.ratios() < GOAL
-    return spark.createDataFrame([(i + 1, bool(b), FIXED.cutoff(GOAL)) for i, b in enumerate(below)], "cov long, below boolean, cutoff long")
+    """Coverages 1..40 at the reads' peak: whether the error ratio is under the goal."""
+    fixed = model.IntModel(**FIXED, **_at_peak(coverage_hist(spark, sf_dir)))
+    return spark.createDataFrame([(i + 1, bool(b), fixed.cutoff(GOAL)) for i, b in enumerate(fixed.ratios() < GOAL)], "cov long, below boolean, cutoff long")
 
 
 def _planted(spark, sf_dir):
@@ -213,24 +229,28 @@ def _planted(spark, sf_dir):
 
 
 def int_likelihood_fixed_params(spark, sf_dir):
-    """Minus the log-likelihood of the coverage histogram at fixed parameters, rounded."""
-    hist = coverage_hist(spark, sf_dir).where("cov <= 300").toPandas()
-    nll = model.int_likelihood(FIXED, hist["cov"].to_numpy(float), hist["num"].to_numpy(float))
+    """Minus the log-likelihood of the coverage histogram at its peak, without extreme coverages, rounded."""
+    hist = checkpointed(coverage_hist(spark, sf_dir))
+    at = _at_peak(hist)
+    rows = hist.where(F.col("cov") < model.EXTREME * at["mean"]).toPandas()
+    nll = model.int_likelihood(model.IntModel(**FIXED, **at), rows["cov"].to_numpy(float), rows["num"].to_numpy(float))
     return spark.createDataFrame([(round(nll),)], "nll long")
 
 
 def q_likelihood_fixed_params(spark, sf_dir):
-    """The same of weighted counts up to 100, in thousandths."""
-    rows = qmer_count_fixed(spark, sf_dir).groupBy(F.expr("greatest(q div 1000, 1)").alias("milli")).agg(F.count("*").alias("num")).where("milli <= 100000").toPandas()
-    nll = model.q_likelihood(FIXED_Q, rows["milli"].to_numpy(float) / 1000, rows["num"].to_numpy(float))
+    """The same of weighted counts, in thousandths."""
+    values = checkpointed(_packed_sums(spark, sf_dir))
+    at = _at_peak(coverage.right_closed(values, "q", kmers.FIXED_SCALE))
+    rows = values.groupBy(F.expr("greatest(q div 1000, 1)").alias("milli")).agg(F.count("*").alias("num")).where(F.col("milli") < model.EXTREME * 1000 * at["mean"]).toPandas()
+    nll = model.q_likelihood(model.QModel(**FIXED_Q, **at), rows["milli"].to_numpy(float) / 1000, rows["num"].to_numpy(float))
     return spark.createDataFrame([(round(nll),)], "nll long")
 
 
 def q_cutoff_fixed_params(spark, sf_dir):
-    """Coverages in hundredths at fixed parameters: whether the error ratio is under the goal, and the cutoff."""
+    """Coverages in hundredths at the peak of the weighted counts: whether the error ratio is under the goal, and the cutoff."""
+    fixed = model.QModel(**FIXED_Q, **_at_peak(coverage.right_closed(_packed_sums(spark, sf_dir), "q", kmers.FIXED_SCALE)))
     at = np.arange(1, 2501)
-    below = FIXED_Q.ratios(at / 100) < GOAL
-    return spark.createDataFrame([(int(i), bool(b), round(100 * FIXED_Q.cutoff(GOAL))) for i, b in zip(at, below)], "centi long, below boolean, cutoff long")
+    return spark.createDataFrame([(int(i), bool(b), round(100 * fixed.cutoff(GOAL))) for i, b in zip(at, fixed.ratios(at / 100) < GOAL)], "centi long, below boolean, cutoff long")
 
 
 def error_model_counts(spark, sf_dir):
@@ -276,10 +296,10 @@ def trims_by_position(spark, sf_dir):
 
 
 def pair_routing(spark, sf_dir):
-    ok = _staged_reads(spark, sf_dir).select(F.expr("read_id div 2").alias("pair_id"), F.expr("read_id % 2").alias("mate"), F.expr("read_id % 5 != 0 AND read_id % 97 != 0").alias("ok"))
-    whole = ok.groupBy("pair_id").count().where("count = 2").select("pair_id")
-    ok = ok.join(whole, "pair_id")
-    return report.paired(ok.where("mate = 0"), ok.where("mate = 1")).select("pair_id", "ok1", "ok2", "route")
+    """Every read and, as of a second file, a mate of it that fares otherwise."""
+    reads = _staged_reads(spark, sf_dir)
+    first, second = (reads.select(F.col("read_id").alias("pair_id"), F.expr(ok).alias("ok")) for ok in ("read_id % 5 != 0 AND seq NOT LIKE '%N%'", "read_id % 3 != 0"))
+    return report.paired(first, second).select("pair_id", "ok1", "ok2", "route")
 
 
 def _as_found(spark, sf_dir):
@@ -306,9 +326,10 @@ def correction_log(spark, sf_dir):
 
 def _searchable(spark, sf_dir):
     reads = _staged_reads(spark, sf_dir).select("read_id", "seq", "qual")
-    good = checkpointed(_trusted_of(reads))
+    good, counts = _trusted_of(reads)
+    good = checkpointed(good)
     priors = trusted.base_priors(good)
-    rows = checkpointed(correct.suspects(reads, good, K, fixture.OFFSET, TRIM))
+    rows = checkpointed(correct.suspects(reads, good, K, fixture.OFFSET, TRIM, counts))
     return rows, correct.packed_trusted(good, K), priors
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -225,75 +229,135 @@ def output_name(path: str, kind: str, gzip: bool = False) -> str:
     return folder + slash + (f"{prefix}.{kind}.{extension}" if dot else f"{name}.{kind}") + (".gz" if gzip else "")
 
 
-#: Output of single reads and of mates: (routes, file kind); {} is cor or trim.
-_PAIRED = ((("pair",), "{}"), (("single1_err2", "err1_single2"), "{}_single"), (("single1_err2", "err1_single2"), "err_single"), (("err",), "err"))
+#: Kinds of output files of single reads and of mates; {} is cor or trim.  Those behind the first one, or two, are of removed reads.
+_SINGLE, _PAIRED = ("{}", "err"), ("{}", "{}_single", "err_single", "err")
 _KEPT = {"header": "out_header", "seq": "out_seq", "mid": "mid", "qual": "out_qual"}
 #: A removed read has its own record; its header ends where the mark would begin.
-_REMOVED = {"header": "concat(header, ' ')", "seq": "out_seq", "mid": "mid", "qual": "out_qual"}
+_REMOVED_HEADER = "concat(header, ' ')"
+
 
+def write_many(rows: DataFrame, paths: list[str], gzip: bool = False) -> list[str]:
+    """Lines (out, at, then, value) to the text folders paths[out], each in the order of at and then: one job for all of them.
 
-def _records(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
-    return rows.selectExpr("ordinal", *(f"{value} AS {name}" for name, value in fields.items()))
+    A folder's files, read in name order, are its lines in order.  A path
+    without lines becomes an empty folder; one that is there already is an error.
+    """
+    spark = rows.sparkSession
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    targets = [hadoop.Path(p) for p in paths]
+    for p, target in zip(paths, targets):
+        if target.getFileSystem(conf).exists(target):
+            raise FileExistsError(p)
+    order = ["out", "at", "then"]
+    stage = f"{targets[0].getParent().toString()}/.helixmill-{uuid.uuid4().hex}"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("out", "value").write.partitionBy("out").text(stage, compression="gzip" if gzip else "none")
+    top = hadoop.Path(stage)
+    source = top.getFileSystem(conf)
+    for k, target in enumerate(targets):
+        own, to = hadoop.Path(f"{stage}/out={k}"), target.getFileSystem(conf)
+        to.mkdirs(target.getParent())
+        if not source.exists(own):
+            to.mkdirs(target)
+        elif source.getUri().equals(to.getUri()):
+            source.rename(own, target)
+        else:
+            hadoop.FileUtil.copy(source, own, to, target, True, conf)
+    source.delete(top, True)
+    return paths
+
+
+def sides_of(rows: DataFrame, manifest: list[tuple[str, ...]]) -> DataFrame:
+    """(file, entry, side, paired) of the files of `rows` (column file) that a manifest names, by paths with or without a scheme.
+
+    There are as many rows as files.  Spark may give names with %20 and the like.
+    """
+    ends = {}
+    for entry, paths in enumerate(manifest):
+        for side, path in enumerate(paths):
+            bare = "/" + re.sub(r"^\w+:/+", "", path).lstrip("/")
+            ends |= {bare: (entry, side, len(paths) > 1), quote(bare): (entry, side, len(paths) > 1)}
+    found = []
+    for (file,) in rows.select("file").distinct().collect():
+        at = [t for end, t in ends.items() if file.endswith(end)]
+        found += [(file, *at[0])] if at else []
+    return rows.sparkSession.createDataFrame(found, "file string, entry int, side int, paired boolean")
+
+
+def _record(fields: dict[str, str], one_line: bool) -> str:
+    if one_line:
+        return f"concat_ws('\t', {fields['header']}, {fields['seq']})"
+    return f"concat_ws('\n', concat('@', {fields['header']}), {fields['seq']}, coalesce({fields['mid']}, '+'), substring({fields['qual']}, 1, length({fields['seq']})))"
+
+
+def routed(rows: DataFrame, manifest: list[tuple[str, ...]], to: list[tuple[str, ...]], keep_errors: bool = False, gzip: bool = False, kind: str = "cor", one_line: bool = False) -> tuple[DataFrame, list[list[str]]]:
+    """(lines for write_many(), the paths of each entry of the manifest) of output rows (file, ordinal, status, ...).
+
+    Single reads: removed ones to .err (keep_errors), the others to .<kind>.
+    Mates, by ordinal and in step: both kept to .<kind>; the one that is kept
+    to .<kind>_single; with keep_errors the removed one of a pair to
+    .err_single, and pairs without a kept read to .err.  A read without a mate
+    is an error.
+    """
+    sides, names, base = sides_of(rows, manifest), [], []
+    for paths, targets in zip(manifest, to):
+        base.append(sum(map(len, names)))
+        kinds = (_PAIRED if keep_errors else _PAIRED[:2]) if len(paths) > 1 else (_SINGLE if keep_errors else _SINGLE[:1])
+        names.append([output_name(t, name.format(kind), gzip) for t in targets for name in kinds])
+    first = f"array({', '.join(map(str, base))})[entry]"
+    placed = rows.join(F.broadcast(sides), "file")
+    removed = {**_KEPT, "header": _REMOVED_HEADER}
+    record = F.expr(f"IF(status = 'removed', {_record(removed, one_line)}, {_record(_KEPT, one_line)})")
+    own = placed.select("entry", "side", "paired", "ordinal", (F.col("status") != "removed").alias("ok"), record.alias("value"))
+    alone = own.where("NOT paired").withColumn("kind", F.expr("IF(ok, 0, 1)")).where("kind = 0" if not keep_errors else "true").withColumn("out", F.expr(f"{first} + kind"))
+    one, two = (own.where(f"paired AND side = {i}").select("entry", "ordinal", F.struct("ok", "value").alias(f"r{i}")) for i in (0, 1))
+    both = one.join(two, ["entry", "ordinal"], "full_outer")
+    mate = "CAST(raise_error(concat('a read has no mate: ', CAST(ordinal AS STRING))) AS INT)"
+    both = both.withColumn("kind", F.expr(f"CASE WHEN r0 IS NULL OR r1 IS NULL THEN {mate} WHEN r0.ok AND r1.ok THEN 0 WHEN r0.ok OR r1.ok THEN 1 ELSE 3 END"))
+    each = both.select("entry", "ordinal", "kind", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"r{i}.ok").alias("ok"), F.col(f"r{i}.value").alias("value")) for i in (0, 1)))).alias("r"))
+    each = each.select("entry", "ordinal", "r.side", "r.value", F.expr("IF(kind = 1 AND NOT r.ok, 2, kind)").alias("kind"))
+    each = each.where("kind < 2" if not keep_errors else "true").withColumn("out", F.expr(f"{first} + side * {4 if keep_errors else 2} + kind"))
+    lines = [df.select(F.col("out").cast("int").alias("out"), F.col("ordinal").alias("at"), F.lit(0).cast("bigint").alias("then"), "value") for df in (alone, each)]
+    return lines[0].union(lines[1]), names
 
 
 def write_routed(rows: DataFrame, path: str, keep_errors: bool = False, gzip: bool = False, kind: str = "cor", one_line: bool = False) -> list[str]:
-    """Single reads with `status`, in their order: removed ones to .err (keep_errors), the others to .<kind>."""
-    out = [output_name(path, kind, gzip)]
-    write_fastq(_records(rows.where("status != 'removed'"), _KEPT), out[0], gzip, one_line, ["ordinal"])
-    if keep_errors:
-        out.append(output_name(path, "err", gzip))
-        write_fastq(_records(rows.where("status = 'removed'"), _REMOVED), out[1], gzip, one_line, ["ordinal"])
-    return out
+    """One file's reads, see routed()."""
+    lines, names = routed(rows.withColumn("file", F.lit(f"/{path}")), [(path,)], [(path,)], keep_errors, gzip, kind, one_line)
+    return write_many(lines, names[0], gzip)
 
 
 def write_paired(first: DataFrame, second: DataFrame, path1: str, path2: str, keep_errors: bool = False, gzip: bool = False, kind: str = "cor") -> list[str]:
-    """Mates by ordinal, in step: both kept to .<kind>; the one that is kept to .<kind>_single.
-
-    With keep_errors the removed one of a pair goes to .err_single, and pairs
-    without a kept read to .err.  A read without a mate is an error.
-    """
-    sides = [rows.select("ordinal", F.struct((F.col("status") != "removed").alias("ok"), *(F.expr(e).alias(c) for c, e in {**_KEPT, "plain": _REMOVED["header"]}.items())).alias(f"r{i}")) for i, rows in enumerate((first, second), 1)]
-    both = sides[0].join(sides[1], "ordinal", "full_outer")
-    route = """CASE WHEN r1 IS NULL OR r2 IS NULL THEN CAST(raise_error(concat('a read has no mate: ', CAST(ordinal AS STRING))) AS STRING)
-        WHEN r1.ok AND r2.ok THEN 'pair' WHEN r1.ok THEN 'single1_err2' WHEN r2.ok THEN 'err1_single2' ELSE 'err' END"""
-    both = checkpointed(both.withColumn("route", F.expr(route)))
-    out = []
-    for i, path in enumerate((path1, path2), 1):
-        for routes, name in _PAIRED if keep_errors else _PAIRED[:2]:
-            kept = name.startswith("{}")
-            rows = both.where(F.col("route").isin(*routes) & (F.col(f"r{i}.ok") == kept))
-            out.append(output_name(path, name.format(kind), gzip))
-            fields = {"header": f"r{i}.{'header' if kept else 'plain'}", **{c: f"r{i}.{c}" for c in ("seq", "mid", "qual")}}
-            write_fastq(_records(rows, fields), out[-1], gzip, order=["ordinal"])
-    return out
+    """Two files' mates, see routed()."""
+    both = first.withColumn("file", F.lit(f"/{path1}")).unionByName(second.withColumn("file", F.lit(f"/{path2}")))
+    lines, names = routed(both, [(path1, path2)], [(path1, path2)], keep_errors, gzip, kind)
+    return write_many(lines, names[0], gzip)
 
 
-def _write_text(spark: SparkSession, text: str, path: str) -> str:
-    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
-    return path
+def stats_name(path: str) -> str:
+    return output_name(path, "stats").rpartition(".stats")[0] + ".stats.txt"
 
 
-def write_stats(stats: DataFrame, path: str) -> str:
-    """The one row of run_stats() as labelled lines in <prefix>.stats.txt."""
-    row = stats.head()
-    lines = [f"{name.capitalize().replace('_', ' ')}: {row[name]}" for name in ("validated", "corrected", "trimmed", "trimmed_only", "removed")]
-    return _write_text(stats.sparkSession, "\n".join(lines), output_name(path, "stats").rpartition(".stats")[0] + ".stats.txt")
+def stats_lines(stats: DataFrame) -> DataFrame:
+    """(file, at, value): each row of run_stats() as labelled lines."""
+    labels = ("validated", "corrected", "trimmed", "trimmed_only", "removed")
+    lines = F.array(*(F.concat(F.lit(f"{n.capitalize().replace('_', ' ')}: "), F.col(n).cast("string")) for n in labels))
+    return stats.select("file", F.posexplode(lines).alias("at", "value"))
 
 
-def write_log(log: DataFrame, path: str) -> str:
-    """Quality, place, new and old base of each change in <file>.log, in the order of reads and places."""
-    rows = log.orderBy("read_id", "pos").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("q", "pos", "new_nt", "old_nt"))))
-    rows.write.text(f"{path}.log")
-    return f"{path}.log"
+def log_lines(log: DataFrame) -> DataFrame:
+    """(file, at, then, value): quality, place, new and old base of each change, in the order of reads and places."""
+    return log.select("file", F.col("read_id").alias("at"), F.col("pos").cast("bigint").alias("then"), F.concat_ws("\t", *(F.col(c).cast("string") for c in ("q", "pos", "new_nt", "old_nt"))).alias("value"))
 
 
-def write_error_model(spark: SparkSession, text: str, path: str) -> str:
-    """The report of an error model in error_model.<prefix>.txt beside the reads."""
+def error_model_name(path: str) -> str:
+    """error_model.<prefix>.txt beside the reads."""
     folder, slash, name = path.rpartition("/")
-    return _write_text(spark, text, f"{folder}{slash}error_model.{name.rpartition('.')[0] or name}.txt")
+    return f"{folder}{slash}error_model.{name.rpartition('.')[0] or name}.txt"
 
 
 _BITS_PER_ROW = 8 * 65_536
+#: Empty bytes that are written at once.
+_ZEROS = 1 << 20
 
 
 def write_bitset(trusted: DataFrame, k: int, path: str) -> None:
@@ -313,27 +377,46 @@ def write_bitset(trusted: DataFrame, k: int, path: str) -> None:
     rows.groupBy("chunk").applyInPandas(pack, "chunk long, bits binary").write.parquet(path)
 
 
-def bitset_bytes(chunks: DataFrame, k: int) -> bytes:
-    """The whole raw array, for k up to 13 (8 MiB)."""
-    if k > 13:
-        raise ValueError("a raw array of more than 13 bases does not fit the driver")
-    out = bytearray(4**k // 8 or 1)
-    for chunk, bits in chunks.collect():
-        part = bytes(bits)[: len(out) - chunk * _BITS_PER_ROW // 8]
-        out[chunk * _BITS_PER_ROW // 8 : chunk * _BITS_PER_ROW // 8 + len(part)] = part
-    return bytes(out)
+def write_raw_bitset(chunks: DataFrame, k: int, path: str) -> None:
+    """The chunks of write_bitset() as one raw file of 4^k / 8 bytes, whatever the k.
+
+    The file is a stream, so the chunks go through the driver one after the
+    other, 64 KiB each; empty ones are zeros that the driver only counts.
+    """
+    spark, size = chunks.sparkSession, max(1, 4**k // 8)
+    whole = min(size, _BITS_PER_ROW // 8)
+    zeros = spark.sparkContext._gateway.new_array(spark._jvm.byte, _ZEROS)  # stays where the stream is
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out, written = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at), 0
+
+    def fill(upto: int) -> None:
+        for left in range(upto - written, 0, -_ZEROS):
+            out.write(zeros, 0, min(left, _ZEROS))
+
+    for chunk, bits in chunks.orderBy("chunk").toLocalIterator():
+        fill(chunk * whole)
+        out.write(bytes(bits)[:whole])
+        written = (chunk + 1) * whole
+    fill(size)
+    out.close()
+
+
+def _raw_chunks(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """(chunk, bits) of a raw file, read in pieces of 64 KiB by as many tasks as it has splits."""
+    size = max(1, 4**k // 8)
+    pieces = spark.sparkContext.binaryRecords(path, min(size, _BITS_PER_ROW // 8)).zipWithIndex()
+    return pieces.map(lambda piece: (piece[1], piece[0])).toDF("chunk long, bits binary")
 
 
 def read_bitset(spark: SparkSession, path: str, k: int, raw: bool = False) -> DataFrame:
     """(kmer) of a bit array: of write_bitset, or (raw) a file of 4^k / 8 bytes."""
-    if raw:
-        chunks = spark.read.format("binaryFile").load(path).selectExpr("0L AS chunk", "content AS bits")
-    else:
-        chunks = spark.read.parquet(path)
+    chunks = _raw_chunks(spark, path, k) if raw else spark.read.parquet(path)
 
     def unpack(batches):
         for pdf in batches:
             for chunk, bits in zip(pdf["chunk"], pdf["bits"]):
-                yield pd.DataFrame({"p": np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8))) + chunk * _BITS_PER_ROW})
+                found = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)))
+                if len(found):
+                    yield pd.DataFrame({"p": found + chunk * _BITS_PER_ROW})
 
-    return chunks.mapInPandas(unpack, "p long").select(dna.unpack("p", k).alias("kmer"))
+    return chunks.mapInPandas(unpack, "p long").where(f"p < {4**k}L").select(dna.unpack("p", k).alias("kmer"))

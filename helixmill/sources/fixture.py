@@ -27,7 +27,7 @@ strand AS (
 err AS (
   SELECT read_id, contig_id, event, t, CAST(length(t) AS INT) AS n, event AND read_id % 97 = 0 AS masked,
          CASE WHEN event AND (read_id {div} 7) % 5 = 0 THEN CAST((read_id * 13) % length(t) AS INT) ELSE -1 END AS ep FROM strand),
-reads AS (
+reads AS{kept} (
   SELECT read_id, contig_id, t AS truth,
          CASE WHEN masked THEN concat(substring(t, 1, n {div} 2), 'N', substring(t, CAST(n {div} 2 + 2 AS INT), 60))
               WHEN ep >= 0 THEN concat(substring(t, 1, ep), translate(substring(t, ep + 1, 1), 'ACGT', 'CGTA'), substring(t, ep + 2, 60))
@@ -60,7 +60,7 @@ def duckdb_ctes() -> str:
     """The same reads as common table expressions for DuckDB."""
     n = "(SELECT greatest(count(*), 1) FROM documents)"
     return _SQL.format(
-        x="lambda x:", join="array_to_string", map="list_transform", filter="list_filter", split=r"string_split_regex(text, '[\x20\x09-\x0D]+')", base=_BASE, documents="documents", div="//",
+        x="lambda x:", join="array_to_string", map="list_transform", filter="list_filter", split=r"string_split_regex(text, '[\x20\x09-\x0D]+')", base=_BASE, documents="documents", div="//", kept=" MATERIALIZED",
         has_word=r"regexp_matches(text, '[^\x20\x09-\x0D]')", raw=_RAW_DUCKDB.format(n=n, start=_START.format(event="event_id", div="//", n=n)),
     )
 
@@ -76,7 +76,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, events = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "events"))
     n = max(1, documents.count())
     sql = _SQL.format(
-        x="x ->", join="array_join", map="transform", filter="filter", split=r"split(text, r'[\x20\x09-\x0D]+')", base=_BASE, documents="{documents}", div="div",
+        x="x ->", join="array_join", map="transform", filter="filter", split=r"split(text, r'[\x20\x09-\x0D]+')", base=_BASE, documents="{documents}", div="div", kept="",
         has_word=r"text RLIKE r'[^\x20\x09-\x0D]'", raw=_RAW_SPARK.format(n=n, events="{events}", start=_START.format(event="x", div="div", n=n)),
     )
     documents, events = _spread(documents.select("doc_id", "text"), "doc_id"), _spread(events.select("event_id"), "event_id")
