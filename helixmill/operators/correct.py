@@ -59,7 +59,7 @@ def packed_trusted(trusted: DataFrame, k: int, most: int = SHARED_KMERS) -> Shar
     spark, name = trusted.sparkSession, f"trusted-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    for row in trusted.select(dna.pack("kmer").alias("p")).orderBy("p").mapInArrow(pieces, "piece binary").toLocalIterator():
+    for row in trusted.select((F.col("packed") if "packed" in trusted.columns else dna.pack("kmer")).alias("p")).orderBy("p").mapInArrow(pieces, "piece binary").toLocalIterator():
         out.write(bytes(row.piece))
     out.close()
     spark.sparkContext.addFile(path.toString())

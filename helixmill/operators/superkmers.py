@@ -141,10 +141,10 @@ def _batched(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         held.append(batch)
         size += batch.nbytes
         if size >= most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
     if size:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()[:1]
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _counted(reads: DataFrame, k: int, both_strands: bool, value: str, spell: bool, weights: Callable[[pa.RecordBatch, Reads], np.ndarray] | None, scale: int, floor: float) -> DataFrame:

@@ -58,10 +58,12 @@ def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int, counts: Da
     reads, few windows have one that is not trusted.  A bit filter of those
     rules out nearly all windows where they are, and only the rest is joined,
     whatever the size of the trusted set.  `counts` (packed, ...) may give the
-    k-mers of these reads, or more, if they have been counted before.
+    k-mers of these reads, or more, if they have been counted before; `trusted`
+    may have them packed, too.
     """
     seen = (packed_counts(reads, check_k(k)) if counts is None else counts).select("packed")
-    bad = checkpointed(seen.join(trusted.select(dna.pack("kmer").alias("packed")), "packed", "left_anti"))
+    good = trusted.select(F.col("packed") if "packed" in trusted.columns else dna.pack("kmer").alias("packed"))
+    bad = checkpointed(seen.join(good, "packed", "left_anti"))
     sent = reads.sparkSession.sparkContext.broadcast(bitfilter.built(bad, "packed"))
     id_type = reads.schema["read_id"].dataType.simpleString()
 

@@ -52,7 +52,7 @@ def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trusted_of(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trusted k-mers, all packed k-mers) of the reads, counted once."""
     counts = checkpointed(kmers.packed_counts(reads, K))
-    return trusted.trusted_scalar(counts, CUTOFF).select(dna.unpack("packed", K).alias("kmer"), "n"), counts
+    return trusted.trusted_scalar(counts, CUTOFF).select(dna.unpack("packed", K).alias("kmer"), "packed", "n"), counts
 
 
 def reads_scan(spark, sf_dir):

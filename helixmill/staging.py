@@ -17,7 +17,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
