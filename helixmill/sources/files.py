@@ -67,7 +67,7 @@ def _step(state: int, line: str) -> tuple[int, int]:
 
 
 def _splits(batches):
-    """(file, at, lines) of the input splits in Arrow batches, piece by piece."""
+    """(file, at, lines, first row as a batch) of the input splits in Arrow batches, piece by piece."""
     for batch in batches:
         files, at, lines = (batch.column(c) for c in ("file", "at", "value"))
         cuts = np.flatnonzero(np.diff(at.to_numpy())) + 1 if batch.num_rows else []
@@ -75,7 +75,7 @@ def _splits(batches):
         edges = [0, *sorted({*cuts, *(np.flatnonzero(np.diff(names)) + 1)}), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:]):
             if b > a:
-                yield files[a].as_py(), at[a].as_py(), lines.slice(a, b - a).to_pylist()
+                yield files[a].as_py(), at[a].as_py(), lines.slice(a, b - a).to_pylist(), batch.slice(a, 1)
 
 
 def _resynchronised(spark: SparkSession, *paths: str) -> DataFrame:
@@ -83,35 +83,41 @@ def _resynchronised(spark: SparkSession, *paths: str) -> DataFrame:
 
     Where a split begins inside a record depends on all splits before it, so
     each split first says where a reader in each of the four states would end.
+    Those small rows are strung together file by file.
     """
-    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), "value")
+    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("id"), "value")
 
     def ends(batches):
         found: dict[tuple, list] = {}
-        for file, at, values in _splits(batches):
+        for file, at, values, _ in _splits(batches):
             runs = found.setdefault((file, at), [(s, 0) for s in range(4)])
             for v in values:
                 runs[:] = [(to, n + begun) for (s, n) in runs for to, begun in [_step(s, v)]]
         for (file, at), runs in found.items():
             yield pa.RecordBatch.from_pydict({"file": [file], "at": pa.array([at], pa.int64()), "ends": pa.array([[s for s, _ in runs]], pa.list_(pa.int32())), "begun": pa.array([[n for _, n in runs]], pa.list_(pa.int64()))})
 
-    splits = lines.mapInArrow(ends, "file string, at long, ends array<int>, begun array<bigint>")
-    known = splits.limit(BROADCAST_SPLITS + 1).collect()
-    if len(known) > BROADCAST_SPLITS:
-        raise ValueError(f"more than {BROADCAST_SPLITS} splits can't be read leniently")
-    start: dict[tuple, tuple[int, int]] = {}
-    numbers = {file: i for i, file in enumerate(sorted({r["file"] for r in known}))}
-    now = {file: (0, 0) for file in numbers}
-    for r in sorted(known, key=lambda r: (r["file"], r["at"])):
-        state, n = start[r["file"], r["at"]] = now[r["file"]]
-        now[r["file"]] = r["ends"][state], n + r["begun"][state]
-    sent = spark.sparkContext.broadcast((start, numbers))
+    def walked(table):
+        state, n, out = 0, 0, [[], []]
+        table = table.sort_by("at")
+        for to, begun in zip(table["ends"].to_pylist(), table["begun"].to_pylist()):
+            out[0].append(state)
+            out[1].append(n)
+            state, n = to[state], n + begun[state]
+        return pa.table({"file": table["file"], "at": table["at"], "state": pa.array(out[0], pa.int32()), "before": pa.array(out[1], pa.int64())})
+
+    splits = lines.select("file", "at", "value").mapInArrow(ends, "file string, at long, ends array<int>, begun array<bigint>")
+    starts = splits.groupBy("file").applyInArrow(walked, "file string, at long, state int, before long")
+    starts = checkpointed(starts.selectExpr("*", "CAST(dense_rank() OVER (ORDER BY file) - 1 AS INT) AS number"))
+    if starts.count() <= BROADCAST_SPLITS:
+        placed = lines.join(F.broadcast(starts), ["file", "at"])
+    else:  # the join shuffles and mixes the lines
+        placed = lines.join(starts, ["file", "at"]).repartition("file", "at").sortWithinPartitions("file", "at", "id")
 
     def parts(batches):
-        start, numbers = sent.value
         state: dict[tuple, tuple[int, int]] = {}
-        for file, at, values in _splits(batches):
-            s, n = state.get((file, at), start[file, at])
+        for file, at, values, own in _splits(batches):
+            first = own.select(["state", "before", "number"]).to_pylist()[0]
+            s, n = state.get((file, at), (first["state"], first["before"]))
             out: list[list] = [[], [], []]
             for v in values:
                 to, begun = _step(s, v)
@@ -122,9 +128,9 @@ def _resynchronised(spark: SparkSession, *paths: str) -> DataFrame:
                 s = to
             state[file, at] = s, n
             rows = len(out[0])
-            yield pa.RecordBatch.from_pydict({"file": pa.array([file] * rows, pa.string()), "number": pa.array([numbers[file]] * rows, pa.int32()), "ordinal": pa.array(out[0], pa.int64()), "part": pa.array(out[1], pa.int32()), "value": pa.array(out[2], pa.string())})
+            yield pa.RecordBatch.from_pydict({"file": pa.array([file] * rows, pa.string()), "number": pa.array([first["number"]] * rows, pa.int32()), "ordinal": pa.array(out[0], pa.int64()), "part": pa.array(out[1], pa.int32()), "value": pa.array(out[2], pa.string())})
 
-    found = lines.mapInArrow(parts, "file string, number int, ordinal long, part int, value string")
+    found = placed.drop("id").mapInArrow(parts, "file string, number int, ordinal long, part int, value string")
     rows = found.groupBy("file", "number", "ordinal").agg(*(F.max(F.when(F.col("part") == i, F.col("value"))).alias(c) for i, c in enumerate(_READ)))
     return rows.withColumns({c: F.regexp_replace(c, r"\s", "") for c in ("seq", "qual")})
 

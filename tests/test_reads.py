@@ -183,11 +183,13 @@ def test_fastq_files(spark, tmp_path):
     # Other lines between records, blanks inside, quality lines that begin with @.
     mixed = "".join(f"{'# note' if i % 3 else 'x'}@  r{i}\nAC GT{'A' * (i % 5)}\n+r{i}\n@I I@{'#' * (i % 5)}\n{'' if i % 4 else chr(10) + 'junk' + chr(10)}" for i in range(40)) + "@last\nACGT\n"
     (tmp_path / "mixed.fastq").write_text(mixed)
-    for size in ("100", "128m"):
+    for size, most in (("100", 10**6), ("100", 1), ("128m", 10**6)):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        files.BROADCAST_SPLITS, old = most, files.BROADCAST_SPLITS
         try:
             rows = files.read_fastq(spark, str(tmp_path / "mixed.fastq"), str(plain), lenient=True).where("file LIKE '%mixed%'").orderBy("ordinal").collect()
         finally:
+            files.BROADCAST_SPLITS = old
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert [(r.ordinal, r.header, r.seq, r.mid, r.qual) for r in rows] == [(i, f"r{i}", "ACGT" + "A" * (i % 5), f"+r{i}", "@II@" + "#" * (i % 5)) for i in range(40)]
     (tmp_path / "bad.fastq").write_text("@x\nACGT\n+\nIII\n")
