@@ -66,15 +66,15 @@ def packed_trusted(trusted: DataFrame, k: int, most: int = SHARED_KMERS) -> Shar
     return SharedKmers(name, n)
 
 
-def suspects(reads: DataFrame, trusted: DataFrame, k: int, offset: int, trim_threshold: int = 3, counts: DataFrame | None = None) -> DataFrame:
+def suspects(reads: DataFrame, trusted: DataFrame, k: int, offset: int, trim_threshold: int = 3, untrusted: DataFrame | None = None) -> DataFrame:
     """Reads (read_id, seq, qual, ...) with trim_len and comps: their components, regions included.
 
     comps is null where no untrusted window survives the trimming; reads below
-    the least length have trim_len 0.  `counts` as for untrusted_positions().
+    the least length have trim_len 0.  `untrusted` as for untrusted_positions().
     """
     trimmed = quick_trim(reads, trim_threshold, offset).withColumn("trim_len", F.when(F.length("seq") < LEAST_LENGTH, 0).otherwise(F.col("trim_len")))
     # Only windows that survive the trimming are looked at.
-    bad = untrusted_positions(trimmed.select("read_id", F.expr("substring(seq, 1, trim_len)").alias("seq")), trusted, k, counts)
+    bad = untrusted_positions(trimmed.select("read_id", F.expr("substring(seq, 1, trim_len)").alias("seq")), trusted, k, untrusted)
     comps = regions.with_core(regions.components(bad, k), k)
     comps = comps.join(trimmed.select("read_id", "qual", "trim_len"), "read_id").withColumn("q", dna.checked_phreds("qual", offset)).withColumn("probs", dna.probabilities("q"))
     comps = regions.error_region_chop(regions.error_region(comps, k), k)

@@ -50,20 +50,21 @@ def base_priors(trusted: DataFrame) -> list[float]:
     return [a, 0.5 - a, 0.5 - a, a]
 
 
-def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
+def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int, untrusted: DataFrame | None = None) -> DataFrame:
     """(read_id, pos) of each window that is not a trusted canonical k-mer.
 
     Windows with an unknown base are untrusted.  `trusted` holds canonical
     k-mers.  The question is turned round: of the different k-mers of the
     reads, few windows have one that is not trusted.  A bit filter of those
     rules out nearly all windows where they are, and only the rest is joined,
-    whatever the size of the trusted set.  `counts` (packed, ...) may give the
-    k-mers of these reads, or more, if they have been counted before; `trusted`
-    may have them packed, too.
+    whatever the size of the trusted set.  Who has counted these reads' k-mers
+    before may give all that are not trusted as `untrusted` (packed); else they
+    are counted here.  `trusted` may have its k-mers packed, too.
     """
-    seen = (packed_counts(reads, check_k(k)) if counts is None else counts).select("packed")
-    good = trusted.select(F.col("packed") if "packed" in trusted.columns else dna.pack("kmer").alias("packed"))
-    bad = checkpointed(seen.join(good, "packed", "left_anti"))
+    if untrusted is None:
+        good = trusted.select(F.col("packed") if "packed" in trusted.columns else dna.pack("kmer").alias("packed"))
+        untrusted = packed_counts(reads, check_k(k)).join(good, "packed", "left_anti")
+    bad = checkpointed(untrusted.select("packed"))
     sent = reads.sparkSession.sparkContext.broadcast(bitfilter.built(bad, "packed"))
     id_type = reads.schema["read_id"].dataType.simpleString()
 

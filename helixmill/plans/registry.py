@@ -50,9 +50,9 @@ def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trusted_of(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(trusted k-mers, all packed k-mers) of the reads, counted once."""
+    """(trusted k-mers, packed ones that are not) of the reads, counted once."""
     counts = checkpointed(kmers.packed_counts(reads, K))
-    return trusted.trusted_scalar(counts, CUTOFF).select(dna.unpack("packed", K).alias("kmer"), "packed", "n"), counts
+    return trusted.trusted_scalar(counts, CUTOFF).select(dna.unpack("packed", K).alias("kmer"), "packed", "n"), counts.where(F.col("n") < CUTOFF)
 
 
 def reads_scan(spark, sf_dir):
@@ -165,8 +165,8 @@ def trim_program(spark, sf_dir):
 
 
 def _untrusted(reads: DataFrame) -> DataFrame:
-    good, counts = _trusted_of(reads)
-    return trusted.untrusted_positions(reads, good, K, counts)
+    good, bad = _trusted_of(reads)
+    return trusted.untrusted_positions(reads, good, K, bad)
 
 
 def untrusted_positions(spark, sf_dir):
@@ -326,10 +326,10 @@ def correction_log(spark, sf_dir):
 
 def _searchable(spark, sf_dir):
     reads = _staged_reads(spark, sf_dir).select("read_id", "seq", "qual")
-    good, counts = _trusted_of(reads)
+    good, bad = _trusted_of(reads)
     good = checkpointed(good)
     priors = trusted.base_priors(good)
-    rows = checkpointed(correct.suspects(reads, good, K, fixture.OFFSET, TRIM, counts))
+    rows = checkpointed(correct.suspects(reads, good, K, fixture.OFFSET, TRIM, bad))
     return rows, correct.packed_trusted(good, K), priors
 
 
