@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def changes(original: DataFrame, corrected: DataFrame, key: str = "header") -> DataFrame:
+def _sides(original: DataFrame, corrected: DataFrame, key: str, order: str | None) -> DataFrame:
+    """(key, old, new).  Of repeated keys the least sequence counts; with `order`, a column of both, the
+    first corrected one does, and every original one is compared with it."""
+    if order:
+        old = original.select(key, F.col("seq").alias("old"))
+        return old.join(corrected.groupBy(key).agg(F.min_by("seq", order).alias("new")), key)
+    old = original.groupBy(key).agg(F.min("seq").alias("old"))
+    return old.join(corrected.groupBy(key).agg(F.min("seq").alias("new")), key)
+
+
+def changes(original: DataFrame, corrected: DataFrame, key: str = "header", order: str | None = None) -> DataFrame:
     """(key, pos, new_nt, old_nt): places, from 1, where corrected differs from original.
 
-    Both have (key, seq); of repeated keys the least sequence counts; a
-    shortened read is compared as far as it goes.
+    Both have (key, seq); for repeated keys see _sides(); a shortened read is
+    compared as far as it goes.
     """
-    old = original.groupBy(key).agg(F.min("seq").alias("old"))
-    new = corrected.groupBy(key).agg(F.min("seq").alias("new"))
-    both = old.join(new, key).where(F.expr("substring(old, 1, length(new)) != new"))
+    both = _sides(original, corrected, key, order).where(F.expr("substring(old, 1, length(new)) != new"))
     rows = both.withColumn("pos", F.explode(F.expr("sequence(1, length(new))")))
     return rows.select(key, F.col("pos").cast("bigint").alias("pos"), F.expr("substring(new, pos, 1)").alias("new_nt"), F.expr("substring(old, pos, 1)").alias("old_nt")).where("new_nt != old_nt")
 
@@ -29,11 +37,9 @@ def by_position(changed: DataFrame) -> DataFrame:
     return changed.groupBy("pos").agg(F.count("*").alias("num"))
 
 
-def trims_by_position(original: DataFrame, corrected: DataFrame, key: str = "header") -> DataFrame:
+def trims_by_position(original: DataFrame, corrected: DataFrame, key: str = "header", order: str | None = None) -> DataFrame:
     """(pos, num): places, from 1, behind the end of how many of the reads that were changed."""
-    old = original.groupBy(key).agg(F.min("seq").alias("old"))
-    new = corrected.groupBy(key).agg(F.min("seq").alias("new"))
-    cut = old.join(new, key).where(F.expr("length(new) < length(old) AND substring(old, 1, length(new)) != new"))
+    cut = _sides(original, corrected, key, order).where(F.expr("length(new) < length(old) AND substring(old, 1, length(new)) != new"))
     rows = cut.select(F.explode(F.expr("sequence(CAST(length(new) + 1 AS BIGINT), CAST(length(old) AS BIGINT))")).alias("pos"))
     return rows.groupBy("pos").agg(F.count("*").alias("num"))
 

@@ -291,6 +291,15 @@ def test_raw_bitset_of_any_size(spark, tmp_path, k):
     assert sorted(r.kmer for r in files.read_bitset(spark, str(tmp_path / "raw"), k, raw=True).collect()) == sorted(both)
 
 
+def test_repeated_headers_in_their_order(spark):
+    original = spark.createDataFrame([("r", "ACGT", 0), ("r", "ACGA", 1), ("x", "AAAA", 2)], "header string, seq string, ordinal long")
+    corrected = spark.createDataFrame([("r", "TCGT", 0), ("r", "ACG", 1), ("x", "CA", 2)], "header string, seq string, ordinal long")
+    got = sorted(map(tuple, report.changes(original, corrected, order="ordinal").collect()))
+    assert got == [("r", 1, "T", "A"), ("r", 1, "T", "A"), ("r", 4, "T", "A"), ("x", 1, "C", "A")]
+    assert sorted(map(tuple, report.changes(original, corrected).collect())) == [("x", 1, "C", "A")]
+    assert {(r.pos, r.num) for r in report.trims_by_position(original, corrected, order="ordinal").collect()} == {(3, 1), (4, 1)}
+
+
 def test_pairs_and_missing_mates(spark):
     a = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False)], "pair_id long, ok boolean")
     b = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False)], "pair_id long, ok boolean")
