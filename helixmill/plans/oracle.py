@@ -35,7 +35,7 @@ _ORDER = list(_STEPS)
 _NEEDS = {"reads": [], "windows": [], "kmers": ["windows"], "counts": ["kmers"], "good": ["counts"], "weights": [], "fixed": ["weights"], "bad": ["good"], "comps": ["bad"], "cores": ["comps"]}
 
 
-def _with(*steps: str, more: str = "") -> str:
+def _with(*steps: str, more: str = "", base: str | None = None, given: tuple[str, ...] = ()) -> str:
     wanted: set[str] = set()
 
     def add(step: str) -> None:
@@ -45,7 +45,7 @@ def _with(*steps: str, more: str = "") -> str:
 
     for step in steps:
         add(step)
-    parts = [duckdb_ctes().strip(), *(_STEPS[s] for s in _ORDER if s in wanted and _STEPS[s]), *([more] if more else [])]
+    parts = [base or duckdb_ctes().strip(), *(_STEPS[s] for s in _ORDER if s in wanted and _STEPS[s] and s not in given), *([more] if more else [])]
     return "WITH " + ",\n".join(parts) + "\n"
 
 
@@ -84,16 +84,16 @@ _DRAW = f"({_PACKED.format('kmer')} % 1000003 * 7919) % 1000003"
 _PLACES = "string_agg(CAST(place AS VARCHAR), ',' ORDER BY place)"
 
 
-def _region_sql(chop: bool) -> str:
+def _region_sql(chop: bool, **how) -> str:
     """Places of the regions in their order: core, then descending to 0, then ascending to the end."""
     k = _K
     if not chop:
-        return _with("cores", more=f"""spans AS (SELECT read_id, component, any_value(a) AS a, any_value(b) AS b, min(place) AS f, max(place) AS l FROM cores GROUP BY read_id, component),
+        return _with("cores", **how, more=f"""spans AS (SELECT read_id, component, any_value(a) AS a, any_value(b) AS b, min(place) AS f, max(place) AS l FROM cores GROUP BY read_id, component),
 places AS (
   SELECT read_id, component, 0 AS part, place, place AS o FROM cores
   UNION ALL SELECT read_id, component, 1, place, -place FROM (SELECT read_id, component, unnest(range(0, f)) AS place FROM spans WHERE {k - 1} >= f)
   UNION ALL SELECT read_id, component, 2, place, place FROM (SELECT s.read_id, component, unnest(range(l + 1, length(seq))) AS place FROM spans s JOIN reads USING (read_id) WHERE length(seq) - {k} <= l))""") + "SELECT read_id, component, string_agg(CAST(place AS VARCHAR), ',' ORDER BY part, o) AS places FROM places GROUP BY read_id, component"
-    return _with("cores", "weights", more=f"""cut AS (SELECT read_id, component, a, b, place FROM cores WHERE a = 0 OR place > a + {k - 2}),
+    return _with("cores", "weights", **how, more=f"""cut AS (SELECT read_id, component, a, b, place FROM cores WHERE a = 0 OR place > a + {k - 2}),
 spans AS (SELECT read_id, component, any_value(a) AS a, any_value(b) AS b, min(place) AS f, max(place) AS l FROM cut GROUP BY read_id, component),
 back AS (SELECT s.*, p, length(seq) AS n FROM spans s JOIN ps USING (read_id)),
 front AS (
@@ -135,6 +135,72 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY read_id, attempt ORDER BY l
 found AS (SELECT read_id, min(attempt) AS attempt FROM ranked JOIN sizes USING (read_id) WHERE r = 1 AND l >= 1e-6 AND (l2 IS NULL OR l2 < 0.1 * l) AND (attempt = 1 OR again) GROUP BY read_id)""") + """SELECT read_id, CAST(place AS BIGINT) AS place, base FROM ranked JOIN found USING (read_id, attempt) WHERE r = 1 AND (old = 'N' OR ch = '(')"""
 
 
+def _doubled() -> dict:
+    """For _with(): the trusted k-mers of all reads, and in the place of `reads` those with an error, with a second one."""
+    first = [s.replace(f"{a} AS (", f"{a}0 AS (", 1).replace(f"FROM {b}", f"FROM {b}0") for s, a, b in ((_STEPS["windows"], "w", "reads"), (_STEPS["kmers"], "c", "w"))]
+    counts = _STEPS["counts"].replace("FROM c ", "FROM c0 ")
+    one = "CAST((error_at + CASE WHEN read_id % 2 = 0 THEN 30 ELSE 20 END) % 60 AS INT)"
+    reads = f"""reads AS MATERIALIZED (
+  SELECT read_id, substring(seq, 1, o) || translate(substring(seq, o + 1, 1), 'ACGT', 'CGTA') || substring(seq, o + 2, 60) AS seq, substring(qual, 1, o) || '(' || substring(qual, o + 2, 60) AS qual
+  FROM (SELECT *, {one} AS o FROM reads0 WHERE error_at >= 0 AND length(seq) = 60))"""
+    base = [duckdb_ctes().strip().replace("reads AS MATERIALIZED", "reads0 AS MATERIALIZED"), *first, counts, _STEPS["good"], reads]
+    return {"base": ",\n".join(base), "given": ("counts", "good")}
+
+
+#: The likelihood of a base in place of `old` of the right probability p: the model gives half, three and two tenths to the bases after it.
+_LIKELY = """(1 - p) / (p * CASE WHEN old IN ('A', 'T') THEN pa ELSE 0.5 - pa END) * CASE (strpos('ACGT', old) - strpos('ACGT', base) + 4) % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END
+    * CASE WHEN base IN ('A', 'T') THEN pa ELSE 0.5 - pa END"""
+_PA = f"(SELECT sum({_AT}) / CAST(sum({_K}) AS DOUBLE) / 2 AS pa FROM good)"
+
+
+def _component_edits_sql() -> str:
+    """The likeliest edit of each of a read's two components, tried one by one, as for single edits."""
+    k, how = _K, _doubled()
+    return _with("comps", **how, more=f"""chopped AS ({_region_sql(True, **how)}), whole AS ({_region_sql(False, **how)}),
+two AS (SELECT read_id, component, a, b FROM comps WHERE read_id IN (SELECT read_id FROM comps GROUP BY read_id HAVING count(*) = 2) AND b <= a + {k - 1}),
+options AS (
+  SELECT read_id, component, 1 AS attempt, string_split(places, ',') AS ps FROM chopped WHERE places != '' UNION ALL SELECT read_id, component, 2, string_split(places, ',') FROM whole),
+sizes AS (SELECT read_id, component, coalesce(max(len(ps)) FILTER (WHERE attempt = 1), 0) != max(len(ps)) FILTER (WHERE attempt = 2) AS again FROM options GROUP BY read_id, component),
+places AS (
+  SELECT o.read_id, o.component, attempt, place, seq, qual FROM (SELECT read_id, component, attempt, CAST(unnest(ps) AS INT) AS place FROM options) o JOIN two USING (read_id, component) JOIN reads USING (read_id)
+  WHERE place BETWEEN b AND a + {k - 1}),
+edits AS (
+  SELECT read_id, component, attempt, place, base, substring(seq, place + 1, 1) AS old, substring(qual, place + 1, 1) AS ch, substring(seq, 1, place) || base || substring(seq, place + 2, 60) AS seq
+  FROM places, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substring(seq, place + 1, 1) != base),
+tests AS (SELECT *, substring(seq, CAST(pos AS INT) + 1, {k}) AS f FROM (SELECT *, unnest(range(greatest(place - {k - 1}, 0), least(place, length(seq) - {k}) + 1)) AS pos FROM edits)),
+fits AS (
+  SELECT t.read_id, component, attempt, place, base, any_value(old) AS old, any_value(ch) AS ch FROM tests t LEFT JOIN good g ON g.kmer = least(f, reverse(translate(f, 'ACGT', 'TGCA')))
+  GROUP BY t.read_id, component, attempt, place, base HAVING bool_and(g.kmer IS NOT NULL)),
+likes AS (SELECT f.*, {_LIKELY} AS l FROM (SELECT *, {_PROBABILITIES}[ascii(ch) - 32] AS p FROM fits) f, {_PA}),
+ranked AS (
+  SELECT *, row_number() OVER o AS r, lead(l) OVER o AS l2 FROM likes WINDOW o AS (PARTITION BY read_id, component, attempt ORDER BY l DESC, place, base)),
+found AS (
+  SELECT read_id, component, min(attempt) AS attempt FROM ranked JOIN sizes USING (read_id, component) WHERE r = 1 AND l >= 1e-6 AND (l2 IS NULL OR l2 < 0.1 * l) AND (attempt = 1 OR again) GROUP BY read_id, component),
+best AS (SELECT read_id, place, base FROM ranked JOIN found USING (read_id, component, attempt) WHERE r = 1 AND ch = '(')""") + """SELECT read_id, CAST(place AS BIGINT) AS place, base FROM best WHERE read_id IN (SELECT read_id FROM best GROUP BY read_id HAVING count(*) = 2)"""
+
+
+def _paired_edits_sql() -> str:
+    """The likeliest two edits of both doubtful bases of a read whose one component no single edit can reach."""
+    k, how = _K, _doubled()
+    return _with("comps", **how, more=f"""chopped AS ({_region_sql(True, **how)}), whole AS ({_region_sql(False, **how)}),
+wide AS (SELECT read_id, any_value(a) AS a, any_value(b) AS b FROM comps GROUP BY read_id HAVING count(*) = 1 AND any_value(b) > any_value(a) + {k - 1}),
+doubt AS (SELECT read_id, seq, strpos(qual, '(') - 1 AS p1, 60 - strpos(reverse(qual), '(') AS p2 FROM reads JOIN wide USING (read_id)),
+regions AS (SELECT read_id, 1 AS attempt, ',' || places || ',' AS ps FROM chopped UNION ALL SELECT read_id, 2, ',' || places || ',' FROM whole),
+tried AS (SELECT d.*, min(attempt) AS attempt FROM doubt d JOIN regions USING (read_id) WHERE contains(ps, ',' || p1 || ',') AND contains(ps, ',' || p2 || ',') GROUP BY ALL),
+edits AS (
+  SELECT read_id, p1, p2, x.base AS b1, y.base AS b2, substring(seq, CAST(p1 AS INT) + 1, 1) AS o1, substring(seq, CAST(p2 AS INT) + 1, 1) AS o2,
+         substring(seq, 1, CAST(p1 AS INT)) || x.base || substring(seq, CAST(p1 AS INT) + 2, CAST(p2 - p1 - 1 AS INT)) || y.base || substring(seq, CAST(p2 AS INT) + 2, 60) AS seq
+  FROM tried, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) x, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) y),
+tests AS (SELECT *, substring(seq, CAST(pos AS INT) + 1, {k}) AS f FROM (SELECT *, unnest(range(0, length(seq) - {k - 1})) AS pos FROM edits WHERE b1 != o1 AND b2 != o2)),
+fits AS (
+  SELECT t.read_id, p1, p2, b1, b2, any_value(o1) AS o1, any_value(o2) AS o2 FROM tests t LEFT JOIN good g ON g.kmer = least(f, reverse(translate(f, 'ACGT', 'TGCA')))
+  GROUP BY t.read_id, p1, p2, b1, b2 HAVING bool_and(g.kmer IS NOT NULL)),
+likes AS (
+  SELECT fits.*, ({_LIKELY.replace("old", "o1").replace("base", "b1")}) * ({_LIKELY.replace("old", "o2").replace("base", "b2")}) AS l FROM fits, (SELECT {_PROBABILITIES}[8] AS p), {_PA}),
+ranked AS (SELECT *, row_number() OVER o AS r, lead(l) OVER o AS l2 FROM likes WINDOW o AS (PARTITION BY read_id ORDER BY l DESC, b1, b2)),
+best AS (SELECT * FROM ranked WHERE r = 1 AND (l2 IS NULL OR l2 < 0.1 * l))""") + """SELECT read_id, CAST(p1 AS BIGINT) AS place, b1 AS base FROM best UNION ALL SELECT read_id, CAST(p2 AS BIGINT), b2 FROM best"""
+
+
 #: The peak m of integer and of weighted counts: of the bins behind the place where the histogram first stops falling, the first of the highest.
 _PEAK = """dense AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT max(cov) FROM h) + 1)) AS cov) s LEFT JOIN h ON h.cov = s.cov),
 steps AS (SELECT cov, num, num >= lag(num) OVER (ORDER BY cov) AS up FROM dense),
@@ -192,6 +258,8 @@ h AS (SELECT s.cov, coalesce(num, 0) AS num FROM (SELECT unnest(range(1, (SELECT
     "error_region": _region_sql(False),
     "error_region_chop": _region_sql(True),
     "single_edits": _single_edits_sql(),
+    "component_edits": _component_edits_sql(),
+    "paired_edits": _paired_edits_sql(),
     "int_cutoff_fixed_params": _fixed_model_sql(),
     "int_likelihood_fixed_params": _with("counts", more=f"""{_INT_PEAK},
 g AS (SELECT cov, any_value(num) AS num, {_GENUINE} AS genuine FROM h, top, (SELECT unnest(range(1, 31)) AS j) WHERE cov < 37.5 * m GROUP BY cov)""") + "SELECT CAST(round(-sum(num * ln(0.6 * (power(cov, -2.0) - power(cov + 1, -2.0)) + genuine))) AS BIGINT) AS nll FROM g",

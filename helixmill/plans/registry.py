@@ -354,6 +354,31 @@ def single_edits(spark, sf_dir):
     return found.selectExpr("read_id", "CAST(at AS BIGINT) AS place", "base")
 
 
+def _doubled_errors(spark, sf_dir):
+    """What the search finds for reads with a second planted error 20 or 30 bases from the first, by a model that tells bases apart."""
+    reads = _staged_reads(spark, sf_dir)
+    good = checkpointed(_trusted_of(reads.select("read_id", "seq", "qual"))[0])
+    rows = reads.where("error_at >= 0 AND length(seq) = 60").withColumn("o", F.expr("CAST((error_at + IF(read_id % 2 = 0, 30, 20)) % 60 AS INT)"))
+    rows = rows.selectExpr("read_id", "overlay(seq PLACING translate(substring(seq, o + 1, 1), 'ACGT', 'CGTA') FROM o + 1 FOR 1) AS seq", "overlay(qual PLACING '(' FROM o + 1 FOR 1) AS qual")
+    rows = checkpointed(correct.suspects(rows, good, K, fixture.OFFSET, TRIM))
+    rates = error_model.uniform()
+    rates[:] = [[(0.0, 0.5, 0.3, 0.2)[(o - a) % 4] for o in range(4)] for a in range(4)]
+    found = correct.searched(rows, correct.packed_trusted(good, K), K, fixture.OFFSET, rates, trusted.base_priors(good))
+    comps = rows.where("comps IS NOT NULL").selectExpr("read_id", "size(comps) AS n_comps", "array_max(comps[0].starts) - comps[0].starts[0] AS width")
+    found = found.where("solved AND size(edits) = 2 AND forall(edits, e -> substring(qual, e.place + 1, 1) = '(')").join(comps, "read_id")
+    return found.select("read_id", "n_comps", "width", F.explode("edits").alias("e")).selectExpr("read_id", "n_comps", "width", "CAST(e.place AS BIGINT) AS place", "e.base AS base")
+
+
+def component_edits(spark, sf_dir):
+    """Two components of a read, each solved by one edit of a doubtful base."""
+    return _doubled_errors(spark, sf_dir).where("n_comps = 2").select("read_id", "place", "base")
+
+
+def paired_edits(spark, sf_dir):
+    """One component that takes two edits, of the two doubtful bases."""
+    return _doubled_errors(spark, sf_dir).where(f"n_comps = 1 AND width > {K - 1}").select("read_id", "place", "base")
+
+
 def fit_int(spark, sf_dir):
     hist = coverage_hist(spark, sf_dir).toPandas()
     found = model.fit_int(hist["cov"].to_numpy(), hist["num"].to_numpy())
@@ -383,7 +408,7 @@ _PLANS = (
     trusted_scalar, trusted_at_cutoff, trusted_both_strands, at_gc_prior, quick_trim, trim_clamped, trim_program, untrusted_positions, untrusted_components,
     component_intersect, component_union, error_region, error_region_chop, int_cutoff_fixed_params, int_likelihood_fixed_params, q_likelihood_fixed_params, q_cutoff_fixed_params, error_model_counts, error_model_kernel,
     substitution_matrix, substitution_by_position, correction_report, trims_by_position, pair_routing, run_stats, output_rows, correction_log,
-    single_edits, correct_reads, learn_error_model, fit_int, fit_q, fit_gc,
+    single_edits, component_edits, paired_edits, correct_reads, learn_error_model, fit_int, fit_q, fit_gc,
 )
 
 QUERIES = {f.__name__: f for f in _PLANS}
