@@ -63,8 +63,8 @@ def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int, untrusted:
     """
     if untrusted is None:
         good = trusted.select(F.col("packed") if "packed" in trusted.columns else dna.pack("kmer").alias("packed"))
-        untrusted = packed_counts(reads, check_k(k)).join(good, "packed", "left_anti")
-    bad = checkpointed(untrusted.select("packed"))
+        untrusted = checkpointed(packed_counts(reads, check_k(k)).join(good, "packed", "left_anti"))
+    bad = untrusted.select("packed")
     sent = reads.sparkSession.sparkContext.broadcast(bitfilter.built(bad, "packed"))
     id_type = reads.schema["read_id"].dataType.simpleString()
 
@@ -79,10 +79,9 @@ def untrusted_positions(reads: DataFrame, trusted: DataFrame, k: int, untrusted:
                 place = np.flatnonzero(windows.inside(part, k) & (~known | bitfilter.may_hold(words, kmer)))
                 if len(place):
                     read = owner[at + place]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(read)), pa.array((at + place - own.offset[read]).astype(np.int32)), pa.array(kmer[place], mask=~known[place])], names=["read_id", "pos", "packed"]
-                    )
+                    # Windows with an unknown base need no answer: negative numbers, which the join spreads.
+                    key = np.where(known[place], kmer[place], -1 - (windows.mixed(at + place) >> np.uint64(1)).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(read)), pa.array((at + place - own.offset[read]).astype(np.int32)), pa.array(key)], names=["read_id", "pos", "packed"])
 
-    rows = checkpointed(reads.where(F.length("seq") >= k).select("read_id", "seq").mapInArrow(doubtful, f"read_id {id_type}, pos int, packed bigint"))
-    masked = rows.where("packed IS NULL").select("read_id", "pos")
-    return rows.where("packed IS NOT NULL").join(bad, "packed", "left_semi").select("read_id", "pos").union(masked)
+    rows = reads.where(F.length("seq") >= k).select("read_id", "seq").mapInArrow(doubtful, f"read_id {id_type}, pos int, packed bigint")
+    return rows.join(bad.withColumn("bad", F.lit(True)), "packed", "left").where("packed < 0 OR bad").select("read_id", "pos")
