@@ -124,10 +124,8 @@ def fit(rows: DataFrame, components: int = COMPONENTS, oversampling: int = OVERS
         return out[:-1].reshape(width, -1), float(out[-1])
 
     basis = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((width, min(width, components + oversampling))))[0]
+    grown, before = False, np.inf
     for turn in range(passes + 1):
-        grown = turn == passes and basis.shape[1] < width
-        if grown:
-            basis = np.eye(width)
         image, trace = product(basis)
         small = basis.T @ image
         values, turned = np.linalg.eigh((small + small.T) / 2)
@@ -136,7 +134,10 @@ def fit(rows: DataFrame, components: int = COMPONENTS, oversampling: int = OVERS
         left = np.linalg.norm(image @ turned[:, best] - vectors * values, axis=0)
         if (left <= tolerance * values).all() or basis.shape[1] == width:
             break
-        basis = np.linalg.qr(image)[0]
+        error, more = float((left / np.maximum(values, np.finfo(float).tiny)).max()), passes - 1 - turn
+        # The residuals fail if the passes that are left, each as good as the last one, won't do.
+        grown = more <= 0 or turn > 0 and error * min(1.0, error / before) ** more > tolerance
+        basis, before = np.eye(width) if grown else np.linalg.qr(image)[0], error
     there = values > width * np.finfo(float).eps * max(values[0], 0)
     model = Whitening(n, sums, vectors[:, there], values[there], trace, grown)
     k = len(model.values)
