@@ -289,6 +289,7 @@ def test_raw_bitset_of_any_size(spark, tmp_path, k):
     pieces = files._raw_chunks(spark, str(tmp_path / "raw"), k)
     assert pieces.agg(F.max(F.octet_length("bits"))).head()[0] <= 65_536
     assert sorted(r.kmer for r in files.read_bitset(spark, str(tmp_path / "raw"), k, raw=True).collect()) == sorted(both)
+    (tmp_path / "raw").unlink()  # 2 GiB for k = 17
 
 
 def test_repeated_headers_in_their_order(spark):
