@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
+from helixmill.functions import dna
+
 from .coverage import stratified_sample
 
 COPIES = 30
@@ -259,7 +261,9 @@ def cutoffs_by_at(counts: DataFrame, k: int, goal: float = 200, sample: int = 15
             found = float("nan")
         return pd.DataFrame({"at": [int(pdf["at"].iloc[0])], "cutoff": [found]})
 
-    rows = stratified_sample(counts, sample, k=k).selectExpr("at", f"CAST({value} AS DOUBLE) AS cov")
+    if "packed" in counts.columns:
+        counts = counts.withColumn("at", dna.packed_at_count("packed", k))
+    rows = stratified_sample(counts, sample).selectExpr("at", f"CAST({value} AS DOUBLE) AS cov")
     found = {r["at"]: r["cutoff"] for r in rows.groupBy("at").applyInPandas(fit_group, "at int, cutoff double").collect()}
     good = sorted(a for a, c in found.items() if c is not None and c == c and 0 < a < k)
     if not good:
