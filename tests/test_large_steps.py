@@ -1,5 +1,6 @@
 """Steps that have to keep up with large inputs: the same results by less work."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -227,3 +228,21 @@ def test_stratified_sample_keeps_packed_kmers(spark):
     got = coverage.stratified_sample(counts, 7, k=15)
     assert dict(got.dtypes) == {"packed": "bigint", "n": "bigint", "at": "int"}
     assert {r["at"]: r["m"] for r in got.groupBy("at").agg(F.count("*").alias("m")).collect()}[7] == 7
+
+
+def test_contigs_of_odd_texts_are_those_of_the_sql(spark):
+    long = " ".join(f"w{i}" for i in range(250_000))
+    assert len(long) > fixture._PIECE
+    assert list(fixture._pieces(b"x" * 7)) == [b"x" * 7] and b"".join(fixture._pieces(long.encode())) == long.encode() and len(list(fixture._pieces(long.encode()))) > 1
+    texts = ["one two", "", None, " \t\r\n\x0b\x0c ", "  lead\x0bvt\x0cff\r\ncrlf  ", "\x1cnot\x1da\x1eblank here too", "grüß 猫 x\u0085y", "w" * 100 + " " + "w" * 100, long]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id")]
+    found = fixture.contigs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    wanted = con.execute(f"WITH {fixture._CONTIGS.format(base=fixture._BASE).strip().removesuffix(',')} SELECT contig_id, cseq FROM contigs").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and len(wanted) == 6
+
+
+def test_staged_reads_hold_the_columns_asked_for_only(spark):
+    assert registry._staged_reads(spark, SF, "read_id", "seq").columns == ["read_id", "seq"]
