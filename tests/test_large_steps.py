@@ -246,3 +246,10 @@ def test_contigs_of_odd_texts_are_those_of_the_sql(spark):
 
 def test_staged_reads_hold_the_columns_asked_for_only(spark):
     assert registry._staged_reads(spark, SF, "read_id", "seq").columns == ["read_id", "seq"]
+
+
+def test_only_reads_with_components_as_asked_for_are_searched(spark):
+    rows = {which: registry._doubled_rows(spark, SF, which)[0] for which in ("n_comps = 2", "n_comps = 1 AND width > 14", "true")}
+    two, one, whole = ([(r.read_id, len(r.comps), max(r.comps[0].starts) - r.comps[0].starts[0]) for r in found.collect()] for found in rows.values())
+    assert 0 < len(two) and 0 < len(one) and len(two) + len(one) < len(whole)
+    assert sorted(two) == sorted(r for r in whole if r[1] == 2) and sorted(one) == sorted(r for r in whole if r[1] == 1 and r[2] > 14)
